@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecloom.llm import sharding, simhash_dedup, token_counts
+from vecloom.llm import language_id, sharding, simhash_dedup, token_counts
 from vecloom.llm.tables import table
 
 
@@ -16,9 +16,13 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.document_token_counts(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.document_languages(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op4_token_counts, op7_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op4_token_counts, op5_language_id, op7_simhash_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
