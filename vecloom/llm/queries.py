@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecloom.llm import decontaminate, language_id, sharding, simhash_dedup, token_counts
+from vecloom.llm import decontaminate, language_id, mixing, sharding, simhash_dedup, token_counts
 from vecloom.llm.tables import table
 
 
@@ -24,9 +24,13 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op9_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.document_mixture(table(spark, sf_dir, "documents"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.document_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op4_token_counts, op5_language_id, op7_simhash_near_dedup, op10_benchmark_decontamination)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_sharding, op4_token_counts, op5_language_id, op7_simhash_near_dedup, op9_mixing_weights, op10_benchmark_decontamination)}
+ORACLE_SQL: dict[str, str] = {"op9_mixing_weights": mixing.mixture_sql()}
