@@ -174,5 +174,17 @@ def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: st
     stay = groups.select(F.col("component_id").alias(key)).distinct()
     stay = stay.select(F.col(key)["id"].alias(f"{key}i"), F.col(key)["row"].alias(f"{key}r"))
     keyed = docs.select("*", row_key["id"].alias(f"{key}i"), row_key["row"].alias(f"{key}r"))
-    same = keyed[f"{key}i"].eqNullSafe(stay[f"{key}i"]) & (keyed[f"{key}r"] == stay[f"{key}r"])
-    return keyed.join(stay, same, "left_semi").dropDuplicates([f"{key}i", f"{key}r"]).select(*[F.col(quoted(c)) for c in docs.columns])
+
+    def kept(rows: DataFrame, chosen: DataFrame, how: str) -> DataFrame:
+        same = rows[f"{key}i"].eqNullSafe(chosen[f"{key}i"]) & (rows[f"{key}r"] == chosen[f"{key}r"])
+        return rows.join(chosen, same, how)
+
+    # rows equal in every column share a key; only where there are any does a second pass single them out
+    repeated = prints.groupBy("doc_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeated = materialize(repeated.select(F.col("doc_key")["id"].alias(f"{key}i"), F.col("doc_key")["row"].alias(f"{key}r")), "repeated")
+    columns = [F.col(quoted(c)) for c in docs.columns]
+    if repeated.isEmpty():
+        return kept(keyed, stay, "left_semi").select(*columns)
+    single = kept(keyed, kept(stay, repeated, "left_anti"), "left_semi")
+    several = kept(keyed, kept(stay, repeated, "left_semi"), "left_semi").dropDuplicates([f"{key}i", f"{key}r"])
+    return single.select(*columns).unionByName(several.select(*columns))
