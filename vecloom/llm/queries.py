@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecloom.llm import decontaminate, language_id, mixing, sharding, simhash_dedup, token_counts
+from vecloom.llm import decontaminate, language_id, mixing, sharding, simhash_dedup, token_counts, toxicity
 from vecloom.llm.tables import table
 
 
@@ -12,6 +12,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.document_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.document_token_counts(table(spark, sf_dir, "documents"))
 
@@ -32,5 +36,5 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.document_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op4_token_counts, op5_language_id, op7_simhash_near_dedup, op9_mixing_weights, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_toxicity, op4_token_counts, op5_language_id, op7_simhash_near_dedup, op9_mixing_weights, op10_benchmark_decontamination)}
 ORACLE_SQL: dict[str, str] = {"op9_mixing_weights": mixing.mixture_sql()}
