@@ -8,7 +8,7 @@ score is P(family) * P(language | family).
 Learning uses only text and non-null lang of rows whose crc32(doc_id as text) mod 4 is not 2, of which
 a bounded sample is taken: at most ``per_language`` rows a language and ``max_rows`` in all, by the
 order of a hash of the id.  Scale: counting labels and drawing the sample move ids only; features of
-the sample come to the driver (max_rows x dims floats, 32 MB by default); prediction is a narrow Arrow
+the sample come to the driver (max_rows x dims floats, 20 MB by default); prediction is a narrow Arrow
 map with the broadcast model, linear in the text, no shuffle.
 
 Defined results: null texts and texts without letters are ``und`` with score 0, and so is everything
@@ -99,9 +99,10 @@ class LanguageModel:
         return labels.tolist(), np.round(np.clip(score, 0, 1), 6)
 
 
-def _machine(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, float, float, float]:
-    w, b = train_svm(x, y)
-    slope, shift = fit_sigmoid(out_of_fold(x, y, fold, 2, steps=100), y)
+def _machine(x: np.ndarray, y: np.ndarray, fold: np.ndarray, use: np.ndarray | None = None) -> tuple[np.ndarray, float, float, float]:
+    use = np.ones(len(y), dtype=bool) if use is None else use
+    w, b = train_svm(x, y, use=use)
+    slope, shift = fit_sigmoid(out_of_fold(x, y, fold, 2, use, steps=100)[use], y[use])
     return w, b, slope, shift
 
 
@@ -116,8 +117,7 @@ def fit(x: np.ndarray, lang: np.ndarray, dims: int = DIMS) -> LanguageModel:
         machines += [_machine(x, np.where(family == f, 1, -1), fold) for f in families]
     for languages in families.values():
         for a, b in combinations(languages, 2):
-            rows = (lang == a) | (lang == b)
-            machines.append(_machine(x[rows], np.where(lang[rows] == a, 1, -1), np.arange(rows.sum()) % 2))
+            machines.append(_machine(x, np.where(lang == a, 1, -1), fold, (lang == a) | (lang == b)))
     w = np.array([m[0] for m in machines], dtype=np.float32).reshape(len(machines), dims)
     rest = np.array([m[1:] for m in machines], dtype=np.float64).reshape(len(machines), 3)
     return LanguageModel(families, dims, w, rest[:, 0], rest[:, 1], rest[:, 2])
@@ -145,7 +145,7 @@ def training_sample(docs: DataFrame, per_language: int, max_rows: int, id_col: s
     return ranked.where(F.col("rank") <= each).select("text", "lang")
 
 
-def train(docs: DataFrame, per_language: int = 500, max_rows: int = 2000, dims: int = DIMS, id_col="doc_id", text_col="text", lang_col="lang") -> LanguageModel:
+def train(docs: DataFrame, per_language: int = 300, max_rows: int = 1200, dims: int = DIMS, id_col="doc_id", text_col="text", lang_col="lang") -> LanguageModel:
     sample = training_sample(docs, per_language, max_rows, id_col, text_col, lang_col)
 
     def features(batches):
@@ -158,8 +158,12 @@ def train(docs: DataFrame, per_language: int = 500, max_rows: int = 2000, dims:
     if not got:
         return LanguageModel({}, dims, np.zeros((0, dims), np.float32), np.zeros(0), np.zeros(0), np.zeros(0))
     order = np.random.default_rng(3).permutation(len(got))
-    x = np.array([np.frombuffer(got[i]["x"], np.float32) for i in order])
-    return fit(x, np.array([got[i]["lang"] for i in order], dtype=object), dims)
+    lang = np.array([got[i]["lang"] for i in order], dtype=object)
+    x = np.empty((len(got), dims), dtype=np.float32)
+    for k, i in enumerate(order):
+        x[k] = np.frombuffer(got[i]["x"], np.float32)
+    del got
+    return fit(x, lang, dims)
 
 
 def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:

@@ -60,12 +60,12 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def out_of_fold(x: np.ndarray, y: np.ndarray, fold: np.ndarray, folds: int, **options) -> np.ndarray:
-    """The margin of every row from a machine that never saw the row's fold."""
+def out_of_fold(x: np.ndarray, y: np.ndarray, fold: np.ndarray, folds: int, use: np.ndarray | None = None, **options) -> np.ndarray:
+    """The margin of every row from a machine that never saw the row's fold (nor rows not in use)."""
     margin = np.zeros(len(y), dtype=np.float64)
     for k in range(folds):
         test = fold == k
         if test.any():
-            w, b = train_svm(x, y, use=~test, **options)
+            w, b = train_svm(x, y, use=~test if use is None else use & ~test, **options)
             margin[test] = x[test] @ w + b
     return margin
