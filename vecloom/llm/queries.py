@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecloom.llm import decontaminate, language_id, mixing, sharding, simhash_dedup, token_counts, toxicity
+from vecloom.llm import decontaminate, language_id, mixing, sentence_dedup, sharding, simhash_dedup, token_counts, toxicity
 from vecloom.llm.tables import table
 
 
@@ -28,6 +28,10 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_dedup.document_substrings(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.document_mixture(table(spark, sf_dir, "documents"))
 
@@ -36,5 +40,5 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.document_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_toxicity, op4_token_counts, op5_language_id, op7_simhash_near_dedup, op9_mixing_weights, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_toxicity, op4_token_counts, op5_language_id, op7_simhash_near_dedup, op8_substring_dedup, op9_mixing_weights, op10_benchmark_decontamination)}
 ORACLE_SQL: dict[str, str] = {"op9_mixing_weights": mixing.mixture_sql()}
