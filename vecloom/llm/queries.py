@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecloom.llm import decontaminate, language_id, mixing, sentence_dedup, sharding, simhash_dedup, token_counts, toxicity
+from vecloom.llm import decontaminate, embedding_dedup, language_id, mixing, sentence_dedup, sharding, simhash_dedup, token_counts, toxicity
 from vecloom.llm.tables import table
 
 
@@ -24,6 +24,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.document_languages(table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_components(table(spark, sf_dir, "embeddings"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_components(table(spark, sf_dir, "documents"))
 
@@ -40,5 +44,5 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.document_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_toxicity, op4_token_counts, op5_language_id, op7_simhash_near_dedup, op8_substring_dedup, op9_mixing_weights, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_toxicity, op4_token_counts, op5_language_id, op6_embedding_near_dedup, op7_simhash_near_dedup, op8_substring_dedup, op9_mixing_weights, op10_benchmark_decontamination)}
 ORACLE_SQL: dict[str, str] = {"op9_mixing_weights": mixing.mixture_sql()}
