@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecloom.llm import decontaminate, embedding_dedup, language_id, mixing, sentence_dedup, sharding, simhash_dedup, token_counts, toxicity
+from vecloom.llm import decontaminate, embedding_dedup, language_id, mixing, sentence_dedup, sharding, simhash_dedup, token_counts, tool_calls, toxicity
 from vecloom.llm.tables import table
 
 
@@ -12,6 +12,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_chat_tool_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.linked_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.document_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,5 +48,5 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.document_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_toxicity, op4_token_counts, op5_language_id, op6_embedding_near_dedup, op7_simhash_near_dedup, op8_substring_dedup, op9_mixing_weights, op10_benchmark_decontamination)}
-ORACLE_SQL: dict[str, str] = {"op9_mixing_weights": mixing.mixture_sql()}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_chat_tool_linking, op3_toxicity, op4_token_counts, op5_language_id, op6_embedding_near_dedup, op7_simhash_near_dedup, op8_substring_dedup, op9_mixing_weights, op10_benchmark_decontamination)}
+ORACLE_SQL: dict[str, str] = {"op2_chat_tool_linking": tool_calls.CONVERSATIONS_SQL, "op9_mixing_weights": mixing.mixture_sql()}
