@@ -1 +1,15 @@
 """vecloom: clustering and vector analytics expressed as Spark DataFrame plans."""
+
+from vecloom.operators.agglomerative import AgglomerativeClustering
+from vecloom.operators.density import DBSCAN, HDBSCAN
+from vecloom.operators.embedding import EmbeddingCluster
+from vecloom.operators.hierarchy import HierarchicalSnapshot
+from vecloom.operators.kmeans import CentroidModel, KMeans, MiniBatchKMeans
+from vecloom.operators.metrics import calinski_harabasz_score, davies_bouldin_score, silhouette_score
+from vecloom.operators.reduce import EmbeddingReducer
+from vecloom.operators.snapshot import ClusterSnapshot
+
+__all__ = [
+    "AgglomerativeClustering", "CentroidModel", "ClusterSnapshot", "DBSCAN", "EmbeddingCluster", "EmbeddingReducer", "HDBSCAN",
+    "HierarchicalSnapshot", "KMeans", "MiniBatchKMeans", "calinski_harabasz_score", "davies_bouldin_score", "silhouette_score",
+]
