@@ -158,7 +158,7 @@ class ClusterSnapshot:
                     now = r * (self.d - r * r) / max(1 - r * r, 1e-10)
                     kappa = (now - self.kappas[j]) / abs(self.kappas[j]) if abs(self.kappas[j]) > 1e-30 else 0.0
                     direction = 1 - float(m @ self.directions[j]) / r if r > 0 else 0.0
-            table.append((j, n, float(mean), float(relative), kappa, direction))
+            table.append((j, n, float(mean), float(relative), None if kappa is None else float(kappa), None if direction is None else float(direction)))
         schema = "label long, new_size long, new_mean_distance double, relative_drift double, kappa_drift double, direction_drift double"
         means = F.element_at(F.array(*[F.lit(float(v)) for v in self.fit_mean]), (F.col("label") + 1).cast("int"))
         if self.spherical:
