@@ -66,8 +66,12 @@ def angular(a: Column, b: Column) -> Column:
 def l2_normalize(a: Column) -> Column:
     """Unit vector; unchanged where the squared norm is at most 1e-30."""
     length2 = norm2(a)
-    inverse = 1 / F.sqrt(length2)
-    return F.when(length2 > 1e-30, F.transform(a, lambda x: x * inverse)).otherwise(a)
+    return F.when(length2 > 1e-30, _scaled(a, 1 / F.sqrt(length2))).otherwise(a)
+
+
+def _scaled(a: Column, factor: Column) -> Column:
+    """Every component times a factor; bound as an outer variable, it is computed once, not once a component."""
+    return F.element_at(F.transform(F.array(factor), lambda k: F.transform(a, lambda x: x * k)), 1)
 
 
 def truncate(a: Column, size: int) -> Column:
@@ -124,7 +128,7 @@ def register_sql_functions(spark: SparkSession) -> list[str]:
         "vec_manhattan": (f"a {vec}, b {vec}", "DOUBLE", total.format("zip_with(a, b, (x, y) -> abs(x - y))")),
         "vec_cosine_distance": (f"a {vec}, b {vec}", "DOUBLE", "CASE WHEN vec_norm2(a) * vec_norm2(b) <= 0 THEN 1D ELSE 1 - vec_dot(a, b) / sqrt(vec_norm2(a) * vec_norm2(b)) END"),
         "vec_angular": (f"a {vec}, b {vec}", "DOUBLE", "acos(greatest(-1D, least(1D, vec_dot(a, b))))"),
-        "vec_l2_normalize": (f"a {vec}", vec, "CASE WHEN vec_norm2(a) > 1e-30D THEN transform(a, x -> x * (1 / sqrt(vec_norm2(a)))) ELSE a END"),
+        "vec_l2_normalize": (f"a {vec}", vec, "CASE WHEN vec_norm2(a) > 1e-30D THEN element_at(transform(array(1 / sqrt(vec_norm2(a))), k -> transform(a, x -> x * k)), 1) ELSE a END"),
         "vec_truncate": (f"a {vec}, n INT", vec, "vec_l2_normalize(slice(a, 1, n))"),
     }
     for name, (arguments, kind, body) in bodies.items():
