@@ -6,9 +6,9 @@ cut alike wherever it stands.  Every run of at least ``RUN`` consecutive sentenc
 ``WORDS`` words (the shortest such run from each sentence on) is hashed; runs meet globally by hash, and
 sentences covered by any occurrence but the first (smallest doc_id, then place) are removed.
 
-Scale: hashing is a narrow Arrow map; what is shuffled is one slim row a run (hash, id, place).  The
-first occurrence of each hash is found with a pre-aggregated group-by, so a passage in a third of all
-documents is one row a task; only hashes that repeat are joined back.  Covered places are gathered by
+Scale: hashing is a narrow Arrow map; what is shuffled is one slim row a run (hash, id, place).  Hashes
+are counted and first occurrences found with pre-aggregated group-bys, so a passage in a third of all
+documents is one row a task; only runs that repeat are handled in full.  Covered places are gathered by
 document, whose own size bounds them, and the texts move once, to meet them.
 
 Defined results: null and empty texts stay as they are; words are runs of non-space, compared without
@@ -126,9 +126,11 @@ def run_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def repeated_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, places): the runs of each text that occur before, as arrays of (place, length)."""
     table = materialize(run_table(docs, id_col, text_col), "runs")
-    firsts = table.groupBy("run").agg(F.min(F.struct("key", "place")).alias("first"), F.max(F.struct("key", "place")).alias("last"))
-    repeated = materialize(firsts.where("first <> last").select("run", "first"), "repeated-runs")
-    later = table.join(repeated, "run").where(F.struct("key", "place") != F.col("first"))
+    # most runs occur once: only hashes move to find the others, then only repeated runs in full
+    often = materialize(table.groupBy("run").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("run"), "repeated-hashes")
+    repeated = materialize(table.join(often, "run", "left_semi"), "repeated-runs")
+    firsts = materialize(repeated.groupBy("run").agg(F.min(F.struct("key", "place")).alias("first")), "first-runs")
+    later = repeated.join(firsts, "run").where(F.struct("key", "place") != F.col("first"))
     return later.groupBy("key").agg(F.collect_set(F.struct("place", "length")).alias("places"))
 
 
