@@ -64,6 +64,7 @@ def test_components_against_union_find(spark):
             parent[max(a, b)] = min(a, b)
     got = {r["node"]: r["component"] for r in connected_components(df).collect()}
     assert got == {v: find(v) for v in parent}
+    assert got == {r["node"]: r["component"] for r in connected_components(df, local_edges=10_000).collect()}
     assert connected_components(df.where("false")).collect() == []
 
 

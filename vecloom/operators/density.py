@@ -17,6 +17,9 @@ from vecloom.plans.durable import materialize
 from vecloom.plans.frames import NotFittedError, collect_matrix, feature_frame, validate
 
 
+LOCAL_EDGES = 200_000  # counted core-core pairs up to this are joined in one place
+
+
 class DBSCAN:
     """Density clusters: rows with at least ``min_samples`` rows (themselves included) within ``eps``.
 
@@ -39,7 +42,7 @@ class DBSCAN:
         counts = frame.select("id").join(both.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n")), "id", "left")
         core = materialize(counts.where(F.coalesce("n", F.lit(0)) + 1 >= self.min_samples).select("id"), "core")
         left, right = core.select(F.col("id").alias("src")), core.select(F.col("id").alias("dst"))
-        linked = connected_components(near.join(left, "src").join(right, "dst"))
+        linked = connected_components(near.join(left, "src").join(right, "dst"), local_edges=LOCAL_EDGES)
         member = core.join(linked.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
         numbers = member.select("component").distinct().withColumn("label", (F.row_number().over(Window.orderBy("component")) - 1).cast("long"))
         inside = materialize(member.join(numbers, "component").select("id", "label"), "core-labels")

@@ -1,8 +1,11 @@
 """Connected components by alternating large-star and small-star rounds (Kiveris et al., 2014).
 
-Every round is a handful of joins and pre-aggregated group-bys over the edge table; nothing about
-the graph reaches the driver but two numbers per round (row count and an order-free digest) that
-tell whether the round changed anything.
+Every round is a handful of joins and pre-aggregated group-bys over the edge table.  The table of
+smallest neighbours is written before it is joined, so that the optimizer sees its size: it is
+broadcast where small, and else the join is one whose skewed partitions (hubs) are split.  Nothing
+about the graph reaches the driver but two numbers per round (row count and an order-free digest) that
+tell whether the round changed anything - unless the caller allows up to ``local_edges`` counted edges
+to be joined in one place.
 """
 
 from __future__ import annotations
@@ -10,19 +13,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.plans.durable import materialized
+from vecloom.plans.durable import Materialized, materialized
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame) -> Materialized:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    low = materialized(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+    moved = both.join(low.df, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _written(moved, low)
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+def _small_star(edges: DataFrame) -> Materialized:
+    low = materialized(edges.groupBy("u").agg(F.min("v").alias("m")), "low")
+    moved = edges.join(low.df, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _written(moved.unionByName(low.df.select("u", F.col("m").alias("v"))), low)
+
+
+def _written(edges: DataFrame, used: Materialized) -> Materialized:
+    out = materialized(edges.distinct(), "edges")
+    used.drop()
+    return out
 
 
 def _digest(edges: DataFrame) -> tuple[int, int]:
@@ -30,22 +40,24 @@ def _digest(edges: DataFrame) -> tuple[int, int]:
     return row["n"], row["h"] or 0
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, local_edges: int = 0) -> DataFrame:
     """(node, component) for every node that has an edge; component is the smallest reachable node.
 
     Edges with a null end and self-loops carry no link and are ignored; direction and repeats do
     not matter.  An empty edge table gives an empty result.
     """
-    ordered = edges.where(F.col(src) != F.col(dst)).select(
-        F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")
-    )
+    ordered = edges.where(F.col(src) != F.col(dst)).select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
     current = materialized(ordered.distinct(), "edges")
     seen = _digest(current.df)
+    if 0 < seen[0] <= local_edges:
+        return _joined_here(current.df)
     for _ in range(max_rounds):
         if seen[0] == 0:
             break
-        following = materialized(_small_star(_large_star(current.df)), "edges")
+        spread = _large_star(current.df)
+        following = _small_star(spread.df)
         found = _digest(following.df)
+        spread.drop()
         current.drop()
         current = following
         if found == seen:
@@ -55,3 +67,22 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = current.df.groupBy(F.col("v").alias("node")).agg(F.min("v").alias("component"))
     return current.df.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def _joined_here(edges: DataFrame) -> DataFrame:
+    """The same for a counted, small number of edges."""
+    parent: dict = {}
+
+    def find(v):
+        parent.setdefault(v, v)
+        while parent[v] != v:
+            parent[v] = parent[parent[v]]
+            v = parent[v]
+        return v
+
+    for row in edges.collect():
+        a, b = find(row["u"]), find(row["v"])
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    kind = edges.schema["u"].dataType.simpleString()
+    return edges.sparkSession.createDataFrame([(v, find(v)) for v in parent], f"node {kind}, component {kind}")

@@ -461,7 +461,7 @@ def single_linkage_cut(spark, sf_dir):
     from vecloom.plans.components import connected_components
 
     frame = feature_frame(embeddings(spark, sf_dir))
-    linked = connected_components(range_join(frame, *validate(frame), 1.05)).withColumnRenamed("node", "id")
+    linked = connected_components(range_join(frame, *validate(frame), 1.05), local_edges=200_000).withColumnRenamed("node", "id")
     return frame.select("id").join(linked, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
