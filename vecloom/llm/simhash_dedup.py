@@ -154,7 +154,7 @@ def group_by_fingerprint(prints: DataFrame, radius: int = RADIUS, segments: int
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, segments: int = 3) -> DataFrame:
     """One row per row of ``docs``: id, fingerprint (16 hex digits) and component_id."""
     prints = materialize(with_fingerprint(docs, [F.col(quoted(id_col)).alias("doc_id")], text_col), "doc-fingerprints")
-    groups = group_by_fingerprint(prints, radius, segments)
+    groups = materialize(group_by_fingerprint(prints, radius, segments), "groups")  # its size known, the join can split hot fingerprints
     return prints.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
