@@ -45,21 +45,22 @@ def sentences(text: str) -> list[tuple[int, int, int, int]]:
     found: list[tuple[int, int, int, int]] = []
     for start, end in _spans(text):
         start = start if found else 0  # leading blanks belong to the first sentence
-        words = [(m.start(), m.end()) for m in WORD.finditer(text, start, end)]
+        words = text[start:end].lower().split()
         if not words:
             if found:  # blank: belongs to the sentence before
                 a, _, n, h = found[-1]
                 found[-1] = (a, end, n, h)
             continue
-        lowered = [text[a:b].lower().encode("utf-8", "replace") for a, b in words]
         if len(words) <= LONG:
-            found.append((start, end, len(words), xxhash.xxh64_intdigest(b" ".join(lowered), 3)))
+            found.append((start, end, len(words), xxhash.xxh64_intdigest(" ".join(words).encode("utf-8", "replace"), 3)))
             continue
+        lowered = [w.encode("utf-8", "replace") for w in words]
+        starts = [m.start() for m in WORD.finditer(text, start, end)]
         first, at = 0, start
         for k, word in enumerate(lowered):
-            last = k == len(words) - 1
+            last = k == len(lowered) - 1
             if last or xxhash.xxh32_intdigest(word, 5) % 6 == 0:
-                stop = end if last else words[k + 1][0]
+                stop = end if last else starts[k + 1]
                 found.append((at, stop, k + 1 - first, xxhash.xxh64_intdigest(b" ".join(lowered[first : k + 1]), 3)))
                 first, at = k + 1, stop
     return found
