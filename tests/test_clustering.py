@@ -197,6 +197,7 @@ def test_embedding_cluster_and_vmf(spark, reduction):
     assert same_partition(labels(model.labels_), truth)
     assert np.allclose(np.linalg.norm(model.cluster_centers_, axis=1), 1) and (model.intra_similarity_ > 0.8).all()
     assert sorted(r["label"] for r in model.representatives_.collect()) == [0, 1, 2]
+    assert model.telemetry_.where("run = 0").count() >= 2
     model.refine_vmf(max_iter=10)
     p = np.array([r["probabilities"] for r in model.soft_assign().orderBy("id").collect()])
     assert np.allclose(p.sum(1), 1) and same_partition(p.argmax(1), truth) and (model.concentrations_ > 1).all() and np.isfinite(model.bic_)

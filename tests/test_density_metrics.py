@@ -200,6 +200,9 @@ def test_quality_edges(spark):
     same = spark.createDataFrame([(i, i % 2, "ab"[i % 2]) for i in range(10)], "id long, label long, truth string")
     assert M.purity(same).first()[0] == 1 and M.nmi(same).first()[0] == pytest.approx(1) and M.ari(same).first()[0] == 1
     assert M.label_agreement(same, "label", "truth") == 1.0
+    table = spark.createDataFrame([(0, 0)] * 5 + [(0, 1)] * 4 + [(1, 0)] * 4, "label long, truth long")
+    assert M.label_agreement(table, "label", "truth") == pytest.approx(8 / 13)
+    assert M.label_agreement(table, "label", "truth", exact_up_to=1) == pytest.approx(5 / 13)
 
 
 def test_sources_round_trip(spark, tmp_path):

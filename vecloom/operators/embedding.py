@@ -59,14 +59,17 @@ class EmbeddingCluster(_Clusterer):
             starts = [plus_plus(sample, self.n_clusters, np.random.default_rng(self.random_state + i), "dot") for i in range(self.n_init)]
         else:
             starts = [normalized(s) for s in self._starts(rows, [self.random_state])]
+        log: list = []
         if self.algorithm == "minibatch":
             runs = [self._minibatch(rows, s) for s in starts]
         else:
-            runs = lloyd(rows, starts, "dot", self.max_iter, self.tol, spherical=True)
+            runs = lloyd(rows, starts, "dot", self.max_iter, self.tol, spherical=True, log=log)
         centres, cost, rounds = runs[min(range(len(runs)), key=lambda i: (runs[i][1], i))]
         self.model = CentroidModel(centres, cost, rounds, "dot", "embedding", "features", "id")
         self.model._fitted_on = self.reduced_data_
         self.objective_ = -cost
+        kind = "run long, iteration long, objective double, relative_change double, shift double, milliseconds double"
+        self.telemetry_ = frame.sparkSession.createDataFrame([(r, i, -c, rel, s, ms) for r, i, c, rel, s, ms in log], kind)
         self.intra_similarity_, self.resultant_lengths_ = self._evaluate()
         self.probabilities_ = self.concentrations_ = self.bic_ = None
         return self

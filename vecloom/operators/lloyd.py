@@ -8,6 +8,8 @@ first) are worked on in place with the same kernel.
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -155,9 +157,13 @@ def plus_plus(x: np.ndarray, k: int, rng: np.random.Generator, metric: str) -> n
     return x[chosen].copy()
 
 
-def lloyd(rows, starts: list[np.ndarray], metric: str, max_iter: int, tol: float, spherical: bool = False):
+def lloyd(rows, starts: list[np.ndarray], metric: str, max_iter: int, tol: float, spherical: bool = False, log: list | None = None):
     """Per restart (centroids, cost of the last assignment, rounds): the assignment counted is the one
-    made before the last update.  A restart stops when its largest centroid shift falls below ``tol``."""
+    made before the last update.  A restart stops when its largest centroid shift falls below ``tol``;
+    on the sphere, when cost and shift have been steady for two rounds.
+
+    ``log`` receives (run, round, cost, relative change, shift, milliseconds) of every round.
+    """
     runs = [np.array(s, dtype=np.float64) for s in starts]
     active = [True] * len(runs)
     cost, rounds = [np.inf] * len(runs), [0] * len(runs)
@@ -165,6 +171,7 @@ def lloyd(rows, starts: list[np.ndarray], metric: str, max_iter: int, tol: float
     for _ in range(max_iter):
         if not any(active):
             break
+        began = time.perf_counter()
         found = rows.round([c if a else None for c, a in zip(runs, active)], metric)
         for r, c in enumerate(runs):
             if not active[r]:
@@ -182,6 +189,9 @@ def lloyd(rows, starts: list[np.ndarray], metric: str, max_iter: int, tol: float
                 new = normalized(new)
             shift = max(nearest_two(new[j : j + 1], c[j : j + 1], "euclidean" if spherical else metric)[1][0] for j in range(len(c)))
             runs[r] = new
+            if log is not None:
+                change = abs(cost[r] - before) / max(abs(before), 1e-30) if np.isfinite(before) else float("inf")
+                log.append((r, rounds[r], float(cost[r]), float(change), float(shift), 1000 * (time.perf_counter() - began)))
             if spherical:
                 settled = np.isfinite(before) and abs(cost[r] - before) <= 1e-4 * max(abs(before), 1e-30) and shift < max(tol, 1e-5)
                 calm[r] = calm[r] + 1 if settled else 0

@@ -206,16 +206,35 @@ def ari(df: DataFrame, label: str = "label", truth: str = "truth") -> DataFrame:
     return both.select(F.when(largest == expected, 1.0).otherwise((F.col("j") - expected) / (largest - expected)).alias("ari"))
 
 
-def label_agreement(df: DataFrame, left: str, right: str) -> float:
-    """Share of rows on which two labellings agree under a greedy one-to-one matching of labels."""
-    table = sorted(contingency(df, left, right).collect(), key=lambda r: (-r["n"], str(r["label"]), str(r["truth"])))
+def label_agreement(df: DataFrame, left: str, right: str, exact_up_to: int = 10) -> float:
+    """Share of rows on which two labellings agree under a one-to-one matching of labels.
+
+    The best matching where neither side has more than ``exact_up_to`` labels, else a greedy one by
+    falling counts.  Only the table of label pairs reaches the driver.
+    """
+    table = contingency(df, left, right).collect()
+    total = max(1, sum(r["n"] for r in table))
+    rows, columns = (sorted({r[c] for r in table}, key=lambda v: (v is None, str(v))) for c in ("label", "truth"))
+    if max(len(rows), len(columns)) <= exact_up_to:
+        count = {(r["label"], r["truth"]): r["n"] for r in table}
+        best = {0: 0}  # most agreeing rows by the set of columns already used
+        for row in rows:
+            following = dict(best)
+            for used, n in best.items():
+                for k, column in enumerate(columns):
+                    if not used >> k & 1:
+                        now = n + count.get((row, column), 0)
+                        if now > following.get(used | 1 << k, -1):
+                            following[used | 1 << k] = now
+            best = following
+        return max(best.values()) / total
     used_l, used_r, agreed = set(), set(), 0
-    for r in table:
+    for r in sorted(table, key=lambda r: (-r["n"], str(r["label"]), str(r["truth"]))):
         if r["label"] not in used_l and r["truth"] not in used_r:
             used_l.add(r["label"])
             used_r.add(r["truth"])
             agreed += r["n"]
-    return agreed / max(1, sum(r["n"] for r in table))
+    return agreed / total
 
 
 def top_clusters(df: DataFrame, limit: int = 10, label: str = "label", truth: str = "truth") -> DataFrame:
