@@ -16,21 +16,22 @@ from pyspark.sql import functions as F
 from vecloom.plans.durable import Materialized, materialized
 
 
-def _large_star(edges: DataFrame) -> Materialized:
+def _large_star(edges: DataFrame, rows: int) -> Materialized:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = materialized(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+    low = materialized(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low", 2 * rows)
     moved = both.join(low.df, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return _written(moved, low)
+    return _written(moved, low, rows)
 
 
-def _small_star(edges: DataFrame) -> Materialized:
-    low = materialized(edges.groupBy("u").agg(F.min("v").alias("m")), "low")
+def _small_star(edges: DataFrame, rows: int) -> Materialized:
+    low = materialized(edges.groupBy("u").agg(F.min("v").alias("m")), "low", rows)
     moved = edges.join(low.df, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return _written(moved.unionByName(low.df.select("u", F.col("m").alias("v"))), low)
+    return _written(moved.unionByName(low.df.select("u", F.col("m").alias("v"))), low, rows)
 
 
-def _written(edges: DataFrame, used: Materialized) -> Materialized:
-    out = materialized(edges.distinct(), "edges")
+def _written(edges: DataFrame, used: Materialized, rows: int) -> Materialized:
+    """No star has more edges than it was made from, so ``rows`` bounds the files needed."""
+    out = materialized(edges.distinct(), "edges", rows)
     used.drop()
     return out
 
@@ -54,8 +55,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     for _ in range(max_rounds):
         if seen[0] == 0:
             break
-        spread = _large_star(current.df)
-        following = _small_star(spread.df)
+        spread = _large_star(current.df, seen[0])
+        following = _small_star(spread.df, seen[0])
         found = _digest(following.df)
         spread.drop()
         current.drop()

@@ -13,6 +13,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+ROWS_PER_FILE = 200_000
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; one of our own only where that is unset.
 
@@ -48,8 +51,11 @@ class Materialized:
         _delete(self.spark, self.path)
 
 
-def materialized(df: DataFrame, label: str = "table") -> Materialized:
+def materialized(df: DataFrame, label: str = "table", rows: int | None = None) -> Materialized:
+    """Write ``df``; where a bound of its ``rows`` is known, into no more files than they need."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(1 + rows // ROWS_PER_FILE)
     path = f"{checkpoint_root(spark)}/vecloom/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return Materialized(spark, path, df.schema)
