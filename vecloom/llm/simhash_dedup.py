@@ -140,7 +140,7 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS, segments: int = 3
 def group_by_fingerprint(prints: DataFrame, radius: int = RADIUS, segments: int = 3, order: str = "doc_id") -> DataFrame:
     """(fp, component_id): for each different fingerprint, the smallest ``order`` its component holds."""
     nodes = materialize(prints.groupBy("fp").agg(F.min(order).alias("first_id")), "fingerprints")
-    linked = materialize(connected_components(fingerprint_links(nodes.select("fp"), radius, segments)), "linked")
+    linked = connected_components(fingerprint_links(nodes.select("fp"), radius, segments))  # a written table
     low = (
         linked.join(nodes, linked.node == nodes.fp)
         .groupBy("component")
