@@ -61,6 +61,6 @@ def materialized(df: DataFrame, label: str = "table", rows: int | None = None) -
     return Materialized(spark, path, df.schema)
 
 
-def materialize(df: DataFrame, label: str = "table") -> DataFrame:
+def materialize(df: DataFrame, label: str = "table", rows: int | None = None) -> DataFrame:
     """Write ``df`` once below the checkpoint folder and return a scan of what was written."""
-    return materialized(df, label).df
+    return materialized(df, label, rows).df
