@@ -92,15 +92,15 @@ def _weight(dims) -> Column:
 def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS) -> DataFrame:
     """Cells with ``weight``, a share of all: the last marginal meets its targets exactly, the others
     as closely as ``sweeps`` sweeps bring them."""
-    dims = list(targets)
-    targets = {dim: materialize(t, "targets") for dim, t in targets.items()}
+    dims, most = list(targets), cells.count()  # no marginal has more values than there are cells
+    targets = {dim: materialize(t, "targets", most) for dim, t in targets.items()}
     factors = {dim: t.select(dim, F.lit(1.0).alias("factor")) for dim, t in targets.items()}
     for _ in range(sweeps):
         for dim in dims:
             others = [d for d in dims if d != dim]
             held = _joined(cells, {d: factors[d] for d in others}).groupBy(dim).agg(F.sum(_weight(others)).alias("held"))
             table = held.join(targets[dim].withColumnRenamed(dim, "v"), F.col(dim).eqNullSafe(F.col("v"))).drop("v")
-            factors[dim] = materialize(table.select(dim, F.when(F.col("held") > 0, F.col("target") / F.col("held")).otherwise(0.0).alias("factor")), "factors")
+            factors[dim] = materialize(table.select(dim, F.when(F.col("held") > 0, F.col("target") / F.col("held")).otherwise(0.0).alias("factor")), "factors", most)
     return _joined(cells, factors).withColumn("weight", _weight(dims)).drop(*[f"f_{d}" for d in dims])
 
 
