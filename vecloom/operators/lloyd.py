@@ -19,6 +19,7 @@ from vecloom.operators.assign import nearest_two, normalized
 from vecloom.plans.durable import materialize
 from vecloom.plans.frames import LOCAL_BYTES, collect_matrix, matrix_of
 
+PREFETCH_BYTES = 32 << 20
 _PARTIAL = "run long, cid long, n long, total array<double>, cost double, far double, far_vector array<double>, moved long"
 
 
@@ -81,6 +82,7 @@ class SparkRows:
 
     def __init__(self, frame: DataFrame, n: int, d: int):
         self.frame, self.n, self.d = materialize(frame, "features"), n, d
+        self.drawn: list[np.ndarray] = []  # batches already drawn
 
     def round(self, runs, metric):
         shared = self.frame.sparkSession.sparkContext.broadcast(runs)
@@ -113,10 +115,18 @@ class SparkRows:
         return matrix_of(self.frame.orderBy("id").limit(k).toArrow().column("features").combine_chunks())
 
     def batch(self, size: int, seed: int) -> np.ndarray:
-        share = min(1.0, 1.3 * size / self.n + 20 / self.n)
-        key = F.xxhash64("id", F.lit(seed))
-        rows = self.frame.where(F.shiftrightunsigned(key, 11) / F.lit(float(1 << 53)) < share).orderBy(key).limit(size)
-        return matrix_of(rows.toArrow().column("features").combine_chunks())
+        """``size`` rows at random; one pass over the data draws the batches of many rounds, as far as
+        ``PREFETCH_BYTES`` hold them."""
+        if not self.drawn:
+            rounds = max(1, min(32, PREFETCH_BYTES // max(1, size * self.d * 8)))
+            key = F.xxhash64("id", F.lit(seed))
+            share = min(1.0, (1.3 * size * rounds + 20) / self.n)
+            some = self.frame.where(F.shiftrightunsigned(key, 11) / F.lit(float(1 << 53)) < share).orderBy(key).limit(size * rounds)
+            x = matrix_of(some.toArrow().column("features").combine_chunks())
+            self.drawn = [x[s : s + size] for s in range(0, len(x), size)]
+            if len(self.drawn) > 1 and len(self.drawn[-1]) < size:
+                self.drawn.pop()
+        return self.drawn.pop()
 
 
 def _batch(held: dict) -> pa.RecordBatch:
