@@ -1,0 +1,50 @@
+"""Conversations over more turns than a written part holds."""
+
+import json
+import random
+
+from vecloom.llm import tool_calls as C
+
+SCHEMAS = {"add": {"type": "object"}}
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+
+
+def call(*calls):
+    return json.dumps({"tool_calls": [{"id": i, "name": "add", "arguments": {}, "after": list(f)} for i, f in calls]})
+
+
+def test_links_across_parts(spark):
+    rows = [
+        (1, 999, "assistant", call(("a", []))), (1, 1000, "tool", json.dumps({"tool_call_id": "a", "content": "yes"})), (1, 2500, "assistant", call(("a", []), ("z", ["a"]))),
+        (2, 998, "user", "one"), (2, 1000, "user", "two"), (2, 3001, "assistant", "answer"), (2, 3002, "user", "three"),
+        (3, 5, "assistant", "unasked"), (3, 1005, "tool", json.dumps({"tool_call_id": "lost", "content": "x"})),
+    ]
+    out = {(r.conv, r.part): r for r in C.linked_conversations(frame(spark, rows), SCHEMAS).collect()}
+    chat = {k: json.loads(r.chat) for k, r in out.items()}
+    assert set(out) == {("1", 0), ("1", 1), ("1", 2), ("2", 0), ("2", 1), ("2", 3), ("3", 0), ("3", 1)}
+    assert chat["1", 0]["calls"][0]["results"] == ["yes"] and out["1", 1].n_orphans == 0 and out["1", 0].n_linked == 1
+    assert "duplicate id" in chat["1", 2]["calls"][0]["errors"] and chat["1", 2]["calls"][1]["errors"] == []
+    out = {(r.conv, r.part): r for r in C.linked_conversations(frame(spark, rows)).collect()}
+    chat = {k: json.loads(r.chat) for k, r in out.items()}
+    assert chat["2", 1]["calls"][0]["after"] == ["2:998"] and chat["2", 1]["calls"][0]["results"] == ["answer"]
+    assert chat["2", 3]["calls"][0]["after"] == ["2:1000"] and out["2", 3].n_orphans == 0
+    assert chat["3", 0]["orphans"] == [{"content": "unasked", "id": None}] and chat["3", 1]["orphans"] == [{"content": "x", "id": "lost"}]
+
+
+def test_order_is_that_of_the_whole_conversation(spark):
+    rng = random.Random(4)
+    rows, want, stuck = [], {}, {}
+    for conv in range(40):
+        n = rng.randint(2, 12)
+        calls = [{"id": f"c{k}", "turn": rng.randint(0, 3500), "raw": "{}", "after": [f"c{rng.randrange(n)}" for _ in range(rng.choice([0, 0, 1, 2]))]} for k in range(n)]
+        rows += [(conv, c["turn"], "assistant", call((c["id"], c["after"]))) for c in calls]
+        sequence, stuck[str(conv)] = C.ordered(sorted(calls, key=lambda c: (c["turn"], c["id"])))
+        want[str(conv)] = [c["id"] for c in sequence]
+    got, cyclic = {}, dict.fromkeys(want, 0)
+    for r in sorted(C.linked_conversations(frame(spark, rows), SCHEMAS).collect(), key=lambda r: (r.conv, r.part)):
+        got.setdefault(r.conv, []).extend(c["id"] for c in json.loads(r.chat)["calls"])
+        cyclic[r.conv] += r.n_cyclic
+    assert got == want and cyclic == stuck and any(stuck.values())

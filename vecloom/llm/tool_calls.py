@@ -4,13 +4,20 @@ Messages become events: a text that is a JSON object with ``tool_calls`` ([{id,
 after}]) brings calls, one with ``tool_call_id`` and ``content`` a result, anything else is plain.  In
 tables without tool calls every user turn is a call of the tool ``respond`` that follows the call
 before it, and an assistant turn is a result of the last user turn before it.  Calls and results meet
-in a hash join by (conversation, part, identifier); the calls of a conversation are ordered so that
-each follows those it names in ``after`` (smallest turn, then id, first); arguments are checked
-against JSON schemas; and the conversation is written as canonical JSON: keys sorted, no spaces, UTF-8.
+in a hash join by (conversation, identifier); the calls of a conversation are ordered so that each
+follows those it names in ``after`` (smallest turn, then id, first); arguments are checked against JSON
+schemas; and the conversation is written as canonical JSON: keys sorted, no spaces, UTF-8.
+
+Linking, duplicates, asked turns and order hold over the whole conversation.  Only what is written is
+split, into a row for every ``PART`` turns: messages and orphans by their own turn, a call with all
+its results by its turn, or, where it comes after a call of a later part, with that part, so that
+the parts one after another give the order of the conversation.
 
 Scale: repeated messages are collapsed by a pre-aggregated distinct; linking is one shuffled join and
-one group-by on the conversation.  A conversation is cut into parts of ``PART`` turns, so no group
-grows without bound; identifiers link within a part.  Serialising is a narrow Arrow map over parts.
+one group-by on the part.  User turns before a part come from one row a part.  The calls of a
+conversation (turn, id, ``after``) meet in one task only where it has several parts and a call that
+names one of higher rank in ``after``; all others are in order by turn and id.  Serialising is a
+narrow Arrow map over parts.
 
 Defined results: rows equal in all four columns count once; messages without a conv_id are each a
 conversation of their own; null turns count as turn 0, null texts as empty; of several calls with one
@@ -165,8 +172,13 @@ def events(messages: DataFrame) -> DataFrame:
     # plain user turns call "respond"; plain assistant turns answer the last user turn before them
     before = Window.partitionBy("conv", "part").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     is_call, is_answer = F.col("kind") == "user turn", F.col("kind") == "assistant turn"
-    asked = F.concat("conv", F.lit(":"), F.max(F.when(is_call, F.col("turn"))).over(before).cast("string"))
-    linked = found.withColumn("asked", asked)
+    found = materialize(found.withColumn("last", F.max(F.when(is_call, F.col("turn"))).over(before)), "turns")
+    # the last user turn of all parts before, one row a part
+    sums = found.groupBy("conv", "part").agg(F.max(F.when(is_call, F.col("turn"))).alias("own"))
+    ahead = Window.partitionBy("conv").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = materialize(sums.withColumn("earlier", F.max("own").over(ahead)).where("earlier is not null").select("conv", "part", "earlier"), "earlier-turns")
+    met = found.join(earlier, ["conv", "part"], "left")
+    linked = met.withColumn("asked", F.concat("conv", F.lit(":"), F.coalesce("last", "earlier").cast("string")))
     prompt = F.to_json(F.struct(F.col("content").alias("prompt"), "turn"))
     return linked.select(
         "conv",
@@ -182,26 +194,65 @@ def events(messages: DataFrame) -> DataFrame:
     )
 
 
+_ENTRY = {"turn": "long", "call_id": "string", "name": "string", "arguments": "string", "after": "array<string>", "results": "array<string>", "copy": "int", "role": "string", "content": "string", "position": "long", "stuck": "boolean"}
+
+
+def _entry(**given):
+    """What a part lists of a call, an orphan or a message; fields that are not given are null."""
+    value = lambda k: F.col(given[k]) if isinstance(given[k], str) else given[k]
+    return F.struct(*[(value(k) if k in given else F.lit(None)).cast(kind).alias(k) for k, kind in _ENTRY.items()])
+
+
+def positions(all_events: DataFrame, calls: DataFrame) -> DataFrame:
+    """(conv, call_id, copy, position, stuck, shown): the order over all parts, and the part that shows
+    the call, of conversations of several parts in which a call names one of higher rank in ``after``."""
+    several = all_events.groupBy("conv").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("conv")
+    several = materialize(several, "long-conversations")
+    calls = calls.join(several, "conv", "left_semi")
+    rank = F.struct("turn", "call_id", "copy")
+    waits = calls.select("conv", rank.alias("own"), F.explode("after").alias("call_id"))
+    heads = calls.where("copy = 1").select("conv", "call_id", rank.alias("head"))
+    tangled = materialize(waits.join(heads, ["conv", "call_id"]).where("head > own").select("conv").distinct(), "tangled")
+    whole = calls.join(tangled, "conv", "left_semi").groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("turn", "call_id", "copy", "after", "part"))).alias("calls"))
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.bool_(), pa.int64()]
+    names = ["conv", "call_id", "copy", "position", "stuck", "shown"]
+
+    def scan(batches):
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                # "raw" is left equal: calls of one turn and id stay in the order of their copies
+                sequence, cyclic = ordered([{"id": c["call_id"], "turn": c["turn"], "raw": "", "after": c["after"] or [], "copy": c["copy"], "part": c["part"]} for c in r["calls"]])
+                shown = sequence[0]["part"]
+                for k, c in enumerate(sequence):
+                    shown = max(shown, c["part"])
+                    rows.append((r["conv"], c["id"], c["copy"], k, k >= len(sequence) - cyclic, shown))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+
+    return materialize(whole.mapInArrow(scan, "conv string, call_id string, copy int, position long, stuck boolean, shown long"), "positions")
+
+
 def linked_conversations(messages: DataFrame, schemas: dict | None = None) -> DataFrame:
     """conv, part, counts and the canonical JSON of every conversation part."""
     schemas = SCHEMAS if schemas is None else schemas
-    all_events = materialize(events(messages), "events")  # read three times below
-    keys = ["conv", "part", "call_id"]
-    results = all_events.where("kind = 'result'").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("turn", "content"))).alias("results"))
+    all_events = materialize(events(messages), "events")  # read several times below
+    keys = ["conv", "call_id"]
+    results = all_events.where("kind = 'result'")
+    answers = results.where("call_id is not null").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("turn", "content", "part"))).alias("results"))
     calls = all_events.where("kind = 'call'")
     first = Window.partitionBy(*keys).orderBy("turn", "arguments", "name", "after")
     calls = calls.withColumn("copy", F.row_number().over(first))
-    met = calls.hint("shuffle_hash").join(results.withColumn("copy", F.lit(1)), [*keys, "copy"], "full_outer")
-    entry = F.struct(
-        F.coalesce("turn", F.lit(-1)).alias("turn"), F.col("call_id"), F.col("name"), F.col("arguments"), F.col("after"), F.transform("results", lambda r: r["content"]).alias("results"), F.col("copy"),
-        F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("content"),
-    )
-    plain = all_events.where("kind = 'message'").select(
-        "conv", "part",
-        F.struct("turn", F.lit(None).cast("string").alias("call_id"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("arguments"), F.lit(None).cast("array<string>").alias("after"),
-                 F.lit(None).cast("array<string>").alias("results"), F.lit(0).alias("copy"), "role", "content").alias("entry"),
-    )
-    entries = met.select("conv", "part", entry.alias("entry")).unionByName(plain)
+    met = calls.hint("shuffle_hash").join(answers.withColumn("copy", F.lit(1)), [*keys, "copy"], "full_outer")
+    met = met.join(positions(all_events, calls), [*keys, "copy"], "left")
+    call = _entry(turn="turn", call_id="call_id", name="name", arguments="arguments", after="after", results=F.transform("results", lambda r: r["content"]), copy="copy", position="position", stuck="stuck")
+    lost = lambda r: F.struct(r["part"].alias("part"), _entry(turn=r["turn"], call_id="call_id", results=F.array(r["content"]), copy=F.lit(1)).alias("entry"))
+    placed = F.array(F.struct(F.coalesce("shown", "part").alias("part"), call.alias("entry")))
+    linked = met.select("conv", F.inline(F.when(F.col("name").isNull(), F.transform("results", lost)).otherwise(placed)))
+    unasked = results.where("call_id is null").select("conv", "part", _entry(turn="turn", results=F.array("content"), copy=F.lit(1)).alias("entry"))
+    plain = all_events.where("kind = 'message'").select("conv", "part", _entry(turn="turn", copy=F.lit(0), role="role", content="content").alias("entry"))
+    # a part whose results all went to calls of another part is still a row
+    there = results.select("conv", "part").distinct().select("conv", "part", _entry(copy=F.lit(-1)).alias("entry"))
+    entries = linked.unionByName(unasked).unionByName(plain).unionByName(there)
     whole = entries.groupBy("conv", "part").agg(F.sort_array(F.collect_list("entry")).alias("entries"))
 
     def scan(batches):
@@ -219,11 +270,15 @@ def serialised(conv: str, part: int, entries: list[dict], schemas: dict) -> tupl
     for e in entries:
         if e["copy"] == 0:
             plain.append({"role": e["role"], "text": e["content"]})
-        elif e["name"] is None:
-            orphans += [{"id": e["call_id"], "content": c} for c in e["results"]]
-        else:
+        elif e["copy"] > 0 and e["name"] is None:
+            orphans.append((e["call_id"] is not None, e["call_id"] or "", e["turn"], e["results"][0]))
+        elif e["copy"] > 0:
             calls.append(_call(e, schemas))
-    sequence, cyclic = ordered(calls)
+    orphans = [{"id": i if known else None, "content": c} for known, i, _, c in sorted(orphans)]
+    if calls and calls[0]["position"] is not None:  # ordered over the whole conversation
+        sequence, cyclic = sorted(calls, key=lambda c: c["position"]), sum(c["stuck"] for c in calls)
+    else:
+        sequence, cyclic = ordered(calls)
     linked, invalid = sum(bool(c["results"]) for c in calls), sum(bool(c["errors"]) for c in calls)
     shown = [{k: c[k] for k in ("id", "name", "arguments", "after", "errors", "results")} for c in sequence]
     chat = canonical({"conversation": conv, "part": part, "messages": plain, "calls": shown, "orphans": orphans})
@@ -243,7 +298,7 @@ def _call(e: dict, schemas: dict) -> dict:
         errors.append("unknown tool")
     elif not errors or errors == ["duplicate id"]:
         errors += violations(arguments, schemas[e["name"]])
-    return {"turn": e["turn"], "id": e["call_id"], "name": e["name"], "arguments": arguments, "raw": e["arguments"], "after": sorted(set(e["after"] or [])), "errors": errors, "results": e["results"] or []}
+    return {"turn": e["turn"], "id": e["call_id"], "name": e["name"], "arguments": arguments, "raw": e["arguments"], "after": sorted(set(e["after"] or [])), "errors": errors, "results": e["results"] or [], "position": e["position"], "stuck": e["stuck"]}
 
 
 #: The same rows in DuckDB SQL over ``conversations`` where no text is JSON and no user turn repeats.
