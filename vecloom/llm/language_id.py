@@ -2,8 +2,8 @@
 
 A text is the unit vector of square roots of its hashed byte-trigram frequencies (whole text, letters
 only).  One linear SVM a family (one against the rest) picks the family; within it a linear SVM for
-every pair of its languages votes, and calibrated pair probabilities give P(language | family).  The
-score is P(family) * P(language | family).
+every pair of its languages votes.  The score is P(family) times the least calibrated probability of
+the chosen language in its pairs, which does not shrink with the number of languages in the family.
 
 Learning uses only text and non-null lang of rows whose crc32(doc_id as text) mod 4 is not 2, of which
 a bounded sample is taken: at most ``per_language`` rows a language and ``max_rows`` in all, by the
@@ -82,6 +82,7 @@ class LanguageModel:
             mine = chosen == f
             votes = np.zeros((len(texts), len(languages)))
             belief = np.zeros((len(texts), len(languages)))
+            least = np.ones((len(texts), len(languages)))
             for a, b in combinations(range(len(languages)), 2):
                 first = p[:, at]
                 at += 1
@@ -89,12 +90,11 @@ class LanguageModel:
                 votes[:, b] += first < 0.5
                 belief[:, a] += first
                 belief[:, b] += 1 - first
-            if len(languages) == 1:
-                belief[:] = 1
+                least[:, a] = np.minimum(least[:, a], first)
+                least[:, b] = np.minimum(least[:, b], 1 - first)
             best = (votes + belief / (2 * len(languages))).argmax(axis=1)
-            share = belief / belief.sum(axis=1, keepdims=True)
             labels[mine] = np.array(languages, dtype=object)[best[mine]]
-            score[mine] = (family[:, f] * share[np.arange(len(texts)), best])[mine]
+            score[mine] = (family[:, f] * least[np.arange(len(texts)), best])[mine]
         labels[~spoken], score[~spoken] = UNKNOWN, 0.0
         return labels.tolist(), np.round(np.clip(score, 0, 1), 6)
 
