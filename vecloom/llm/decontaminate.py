@@ -5,10 +5,11 @@ slide over a document; a window's SimHash is looked up in a multi-index table of
 length (the fingerprint is cut into ``BLOCKS`` blocks; for every item each block's whole Hamming ball of
 radius ``RADIUS // BLOCKS`` is stored, so by the pigeonhole principle every item within ``RADIUS`` bits
 is found), and each candidate is verified by the exact weighted Jaccard similarity of the two shingle
-multisets, 0.8 or more.
+multisets, 0.8 or more.  A text shorter than an item is itself the one window for it.
 
 A window can only reach 0.8 if at least 8/9 of as many shingles as it has are the item's, so windows
-with fewer shingles of any benchmark item of that length are not fingerprinted; this drops no match.
+with fewer shingles of any benchmark item of that length are not fingerprinted, and of a shorter text
+as many as 4/9 of its own and the item's shingles together; this drops no match.
 
 Scale: one narrow pass over the documents, no shuffle; what is broadcast is the benchmark, in blocks
 of at most ``max_items`` items and ``max_bytes`` bytes whose number follows the benchmark's counted
@@ -115,7 +116,8 @@ class WindowIndex:
 
     def matches(self, codes: np.ndarray, similarity: float):
         """(item id, first word, similarity) of each window that verifies."""
-        if len(codes) < self.count:
+        size = min(self.count, len(codes))  # a text shorter than the item is its own window
+        if size < similarity * self.count - 1e-9:
             return
         at = np.searchsorted(self.known, codes)
         at[at == len(self.known)] = 0
@@ -123,10 +125,10 @@ class WindowIndex:
         if not hit.any():
             return
         run = np.concatenate([[0], np.cumsum(hit)])
-        held = run[self.count :] - run[: -self.count]
-        least = int(np.ceil(2 * similarity / (1 + similarity) * self.count - 1e-9))
+        held = run[size:] - run[:-size]
+        least = int(np.ceil(similarity / (1 + similarity) * (size + self.count) - 1e-9))
         for start in np.nonzero(held >= least)[0]:
-            window = codes[start : start + self.count]
+            window = codes[start : start + size]
             near = self.within_radius(simhash(window))
             if near:
                 own = Counter(window.tolist())
@@ -179,7 +181,7 @@ class Benchmark:
                 if index.shingle == size:
                     for item, start, value in index.matches(codes, self.similarity):
                         if value > best.get(item, (0.0,))[0]:
-                            best[item] = (value, start, index.length)
+                            best[item] = (value, start, min(index.length, len(ids)))
         return best
 
 
