@@ -2,9 +2,11 @@
 
 A text is cut into sentences (at sentence marks followed by space, and at line ends); sentences of more
 than ``LONG`` words are cut further at places their own words choose, so that a repeated passage is
-cut alike wherever it stands.  Every run of at least ``RUN`` consecutive sentences with at least
-``WORDS`` words (the shortest such run from each sentence on) is hashed; runs meet globally by hash, and
-sentences covered by any occurrence but the first (smallest doc_id, then place) are removed.
+cut alike wherever it stands: after the word of the smallest hash of every ``NEAR`` words in a row, so
+never more than ``NEAR`` words apart.  Of the runs of at least ``RUN`` consecutive sentences with at
+least ``WORDS`` words the shortest from each sentence on and the shortest up to each sentence are
+hashed; together they cover every longer one.  Runs meet globally by hash, and sentences covered by any
+occurrence but the first (smallest doc_id, then place) are removed.
 
 Scale: hashing is a narrow Arrow map; what is shuffled is one slim row a run (hash, id, place).  Hashes
 are counted and first occurrences found with pre-aggregated group-bys, so a passage in a third of all
@@ -34,13 +36,14 @@ from vecloom.plans.durable import materialize
 RUN = 3
 WORDS = 20
 LONG = 12
+NEAR = 11
 WORD = re.compile(r"\S+")
 
 
 def sentences(text: str) -> list[tuple[int, int, int, int]]:
     """(start, end, words, hash) of each sentence; the spans cover the text without gaps.
 
-    A sentence longer than LONG words ends after a word whose hash is 0 mod 6 as well.
+    A sentence longer than LONG words is cut at its ``cuts`` as well.
     """
     found: list[tuple[int, int, int, int]] = []
     for start, end in _spans(text):
@@ -56,13 +59,28 @@ def sentences(text: str) -> list[tuple[int, int, int, int]]:
             continue
         lowered = [w.encode("utf-8", "replace") for w in words]
         starts = [m.start() for m in WORD.finditer(text, start, end)]
-        first, at = 0, start
-        for k, word in enumerate(lowered):
-            last = k == len(lowered) - 1
-            if last or xxhash.xxh32_intdigest(word, 5) % 6 == 0:
-                stop = end if last else starts[k + 1]
-                found.append((at, stop, k + 1 - first, xxhash.xxh64_intdigest(b" ".join(lowered[first : k + 1]), 3)))
-                first, at = k + 1, stop
+        first, at, last = 0, start, len(lowered) - 1
+        for k in cuts([xxhash.xxh32_intdigest(w, 5) for w in lowered]):
+            if k != last:
+                found.append((at, starts[k + 1], k + 1 - first, xxhash.xxh64_intdigest(b" ".join(lowered[first : k + 1]), 3)))
+                first, at = k + 1, starts[k + 1]
+        found.append((at, end, last + 1 - first, xxhash.xxh64_intdigest(b" ".join(lowered[first:]), 3)))
+    return found
+
+
+def cuts(hashes: list[int]) -> list[int]:
+    """The places of the smallest (of equal ones the last) of every NEAR numbers in a row."""
+    found: list[int] = []
+    best = -1
+    for i in range(NEAR - 1, len(hashes)):
+        if best <= i - NEAR:
+            window = hashes[i - NEAR + 1 : i + 1]
+            best = i - window[::-1].index(min(window))
+        elif hashes[i] <= hashes[best]:
+            best = i
+        else:
+            continue
+        found.append(best)
     return found
 
 
@@ -78,20 +96,20 @@ def _spans(text: str):
 _BREAK = re.compile(r"[.!?]+\s+|\n\s*")
 
 
-def runs(found: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, lengths) of the shortest run of RUN sentences and WORDS words from each sentence on;
-    length 0 where the text ends before that."""
+def runs(found: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, places, lengths) of the shortest runs of RUN sentences and WORDS words from each sentence
+    on and up to each sentence, each once."""
     n = len(found)
-    hashes, lengths = np.zeros(n, np.uint64), np.zeros(n, np.int32)
     counts = np.concatenate([[0], np.cumsum([f[2] for f in found])]) if n else np.zeros(1, np.int64)
-    own = np.array([f[3] for f in found], dtype=np.uint64)
-    need = np.searchsorted(counts, counts[:-1] + WORDS) if n else np.zeros(0, np.int64)
-    stop = np.maximum(need, np.arange(n) + RUN)
-    packed = own.tobytes()
-    for i in np.nonzero(stop <= n)[0]:
-        lengths[i] = stop[i] - i
-        hashes[i] = xxhash.xxh64_intdigest(packed[8 * i : 8 * stop[i]], 7)
-    return hashes, lengths
+    packed = np.array([f[3] for f in found], dtype=np.uint64).tobytes()
+    on = np.maximum(np.searchsorted(counts, counts[:-1] + WORDS), np.arange(n) + RUN)
+    back = np.minimum(np.searchsorted(counts, counts[1:] - WORDS, "right") - 1, np.arange(1, n + 1) - RUN)
+    pairs = {(i, stop) for i, stop in enumerate(on.tolist()) if stop <= n}
+    pairs.update((start, k + 1) for k, start in enumerate(back.tolist()) if start >= 0)
+    ordered = sorted(pairs)
+    hashes = np.array([xxhash.xxh64_intdigest(packed[8 * i : 8 * stop], 7) for i, stop in ordered], dtype=np.uint64)
+    spans = np.array(ordered, dtype=np.int32).reshape(-1, 2)
+    return hashes, spans[:, 0], spans[:, 1] - spans[:, 0]
 
 
 def _row_key(id_col: str, text_col: str):
@@ -111,12 +129,11 @@ def run_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         for batch in batches:
             owner, run, place, length = [], [], [], []
             for k, x in enumerate(batch.column(1)):
-                hashes, lengths = runs(sentences(x.as_py()))
-                at = np.nonzero(lengths)[0]
-                owner.append(np.full(len(at), k))
-                run.append(hashes[at].view(np.int64))
-                place.append(at.astype(np.int32))
-                length.append(lengths[at])
+                hashes, places, lengths = runs(sentences(x.as_py()))
+                owner.append(np.full(len(hashes), k))
+                run.append(hashes.view(np.int64))
+                place.append(places)
+                length.append(lengths)
             if owner:
                 keys = batch.column(0).take(pa.array(np.concatenate(owner)))
                 yield pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate(run)), pa.array(np.concatenate(place)), pa.array(np.concatenate(length))], names=["key", "run", "place", "length"])
