@@ -2,7 +2,9 @@
 
 Token counts are summed by cell (source, language, topic).  A cell's weight is its tokens times one
 factor a marginal; each step of a raking sweep sets the factors of one marginal so that its sums meet
-their targets.  The fitted weights give every cell a ratio of wanted to present tokens; one factor
+their targets, until a sweep finds every sum within TOLERANCE of its target (relative).  Targets that
+contradict each other are never met: then sweeps end where they change nothing more, or after
+MOST_SWEEPS, with a warning that gives the error left.  The fitted weights give every cell a ratio of wanted to present tokens; one factor
 calibrates the ratios to inclusion probabilities of at most 1 whose expected tokens meet the budget,
 and a document stays if a hash of its id, read as a number in [0, 1), is below its cell's probability.
 
@@ -21,6 +23,8 @@ empty table gives an empty result; every input column is kept, clashing names in
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +33,9 @@ from vecloom.llm.tables import free_name, quoted
 from vecloom.plans.durable import materialize
 
 DIMS = ("source", "lang", "topic")
-SWEEPS = 6
+SWEEPS = 6  # of the SQL form
+TOLERANCE = 1e-6
+MOST_SWEEPS = 1000
 BUDGET = 0.5
 SEED = 29
 #: Exponents that flatten the natural token shares where no targets are given.
@@ -89,18 +95,32 @@ def _weight(dims) -> Column:
     return weight
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS) -> DataFrame:
-    """Cells with ``weight``, a share of all: the last marginal meets its targets exactly, the others
-    as closely as ``sweeps`` sweeps bring them."""
+def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = MOST_SWEEPS, tolerance: float = TOLERANCE) -> DataFrame:
+    """Cells with ``weight``, a share of all, whose marginals meet their targets within ``tolerance``
+    (relative); a warning gives the error where ``sweeps`` sweeps do not bring them there."""
     dims, most = list(targets), cells.count()  # no marginal has more values than there are cells
     targets = {dim: materialize(t, "targets", most) for dim, t in targets.items()}
-    factors = {dim: t.select(dim, F.lit(1.0).alias("factor")) for dim, t in targets.items()}
+    factors = {dim: t.select(dim, "target", F.lit(1.0).alias("factor")) for dim, t in targets.items()}
+    errors: list[float] = []
     for _ in range(sweeps):
         for dim in dims:
             others = [d for d in dims if d != dim]
             held = _joined(cells, {d: factors[d] for d in others}).groupBy(dim).agg(F.sum(_weight(others)).alias("held"))
-            table = held.join(targets[dim].withColumnRenamed(dim, "v"), F.col(dim).eqNullSafe(F.col("v"))).drop("v")
-            factors[dim] = materialize(table.select(dim, F.when(F.col("held") > 0, F.col("target") / F.col("held")).otherwise(0.0).alias("factor")), "factors", most)
+            own = factors[dim].select(F.col(dim).alias("v"), "target", F.col("factor").alias("was"))
+            table = held.join(own, F.col(dim).eqNullSafe(F.col("v"))).drop("v")
+            factor, found = F.when(F.col("held") > 0, F.col("target") / F.col("held")).otherwise(0.0), F.col("held") * F.col("was")
+            error = F.when(F.col("target") > 0, F.abs(found / F.col("target") - 1)).otherwise(found)
+            factors[dim] = materialize(table.select(dim, "target", factor.alias("factor"), error.alias("error")), "factors", most)
+        each = [factors[dim].select("error") for dim in dims]
+        whole = each[0]
+        for more in each[1:]:
+            whole = whole.unionAll(more)
+        errors.append(whole.agg(F.max("error").alias("error")).first()["error"] or 0.0)  # what the sweep found before it set each marginal
+        stuck = len(errors) > 10 and abs(errors[-1] - errors[-11]) <= 1e-9 * errors[-1]
+        if errors[-1] <= tolerance or stuck:
+            break
+    if errors and errors[-1] > tolerance:
+        warnings.warn(f"marginals miss their targets by up to {errors[-1]:.3g} (relative) after {len(errors)} sweeps", stacklevel=2)
     return _joined(cells, factors).withColumn("weight", _weight(dims)).drop(*[f"f_{d}" for d in dims])
 
 
@@ -131,7 +151,7 @@ def mixed(
     id_col: str = "doc_id",
     targets: dict[str, dict] | None = None,
     budget: float = BUDGET,
-    sweeps: int = SWEEPS,
+    sweeps: int = MOST_SWEEPS,
     seed: int = SEED,
 ) -> tuple[DataFrame, DataFrame, dict[str, str]]:
     """(docs with cell columns and probability, the cell table, the added columns' names).
