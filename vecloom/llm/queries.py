@@ -13,7 +13,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_chat_tool_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tool_calls.linked_conversations(table(spark, sf_dir, "conversations"))
+    return tool_calls.linked_events(table(spark, sf_dir, "conversations"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,31 +5,38 @@ after}]) brings calls, one with ``tool_call_id`` and ``content`` a result, anyth
 tables without tool calls every user turn is a call of the tool ``respond`` that follows the call
 before it, and an assistant turn is a result of the last user turn before it.  Calls and results meet
 in a hash join by (conversation, identifier); the calls of a conversation are ordered so that each
-follows those it names in ``after`` (smallest turn, then id, first); arguments are checked against JSON
-schemas; and the conversation is written as canonical JSON: keys sorted, no spaces, UTF-8.
+follows those it names in ``after``; arguments are checked against JSON schemas; and every event is
+written as one line of canonical JSON: keys sorted, no spaces, UTF-8.  A conversation is its lines in
+the order of ``ORDER``: messages at their turn, a call at its turn or, where it waits for a later call,
+behind that, and results behind the calls of the turn they answer.  ``in_reading_order`` sorts a table so.
 
-Linking, duplicates, asked turns and order hold over the whole conversation.  Only what is written is
-split, into a row for every ``PART`` turns: messages and orphans by their own turn, a call with all
-its results by its turn, or, where it comes after a call of a later part, with that part, so that
-the parts one after another give the order of the conversation.
+Linking, duplicates, asked turns and order hold over the whole conversation, however many turns it has.
 
-Scale: repeated messages are collapsed by a pre-aggregated distinct; linking is one shuffled join and
-one group-by on the part.  User turns before a part come from one row a part.  The calls of a
-conversation (turn, id, ``after``) meet in one task only where it has several parts and a call that
-names one of higher rank in ``after``; all others are in order by turn and id.  Serialising is a
-narrow Arrow map over parts.
+Scale: repeated messages are collapsed by a pre-aggregated distinct.  Everything else is joins and
+pre-aggregated group-bys by (conversation, identifier) or (conversation, turn), so neither a
+conversation nor the results of a call are ever gathered; lines come from a narrow Arrow map.  The last
+user turn before a turn is found within stretches of ``STRETCH`` turn numbers, of which each has at most
+that many rows, and between them by one row a stretch.  Calls that name none of higher rank (turn, then
+identifier) are in order as they are.  The others are put in order by islands: the calls between one and
+the last it waits for, overlapping ones together; an island's identifiers meet in one task.
 
 Defined results: rows equal in all four columns count once; messages without a conv_id are each a
 conversation of their own; null turns count as turn 0, null texts as empty; of several calls with one
-identifier the first (turn, then arguments) is linked, the others carry the error ``duplicate id``; a
-result without call is an orphan; calls in a cycle come last, in order of turn, and ``n_cyclic`` counts
-them; unknown tools and unparsable arguments are errors; an empty table gives an empty result.
+identifier the first (turn, then a hash of the message, then place in it) is linked, the others carry the
+error ``duplicate id``; a result without call is an orphan; in an island ready calls go by (turn, id) and
+calls in a cycle, or behind one, come last and are ``cyclic``; unknown tools and unparsable arguments
+are errors.  A text is not JSON, and so plain, if it holds NaN, infinities, numbers beyond double or
+lone surrogates or is nested too deeply.  An ``after`` that is no list counts as a list of one (null: of
+none), a call that is no object as one without fields; missing identifiers and names are empty.  Other
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+import math
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -37,7 +44,8 @@ from pyspark.sql import functions as F
 
 from vecloom.plans.durable import materialize
 
-PART = 1000
+STRETCH = 1000
+ORDER = ("conv", "at", "place", "step", "turn", "id", "line")
 SCHEMAS = {
     "respond": {
         "type": "object",
@@ -47,7 +55,11 @@ SCHEMAS = {
     }
 }
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None), "number": (int, float), "integer": int}
-_EVENT = "conv string, part long, turn long, kind string, call_id string, name string, arguments string, after array<string>, content string, role string"
+_ANNOTATIONS = {"title", "description", "default", "examples", "deprecated", "readOnly", "writeOnly", "$schema", "$id", "$comment"}
+_CHECKED = {
+    "type", "enum", "const", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf", "minLength", "maxLength", "pattern", "minItems", "maxItems",
+    "uniqueItems", "items", "required", "properties", "additionalProperties", "minProperties", "maxProperties", "anyOf", "allOf", "oneOf", "not",
+}
 
 
 def canonical(value) -> str:
@@ -65,35 +77,95 @@ def _plain(value):
     return value
 
 
-def violations(value, schema: dict, path: str = "$") -> list[str]:
-    """What ``value`` breaks in the schema: type, enum, bounds, lengths, required, properties, items."""
-    kind = schema.get("type")
-    if kind:
-        kinds = kind if isinstance(kind, list) else [kind]
-        fits = any(isinstance(value, _TYPES[k]) and not (isinstance(value, bool) and k in ("number", "integer")) or (k == "integer" and isinstance(value, float) and value.is_integer()) for k in kinds)
-        if not fits:
-            return [f"{path}: not {' or '.join(kinds)}"]
+def strict_json(text: str):
+    """The value of a JSON text; ValueError for whatever has no canonical form in UTF-8."""
+    try:
+        value = json.loads(text)
+        canonical(value).encode("utf-8")
+    except RecursionError:
+        raise ValueError("nested too deeply") from None
+    return value
+
+
+def check_schema(schema, path: str = "$") -> None:
+    """ValueError for keywords that ``violations`` does not know, so that none is ignored in silence."""
+    if isinstance(schema, bool):
+        return
+    unknown = set(schema) - _CHECKED - _ANNOTATIONS
+    if unknown:
+        raise ValueError(f"{path}: schema keywords not supported: {sorted(unknown)}")
+    for k, inner in schema.get("properties", {}).items():
+        check_schema(inner, f"{path}.{k}")
+    for k in ("items", "not", "additionalProperties"):
+        if k in schema:
+            check_schema(schema[k], f"{path}.{k}")
+    for k in ("anyOf", "allOf", "oneOf"):
+        for i, inner in enumerate(schema.get(k, [])):
+            check_schema(inner, f"{path}.{k}[{i}]")
+
+
+def _is(value, kind: str) -> bool:
+    if isinstance(value, bool):
+        return kind == "boolean"
+    return isinstance(value, _TYPES[kind]) or (kind == "integer" and isinstance(value, float) and value.is_integer())
+
+
+def violations(value, schema, path: str = "$") -> list[str]:
+    """What ``value`` breaks in the schema, in a fixed order."""
+    if isinstance(schema, bool):
+        return [] if schema else [f"{path}: not allowed"]
+    kinds = schema.get("type", [])
+    kinds = kinds if isinstance(kinds, list) else [kinds]
+    if kinds and not any(_is(value, k) for k in kinds):
+        return [f"{path}: not {' or '.join(kinds)}"]
     found = []
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and canonical(value) not in {canonical(v) for v in schema["enum"]}:
         found.append(f"{path}: not in enum")
-    if isinstance(value, (int, float)) and not isinstance(value, bool):
-        found += [f"{path}: below minimum"] * (value < schema.get("minimum", value)) + [f"{path}: above maximum"] * (value > schema.get("maximum", value))
-    if isinstance(value, (str, list)):
-        low, high = ("minLength", "maxLength") if isinstance(value, str) else ("minItems", "maxItems")
-        found += [f"{path}: too short"] * (len(value) < schema.get(low, 0)) + [f"{path}: too long"] * (len(value) > schema.get(high, len(value)))
-    if isinstance(value, list) and "items" in schema:
-        found += [v for k, x in enumerate(value) for v in violations(x, schema["items"], f"{path}[{k}]")]
+    if "const" in schema and canonical(value) != canonical(schema["const"]):
+        found.append(f"{path}: not the constant")
+    if _is(value, "number"):
+        found += [f"{path}: below minimum"] * (value < schema.get("minimum", value) or ("exclusiveMinimum" in schema and value <= schema["exclusiveMinimum"]))
+        found += [f"{path}: above maximum"] * (value > schema.get("maximum", value) or ("exclusiveMaximum" in schema and value >= schema["exclusiveMaximum"]))
+        if "multipleOf" in schema and not _multiple(value, schema["multipleOf"]):
+            found.append(f"{path}: not a multiple")
+    for kind, low, high in ((str, "minLength", "maxLength"), (list, "minItems", "maxItems"), (dict, "minProperties", "maxProperties")):
+        if isinstance(value, kind):
+            found += [f"{path}: too short"] * (len(value) < schema.get(low, 0)) + [f"{path}: too long"] * (len(value) > schema.get(high, len(value)))
+    if isinstance(value, str) and "pattern" in schema and not re.search(schema["pattern"], value):
+        found.append(f"{path}: does not match")
+    if isinstance(value, list):
+        if schema.get("uniqueItems") and len({canonical(v) for v in value}) < len(value):
+            found.append(f"{path}: items repeat")
+        if "items" in schema:
+            found += [v for k, x in enumerate(value) for v in violations(x, schema["items"], f"{path}[{k}]")]
     if isinstance(value, dict):
-        known = schema.get("properties", {})
+        known, others = schema.get("properties", {}), schema.get("additionalProperties", True)
         found += [f"{path}.{k}: missing" for k in schema.get("required", []) if k not in value]
         for k in sorted(value):
             if k in known:
                 found += violations(value[k], known[k], f"{path}.{k}")
-            elif schema.get("additionalProperties", True) is False:
+            elif others is False:
                 found.append(f"{path}.{k}: unknown")
+            else:
+                found += violations(value[k], others, f"{path}.{k}")
+    for inner in schema.get("allOf", []):
+        found += violations(value, inner, path)
+    if "anyOf" in schema and all(violations(value, inner, path) for inner in schema["anyOf"]):
+        found.append(f"{path}: fits none of anyOf")
+    if "oneOf" in schema and sum(not violations(value, inner, path) for inner in schema["oneOf"]) != 1:
+        found.append(f"{path}: does not fit exactly one of oneOf")
+    if "not" in schema and not violations(value, schema["not"], path):
+        found.append(f"{path}: fits what it must not")
     return found
 
 
+def _multiple(value, step) -> bool:
+    if isinstance(value, int) and isinstance(step, int):
+        return value % step == 0
+    times = value / step
+    return math.isfinite(times) and abs(times - round(times)) <= 1e-9 * max(1.0, abs(times))
+
+
 def ordered(calls: list[dict]) -> tuple[list[dict], int]:
     """Calls so that each follows those in its ``after``; ready ones by (turn, id); cycles last."""
     by_id = {c["id"]: c for c in reversed(calls)}
@@ -102,7 +174,7 @@ def ordered(calls: list[dict]) -> tuple[list[dict], int]:
     for k, needs in waits.items():
         for a in needs:
             followers.setdefault(a, []).append(k)
-    rank = lambda k: (calls[k]["turn"], calls[k]["id"], calls[k]["raw"], k)
+    rank = lambda k: (calls[k]["turn"], calls[k]["id"], k)
     ready = [rank(k) for k in waits if not waits[k]]
     heapq.heapify(ready)
     out, done = [], set()
@@ -123,7 +195,7 @@ def _parsed(text: str):
     if text.lstrip()[:1] != "{":
         return None
     try:
-        value = json.loads(text)
+        value = strict_json(text)
     except ValueError:
         return None
     return value if isinstance(value, dict) else None
@@ -133,191 +205,192 @@ def _text(value) -> str:
     return value if isinstance(value, str) else canonical(value)
 
 
+def _after(value) -> list[str]:
+    listed = value if isinstance(value, list) else [] if value is None else [value]
+    return sorted({_text(a) for a in listed})
+
+
+_EVENT = {"conv": pa.string(), "turn": pa.int64(), "mid": pa.int64(), "seq": pa.int32(), "kind": pa.string(), "id": pa.string(), "name": pa.string(), "arguments": pa.string(), "after": pa.list_(pa.string()), "content": pa.string(), "role": pa.string()}
+
+
 def events(messages: DataFrame) -> DataFrame:
-    """One row a call, result or plain message."""
+    """One row a call, result, user turn, assistant turn or other message, as written in the texts.
+
+    ``mid`` is a hash of the message and ``seq`` the place of a call in it.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     turn = F.coalesce(F.col("turn").cast("long"), F.lit(0).cast("long"))
     role = F.coalesce(F.col("role").cast("string"), F.lit(""))
-    own = F.concat(F.lit("message:"), F.hex(F.xxhash64(turn, role, text)))
-    rows = messages.select(F.coalesce(F.col("conv_id").cast("string"), own).alias("conv"), turn.alias("turn"), role.alias("role"), text.alias("text")).distinct()
-    names = ["conv", "part", "turn", "kind", "call_id", "name", "arguments", "after", "content", "role"]
+    mid = F.xxhash64(turn, role, text)
+    own = F.concat(F.lit("message:"), F.hex(mid))
+    rows = messages.select(F.coalesce(F.col("conv_id").cast("string"), own).alias("conv"), turn.alias("turn"), mid.alias("mid"), role.alias("role"), text.alias("text")).distinct()
 
     def scan(batches):
         for batch in batches:
-            out = {n: [] for n in names}
+            out = {n: [] for n in _EVENT}
 
-            def add(conv, turn, role, kind, call_id=None, name=None, arguments=None, after=None, content=None, out=out):
-                for n, v in zip(names, (conv, turn // PART, turn, kind, call_id, name, arguments, after, content, role)):
-                    out[n].append(v)
+            def add(r, kind, seq=0, out=out, **given):
+                for n in _EVENT:
+                    out[n].append({"kind": kind, "seq": seq, "conv": r["conv"], "turn": r["turn"], "mid": r["mid"], "role": r["role"]}.get(n, given.get(n)))
 
             for r in batch.to_pylist():
                 value = _parsed(r["text"])
                 calls = value.get("tool_calls") if value else None
-                at = (r["conv"], r["turn"], r["role"])
                 if isinstance(calls, list):
-                    for c in calls:
+                    for k, c in enumerate(calls):
                         c = c if isinstance(c, dict) else {}
-                        arguments = c.get("arguments", {})
-                        add(*at, "call", _text(c.get("id", "")), _text(c.get("name", "")), _text(arguments), [_text(a) for a in c.get("after") or []])
+                        add(r, "call", k, id=_text(c.get("id", "")), name=_text(c.get("name", "")), arguments=_text(c.get("arguments", {})), after=_after(c.get("after")))
                 elif value and "tool_call_id" in value:
-                    add(*at, "result", _text(value["tool_call_id"]), content=_text(value.get("content", "")))
-                elif r["role"] in ("user", "assistant"):
-                    add(*at, f"{r['role']} turn", content=r["text"])
+                    add(r, "result", id=_text(value["tool_call_id"]), content=_text(value.get("content", "")))
                 else:
-                    add(*at, "message", content=r["text"])
-            schema = pa.schema([("conv", pa.string()), ("part", pa.int64()), ("turn", pa.int64()), *[(n, pa.string()) for n in ("kind", "call_id", "name", "arguments")], ("after", pa.list_(pa.string())), ("content", pa.string()), ("role", pa.string())])
-            yield pa.RecordBatch.from_pydict(out, schema=schema)
+                    add(r, f"{r['role']} turn" if r["role"] in ("user", "assistant") else "message", content=r["text"])
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema(list(_EVENT.items())))
+
+    return rows.mapInArrow(scan, "conv string, turn long, mid long, seq int, kind string, id string, name string, arguments string, after array<string>, content string, role string")
+
+
+def last_user_turns(found: DataFrame) -> DataFrame:
+    """(conv, turn, asked): for each turn of users and assistants the last earlier turn of a user."""
+    turns = found.where("kind in ('user turn', 'assistant turn')").groupBy("conv", "turn").agg(F.max(F.col("kind") == "user turn").alias("user"))
+    turns = turns.withColumn("stretch", F.floor(F.col("turn") / STRETCH).cast("long"))
+    turns = materialize(turns.withColumn("own", F.when(F.col("user"), F.col("turn"))), "turns")
+    before = Window.partitionBy("conv", "stretch").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("conv").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    sums = turns.groupBy("conv", "stretch").agg(F.max("own").alias("own"))
+    earlier = sums.select("conv", "stretch", F.max("own").over(ahead).alias("earlier")).where("earlier is not null")
+    near = turns.select("conv", "turn", "stretch", F.max("own").over(before).alias("near"))
+    return near.join(earlier, ["conv", "stretch"], "left").select("conv", "turn", F.coalesce("near", "earlier").alias("asked"))
 
-    found = rows.mapInArrow(scan, _EVENT)
-    # plain user turns call "respond"; plain assistant turns answer the last user turn before them
-    before = Window.partitionBy("conv", "part").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+
+def with_plain_turns(found: DataFrame) -> DataFrame:
+    """User turns as calls of ``respond`` and assistant turns as results of the last one before them."""
+    met = found.join(materialize(last_user_turns(found), "asked"), ["conv", "turn"], "left")
     is_call, is_answer = F.col("kind") == "user turn", F.col("kind") == "assistant turn"
-    found = materialize(found.withColumn("last", F.max(F.when(is_call, F.col("turn"))).over(before)), "turns")
-    # the last user turn of all parts before, one row a part
-    sums = found.groupBy("conv", "part").agg(F.max(F.when(is_call, F.col("turn"))).alias("own"))
-    ahead = Window.partitionBy("conv").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = materialize(sums.withColumn("earlier", F.max("own").over(ahead)).where("earlier is not null").select("conv", "part", "earlier"), "earlier-turns")
-    met = found.join(earlier, ["conv", "part"], "left")
-    linked = met.withColumn("asked", F.concat("conv", F.lit(":"), F.coalesce("last", "earlier").cast("string")))
+    named = lambda turn: F.concat("conv", F.lit(":"), F.col(turn).cast("string"))
     prompt = F.to_json(F.struct(F.col("content").alias("prompt"), "turn"))
-    return linked.select(
+    return met.select(
         "conv",
-        "part",
         "turn",
-        "role",
+        "mid",
+        "seq",
         F.when(is_call, "call").when(is_answer, "result").otherwise(F.col("kind")).alias("kind"),
-        F.when(is_call, F.concat("conv", F.lit(":"), F.col("turn").cast("string"))).when(is_answer, F.col("asked")).otherwise(F.col("call_id")).alias("call_id"),
+        F.when(is_call, named("turn")).when(is_answer, named("asked")).otherwise(F.col("id")).alias("id"),
         F.when(is_call, "respond").otherwise(F.col("name")).alias("name"),
         F.when(is_call, prompt).otherwise(F.col("arguments")).alias("arguments"),
-        F.when(is_call, F.filter(F.array("asked"), lambda a: a.isNotNull())).otherwise(F.col("after")).alias("after"),
+        F.when(is_call, F.filter(F.array(named("asked")), lambda a: a.isNotNull())).otherwise(F.col("after")).alias("after"),
         F.when(is_call, F.lit(None)).otherwise(F.col("content")).alias("content"),
+        "role",
     )
 
 
-_ENTRY = {"turn": "long", "call_id": "string", "name": "string", "arguments": "string", "after": "array<string>", "results": "array<string>", "copy": "int", "role": "string", "content": "string", "position": "long", "stuck": "boolean"}
-
-
-def _entry(**given):
-    """What a part lists of a call, an orphan or a message; fields that are not given are null."""
-    value = lambda k: F.col(given[k]) if isinstance(given[k], str) else given[k]
-    return F.struct(*[(value(k) if k in given else F.lit(None)).cast(kind).alias(k) for k, kind in _ENTRY.items()])
-
-
-def positions(all_events: DataFrame, calls: DataFrame) -> DataFrame:
-    """(conv, call_id, copy, position, stuck, shown): the order over all parts, and the part that shows
-    the call, of conversations of several parts in which a call names one of higher rank in ``after``."""
-    several = all_events.groupBy("conv").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("conv")
-    several = materialize(several, "long-conversations")
-    calls = calls.join(several, "conv", "left_semi")
-    rank = F.struct("turn", "call_id", "copy")
-    waits = calls.select("conv", rank.alias("own"), F.explode("after").alias("call_id"))
-    heads = calls.where("copy = 1").select("conv", "call_id", rank.alias("head"))
-    tangled = materialize(waits.join(heads, ["conv", "call_id"]).where("head > own").select("conv").distinct(), "tangled")
-    whole = calls.join(tangled, "conv", "left_semi").groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("turn", "call_id", "copy", "after", "part"))).alias("calls"))
-    kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.bool_(), pa.int64()]
-    names = ["conv", "call_id", "copy", "position", "stuck", "shown"]
+def positions(calls: DataFrame, heads: DataFrame) -> DataFrame:
+    """(conv, rank, at, place, cyclic) of the calls of conversations in which one waits for a call of
+    higher rank; all others are in order by rank."""
+    waits = calls.select("conv", "rank", F.explode("after").alias("id")).join(heads, ["conv", "id"]).where("head > rank")
+    reach = materialize(waits.groupBy("conv", "rank").agg(F.max("head").alias("reach")), "waits")
+    whole = calls.select("conv", "rank", "after").join(reach.select("conv").distinct(), "conv", "left_semi").join(reach, ["conv", "rank"], "left")
+    along = Window.partitionBy("conv").orderBy("rank")
+    farthest = F.max("reach").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    starts = whole.withColumn("starts", F.coalesce(farthest < F.col("rank"), F.lit(True)).cast("long"))
+    islands = starts.select("conv", "rank", "after", F.sum("starts").over(along).alias("island"), F.row_number().over(along).cast("long").alias("place"))
+    islands = materialize(islands, "islands")
+    groups = islands.groupBy("conv", "island").agg(F.sort_array(F.collect_list(F.struct("rank", "after", "place"))).alias("calls"))
 
     def scan(batches):
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                # "raw" is left equal: calls of one turn and id stay in the order of their copies
-                sequence, cyclic = ordered([{"id": c["call_id"], "turn": c["turn"], "raw": "", "after": c["after"] or [], "copy": c["copy"], "part": c["part"]} for c in r["calls"]])
-                shown = sequence[0]["part"]
+                sequence, cyclic = ordered([{"id": c["rank"]["id"], "turn": c["rank"]["turn"], "after": c["after"] or [], **c} for c in r["calls"]])
+                at, first = sequence[0]["turn"], min(c["place"] for c in sequence)
                 for k, c in enumerate(sequence):
-                    shown = max(shown, c["part"])
-                    rows.append((r["conv"], c["id"], c["copy"], k, k >= len(sequence) - cyclic, shown))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+                    at = max(at, c["turn"])
+                    rows.append({"conv": r["conv"], "rank": c["rank"], "at": at, "place": first + k, "cyclic": k >= len(sequence) - cyclic})
+            rank = pa.struct([("turn", pa.int64()), ("id", pa.string()), ("mid", pa.int64()), ("seq", pa.int32())])
+            schema = pa.schema([("conv", pa.string()), ("rank", rank), ("at", pa.int64()), ("place", pa.int64()), ("cyclic", pa.bool_())])
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return materialize(whole.mapInArrow(scan, "conv string, call_id string, copy int, position long, stuck boolean, shown long"), "positions")
+    return materialize(groups.mapInArrow(scan, "conv string, rank struct<turn: long, id: string, mid: long, seq: int>, at long, place long, cyclic boolean"), "positions")
 
 
-def linked_conversations(messages: DataFrame, schemas: dict | None = None) -> DataFrame:
-    """conv, part, counts and the canonical JSON of every conversation part."""
+def linked_events(messages: DataFrame, schemas: dict | None = None) -> DataFrame:
+    """conv, at, place, step, kind, turn, id, linked, cyclic, n_results, n_errors and line of every event."""
     schemas = SCHEMAS if schemas is None else schemas
-    all_events = materialize(events(messages), "events")  # read several times below
-    keys = ["conv", "call_id"]
-    results = all_events.where("kind = 'result'")
-    answers = results.where("call_id is not null").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("turn", "content", "part"))).alias("results"))
-    calls = all_events.where("kind = 'call'")
-    first = Window.partitionBy(*keys).orderBy("turn", "arguments", "name", "after")
-    calls = calls.withColumn("copy", F.row_number().over(first))
-    met = calls.hint("shuffle_hash").join(answers.withColumn("copy", F.lit(1)), [*keys, "copy"], "full_outer")
-    met = met.join(positions(all_events, calls), [*keys, "copy"], "left")
-    call = _entry(turn="turn", call_id="call_id", name="name", arguments="arguments", after="after", results=F.transform("results", lambda r: r["content"]), copy="copy", position="position", stuck="stuck")
-    lost = lambda r: F.struct(r["part"].alias("part"), _entry(turn=r["turn"], call_id="call_id", results=F.array(r["content"]), copy=F.lit(1)).alias("entry"))
-    placed = F.array(F.struct(F.coalesce("shown", "part").alias("part"), call.alias("entry")))
-    linked = met.select("conv", F.inline(F.when(F.col("name").isNull(), F.transform("results", lost)).otherwise(placed)))
-    unasked = results.where("call_id is null").select("conv", "part", _entry(turn="turn", results=F.array("content"), copy=F.lit(1)).alias("entry"))
-    plain = all_events.where("kind = 'message'").select("conv", "part", _entry(turn="turn", copy=F.lit(0), role="role", content="content").alias("entry"))
-    # a part whose results all went to calls of another part is still a row
-    there = results.select("conv", "part").distinct().select("conv", "part", _entry(copy=F.lit(-1)).alias("entry"))
-    entries = linked.unionByName(unasked).unionByName(plain).unionByName(there)
-    whole = entries.groupBy("conv", "part").agg(F.sort_array(F.collect_list("entry")).alias("entries"))
+    for name, schema in schemas.items():
+        check_schema(schema, name)
+    found = materialize(events(messages), "found")
+    every = materialize(with_plain_turns(found), "events")  # read several times below
+    keys = ["conv", "id"]
+    calls = every.where("kind = 'call'").withColumn("rank", F.struct("turn", "id", "mid", "seq"))
+    results = every.where("kind = 'result'")
+    heads = materialize(calls.groupBy(*keys).agg(F.min("rank").alias("head")), "heads")
+    answers = results.where("id is not null").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_results"))
+    places = positions(calls, heads)
+    known = calls.join(heads, keys).join(answers, keys, "left").join(places, ["conv", "rank"], "left")
+    first = F.col("rank") == F.col("head")
+    at, place, cyclic = F.coalesce("at", "turn"), F.coalesce("place", F.lit(0).cast("long")), F.coalesce("cyclic", F.lit(False))
+    columns = ["conv", "turn", "id", "name", "arguments", "after", "content", "role"]
+    null = lambda kind: F.lit(None).cast(kind)
+    shown = known.select(*columns, at.alias("at"), place.alias("place"), cyclic.alias("cyclic"), F.lit("call").alias("kind"), F.when(first, F.coalesce("n_results", F.lit(0))).otherwise(0).alias("n_results"), (~first).alias("again"))
+    placed = heads.join(places.withColumnRenamed("rank", "head"), ["conv", "head"], "left")
+    met = results.join(placed, keys, "left")
+    linked = F.col("head").isNotNull()
+    replies = met.select(*columns, F.when(linked, F.coalesce("at", F.col("head.turn"))).otherwise(F.col("turn")).alias("at"), place.alias("place"), F.lit(False).alias("cyclic"), F.when(linked, "result").otherwise("orphan").alias("kind"), null("long").alias("n_results"), F.lit(False).alias("again"))
+    plain = every.where("kind = 'message'").select(*columns, F.col("turn").alias("at"), F.lit(0).cast("long").alias("place"), F.lit(False).alias("cyclic"), "kind", null("long").alias("n_results"), F.lit(False).alias("again"))
+    rows = shown.unionByName(replies).unionByName(plain)
 
     def scan(batches):
         for batch in batches:
-            rows = [serialised(r["conv"], r["part"], r["entries"], schemas) for r in batch.to_pylist()]
-            names = ("conv", "part", "n_messages", "n_calls", "n_linked", "n_orphans", "n_invalid", "n_cyclic", "chat")
-            types = [pa.string(), *[pa.int64()] * 7, pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=list(names))
-
-    return whole.mapInArrow(scan, "conv string, part long, n_messages long, n_calls long, n_linked long, n_orphans long, n_invalid long, n_cyclic long, chat string")
-
-
-def serialised(conv: str, part: int, entries: list[dict], schemas: dict) -> tuple:
-    calls, orphans, plain = [], [], []
-    for e in entries:
-        if e["copy"] == 0:
-            plain.append({"role": e["role"], "text": e["content"]})
-        elif e["copy"] > 0 and e["name"] is None:
-            orphans.append((e["call_id"] is not None, e["call_id"] or "", e["turn"], e["results"][0]))
-        elif e["copy"] > 0:
-            calls.append(_call(e, schemas))
-    orphans = [{"id": i if known else None, "content": c} for known, i, _, c in sorted(orphans)]
-    if calls and calls[0]["position"] is not None:  # ordered over the whole conversation
-        sequence, cyclic = sorted(calls, key=lambda c: c["position"]), sum(c["stuck"] for c in calls)
-    else:
-        sequence, cyclic = ordered(calls)
-    linked, invalid = sum(bool(c["results"]) for c in calls), sum(bool(c["errors"]) for c in calls)
-    shown = [{k: c[k] for k in ("id", "name", "arguments", "after", "errors", "results")} for c in sequence]
-    chat = canonical({"conversation": conv, "part": part, "messages": plain, "calls": shown, "orphans": orphans})
-    return conv, part, len(plain), len(calls), linked, len(orphans), invalid, cyclic, chat
-
-
-def _call(e: dict, schemas: dict) -> dict:
-    errors, arguments = [], e["arguments"]
+            made = [written(r, schemas) for r in batch.to_pylist()]
+            own = [batch.column(batch.schema.get_field_index(n)) for n in ("conv", "at", "place", "kind", "turn", "id", "cyclic", "n_results")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.string())], names=["conv", "at", "place", "kind", "turn", "id", "cyclic", "n_results", "n_errors", "line"])
+
+    lines = rows.mapInArrow(scan, "conv string, at long, place long, kind string, turn long, id string, cyclic boolean, n_results long, n_errors long, line string")
+    step = F.when(F.col("kind") == "message", 0).when(F.col("kind") == "call", 1).when(F.col("kind") == "result", 2).otherwise(3)
+    is_linked = F.when(F.col("kind") == "call", F.col("n_results") > 0).otherwise(F.col("kind") == "result")
+    return lines.select("conv", "at", "place", step.alias("step"), "kind", "turn", "id", is_linked.alias("linked"), "cyclic", F.coalesce("n_results", F.lit(0).cast("long")).alias("n_results"), "n_errors", "line")
+
+
+def written(r: dict, schemas: dict) -> tuple[int, str]:
+    """(number of errors, canonical JSON) of one event."""
+    if r["kind"] == "message":
+        return 0, canonical({"kind": "message", "role": r["role"], "content": r["content"], "turn": r["turn"]})
+    if r["kind"] != "call":
+        return 0, canonical({"kind": r["kind"], "id": r["id"], "content": r["content"], "turn": r["turn"]})
+    arguments, errors = r["arguments"], ["duplicate id"] if r["again"] else []
     try:
-        arguments = json.loads(e["arguments"])
-        canonical(arguments)
+        arguments = strict_json(r["arguments"])
     except ValueError:
-        arguments, errors = e["arguments"], ["arguments: not JSON"]
-    if e["copy"] > 1:
-        errors.append("duplicate id")
-    if e["name"] not in schemas:
+        errors.insert(0, "arguments: not JSON")
+    if r["name"] not in schemas:
         errors.append("unknown tool")
-    elif not errors or errors == ["duplicate id"]:
-        errors += violations(arguments, schemas[e["name"]])
-    return {"turn": e["turn"], "id": e["call_id"], "name": e["name"], "arguments": arguments, "raw": e["arguments"], "after": sorted(set(e["after"] or [])), "errors": errors, "results": e["results"] or [], "position": e["position"], "stuck": e["stuck"]}
+    elif "arguments: not JSON" not in errors:
+        errors += violations(arguments, schemas[r["name"]])
+    return len(errors), canonical({"kind": "call", "id": r["id"], "name": r["name"], "arguments": arguments, "after": r["after"] or [], "errors": errors, "n_results": r["n_results"], "turn": r["turn"]})
+
+
+def in_reading_order(lines: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Lines sorted by ``ORDER`` over all partitions, so that files written from them read as conversations."""
+    spread = lines.repartitionByRange(*([partitions] if partitions else []), *ORDER)
+    return spread.sortWithinPartitions(*ORDER)
 
 
 #: The same rows in DuckDB SQL over ``conversations`` where no text is JSON and no user turn repeats.
 CONVERSATIONS_SQL = """
-WITH m AS (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS conv, turn // 1000 AS part, turn, role, coalesce(text, '') AS text FROM conversations),
-u AS (SELECT *, lag(turn) OVER (PARTITION BY conv, part ORDER BY turn) AS before FROM m WHERE role = 'user'),
-a AS (SELECT m.conv, m.part, m.turn, m.text, max(u.turn) AS asked FROM m LEFT JOIN u ON u.conv = m.conv AND u.part = m.part AND u.turn < m.turn
-    WHERE m.role = 'assistant' GROUP BY ALL),
-r AS (SELECT conv, part, asked, string_agg(to_json(text)::VARCHAR, ',' ORDER BY turn, text) AS results FROM a WHERE asked IS NOT NULL GROUP BY ALL),
-c AS (SELECT u.conv, u.part, count(*) AS n_calls, count(r.results) AS n_linked, count(*) FILTER (u.text = '') AS n_invalid,
-    string_agg('{"after":[' || coalesce('"' || u.conv || ':' || before || '"', '') || '],"arguments":{"prompt":' || to_json(u.text)::VARCHAR || ',"turn":' || u.turn
-        || '},"errors":[' || CASE WHEN u.text = '' THEN '"$.prompt: too short"' ELSE '' END || '],"id":"' || u.conv || ':' || u.turn || '","name":"respond","results":[' || coalesce(r.results, '') || ']}', ',' ORDER BY u.turn) AS calls
-    FROM u LEFT JOIN r ON r.conv = u.conv AND r.part = u.part AND r.asked = u.turn GROUP BY ALL),
-o AS (SELECT conv, part, count(*) AS n_messages, string_agg('{"role":' || to_json(role)::VARCHAR || ',"text":' || to_json(text)::VARCHAR || '}', ',' ORDER BY turn, role, text) AS plain
-    FROM m WHERE role NOT IN ('user', 'assistant') GROUP BY ALL),
-q AS (SELECT conv, part, count(*) AS n_orphans, string_agg('{"content":' || to_json(text)::VARCHAR || ',"id":null}', ',' ORDER BY turn, text) AS orphans FROM a WHERE asked IS NULL GROUP BY ALL),
-k AS (SELECT DISTINCT conv, part FROM m)
-SELECT k.conv, k.part, coalesce(n_messages, 0) AS n_messages, coalesce(n_calls, 0) AS n_calls, coalesce(n_linked, 0) AS n_linked, coalesce(n_orphans, 0) AS n_orphans,
-    coalesce(n_invalid, 0) AS n_invalid, CAST(0 AS BIGINT) AS n_cyclic,
-    '{"calls":[' || coalesce(calls, '') || '],"conversation":' || to_json(k.conv)::VARCHAR || ',"messages":[' || coalesce(plain, '') || '],"orphans":[' || coalesce(orphans, '') || '],"part":' || k.part || '}' AS chat
-FROM k LEFT JOIN c ON c.conv = k.conv AND c.part = k.part LEFT JOIN o ON o.conv = k.conv AND o.part = k.part LEFT JOIN q ON q.conv = k.conv AND q.part = k.part
+WITH m AS (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS conv, turn, role, coalesce(text, '') AS text FROM conversations),
+u AS (SELECT DISTINCT conv, turn FROM m WHERE role = 'user'),
+a AS (SELECT m.conv, m.turn, m.role, m.text, u.turn AS asked FROM m ASOF LEFT JOIN u ON u.conv = m.conv AND m.turn > u.turn),
+n AS (SELECT conv, asked AS turn, count(*) AS n FROM a WHERE role = 'assistant' AND asked IS NOT NULL GROUP BY ALL),
+lines AS (
+    SELECT a.conv, a.turn AS "at", 'call' AS kind, a.turn, a.conv || ':' || a.turn AS id, coalesce(n.n, 0) AS n_results, CAST(a.text = '' AS BIGINT) AS n_errors,
+        '{"after":[' || coalesce('"' || a.conv || ':' || asked || '"', '') || '],"arguments":{"prompt":' || to_json(a.text)::VARCHAR || ',"turn":' || a.turn || '},"errors":['
+        || CASE WHEN a.text = '' THEN '"$.prompt: too short"' ELSE '' END || '],"id":"' || a.conv || ':' || a.turn || '","kind":"call","n_results":' || coalesce(n.n, 0)
+        || ',"name":"respond","turn":' || a.turn || '}' AS line
+    FROM a LEFT JOIN n ON n.conv = a.conv AND n.turn = a.turn WHERE role = 'user'
+    UNION ALL SELECT conv, coalesce(asked, turn), CASE WHEN asked IS NULL THEN 'orphan' ELSE 'result' END, turn, conv || ':' || asked, 0, 0,
+        '{"content":' || to_json(text)::VARCHAR || ',"id":' || coalesce('"' || conv || ':' || asked || '"', 'null') || ',"kind":"' || CASE WHEN asked IS NULL THEN 'orphan' ELSE 'result' END
+        || '","turn":' || turn || '}' FROM a WHERE role = 'assistant'
+    UNION ALL SELECT conv, turn, 'message', turn, NULL, 0, 0,
+        '{"content":' || to_json(text)::VARCHAR || ',"kind":"message","role":' || to_json(role)::VARCHAR || ',"turn":' || turn || '}' FROM a WHERE role NOT IN ('user', 'assistant'))
+SELECT conv, "at", CAST(0 AS BIGINT) AS place, CAST(CASE kind WHEN 'message' THEN 0 WHEN 'call' THEN 1 WHEN 'result' THEN 2 ELSE 3 END AS INTEGER) AS step, kind, turn, id,
+    CASE kind WHEN 'call' THEN n_results > 0 ELSE kind = 'result' END AS linked, false AS cyclic, n_results, n_errors, line FROM lines
 """
