@@ -1,22 +1,26 @@
 """Substring deduplication over sliding runs of sentences.
 
-A text is cut into sentences (at sentence marks followed by space, and at line ends); sentences of more
-than ``LONG`` words are cut further at places their own words choose, so that a repeated passage is
-cut alike wherever it stands: after the word of the smallest hash of every ``NEAR`` words in a row, so
-never more than ``NEAR`` words apart.  Of the runs of at least ``RUN`` consecutive sentences with at
-least ``WORDS`` words the shortest from each sentence on and the shortest up to each sentence are
-hashed; together they cover every longer one.  Runs meet globally by hash, and sentences covered by any
-occurrence but the first (smallest doc_id, then place) are removed.
+A text is cut into whole sentences: after the marks . ! ? followed by space, after the full-width and
+other marks of ``_BREAK`` with or without one, and at line ends.  Of the runs of at least ``RUN``
+consecutive sentences with at least ``WORDS`` words the shortest from each sentence on and the shortest
+up to each sentence are hashed (128 bits); together they cover every longer one.  Runs meet globally by
+hash, and sentences covered by any occurrence but the first (smallest doc_id, then place) are removed.
+
+``longest`` (off by default) also cuts sentences of more words than that at places their own words
+choose, never more than ``NEAR`` words apart, so that repeated stretches without any marks are found;
+what is removed then may be parts of sentences.
 
 Scale: hashing is a narrow Arrow map; what is shuffled is one slim row a run (hash, id, place).  Hashes
 are counted and first occurrences found with pre-aggregated group-bys, so a passage in a third of all
 documents is one row a task; only runs that repeat are handled in full.  Covered places are gathered by
-document, whose own size bounds them, and the texts move once, to meet them.
-
-Defined results: null and empty texts stay as they are; words are runs of non-space, compared without
-case; rows that share a doc_id are told apart by a hash of their text, and rows equal in both are the
-same row repeated: each keeps what the first keeps; null ids come last; texts shorter than a run
-are never changed; an empty table gives an empty result; other columns pass through.
+document, whose own size bounds them, and the texts move once, to meet them.  The tables of runs are
+dropped as soon as the covered places are written.
+
+Defined results: null and empty texts stay as they are; words are runs of non-space, and in scripts
+written without spaces each character, compared without case; rows that share a doc_id are told apart by
+a hash of their text, and rows equal in both are the same row repeated: each keeps what the first keeps;
+null ids come last; texts shorter than a run, and texts without marks or line ends, are never changed; an
+empty table gives an empty result; other columns pass through.
 """
 
 from __future__ import annotations
@@ -31,40 +35,45 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecloom.llm.tables import free_name, quoted
-from vecloom.plans.durable import materialize
+from vecloom.plans.durable import materialized, materialize
 
 RUN = 3
 WORDS = 20
-LONG = 12
 NEAR = 11
 WORD = re.compile(r"\S+")
+_BREAK = re.compile("[.!?]+[\"'\u2019\u201d)\\]]*\\s+|[\u3002\uff01\uff1f\uff61\u061f\u06d4\u0964\u0965\u1362\u104b\u17d4]+[\u201d\u2019\u300d\u300f\uff09]*\\s*|\n\\s*")
+#: Scripts without spaces between words: Thai to Tibetan, Burmese, Khmer, kana, Han.
+_UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]")
 
 
-def sentences(text: str) -> list[tuple[int, int, int, int]]:
-    """(start, end, words, hash) of each sentence; the spans cover the text without gaps.
+def _digest(words: str) -> bytes:
+    return xxhash.xxh3_128_digest(words.encode("utf-8", "replace"), 3)
 
-    A sentence longer than LONG words is cut at its ``cuts`` as well.
-    """
-    found: list[tuple[int, int, int, int]] = []
+
+def sentences(text: str, longest: int | None = None) -> list[tuple[int, int, int, bytes]]:
+    """(start, end, words, hash) of each sentence; the spans cover the text without gaps."""
+    found: list[tuple[int, int, int, bytes]] = []
+    unspaced = _UNSPACED.search(text) is not None
     for start, end in _spans(text):
         start = start if found else 0  # leading blanks belong to the first sentence
-        words = text[start:end].lower().split()
+        part = text[start:end].lower()
+        words = part.split()
         if not words:
             if found:  # blank: belongs to the sentence before
                 a, _, n, h = found[-1]
                 found[-1] = (a, end, n, h)
             continue
-        if len(words) <= LONG:
-            found.append((start, end, len(words), xxhash.xxh64_intdigest(" ".join(words).encode("utf-8", "replace"), 3)))
+        size = len(words) + (len(_UNSPACED.findall(part)) if unspaced else 0)
+        if longest is None or len(words) <= longest:
+            found.append((start, end, size, _digest(" ".join(words))))
             continue
-        lowered = [w.encode("utf-8", "replace") for w in words]
         starts = [m.start() for m in WORD.finditer(text, start, end)]
-        first, at, last = 0, start, len(lowered) - 1
-        for k in cuts([xxhash.xxh32_intdigest(w, 5) for w in lowered]):
+        first, at, last = 0, start, len(words) - 1
+        for k in cuts([xxhash.xxh32_intdigest(w.encode("utf-8", "replace"), 5) for w in words]):
             if k != last:
-                found.append((at, starts[k + 1], k + 1 - first, xxhash.xxh64_intdigest(b" ".join(lowered[first : k + 1]), 3)))
+                found.append((at, starts[k + 1], k + 1 - first, _digest(" ".join(words[first : k + 1]))))
                 first, at = k + 1, starts[k + 1]
-        found.append((at, end, last + 1 - first, xxhash.xxh64_intdigest(b" ".join(lowered[first:]), 3)))
+        found.append((at, end, last + 1 - first, _digest(" ".join(words[first:]))))
     return found
 
 
@@ -93,21 +102,18 @@ def _spans(text: str):
         yield start, len(text)
 
 
-_BREAK = re.compile(r"[.!?]+\s+|\n\s*")
-
-
-def runs(found: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, places, lengths) of the shortest runs of RUN sentences and WORDS words from each sentence
-    on and up to each sentence, each once."""
+def runs(found: list[tuple[int, int, int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes as two numbers each, places, lengths) of the shortest runs of RUN sentences and WORDS words
+    from each sentence on and up to each sentence, each once."""
     n = len(found)
     counts = np.concatenate([[0], np.cumsum([f[2] for f in found])]) if n else np.zeros(1, np.int64)
-    packed = np.array([f[3] for f in found], dtype=np.uint64).tobytes()
+    packed = b"".join(f[3] for f in found)
     on = np.maximum(np.searchsorted(counts, counts[:-1] + WORDS), np.arange(n) + RUN)
     back = np.minimum(np.searchsorted(counts, counts[1:] - WORDS, "right") - 1, np.arange(1, n + 1) - RUN)
     pairs = {(i, stop) for i, stop in enumerate(on.tolist()) if stop <= n}
     pairs.update((start, k + 1) for k, start in enumerate(back.tolist()) if start >= 0)
     ordered = sorted(pairs)
-    hashes = np.array([xxhash.xxh64_intdigest(packed[8 * i : 8 * stop], 7) for i, stop in ordered], dtype=np.uint64)
+    hashes = np.frombuffer(b"".join(xxhash.xxh3_128_digest(packed[16 * i : 16 * stop], 7) for i, stop in ordered), dtype=np.int64).reshape(-1, 2)
     spans = np.array(ordered, dtype=np.int32).reshape(-1, 2)
     return hashes, spans[:, 0], spans[:, 1] - spans[:, 0]
 
@@ -120,43 +126,50 @@ def _row_key(id_col: str, text_col: str):
     )
 
 
-def run_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, run, place, length): one row a run of each text."""
+def run_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", longest: int | None = None) -> DataFrame:
+    """(key, run, rest, place, length): one row a run of each text; ``run`` and ``rest`` are its hash."""
     slim = docs.select(_row_key(id_col, text_col).alias("key"), F.col(quoted(text_col)).cast("string").alias("text")).where("text is not null")
-    schema = T.StructType([slim.schema["key"], T.StructField("run", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("length", T.IntegerType())])
+    schema = T.StructType([slim.schema["key"], *[T.StructField(n, T.LongType()) for n in ("run", "rest")], *[T.StructField(n, T.IntegerType()) for n in ("place", "length")]])
 
     def scan(batches):
         for batch in batches:
-            owner, run, place, length = [], [], [], []
+            owner, hashed, place, length = [], [], [], []
             for k, x in enumerate(batch.column(1)):
-                hashes, places, lengths = runs(sentences(x.as_py()))
+                hashes, places, lengths = runs(sentences(x.as_py(), longest))
                 owner.append(np.full(len(hashes), k))
-                run.append(hashes.view(np.int64))
+                hashed.append(hashes)
                 place.append(places)
                 length.append(lengths)
             if owner:
-                keys = batch.column(0).take(pa.array(np.concatenate(owner)))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate(run)), pa.array(np.concatenate(place)), pa.array(np.concatenate(length))], names=["key", "run", "place", "length"])
+                keys, both = batch.column(0).take(pa.array(np.concatenate(owner))), np.concatenate(hashed)
+                columns = [keys, pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.concatenate(place)), pa.array(np.concatenate(length))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "run", "rest", "place", "length"])
 
     return slim.mapInArrow(scan, schema)
 
 
-def repeated_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", longest: int | None = None) -> DataFrame:
     """(key, places): the runs of each text that occur before, as arrays of (place, length)."""
-    table = materialize(run_table(docs, id_col, text_col), "runs")
+    hashed = ["run", "rest"]
+    table = materialized(run_table(docs, id_col, text_col, longest), "runs")
     # most runs occur once: only hashes move to find the others, then only repeated runs in full
-    often = materialize(table.groupBy("run").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("run"), "repeated-hashes")
-    repeated = materialize(table.join(often, "run", "left_semi"), "repeated-runs")
-    firsts = materialize(repeated.groupBy("run").agg(F.min(F.struct("key", "place")).alias("first")), "first-runs")
-    later = repeated.join(firsts, "run").where(F.struct("key", "place") != F.col("first"))
-    return later.groupBy("key").agg(F.collect_set(F.struct("place", "length")).alias("places"))
-
-
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spans_name: str = "removed", kept_name: str = "kept_text") -> DataFrame:
+    often = materialized(table.df.groupBy(*hashed).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*hashed), "repeated-hashes")
+    repeated = materialized(table.df.join(often.df, hashed, "left_semi"), "repeated-runs")
+    table.drop()
+    often.drop()
+    firsts = materialized(repeated.df.groupBy(*hashed).agg(F.min(F.struct("key", "place")).alias("first")), "first-runs")
+    later = repeated.df.join(firsts.df, hashed).where(F.struct("key", "place") != F.col("first"))
+    covered = materialize(later.groupBy("key").agg(F.collect_set(F.struct("place", "length")).alias("places")), "covered")
+    repeated.drop()
+    firsts.drop()
+    return covered
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spans_name: str = "removed", kept_name: str = "kept_text", longest: int | None = None) -> DataFrame:
     """``docs`` with the removed character spans [start, end) and the text without them."""
     if {spans_name.lower(), kept_name.lower()} & {c.lower() for c in docs.columns}:
         raise ValueError(f"the input already has a column named {spans_name} or {kept_name}")
-    covered = repeated_places(docs, id_col, text_col)
+    covered = repeated_places(docs, id_col, text_col, longest)
     key, places = free_name(docs, "key"), free_name(docs, "places")
     slim = covered.select(F.col("key").alias(key), F.col("places").alias(places))
     slim = slim.select(F.col(key)["id"].alias(f"{key}i"), F.col(key)["version"].alias(f"{key}v"), places)
@@ -172,7 +185,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             spans, kept = [], []
             for text, own in zip(batch.column(at), batch.column(at + 1)):
-                gone, rest = cut(text.as_py(), own.as_py() or [])
+                gone, rest = cut(text.as_py(), own.as_py() or [], longest)
                 spans.append([{"start": a, "end": b} for a, b in gone])
                 kept.append(rest)
             fields = [*list(batch.schema)[:at], pa.field(spans_name, arrow), pa.field(kept_name, pa.string())]
@@ -181,11 +194,11 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(scan, schema)
 
 
-def cut(text: str | None, places: list[dict]) -> tuple[list[tuple[int, int]], str | None]:
+def cut(text: str | None, places: list[dict], longest: int | None = None) -> tuple[list[tuple[int, int]], str | None]:
     """Character spans of the covered sentences, and the text without them."""
     if text is None or not places:
         return [], text
-    found = sentences(text)
+    found = sentences(text, longest)
     covered = np.zeros(len(found), bool)
     for p in places:
         covered[p["place"] : p["place"] + p["length"]] = True
