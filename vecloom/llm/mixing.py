@@ -1,16 +1,22 @@
 """Mixing to target weights by iterative proportional fitting, in DataFrame operations only.
 
-Token counts are summed by cell (source, language, topic).  A cell's weight is its tokens times one
-factor a marginal; each step of a raking sweep sets the factors of one marginal so that its sums meet
-their targets, until a sweep finds every sum within TOLERANCE of its target (relative).  Targets that
-contradict each other are never met: then sweeps end where they change nothing more, or after
-MOST_SWEEPS, with a warning that gives the error left.  The fitted weights give every cell a ratio of wanted to present tokens; one factor
-calibrates the ratios to inclusion probabilities of at most 1 whose expected tokens meet the budget,
-and a document stays if a hash of its id, read as a number in [0, 1), is below its cell's probability.
+Token counts are summed by cell (source, language, topic).  A cell's share of the wanted sample is its
+tokens times one factor a marginal, but never more than its own tokens; each step of a raking sweep sets
+the factors of one marginal so that these bounded shares sum to its targets exactly.  Sweeps go on until
+one finds every marginal within ``TOLERANCE`` (relative).  Because the bound is part of the fit, the
+sampling probability of a cell, its share over its tokens, is at most 1 and the expected tokens of the
+*sample* meet the targets.  A document stays if a hash of its id, read as a number in [0, 1), is below
+its cell's probability.
+
+Targets: given shares, or flattened natural ones (``FLATTEN``).  No value can give more than it has: a
+target beyond ``RESERVE`` of its tokens is cut to that, the others of the marginal take the rest in
+proportion, and a warning says so if the target was given.  Targets that still contradict each other
+(no sample meets them) end the sweeps where these change nothing more, or after ``MOST_SWEEPS``, with a
+warning that gives the error left.
 
 Scale: the documents are read once for the cells, pre-aggregated before the shuffle (a source with a
-third of all rows moves no more than any other), and once for sampling.  The sweeps read the written
-cell table; each step is a pre-aggregated group-by whose result, one row a value, is written.  The
+third of all rows moves no more than any other), and once for sampling.  A sweep is three window passes
+over the cell table, one a marginal; ``SWEEPS_A_JOB`` sweeps are one plan whose result is written.  The
 cell table is broadcast only where the optimizer finds its written size small; a larger one is joined
 with skew handling.  Only single numbers reach the driver.  No Python touches rows.
 
@@ -30,21 +36,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecloom.llm.tables import free_name, quoted
-from vecloom.plans.durable import materialize
+from vecloom.plans.durable import ROWS_PER_FILE, materialize, materialized
 
 DIMS = ("source", "lang", "topic")
-SWEEPS = 6  # of the SQL form
-TOLERANCE = 1e-6
-MOST_SWEEPS = 1000
+TOLERANCE = 1e-9
+SWEEPS_A_JOB = 5
+MOST_SWEEPS = 600
+RESERVE = 0.9
 BUDGET = 0.5
 SEED = 29
 #: Exponents that flatten the natural token shares where no targets are given.
 FLATTEN = {"source": 0.5, "lang": 0.7, "topic": 0.8}
+#: A token: a run of letters, marks, digits and underscores, or a run of other visible characters.
+TOKEN = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\x00-\x20]+"
 
 
-def token_estimate(text: Column) -> Column:
-    """Tokens of a text, at four UTF-8 bytes a token, rounded up."""
-    return F.ceil(F.coalesce(F.octet_length(text), F.lit(0)) / F.lit(4.0)).cast("long")
+def token_count(text: Column) -> Column:
+    """Words and runs of punctuation of a text."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(TOKEN)).cast("long")
 
 
 def topic_of(text: Column) -> Column:
@@ -65,83 +74,109 @@ def unit_hash(key: Column, seed: int = SEED) -> Column:
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def marginal_targets(cells: DataFrame, dim: str, wanted: dict | None, power: float) -> DataFrame:
-    """(dim, target) for the values that have tokens; targets sum to 1."""
-    own = cells.groupBy(dim).agg(F.sum("tokens").cast("double").alias("t")).where("t > 0")
+def reserve_of(budget: float) -> float:
+    """The largest share of its tokens that a target may ask of a value; 1 where all is wanted."""
+    return max(RESERVE, (1 + budget) / 2)
+
+
+def _filled(table: DataFrame, whole: float, most_steps: int = 200) -> float:
+    """The factor with which least(factor * raw, most) sums to ``whole``: the cut values fixed, what is
+    left spread over the others, until none more is cut."""
+    factor = 0.0
+    for _ in range(most_steps):
+        cut = F.col("raw") * F.lit(factor) >= F.col("most")
+        part = table.agg(F.coalesce(F.sum(F.when(cut, F.col("most"))), F.lit(0.0)).alias("fixed"), F.coalesce(F.sum(F.when(~cut, F.col("raw"))), F.lit(0.0)).alias("open")).first()
+        following = (whole - part["fixed"]) / part["open"] if part["open"] > 0 else factor
+        if following <= factor * (1 + 1e-12):
+            break
+        factor = following
+    return factor
+
+
+def marginal_targets(cells: DataFrame, dim: str, wanted: dict | None, power: float, budget: float, total: int) -> DataFrame:
+    """(dim, target) for the values that have tokens; targets sum to 1, none beyond what a value can give."""
+    own = cells.groupBy(dim).agg(F.sum("tokens").cast("double").alias("t"))
+    most = (F.col("t") * F.lit(reserve_of(budget) / (budget * total))).alias("most")
     if wanted is None:
-        raw = own.select(dim, F.pow("t", F.lit(power)).alias("raw"))
+        raw = own.select(dim, most, F.pow("t", F.lit(power)).alias("raw"))
     else:
         schema = T.StructType([T.StructField("value", T.StringType()), T.StructField("share", T.DoubleType())])
         given = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in wanted.items()], schema)
         own = own.join(given, F.col(dim).cast("string").eqNullSafe(F.col("value")), "left").drop("value")
-        free = F.when(F.col("share").isNull(), F.col("t")).otherwise(0.0)
-        rest = F.lit(max(0.0, 1.0 - sum(wanted.values())))
-        raw = own.join(F.broadcast(own.agg(F.sum(free).alias("free")))).select(dim, F.coalesce("share", rest * F.col("t") / F.col("free")).alias("raw"))
-    whole = raw.agg(F.sum("raw").alias("whole"))
-    return raw.join(F.broadcast(whole)).select(dim, (F.col("raw") / F.col("whole")).alias("target"))
-
-
-def _joined(cells: DataFrame, factors: dict[str, DataFrame]) -> DataFrame:
-    for dim, table in factors.items():
-        own = table.select(F.col(dim).alias("v"), F.col("factor").alias(f"f_{dim}"))
-        cells = cells.join(own, cells[dim].eqNullSafe(own["v"]), "left").drop("v")
-    return cells
-
-
-def _weight(dims) -> Column:
-    weight = F.col("tokens").cast("double")
+        free = own.agg(F.sum(F.when(F.col("share").isNull(), F.col("t"))).alias("free")).first()["free"] or 1.0
+        rest = max(0.0, 1.0 - sum(wanted.values()))
+        raw = own.select(dim, most, F.coalesce("share", F.lit(rest / free) * F.col("t")).alias("raw"))
+    raw = materialize(raw, "shares")
+    whole = raw.agg(F.sum("raw").alias("whole")).first()["whole"] or 1.0
+    factor = _filled(raw, 1.0)
+    if wanted is not None and factor * whole > 1 + 1e-9:
+        warnings.warn(f"targets of {dim} ask for more tokens than some values have; these are cut to {reserve_of(budget):.0%} of their tokens", stacklevel=3)
+    return raw.select(dim, F.least(F.col("raw") * F.lit(factor), F.col("most")).alias("target"))
+
+
+def step_sql(rows: str, dim: str, dims) -> str:
+    """Cells after one marginal is set: ``u`` (unbounded share) times the factor f with which
+    least(f * u, most) sums to the target, found among the factors that assume the first k cells by
+    most / u to be at their bound; ``error`` is the larger of what was and what this marginal was off."""
+    kept = ", ".join([*dims, "tokens", "cell", "most", *[f"t_{d}" for d in dims]])
+    value = f"PARTITION BY {dim}"
+    bend = f"SELECT *, CASE WHEN u > 0 THEN most / u ELSE CAST('Infinity' AS DOUBLE) END AS bend FROM ({rows}) AS r"
+    bound = f"coalesce(sum(most) OVER ({value} ORDER BY bend, cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+    left = f"nullif(sum(u) OVER ({value} ORDER BY bend DESC, cell DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0)"
+    trial = f"SELECT *, greatest(t_{dim} - {bound}, 0) / {left} AS trial FROM ({bend}) AS b"
+    fits, most = "CASE WHEN u > 0 AND trial <= bend THEN trial END", "CASE WHEN u > 0 THEN bend END"
+    found = f"SELECT *, coalesce(max({fits}) OVER ({value}), max({most}) OVER ({value}), 0) AS f, sum(least(u, most)) OVER ({value}) AS held FROM ({trial}) AS t"
+    off = f"CASE WHEN t_{dim} > 0 THEN abs(held / t_{dim} - 1) ELSE held END"
+    return f"SELECT {kept}, CASE WHEN u > 0 THEN u * f ELSE 0 END AS u, greatest(error, {off}) AS error FROM ({found}) AS f"
+
+
+def sweep_sql(rows: str, dims) -> str:
+    """One raking sweep over all marginals; ``error`` starts anew."""
+    kept = ", ".join([*dims, "tokens", "cell", "most", *[f"t_{d}" for d in dims], "u"])
+    rows = f"SELECT {kept}, CAST(0 AS DOUBLE) AS error FROM {rows}"
     for dim in dims:
-        weight = weight * F.coalesce(f"f_{dim}", F.lit(0.0))
-    return weight
-
-
-def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = MOST_SWEEPS, tolerance: float = TOLERANCE) -> DataFrame:
-    """Cells with ``weight``, a share of all, whose marginals meet their targets within ``tolerance``
-    (relative); a warning gives the error where ``sweeps`` sweeps do not bring them there."""
-    dims, most = list(targets), cells.count()  # no marginal has more values than there are cells
-    targets = {dim: materialize(t, "targets", most) for dim, t in targets.items()}
-    factors = {dim: t.select(dim, "target", F.lit(1.0).alias("factor")) for dim, t in targets.items()}
-    errors: list[float] = []
-    for _ in range(sweeps):
-        for dim in dims:
-            others = [d for d in dims if d != dim]
-            held = _joined(cells, {d: factors[d] for d in others}).groupBy(dim).agg(F.sum(_weight(others)).alias("held"))
-            own = factors[dim].select(F.col(dim).alias("v"), "target", F.col("factor").alias("was"))
-            table = held.join(own, F.col(dim).eqNullSafe(F.col("v"))).drop("v")
-            factor, found = F.when(F.col("held") > 0, F.col("target") / F.col("held")).otherwise(0.0), F.col("held") * F.col("was")
-            error = F.when(F.col("target") > 0, F.abs(found / F.col("target") - 1)).otherwise(found)
-            factors[dim] = materialize(table.select(dim, "target", factor.alias("factor"), error.alias("error")), "factors", most)
-        each = [factors[dim].select("error") for dim in dims]
-        whole = each[0]
-        for more in each[1:]:
-            whole = whole.unionAll(more)
-        errors.append(whole.agg(F.max("error").alias("error")).first()["error"] or 0.0)  # what the sweep found before it set each marginal
+        rows = step_sql(rows, dim, dims)
+    return rows
+
+
+def rake(cells: DataFrame, dims, sweeps: int = MOST_SWEEPS, tolerance: float = TOLERANCE) -> tuple[DataFrame, float]:
+    """(cells with the fitted ``u``, largest relative error of a marginal); a warning gives the error where
+    ``sweeps`` sweeps do not bring it below ``tolerance``."""
+    now, errors, done = materialized(cells, "rake"), [], 0
+    files = 1 + now.df.count() // ROWS_PER_FILE  # in one partition windows need no exchange
+    while done < sweeps:
+        following = now.df.coalesce(files)
+        for _ in range(min(SWEEPS_A_JOB, sweeps - done)):
+            following = cells.sparkSession.sql(sweep_sql("{cells}", dims), cells=following)
+            done += 1
+        after = materialized(following, "rake")
+        now.drop()
+        now = after
+        errors.append(now.df.agg(F.max("error").alias("error")).first()["error"] or 0.0)  # found by the last sweep before it set each marginal
         stuck = len(errors) > 10 and abs(errors[-1] - errors[-11]) <= 1e-9 * errors[-1]
         if errors[-1] <= tolerance or stuck:
             break
-    if errors and errors[-1] > tolerance:
-        warnings.warn(f"marginals miss their targets by up to {errors[-1]:.3g} (relative) after {len(errors)} sweeps", stacklevel=2)
-    return _joined(cells, factors).withColumn("weight", _weight(dims)).drop(*[f"f_{d}" for d in dims])
-
-
-def calibrate(raked: DataFrame, budget: float = BUDGET, most_steps: int = 200) -> DataFrame:
-    """Cells with ``probability`` = min(1, c * weight / tokens), c such that the expected tokens are
-    ``budget`` of all; cells that reach 1 are taken whole and the rest carry what is left."""
-    cells = materialize(raked.withColumn("ratio", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)), "raked")
-    total = cells.agg(F.sum("tokens").alias("t")).first()["t"] or 0
-    factor = 0.0
-    for _ in range(most_steps):
-        taken = F.col("ratio") * F.lit(factor) >= 1
-        part = cells.agg(
-            F.coalesce(F.sum(F.when(taken, F.col("tokens"))), F.lit(0)).alias("taken"),
-            F.coalesce(F.sum(F.when(~taken, F.col("ratio") * F.col("tokens"))), F.lit(0.0)).alias("open"),
-        ).first()
-        following = (budget * total - part["taken"]) / part["open"] if part["open"] > 0 else float("inf")
-        if following <= factor * (1 + 1e-12):
-            break
-        factor = following
-    p = F.when(F.col("ratio") > 0, F.least(F.lit(1.0), F.lit(factor) * F.col("ratio"))).otherwise(F.lit(0.0 if total else 1.0))
-    return cells.withColumn("probability", p).drop("ratio")
+    error = errors[-1] if errors else 0.0
+    if error > max(tolerance, 1e-6):
+        warnings.warn(f"marginals contradict each other: they miss their targets by up to {error:.3g} (relative) after {done} sweeps", stacklevel=2)
+    return now.df, error
+
+
+def fitted_cells(found: DataFrame, dims, targets: dict[str, dict] | None, budget: float, sweeps: int) -> DataFrame:
+    """dims, tokens, weight (share of the sample) and probability of every cell."""
+    found = materialize(found, "cells")
+    total = found.agg(F.sum("tokens").alias("t")).first()["t"] or 0
+    if not total:
+        return found.withColumn("weight", F.lit(0.0)).withColumn("probability", F.lit(1.0))
+    full = found.where("tokens > 0")
+    cells = full.withColumns({"cell": F.xxhash64(*dims), "u": F.col("tokens") / F.lit(float(total)), "most": F.col("tokens") / F.lit(budget * total), "error": F.lit(0.0)})
+    for dim in dims:
+        wanted = marginal_targets(full, dim, (targets or {}).get(dim), FLATTEN.get(dim, 1.0), budget, total)
+        own = wanted.select(F.col(dim).alias("v"), F.col("target").alias(f"t_{dim}"))
+        cells = cells.join(own, cells[dim].eqNullSafe(own["v"])).drop("v")
+    raked, _ = rake(cells, dims, sweeps)
+    fitted = raked.select(*dims, "tokens", F.least("u", "most").alias("weight"), F.least(F.lit(1.0), F.col("u") / F.col("most")).alias("probability"))
+    return fitted.unionByName(found.where("tokens = 0").withColumns({"weight": F.lit(0.0), "probability": F.lit(0.0)}))
 
 
 def mixed(
@@ -161,9 +196,7 @@ def mixed(
     names = {x: free_name(docs, x) for x in (*dims, "tokens", "probability", "kept")}
     rows = docs.withColumns({names[d]: value for d, value in dims.items()} | {names["tokens"]: tokens})
     found = rows.groupBy(*[F.col(names[d]).alias(d) for d in dims]).agg(F.sum(names["tokens"]).alias("tokens"))
-    cells = materialize(found, "cells")
-    wanted = {d: marginal_targets(cells, d, (targets or {}).get(d), FLATTEN.get(d, 1.0)) for d in dims}
-    fitted = materialize(calibrate(rake(cells, wanted, sweeps), budget), "fitted")
+    fitted = materialize(fitted_cells(found, list(dims), targets, budget, sweeps), "fitted")
     chance = fitted.select(*[F.col(d).alias(f"cell_{d}") for d in dims], F.col("probability").alias(names["probability"]))
     same = [rows[names[d]].eqNullSafe(chance[f"cell_{d}"]) for d in dims]
     condition = same[0]
@@ -180,50 +213,44 @@ def document_dims() -> dict[str, Column]:
 
 def document_mixture(docs: DataFrame) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, probability and kept of every document."""
-    slim = docs.select("doc_id", *[c.alias(d) for d, c in document_dims().items()], token_estimate(F.col("text")).alias("n_tokens"))
+    slim = docs.select("doc_id", *[c.alias(d) for d, c in document_dims().items()], token_count(F.col("text")).alias("n_tokens"))
     placed, _, names = mixed(slim, {d: F.col(d) for d in DIMS}, F.col("n_tokens"))
     return placed.select("doc_id", *DIMS, "n_tokens", F.round(names["probability"], 6).alias("probability"), F.col(names["kept"]).alias("kept"))
 
 
 def keep_sampled(docs: DataFrame) -> DataFrame:
     """The documents the mixture keeps, with their own columns."""
-    placed, _, names = mixed(docs, document_dims(), token_estimate(F.col("text")))
+    placed, _, names = mixed(docs, document_dims(), token_count(F.col("text")))
     return placed.where(F.col(names["kept"])).select(*[F.col(quoted(c)) for c in docs.columns])
 
 
-def mixture_sql(sweeps: int = SWEEPS, budget: float = BUDGET, seed: int = SEED, steps: int = 40) -> str:
-    """The same rows in DuckDB SQL over ``documents``."""
+def mixture_sql(sweeps: int = 120, budget: float = BUDGET, seed: int = SEED) -> str:
+    """The same rows in DuckDB SQL over ``documents``: targets filled and marginals set by window sums,
+    the sweeps as a recursion."""
+
+    def filled(shares: str) -> str:
+        """least(factor * raw, most) summing to 1."""
+        return f"""SELECT *, coalesce(max(trial) FILTER (trial <= bend) OVER (), max(bend) OVER ()) AS f FROM (SELECT *, most / raw AS bend,
+            (1 - coalesce(sum(most) OVER (ORDER BY most / raw, value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(raw) OVER (ORDER BY most / raw DESC, value DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS trial FROM {shares})"""
+
     ctes = [
-        """d AS (SELECT doc_id, source, lang, coalesce(text, '') AS x,
-            CAST(ceil(strlen(coalesce(text, '')) / 4.0) AS BIGINT) AS n_tokens FROM documents)""",
-        """p AS (SELECT doc_id, source, lang, n_tokens, CASE WHEN contains(x, ' | ') THEN 'table' WHEN contains(x, '!!') THEN 'shout'
-            WHEN contains(x, '###') OR contains(x, '$$$') THEN 'marked' WHEN strlen(x) < 600 THEN 'short' ELSE 'prose' END AS topic FROM d)""",
-        "cells AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM p GROUP BY ALL)",
+        f"""p AS MATERIALIZED (SELECT doc_id, source, lang, len(regexp_extract_all(x, '{TOKEN}')) AS n_tokens, CASE WHEN contains(x, ' | ') THEN 'table' WHEN contains(x, '!!') THEN 'shout'
+            WHEN contains(x, '###') OR contains(x, '$$$') THEN 'marked' WHEN strlen(x) < 600 THEN 'short' ELSE 'prose' END AS topic FROM (SELECT doc_id, source, lang, coalesce(text, '') AS x FROM documents))""",
+        "found AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens, sum(sum(n_tokens)) OVER ()::DOUBLE AS total, row_number() OVER () AS cell FROM p GROUP BY source, lang, topic)",
     ]
     for dim in DIMS:
-        ctes.append(f"""t_{dim} AS MATERIALIZED (SELECT {dim}, pow(t, {FLATTEN[dim]}) / sum(pow(t, {FLATTEN[dim]})) OVER () AS target
-            FROM (SELECT {dim}, CAST(sum(tokens) AS DOUBLE) AS t FROM cells GROUP BY 1) WHERE t > 0)""")
-    now = {dim: f"(SELECT {dim}, 1.0::DOUBLE AS factor FROM t_{dim})" for dim in DIMS}
-    joins = lambda dims: " ".join(f"LEFT JOIN {now[d]} f_{d} ON f_{d}.{d} IS NOT DISTINCT FROM c.{d}" for d in dims)
-    weight = lambda dims: "c.tokens::DOUBLE" + "".join(f" * coalesce(f_{d}.factor, 0)" for d in dims)
-    for k in range(sweeps):
-        for dim in DIMS:
-            others = [d for d in DIMS if d != dim]
-            ctes.append(f"""f_{dim}_{k} AS MATERIALIZED (SELECT h.{dim}, CASE WHEN held > 0 THEN target / held ELSE 0 END AS factor
-                FROM (SELECT c.{dim}, sum({weight(others)}) AS held FROM cells c {joins(others)} GROUP BY 1) h
-                JOIN t_{dim} t ON t.{dim} IS NOT DISTINCT FROM h.{dim})""")
-            now[dim] = f"f_{dim}_{k}"
-    ctes.append(f"""raked AS MATERIALIZED (SELECT c.source, c.lang, c.topic, c.tokens, sum(c.tokens) OVER () AS total,
-        CASE WHEN c.tokens > 0 THEN {weight(DIMS)} / c.tokens ELSE 0 END AS ratio FROM cells c {joins(DIMS)})""")
-    before = "(SELECT 0.0::DOUBLE AS c)"
-    for k in range(steps):
-        ctes.append(f"""c_{k} AS MATERIALIZED (SELECT CASE WHEN open > 0 THEN greatest(b.c, ({budget} * total - taken) / open) ELSE 'inf'::DOUBLE END AS c
-            FROM (SELECT max(total) AS total, coalesce(sum(tokens) FILTER (ratio * c >= 1), 0) AS taken,
-                coalesce(sum(ratio * tokens) FILTER (NOT ratio * c >= 1), 0) AS open FROM raked, {before}), {before} b)""")
-        before = f"c_{k}"
-    return f"""WITH {", ".join(ctes)}
+        shares = f"(SELECT {dim}, row_number() OVER () AS value, pow(sum(tokens), {FLATTEN[dim]}) AS raw, sum(tokens) * {reserve_of(budget)} / ({budget} * any_value(total)) AS most FROM found WHERE tokens > 0 GROUP BY {dim})"
+        ctes.append(f"t_{dim} AS MATERIALIZED (SELECT {dim}, least(raw * f, most) AS target FROM ({filled(shares)}))")
+    joins = " ".join(f"JOIN t_{d} ON t_{d}.{d} IS NOT DISTINCT FROM c.{d}" for d in DIMS)
+    goals = ", ".join(f"t_{d}" for d in DIMS)
+    start = f"SELECT 0 AS k, c.source, c.lang, c.topic, tokens, cell, tokens / ({budget} * total) AS most, {', '.join(f't_{d}.target AS t_{d}' for d in DIMS)}, tokens / total AS u FROM found c {joins} WHERE tokens > 0"
+    sweep = sweep_sql(f"raked WHERE k < {sweeps}", DIMS)
+    kept = f"source, lang, topic, tokens, cell, most, {goals}, u"
+    ctes.append(f"raked AS ({start} UNION ALL SELECT (SELECT max(k) + 1 FROM raked), {kept} FROM ({sweep}))")
+    return f"""WITH RECURSIVE {", ".join(ctes)}
         SELECT doc_id, p.source, p.lang, p.topic, n_tokens, round(pr, 6) AS probability,
             ('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13))::BIGINT / {float(1 << 52)} < pr AS kept
-        FROM p JOIN (SELECT source, lang, topic, CASE WHEN ratio > 0 THEN least(1.0, c * ratio) ELSE CASE WHEN total > 0 THEN 0.0 ELSE 1.0 END END AS pr
-            FROM raked, {before}) r
-        ON p.source IS NOT DISTINCT FROM r.source AND p.lang IS NOT DISTINCT FROM r.lang AND p.topic IS NOT DISTINCT FROM r.topic"""
+        FROM p JOIN (SELECT f.source, f.lang, f.topic, CASE WHEN total = 0 THEN 1.0 WHEN tokens = 0 THEN 0.0 ELSE least(1.0, u / most) END AS pr
+            FROM found f LEFT JOIN (SELECT cell, u, most FROM raked WHERE k = {sweeps}) r USING (cell)) c
+        ON p.source IS NOT DISTINCT FROM c.source AND p.lang IS NOT DISTINCT FROM c.lang AND p.topic IS NOT DISTINCT FROM c.topic"""
