@@ -95,3 +95,42 @@ def test_machines_separate_and_calibrate():
     a, c = fit_sigmoid(margin, y)
     p = 1 / (1 + np.exp(-(a * margin + c)))
     assert abs(p.mean() - (y > 0).mean()) < 0.05
+
+
+def test_predictions_against_a_plain_loop():
+    """Family by the largest share, language by votes of its pairs, one text and one machine at a time."""
+    rows = corpus(240, seed=4)
+    x = L.root_frequencies([r[1] for r in rows], L.DIMS)
+    lang = np.array([r[2] or "en" for r in rows], dtype=object)
+    model = L.fit(x[:160], lang[:160])
+    labels, score = model.predict([r[1] for r in rows[160:]])
+    sigmoid = lambda m, k: 1 / (1 + np.exp(-(m * model.slope[k] + model.shift[k])))
+    for text, got, value in zip((r[1] for r in rows[160:]), labels, score):
+        if not text or not any(c.isalpha() for c in text):
+            assert (got, value) == (L.UNKNOWN, 0)
+            continue
+        v = L.root_frequencies([text], L.DIMS)[0].astype(float)
+        p = [sigmoid(float(v @ w) + b, k) for k, (w, b) in enumerate(zip(model.weights.astype(float), model.bias))]
+        names = list(model.families)
+        at = len(names) if len(names) > 1 else 0
+        share = {n: p[k] / sum(p[:at]) if at else 1.0 for k, n in enumerate(names)}
+        best = max(names, key=lambda n: (share[n], -names.index(n)))
+        for n in names:
+            own = model.families[n]
+            pairs = {}
+            for i in range(len(own)):
+                for j in range(i + 1, len(own)):
+                    pairs[i, j], at = p[at], at + 1
+            if n == best:
+                votes = [sum((q >= 0.5) if i == a else (q < 0.5) if j == a else 0 for (i, j), q in pairs.items()) for a in range(len(own))]
+                belief = [sum(q if i == a else 1 - q if j == a else 0 for (i, j), q in pairs.items()) for a in range(len(own))]
+                a = max(range(len(own)), key=lambda a: (votes[a], belief[a], -a))
+                least = min([q if i == a else 1 - q for (i, j), q in pairs.items() if a in (i, j)], default=1.0)
+                assert got == own[a] and abs(value - share[n] * least) < 1e-4
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"{chr(97 + k % 26)}{chr(97 + k // 26)} " * 20, f"x{k}") for k in range(60) for i in (2 * k, 2 * k + 1)]
+    sample = L.training_sample(frame(spark, rows), 300, 40, "doc_id", "text", "lang").collect()
+    held = {r.lang for r in frame(spark, rows).where(~L.held_out("doc_id")).select("lang").distinct().collect()}
+    assert {r.lang for r in sample} == held

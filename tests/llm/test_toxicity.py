@@ -42,14 +42,39 @@ def test_later_models_learn_from_out_of_fold_probabilities(monkeypatch):
     rows, y = [X.text_features(t) for _, t in docs], np.array([x[1:] for x in labels], dtype=float)
     fits = []
     real = X.train_svm
-    monkeypatch.setattr(X, "train_svm", lambda x, t, **o: fits.append(x.copy()) or real(x, t, **o))
+    monkeypatch.setattr(X, "train_svm", lambda x, t, **o: fits.append((x.copy(), o.get("use"))) or real(x, t, **o))
     model = X.fit(rows, y, ["a", "b"])
     w, bias, slope, shift = model.steps[0]
-    in_fold = X.sigmoid((fits[0].astype(float) @ w + bias) * slope + shift)
-    fed = fits[1][:, -1]
-    target = np.where(y[:, 0] > 0, 1, -1)
-    own = X.sigmoid(X.out_of_fold(fits[0], target, np.arange(200) % X.FOLDS, X.FOLDS, reg=1e-5, steps=200) * slope + shift)
-    assert np.allclose(fed, own, atol=1e-5) and not np.allclose(fed, in_fold, atol=1e-3)
+    whole = next(x for x, use in fits if use is None)
+    in_fold = X.sigmoid((whole.astype(float) @ w + bias) * slope + shift)
+    fed = fits[-1][0][:, -1]
+    fold, target = np.arange(200) % X.FOLDS, np.where(y[:, 0] > 0, 1, -1)
+    own = np.zeros(200)
+    for k in range(X.FOLDS):  # nothing of a fold is seen: neither for choosing features nor for weights
+        seen = X.select_features([r for r, f in zip(rows, fold) if f != k], y[fold != k], 2048)
+        z, _ = X.presence_matrix(rows, seen, 0)
+        v, b = real(z, target, reg=1e-5, steps=200, use=fold != k)
+        own[fold == k] = z[fold == k] @ v + b
+    assert np.allclose(fed, X.sigmoid(own * slope + shift), atol=1e-5) and not np.allclose(fed, in_fold, atol=1e-3)
+
+
+def test_predictions_against_a_plain_loop():
+    docs, labels = corpus(240, seed=9)
+    rows, y = [X.text_features(t) for _, t in docs[:160]], np.array([x[1:] for x in labels[:160]], dtype=float)
+    model = X.fit(rows, y, ["a", "b"])
+    got = model.predict([t for _, t in docs[160:]] + [None])
+    for text, p in zip([t for _, t in docs[160:]] + [None], got):
+        held, earlier = set(X.text_features(text).tolist()), []
+        for w, bias, slope, shift in model.steps:
+            margin = bias + sum(float(w[k]) * float(model.scale[k]) for k, f in enumerate(model.features.tolist()) if f in held) + sum(float(v) * q for v, q in zip(w[len(model.features) :], earlier))
+            earlier.append(1 / (1 + np.exp(-(margin * slope + shift))))
+        assert np.allclose(p, earlier, atol=1e-5)
+
+
+def test_capitals_are_counted_by_one_rule_at_every_length():
+    for n in (4090, 4095, 4096, 4100, 20_000):
+        text = ("\u041f\u0440\u0418" * n)[:n]  # two of three letters are Cyrillic capitals
+        assert X.zlib.crc32(b"upper 6") in X.shape_features(text)
 
 
 def test_query_nulls_repeats_and_clashes(spark):

@@ -18,7 +18,8 @@ yields only the rows it matches, which are merged by row.
 
 Defined results: words are runs of letters, digits and underscores, lower-cased; items or documents of
 fewer than five words use their whole word sequence as the one shingle; null, empty or wordless texts
-and items match nothing; texts are never cut; repeated rows each give a row; an empty benchmark or an
+and items match nothing; an item without an id is matched like any other and named by null; identifiers
+keep the type they have; texts are never cut; repeated rows each give a row; an empty benchmark or an
 empty table gives no matches or an empty result; other columns pass through.
 """
 
@@ -34,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from vecloom.llm.tables import free_name, quoted
 from vecloom.plans.durable import materialize
@@ -147,7 +149,7 @@ class Benchmark:
         self.by_length: dict[int, WindowIndex] = {}
         for item_id, text in items:
             words = words_of(text)
-            if item_id is None or not words:
+            if not words:
                 continue
             ids = np.array([self.number.setdefault(w, len(self.number)) for w in words], dtype=np.int64)
             index = self.by_length.get(len(words))
@@ -187,14 +189,16 @@ class Benchmark:
 
 def benchmark_blocks(benchmark: DataFrame, max_items: int = 20_000, max_bytes: int = 32 << 20, id_col="item_id", text_col="text") -> list[list[tuple]]:
     """How many blocks the counted size of the benchmark asks for, and a function reading each."""
-    slim = benchmark.select(F.col(quoted(id_col)).alias("i"), F.col(quoted(text_col)).cast("string").alias("t")).where("i is not null and t is not null").distinct()
+    slim = benchmark.select(F.col(quoted(id_col)).alias("i"), F.col(quoted(text_col)).cast("string").alias("t")).where("t is not null").distinct()
     size = slim.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("t")).alias("b")).first()
     count = max(1, -(-size["n"] // max_items), -(-(size["b"] or 0) // max_bytes))
     return [slim.where(F.pmod(F.xxhash64("i", "t"), F.lit(count)) == k) for k in range(count)]
 
 
-_FOUND = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("first_word", T.IntegerType()), T.StructField("n_words", T.IntegerType())])
-_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int32()), ("n_words", pa.int32())]))
+def _found_type(ident: T.DataType) -> tuple[T.StructType, pa.DataType]:
+    """The type of one match, for Spark and for Arrow."""
+    fields = [("item_id", ident), ("similarity", T.DoubleType()), ("first_word", T.IntegerType()), ("n_words", T.IntegerType())]
+    return T.StructType([T.StructField(n, k) for n, k in fields]), pa.list_(pa.struct([(n, to_arrow_type(k)) for n, k in fields]))
 
 
 def _pass(rows: DataFrame, items: DataFrame, name: str, similarity: float) -> DataFrame:
@@ -202,7 +206,8 @@ def _pass(rows: DataFrame, items: DataFrame, name: str, similarity: float) -> Da
     found = Benchmark([(r["i"], r["t"]) for r in items.collect()], similarity)
     shared = rows.sparkSession.sparkContext.broadcast(found)
     at = len(rows.columns) - 1
-    schema = T.StructType([*rows.schema.fields[:at], T.StructField(name, T.ArrayType(_FOUND))])
+    kind, arrow = _found_type(items.schema["i"].dataType)
+    schema = T.StructType([*rows.schema.fields[:at], T.StructField(name, T.ArrayType(kind))])
 
     def scan(batches):
         known = shared.value
@@ -210,9 +215,9 @@ def _pass(rows: DataFrame, items: DataFrame, name: str, similarity: float) -> Da
             made = []
             for x in batch.column(at):
                 best = known.find(x.as_py())
-                made.append([{"item_id": i, "similarity": v[0], "first_word": v[1], "n_words": v[2]} for i, v in sorted(best.items())])
-            fields = [*list(batch.schema)[:at], pa.field(name, _ARROW)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(made, _ARROW)], schema=pa.schema(fields))
+                made.append([{"item_id": i, "similarity": v[0], "first_word": v[1], "n_words": v[2]} for i, v in sorted(best.items(), key=lambda m: (m[0] is None, m[0]))])
+            fields = [*list(batch.schema)[:at], pa.field(name, arrow)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(made, arrow)], schema=pa.schema(fields))
 
     return rows.mapInArrow(scan, schema)
 
@@ -236,7 +241,7 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     merged = partial.select("key", F.explode("found").alias("f")).groupBy("key").agg(F.sort_array(F.collect_set("f")).alias(name))
     h = free_name(docs, "key")
     joined = docs.select(*[F.col(quoted(c)) for c in keep], key.alias(h)).join(merged.withColumnRenamed("key", h), h, "left")
-    return joined.select(*[F.col(quoted(c)) for c in keep], F.coalesce(F.col(name), F.array().cast(T.ArrayType(_FOUND))).alias(name))
+    return joined.select(*[F.col(quoted(c)) for c in keep], F.coalesce(F.col(name), F.array().cast(joined.schema[name].dataType)).alias(name))
 
 
 def document_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

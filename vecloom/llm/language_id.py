@@ -6,8 +6,8 @@ every pair of its languages votes.  The score is P(family) times the least calib
 the chosen language in its pairs, which does not shrink with the number of languages in the family.
 
 Learning uses only text and non-null lang of rows whose crc32(doc_id as text) mod 4 is not 2, of which
-a bounded sample is taken: at most ``per_language`` rows a language and ``max_rows`` in all, by the
-order of a hash of the id.  Scale: counting labels and drawing the sample move ids only; features of
+a bounded sample is taken: at most ``per_language`` rows a language and ``max_rows`` in all (but two rows
+of each language, however many there are), by the order of a hash of the id.  Scale: counting labels and drawing the sample move ids only; features of
 the sample come to the driver (max_rows x dims floats, 20 MB by default); prediction is a narrow Arrow
 map with the broadcast model, linear in the text, no shuffle.
 
@@ -133,7 +133,7 @@ def training_sample(docs: DataFrame, per_language: int, max_rows: int, id_col: s
     keyed = usable.select(
         F.xxhash64(F.col(quoted(id_col)), F.lit(5)).alias("h"), F.col(quoted(lang_col)).cast("string").alias("lang"), F.col(quoted(text_col)).cast("string").alias("text")
     )
-    counts = {r["lang"]: r["n"] for r in keyed.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_rows // 2).collect()}
+    counts = {r["lang"]: r["n"] for r in keyed.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return keyed.select("text", "lang").limit(0)
     each = min(per_language, max(2, max_rows // len(counts)))

@@ -10,8 +10,8 @@ Scale: equal fingerprints are collapsed first, so copies cost one row.  Three pa
 mean 67 look-ups a fingerprint of 16 bytes each; the verification is part of the join's condition, so
 only true links leave it.  Parts shared by more than ``block_rows`` fingerprints are compared in
 blocks that give back spanning forests (see hotblocks), so a dense group never becomes all its pairs.
-Beyond some 10^9 different fingerprints ``segments=2`` (1,058 look-ups, 32-bit parts) has fewer chance
-matches; both are exact.
+Beyond ``THREE_PARTS`` counted fingerprints two parts of 32 bits (1,058 look-ups) have fewer chance
+matches; the links are the same.
 
 Defined results: a null or wordless text has fingerprint zero and links like any other; rows with a
 null doc_id take their component from their group (null if no row of the component has an id);
@@ -40,6 +40,7 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 RADIUS = 4
 SHINGLE = 4
 SEED = 42
+THREE_PARTS = 1 << 30  # different fingerprints up to which three parts are the better cut
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -137,9 +138,10 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS, segments: int = 3
     return links.unionByName(blocks.applyInPandas(compare, "src long, dst long"))
 
 
-def group_by_fingerprint(prints: DataFrame, radius: int = RADIUS, segments: int = 3, order: str = "doc_id") -> DataFrame:
+def group_by_fingerprint(prints: DataFrame, radius: int = RADIUS, segments: int | None = None, order: str = "doc_id") -> DataFrame:
     """(fp, component_id): for each different fingerprint, the smallest ``order`` its component holds."""
     nodes = materialize(prints.groupBy("fp").agg(F.min(order).alias("first_id")), "fingerprints")
+    segments = segments or (3 if nodes.count() <= THREE_PARTS else 2)
     linked = connected_components(fingerprint_links(nodes.select("fp"), radius, segments))  # a written table
     low = (
         linked.join(nodes, linked.node == nodes.fp)
@@ -151,14 +153,14 @@ def group_by_fingerprint(prints: DataFrame, radius: int = RADIUS, segments: int
     return nodes.join(low, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, segments: int = 3) -> DataFrame:
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, segments: int | None = None) -> DataFrame:
     """One row per row of ``docs``: id, fingerprint (16 hex digits) and component_id."""
     prints = materialize(with_fingerprint(docs, [F.col(quoted(id_col)).alias("doc_id")], text_col), "doc-fingerprints")
     groups = materialize(group_by_fingerprint(prints, radius, segments), "groups")  # its size known, the join can split hot fingerprints
     return prints.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, segments: int = 3) -> DataFrame:
+def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, segments: int | None = None) -> DataFrame:
     """``docs`` with one row of each component: the smallest id, then the smallest hash of the row.
 
     Rows without an id stay only where no row of their component has one.

@@ -2,8 +2,8 @@
 
 The categories are predicted one after another.  Each category has a linear SVM over the binary
 presence of selected text features plus the probabilities of all earlier categories; what it learns
-from are out-of-fold probabilities (each row's from models that never saw its fold), so a later model
-meets at training the same kind of earlier prediction it meets in use.  Margins become probabilities
+from are out-of-fold probabilities (each row's from models, and from features selected, without its
+fold), so a later model meets at training the same kind of earlier prediction it meets in use.  Margins become probabilities
 by a sigmoid fitted on out-of-fold margins.
 
 Features are words, their prefixes of 4 to 8 letters (so that inflected forms share evidence), runs of
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecloom.llm.svm import fit_sigmoid, out_of_fold, sigmoid, train_svm
+from vecloom.llm.svm import fit_sigmoid, sigmoid, train_svm
 from vecloom.llm.tables import quoted
 from vecloom.plans.durable import materialize
 
@@ -54,7 +54,7 @@ def word_features(token: str) -> list[int]:
 
 def shape_features(text: str) -> list[int]:
     n = max(1, len(text))
-    upper = sum(map(str.isupper, text)) if len(text) < 4096 else len(re.findall(r"[A-ZÀ-ÖØ-Þ]", text))
+    upper = sum(map(str.isupper, text))
     symbols = len(re.findall(r"[^\w\s]", text))
     names = (f"length {len(text).bit_length()}", f"upper {10 * upper // n}", f"symbols {10 * symbols // n}")
     return [zlib.crc32(x.encode()) for x in names]
@@ -133,10 +133,10 @@ def select_features(rows: list[np.ndarray], y: np.ndarray, selected: int, least:
     return np.sort(every[order])
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, categories: list[str], selected: int = 2048) -> ChainModel:
-    features = select_features(rows, y, selected)
+def presence_matrix(rows: list[np.ndarray], features: np.ndarray, more: int) -> tuple[np.ndarray, np.ndarray]:
+    """(presence of the features, scaled, and ``more`` free columns; the scale of each feature)."""
     width = len(features)
-    x = np.zeros((len(rows), width + len(categories)), dtype=np.float32)
+    x = np.zeros((len(rows), width + more), dtype=np.float32)
     for i, row in enumerate(rows):
         at = np.searchsorted(features, row)
         at[at == width] = 0
@@ -146,8 +146,19 @@ def fit(rows: list[np.ndarray], y: np.ndarray, categories: list[str], selected:
     x[:, :width] *= scale
     largest = max(1e-9, float(np.sqrt((x[:, :width] ** 2).sum(axis=1).max(initial=0))))
     x[:, :width] /= largest
-    model = ChainModel(categories, features, (scale / largest).astype(np.float32), [])
+    return x, (scale / largest).astype(np.float32)
+
+
+def fit(rows: list[np.ndarray], y: np.ndarray, categories: list[str], selected: int = 2048) -> ChainModel:
+    features = select_features(rows, y, selected)
+    x, scale = presence_matrix(rows, features, len(categories))
+    model = ChainModel(categories, features, scale, [])
     fold = np.arange(len(rows)) % FOLDS
+    without = []  # per fold: the rows in features chosen without it
+    for k in range(FOLDS):
+        own = select_features([r for r, f in zip(rows, fold) if f != k], y[fold != k], selected)
+        without.append((presence_matrix(rows, own, len(categories))[0], len(own)))
+    width = len(features)
     for j in range(len(categories)):
         target = np.where(y[:, j] > 0, 1, -1)
         if len(set(target.tolist())) < 2:
@@ -155,13 +166,18 @@ def fit(rows: list[np.ndarray], y: np.ndarray, categories: list[str], selected:
             model.steps.append((constant,))
             p = np.full(len(rows), constant)
         else:
-            own = x[:, : width + j]
-            margin = out_of_fold(own, target, fold, FOLDS, reg=1e-5, steps=200)
+            margin = np.zeros(len(rows))
+            for k, (z, size) in enumerate(without):
+                if (fold == k).any():
+                    w, bias = train_svm(z[:, : size + j], target, reg=1e-5, steps=200, use=fold != k)
+                    margin[fold == k] = z[fold == k, : size + j] @ w + bias
             slope, shift = fit_sigmoid(margin, target)
-            w, bias = train_svm(own, target, reg=1e-5, steps=400)
+            w, bias = train_svm(x[:, : width + j], target, reg=1e-5, steps=400)
             model.steps.append((w.astype(np.float64), bias, slope, shift))
             p = sigmoid(margin * slope + shift)  # what later categories learn from: out of fold
         x[:, width + j] = p
+        for z, size in without:
+            z[:, size + j] = p
     return model
 
 
@@ -203,8 +219,11 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict, per_class: int =
 
 
 def with_probabilities(rows: DataFrame, model: ChainModel, prefix: str = "p_") -> DataFrame:
-    """Replaces the last column, the text, by a probability for each category."""
+    """Replaces the last column, the text, by a probability for each category; its names must be free."""
     at = len(rows.columns) - 1
+    clash = {f"{prefix}{c}".lower() for c in model.categories} & {c.lower() for c in rows.columns[:at]}
+    if clash:
+        raise ValueError(f"the input already has columns named {sorted(clash)}")
     shared = rows.sparkSession.sparkContext.broadcast(model)
     names = [f"{prefix}{c}" for c in model.categories]
     schema = T.StructType([*rows.schema.fields[:at], *[T.StructField(n, T.DoubleType()) for n in names]])
