@@ -121,6 +121,7 @@ def register_sql_functions(spark: SparkSession) -> list[str]:
     """The same functions for SQL, as temporary functions written in SQL."""
     total = "aggregate({}, 0D, (s, x) -> s + x)"
     vec = "ARRAY<DOUBLE>"
+    usable = "CASE WHEN second IS NOT NULL AND NOT isnan(second) AND abs(second) <> double('Infinity') AND abs({}) >= 1e-30D THEN 1 - greatest(0D, least(1D, {})) ELSE 0D END"
     bodies = {
         "vec_dot": (f"a {vec}, b {vec}", "DOUBLE", total.format("zip_with(a, b, (x, y) -> x * y)")),
         "vec_norm2": (f"a {vec}", "DOUBLE", total.format("transform(a, x -> x * x)")),
@@ -130,6 +131,12 @@ def register_sql_functions(spark: SparkSession) -> list[str]:
         "vec_angular": (f"a {vec}, b {vec}", "DOUBLE", "acos(greatest(-1D, least(1D, vec_dot(a, b))))"),
         "vec_l2_normalize": (f"a {vec}", vec, "CASE WHEN vec_norm2(a) > 1e-30D THEN element_at(transform(array(1 / sqrt(vec_norm2(a))), k -> transform(a, x -> x * k)), 1) ELSE a END"),
         "vec_truncate": (f"a {vec}, n INT", vec, "vec_l2_normalize(slice(a, 1, n))"),
+        "vec_fuse_views": (f"a {vec}, b {vec}, wa DOUBLE, wb DOUBLE", vec, "vec_l2_normalize(concat(transform(a, x -> x * sqrt(wa)), transform(b, x -> x * sqrt(wb))))"),
+        "vec_mahalanobis": (f"a {vec}, centre {vec}, variance {vec}", "DOUBLE", total.format("zip_with(zip_with(a, centre, (x, c) -> (x - c) * (x - c)), variance, (d, v) -> d / v)")),
+        "vec_confidence_distance": ("best DOUBLE, second DOUBLE", "DOUBLE", usable.format("second", "best / second")),
+        "vec_confidence_dot": ("best DOUBLE, second DOUBLE", "DOUBLE", usable.format("best", "second / best")),
+        "vec_kappa": ("r DOUBLE, dim INT", "DOUBLE", "r * (dim - r * r) / greatest(1 - r * r, 1e-10D)"),
+        "vec_kappa_banerjee": ("r DOUBLE, dim INT", "DOUBLE", "(r * dim - r * r * r) / greatest(1 - r * r, 1e-30D)"),
     }
     for name, (arguments, kind, body) in bodies.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {kind} RETURN {body}")

@@ -22,7 +22,7 @@ class AgglomerativeClustering:
 
     All linkages but single need the n x n distances and accept up to ``max_rows`` rows; single linkage
     beyond that cuts the heaviest edges of a distributed spanning tree (merge order then follows the
-    sorted edges).
+    sorted edges, ties by id).
     """
 
     def __init__(self, n_clusters: int = 2, linkage: str = "ward", metric: str = "euclidean", features: str = "features", ident: str = "id", max_rows: int = 6000, block_rows: int = BLOCK_ROWS):
@@ -59,8 +59,10 @@ class AgglomerativeClustering:
         member = frame.select("id").join(linked, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
         roots = {r["component"]: k for k, r in enumerate(member.select("component").distinct().orderBy("component").collect())}  # n_clusters rows
         numbers = frame.sparkSession.createDataFrame(list(roots.items()), "component long, label long")
-        edges = [(r["src"], r["dst"], r["weight"]) for r in kept.orderBy("weight", "src", "dst").toLocalIterator()]
-        return materialize(member.join(numbers, "component").select("id", "label"), "labels"), [e[:2] for e in edges], [e[2] for e in edges]
+        edges = kept.orderBy("weight", "src", "dst").toArrow()
+        ids = np.sort(frame.select("id").toArrow().column("id").to_numpy())
+        ends = [np.searchsorted(ids, edges.column(c).to_numpy()) for c in ("src", "dst")]
+        return materialize(member.join(numbers, "component").select("id", "label"), "labels"), merge_numbers(n, *ends), edges.column("weight").to_pylist()
 
     @property
     def labels_(self) -> DataFrame:
@@ -75,6 +77,23 @@ class AgglomerativeClustering:
         return f"AgglomerativeClustering(n_clusters={self.n_clusters}, linkage={self.linkage!r}, metric={self.metric!r})"
 
 
+def merge_numbers(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """The clusters each edge of a spanning tree joins, in the order given: rows are 0 .. n-1, the
+    cluster made by merge k is n + k; the one that holds the lowest row comes first, as in ``merged``."""
+    root, name, found = list(range(n)), list(range(n)), []
+    for k, (a, b) in enumerate(zip(left.tolist(), right.tolist())):
+        while root[a] != a:
+            root[a] = root[root[a]]
+            a = root[a]
+        while root[b] != b:
+            root[b] = root[root[b]]
+            b = root[b]
+        a, b = min(a, b), max(a, b)
+        found.append((name[a], name[b]))
+        root[b], name[a] = a, n + k
+    return found
+
+
 def merged(x: np.ndarray, n_clusters: int, linkage: str, metric: str):
     """Labels, (left, right) cluster numbers and heights of the n - n_clusters merges.
 

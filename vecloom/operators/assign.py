@@ -43,7 +43,13 @@ def pairwise(x: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
 
 
 def _short_list(x: np.ndarray, c: np.ndarray, keep: int) -> np.ndarray:
-    """Numbers of the ``keep`` centroids nearest by the expanded square, in ascending order."""
+    """Numbers of the ``keep`` centroids nearest by the expanded square, in ascending order.
+
+    Both sides are taken from the mean centroid first: far from the origin the expansion would lose the
+    differences between centroids to rounding.
+    """
+    middle = c.mean(axis=0)
+    x, c = x - middle, c - middle
     rough = np.einsum("ij,ij->i", c, c)[None, :] - 2 * (x @ c.T)
     return np.sort(np.argpartition(rough, keep - 1, axis=1)[:, :keep], axis=1)
 
@@ -80,6 +86,34 @@ def nearest_two(x: np.ndarray, c: np.ndarray, metric: str, variances: np.ndarray
     return label, best, second
 
 
+def nearest_one(x: np.ndarray, c: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """(label, raw distance) of the nearest centroid, as ``nearest_two`` finds it.
+
+    Euclidean rows are compared by the expanded square from the mean centroid; those whose two best are
+    closer than its rounding error are compared again exactly.
+    """
+    if metric != "euclidean" or len(c) == 1:
+        label, best, _ = nearest_two(x, c, metric)
+        return label, best
+    middle = c.mean(axis=0)
+    near = c - middle
+    length2 = np.einsum("ij,ij->i", near, near)
+    label, best = np.zeros(len(x), np.int64), np.empty(len(x))
+    step = max(1, CHUNK // max(c.shape))
+    for s in range(0, len(x), step):
+        part = x[s : s + step]
+        moved = part - middle
+        rough = length2[None, :] - 2 * (moved @ near.T)
+        first = rough.argmin(axis=1)
+        bound = 4e-16 * (c.shape[1] + 4) * (length2.max() + 2 * np.sqrt(np.einsum("ij,ij->i", moved, moved) * length2.max()))
+        unsure = np.nonzero((rough <= (rough[np.arange(len(part)), first] + bound)[:, None]).sum(axis=1) != 1)[0]
+        if len(unsure):
+            first[unsure] = nearest_two(part[unsure], c, metric)[0] if len(c) <= 6 else pairwise(part[unsure], c, metric).argmin(axis=1)
+        gap = part - c[first]
+        label[s : s + step], best[s : s + step] = first, np.einsum("ij,ij->i", gap, gap)
+    return label, np.where(np.isnan(best), np.inf, best)
+
+
 def confidence(best: np.ndarray, second: np.ndarray, similarity: bool = False) -> np.ndarray:
     """How clearly the best beats the second, within [0, 1]."""
     with np.errstate(all="ignore"):

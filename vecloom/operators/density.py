@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,18 +123,18 @@ class HDBSCAN:
         self.cluster_persistence_ = list(persistence)
         return self
 
-    def _frame_of(self, values, kind: str, name: str) -> DataFrame:
+    def _frame_of(self, at: int, name: str) -> DataFrame:
         if self._result is None:
             raise NotFittedError("HDBSCAN is not fitted")
-        return self._spark.createDataFrame(list(zip(self._result[0], values)), f"id long, {name} {kind}")
+        return self._spark.createDataFrame(pa.table({"id": pa.array(self._result[0]), name: pa.array(self._result[at])}))
 
     @property
     def labels_(self) -> DataFrame:
-        return self._frame_of([int(v) for v in self._result[1]] if self._result else None, "long", "label")
+        return self._frame_of(1, "label")
 
     @property
     def probabilities_(self) -> DataFrame:
-        return self._frame_of([float(v) for v in self._result[2]] if self._result else None, "double", "probability")
+        return self._frame_of(2, "probability")
 
     def fit_predict(self, df: DataFrame) -> DataFrame:
         return self.fit(df).labels_
@@ -166,92 +167,92 @@ def spanning_tree(x: np.ndarray, k: int, metric: str) -> list[tuple[float, int,
     return edges
 
 
+def single_linkage(n: int, edges) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(parent of each node, other child of its parent, size, weight of each merge) of the merge tree of a
+    spanning tree; nodes 0 .. n-1 are rows, n .. 2n-2 merges in order of weight; the root is its own parent."""
+    total = 2 * n - 1
+    parent, sibling, size, height = np.arange(total), np.arange(total), np.ones(total, np.int64), np.zeros(total)
+    top = np.arange(total)  # a shortcut towards the node that holds a row by now
+    for new, (w, a, b) in enumerate(sorted(edges), n):
+        ends = []
+        for v in (a, b):
+            path = []
+            while top[v] != v:
+                path.append(v)
+                v = top[v]
+            top[path] = v
+            ends.append(v)
+        parent[ends] = top[ends] = new
+        sibling[ends] = ends[::-1]
+        size[new], height[new] = size[ends].sum(), w
+    return parent, sibling, size, height
+
+
+def _settled(step: np.ndarray) -> np.ndarray:
+    """Where each node ends if it follows ``step`` until that stays, by doubling."""
+    while True:
+        further = step[step]
+        if (further == step).all():
+            return step
+        step = further
+
+
 def condensed_labels(n: int, edges, min_size: int, method: str, compat: bool):
-    """Labels, probabilities and stabilities from a spanning tree.
+    """Labels, probabilities and stabilities from a spanning tree (Campello, Moulavi and Sander, 2013).
 
-    The dendrogram lays rows out so that every subtree is one slice of an order; clusters are found by
-    walking slices from the top, splitting only where both sides have ``min_size`` rows.
+    All of it is array work over the merge tree.  A node with at least ``min_size`` rows is large.  Large
+    siblings each begin a cluster, other large nodes belong to that of the nearest node above that began one.
+    A row leaves its cluster at the parent of the topmost small node above it.  The cluster table (birth,
+    death, stability by one sum over rows) is swept once upwards for the best choice, once down to take it.
     """
     if not edges:
         return np.full(n, -1), np.zeros(n), []
-    parent, node = list(range(n)), list(range(n))
-
-    def find(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    sons, scale, size = {}, {}, [1] * n
-    for w, a, b in sorted(edges):
-        ra, rb = find(a), find(b)
-        new = n + len(sons)
-        sons[new] = (node[ra], node[rb])
-        scale[new] = 1 / w if w > 0 else float(np.finfo(float).max)
-        size.append(size[node[ra]] + size[node[rb]])
-        parent[rb], node[ra] = ra, new
-    root = n + len(sons) - 1
-    span = {root: (0, n)}
-    for new in range(root, n - 1, -1):
-        start, stop = span[new]
-        left, right = sons[new]
-        span[left], span[right] = (start, start + size[left]), (start + size[left], stop)
-    order = np.empty(n, np.int64)
-    for i in range(n):
-        order[span[i][0]] = i
-    owner, fell = np.full(n, root), np.zeros(n)
-    birth, death, kids, found = {root: scale[root]}, {}, {root: []}, [root]
-    todo = [(root, root)]
-    while todo:
-        at, cluster = todo.pop()
-        lam = scale[at]
-        big = [s for s in sons[at] if size[s] >= min_size]
-        if len(big) == 2:
-            death[cluster] = lam
-            for s in big:
-                birth[s], kids[s] = lam, []
-                kids[cluster].append(s)
-                found.append(s)
-                todo.append((s, s))
-        else:
-            for s in sons[at]:
-                if s in big:
-                    todo.append((s, cluster))
-                else:
-                    rows = order[slice(*span[s])]
-                    owner[rows], fell[rows] = cluster, lam
-    stability = {}
     huge = float(np.finfo(float).max)
-    for c in found:
-        gain = fell[owner == c] - birth[c]
-        stability[c] = float(min(gain[gain > 0].sum(), huge)) if len(gain) else 0.0
-        death.setdefault(c, max(float(fell[owner == c].max(initial=0)), birth[c]))
-    chosen = set(c for c in found if not kids[c])
-    if method == "eom":
-        best = dict(stability)
-        for c in reversed(found):
-            if kids[c]:
-                below = sum(best[s] for s in kids[c])
-                if stability[c] >= below:
-                    under = list(kids[c])
-                    while under:
-                        s = under.pop()
-                        chosen.discard(s)
-                        under += kids[s]
-                    chosen.add(c)
-                else:
-                    best[c] = below
-    labels, p = np.full(n, -1), np.zeros(n)
-    picked = sorted(chosen)
-    for number, c in enumerate(picked):
-        members = {c}
-        if not compat:
-            under = list(kids[c])
-            while under:
-                s = under.pop()
-                members.add(s)
-                under += kids[s]
-        rows = np.isin(owner, list(members))
-        labels[rows] = number
-        p[rows] = np.clip((fell[rows] - birth[c]) / max(death[c] - birth[c], 1e-15), 0, 1)
-    return labels, p, [stability[c] for c in picked]
+    parent, sibling, size, height = single_linkage(n, edges)
+    density = np.where(height > 0, 1 / np.where(height > 0, height, 1.0), huge)
+    nodes, root = np.arange(len(parent)), len(parent) - 1
+    large = size >= min_size
+    begins = large & large[sibling] & (parent != nodes)
+    begins[root] = True
+    home = _settled(np.where(begins, nodes, parent))
+    topmost = _settled(np.where(~large & ~large[parent], parent, nodes))[:n]
+    left = np.where(topmost == root, root, parent[topmost])  # the merge at which each row leaves its cluster
+    heads = np.nonzero(begins)[0]
+    number = np.full(len(parent), -1)
+    number[heads] = np.arange(len(heads))
+    row_cluster, row_density = number[home[left]], density[left]
+    birth = np.where(heads == root, density[root], density[parent[heads]])
+    above = np.where(heads == root, -1, number[home[parent[heads]]])
+    count = len(heads)
+    with np.errstate(over="ignore"):
+        gain = np.clip(row_density - birth[row_cluster], 0, None)
+        stability = np.minimum(np.bincount(row_cluster, weights=gain, minlength=count), huge)
+    # a cluster dies where it splits in two; one that never does, with its last row
+    death = birth.copy()
+    np.maximum.at(death, row_cluster, row_density)
+    inner = np.zeros(count, bool)
+    split = above >= 0
+    inner[above[split]] = True
+    death[above[split]] = birth[split]
+    best, below = stability.copy(), np.zeros(count)
+    keeps = ~inner
+    for c in range(count):  # a cluster has a smaller node than the one above it
+        if inner[c] and method == "eom":
+            keeps[c] = stability[c] >= below[c]
+            best[c] = stability[c] if keeps[c] else below[c]
+        if above[c] >= 0:
+            below[above[c]] = float(below[above[c]]) + float(best[c])  # may become infinite
+    chosen = np.full(count, -1)  # the selected cluster that holds each cluster
+    for c in range(count - 1, -1, -1):
+        over = chosen[above[c]] if above[c] >= 0 else -1
+        chosen[c] = over if over >= 0 else c if keeps[c] else -1
+    picked = np.nonzero(chosen == np.arange(count))[0]
+    label_of = np.full(count + 1, -1)
+    label_of[picked] = np.arange(len(picked))
+    owner = np.where(chosen == np.arange(count), chosen, -1) if compat else chosen
+    held = owner[row_cluster]
+    labels = label_of[held]
+    inside, p = held >= 0, np.zeros(n)
+    own = held[inside]
+    p[inside] = np.clip((row_density[inside] - birth[own]) / np.maximum(death[own] - birth[own], 1e-15), 0, 1)
+    return labels, p, stability[picked].tolist()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from vecloom.functions import directional as D
 from vecloom.operators import metrics
 from vecloom.operators.assign import normalized
 from vecloom.operators.kmeans import INIT_SAMPLE, CentroidModel, _Clusterer, checked
-from vecloom.operators.lloyd import LocalRows, lloyd, plus_plus, rows_of
+from vecloom.operators.lloyd import LocalRows, lloyd, partial_sums, plus_plus, rows_of
 from vecloom.operators.reduce import EmbeddingReducer
 from vecloom.plans.durable import materialize
 from vecloom.plans.frames import LOCAL_BYTES, NotFittedError, feature_frame, list_array, map_matrix, matrix_of, validate
@@ -23,8 +24,9 @@ from vecloom.plans.frames import LOCAL_BYTES, NotFittedError, feature_frame, lis
 class EmbeddingCluster(_Clusterer):
     """k-means on the unit sphere after an optional reduction.
 
-    ``algorithm``: ``full`` passes over all rows (the default) or ``minibatch`` (running resultants of
-    sampled batches, weight n_batch / (n + n_batch), counts from 1).
+    ``algorithm``: ``full`` passes over all rows (the default) or ``minibatch`` (the running resultant of
+    each cluster blends with the sum of its rows in a sampled batch by weight n_batch / (n + n_batch),
+    counts from 1; the centre is its direction; ends after ten rounds of little change).
     """
 
     def __init__(self, n_clusters: int = 50, reduction_dim: int | None = 128, max_iter: int = 100, tol: float = 1e-6, random_state: int = 0, n_init: int = 5, reduction: str = "pca", init="k-means++", features: str = "features", ident: str = "id", algorithm: str = "full", batch_size: int = 1024, local_bytes: int = LOCAL_BYTES):
@@ -61,35 +63,35 @@ class EmbeddingCluster(_Clusterer):
             starts = [normalized(s) for s in self._starts(rows, [self.random_state])]
         log: list = []
         if self.algorithm == "minibatch":
-            runs = [self._minibatch(rows, s) for s in starts]
+            runs = [self._minibatch(rows, s, k, log) for k, s in enumerate(starts)]
         else:
             runs = lloyd(rows, starts, "dot", self.max_iter, self.tol, spherical=True, log=log)
         centres, cost, rounds = runs[min(range(len(runs)), key=lambda i: (runs[i][1], i))]
         self.model = CentroidModel(centres, cost, rounds, "dot", "embedding", "features", "id")
         self.model._fitted_on = self.reduced_data_
         self.objective_ = -cost
-        kind = "run long, iteration long, objective double, relative_change double, shift double, milliseconds double"
-        self.telemetry_ = frame.sparkSession.createDataFrame([(r, i, -c, rel, s, ms) for r, i, c, rel, s, ms in log], kind)
+        kind = "run long, iteration long, objective double, relative_change double, churn double, shift double, milliseconds double"
+        self.telemetry_ = frame.sparkSession.createDataFrame([(r, i, -c, *rest) for r, i, c, *rest in log], kind)
         self.intra_similarity_, self.resultant_lengths_ = self._evaluate()
         self.probabilities_ = self.concentrations_ = self.bic_ = None
         return self
 
-    def _minibatch(self, rows, start):
-        from vecloom.operators.lloyd import _merged, partial_sums
-
-        c, counts, done = start.copy(), np.ones(len(start)), 0
+    def _minibatch(self, rows, start, run: int, log: list):
+        c, resultants, counts = start.copy(), start.copy(), np.ones(len(start))
+        before, still, done = -np.inf, 0, 0
         for i in range(self.max_iter):
-            found = _merged(partial_sums(rows.batch(self.batch_size, self.random_state * 100_003 + i + 1), [c], "dot"))
-            raw = c.copy()
-            for (_, cid), v in found.items():
-                rate = v[0] / (counts[cid] + v[0])
-                raw[cid] = (1 - rate) * c[cid] + rate * v[1]
-                counts[cid] += v[0]
-            new, done = normalized(raw), i + 1
-            shift, c = float(((new - c) ** 2).sum(1).max()), new
-            if shift < self.tol:
+            began = time.perf_counter()
+            seed = (self.random_state + run) * 100_003 + i + 1
+            found = partial_sums(rows.batch(self.batch_size, seed), [c], "dot")[0]
+            c, resultants, counts = spherical_minibatch_step(c, resultants, counts, found.n, found.total)
+            objective, done = -float(found.cost.sum()), i + 1
+            change = abs(objective - before) / abs(before) if np.isfinite(before) and abs(before) > 1e-30 else float("inf")
+            still = still + 1 if i > 0 and self.tol > 0 and change < self.tol else 0
+            before = objective
+            log.append((run, done, -objective, float(change), 0.0, 0.0, 1000 * (time.perf_counter() - began)))
+            if still >= 10:
                 break
-        return c, sum(v[2] for v in rows.round([c], "dot").values()), done
+        return c, float(rows.round([c], "dot")[0].cost.sum()), done
 
     def _evaluate(self) -> tuple[np.ndarray, np.ndarray]:
         from vecloom.operators.snapshot import cluster_statistics
@@ -163,6 +165,17 @@ class EmbeddingCluster(_Clusterer):
         return ClusterSnapshot(self.model.cluster_centers_, spherical=True, reducer=self.reducer, algorithm="embedding", features=self.features, sizes=[counts.get(j, 0) for j in range(self.n_clusters)], fit_mean=self.intra_similarity_)
 
 
+def spherical_minibatch_step(c: np.ndarray, resultants: np.ndarray, counts: np.ndarray, n: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(centres, resultants, counts) after a batch with n rows and their sum for each cluster."""
+    rate = np.where(n > 0, n / (counts + n), 0.0)[:, None]
+    resultants = (1 - rate) * resultants + rate * total
+    length = np.linalg.norm(resultants, axis=1)
+    turned = (n > 0) & (length * length > 1e-30)
+    c = c.copy()
+    c[turned] = resultants[turned] / length[turned, None]
+    return c, resultants, counts + n
+
+
 def responsibilities(x: np.ndarray, means: np.ndarray, kappas: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, float]:
     """Rows of cluster probabilities and the log-likelihood."""
     d = means.shape[1]

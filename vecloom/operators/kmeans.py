@@ -172,7 +172,7 @@ class MiniBatchKMeans(_Clusterer):
         self.max_no_improvement, self.metric, self.init, self.features, self.ident, self.local_bytes = max_no_improvement, parse_metric(metric), init, features, ident, local_bytes
 
     def fit(self, df: DataFrame) -> CentroidModel:
-        from vecloom.operators.lloyd import _merged, partial_sums
+        from vecloom.operators.lloyd import partial_sums
 
         rows = self._rows(df)
         c = np.array(self._starts(rows, [self.random_state])[0])
@@ -180,25 +180,24 @@ class MiniBatchKMeans(_Clusterer):
         smooth, still, rounds = None, 0, 0
         for i in range(self.max_iter):
             x = rows.batch(self.batch_size, self.random_state * 100_003 + i + 1)
-            found = _merged(partial_sums(x, [c], self.metric))
-            cost = sum(v[2] for v in found.values()) / max(1, len(x))
-            c, counts = minibatch_step(c, counts, {cid: (v[0], v[1]) for (_, cid), v in found.items()})
+            found = partial_sums(x, [c], self.metric)[0]
+            cost = float(found.cost.sum()) / max(1, len(x))
+            c, counts = minibatch_step(c, counts, found.n, found.total)
             rounds += 1
             before, smooth = smooth, cost if smooth is None else 0.9 * smooth + 0.1 * cost
             if self.tol > 0 and before is not None:
                 still = still + 1 if abs(before - smooth) <= self.tol * max(abs(before), 1e-30) else 0
                 if still >= self.max_no_improvement:
                     break
-        final = rows.round([c], self.metric)
-        self.model = CentroidModel(c, sum(v[2] for v in final.values()), rounds, self.metric, "minibatch_kmeans", self.features, self.ident)
+        final = rows.round([c], self.metric)[0]
+        self.model = CentroidModel(c, float(final.cost.sum()), rounds, self.metric, "minibatch_kmeans", self.features, self.ident)
         self.model._fitted_on = df
         return self.model
 
 
-def minibatch_step(c: np.ndarray, counts: np.ndarray, batch: dict[int, tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """One update from {centroid: (rows, sum)} of a batch."""
-    c, counts = c.copy(), counts.copy()
-    for cid, (n, total) in batch.items():
-        c[cid] = (counts[cid] * c[cid] + total) / (counts[cid] + n)
-        counts[cid] += n
-    return c, counts
+def minibatch_step(c: np.ndarray, counts: np.ndarray, n: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One update from the rows and their sums a centroid in a batch."""
+    held = n > 0
+    c, after = c.copy(), counts + n
+    c[held] = (counts[held, None] * c[held] + total[held]) / after[held, None]
+    return c, after

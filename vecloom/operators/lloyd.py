@@ -1,61 +1,86 @@
 """Lloyd rounds for any number of restarts at once, over a distributed frame or a small matrix.
 
-A round assigns rows to the broadcast centroids and sums them by centroid inside an Arrow map; what is
-shuffled is one partial sum a centroid, restart and partition, reduced again before k x d numbers
-reach the driver.  All restarts share one pass over the data.  Matrices up to ``LOCAL_BYTES`` (counted
-first) are worked on in place with the same kernel.
+The features are written once as blocks of numbers in binary form; a round reads them as matrices,
+assigns rows to the broadcast centroids and sums them by centroid inside an Arrow map.  A partition gives
+back one k x d matrix of sums a restart; these are added on the executors first unless all of them
+together are small (``PARTIAL_BYTES``).  All restarts share one pass over the data.  Matrices up to
+``LOCAL_BYTES`` (counted first) are worked on in place with the same kernel.
 """
 
 from __future__ import annotations
 
 import time
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.operators.assign import nearest_two, normalized
+from vecloom.operators.assign import nearest_one, nearest_two, normalized
 from vecloom.plans.durable import materialize
 from vecloom.plans.frames import LOCAL_BYTES, collect_matrix, matrix_of
 
 PREFETCH_BYTES = 32 << 20
-_PARTIAL = "run long, cid long, n long, total array<double>, cost double, far double, far_vector array<double>, moved long"
+PARTIAL_BYTES = 32 << 20
+BLOCK_BYTES = 4 << 20
+_PARTIAL = "run int, sums binary, far double, far_vector binary, moved long"
 
 
-def partial_sums(x: np.ndarray, runs: list[np.ndarray], metric: str) -> list[tuple]:
-    """(run, cid, n, sum, cost, largest distance, that row, 0) for every centroid that has rows."""
+@dataclass
+class Partial:
+    """What one restart's assignment adds up to."""
+
+    n: np.ndarray  # rows of each centroid
+    total: np.ndarray  # sum of the rows, k x d
+    cost: np.ndarray  # sum of raw distances
+    far: float  # the largest distance, and the row it belongs to
+    vector: np.ndarray | None
+    moved: int  # rows that had another centroid before
+
+    def add(self, other: Partial) -> None:
+        self.n, self.total, self.cost = self.n + other.n, self.total + other.total, self.cost + other.cost
+        if other.far > self.far:
+            self.far, self.vector = other.far, other.vector
+        self.moved += other.moved
+
+
+def partial_sums(x: np.ndarray, runs: list[np.ndarray | None], metric: str, before: list[np.ndarray | None] | None = None) -> list[Partial | None]:
+    """Sums by centroid of every restart; ``before`` holds the centroids of the round before."""
     out = []
     for r, c in enumerate(runs):
         if c is None:
+            out.append(None)
             continue
-        label, best, _ = nearest_two(x, c, metric)
-        order = np.argsort(label, kind="stable")
-        ids, starts = np.unique(label[order], return_index=True)
-        sums = np.add.reduceat(x[order], starts, axis=0)
-        costs = np.add.reduceat(best[order], starts)
-        counts = np.diff(np.append(starts, len(order)))
-        far = len(best) - 1 - int(np.argmax(best[::-1])) if metric != "dot" else int(np.argmax(best))
-        for k, cid in enumerate(ids):
-            top = bool(label[far] == cid)
-            out.append((r, int(cid), int(counts[k]), sums[k], float(costs[k]), float(best[far]) if top else -np.inf, x[far] if top else None, 0))
+        label, best = nearest_one(x, c, metric)
+        k, d = c.shape
+        n = np.bincount(label, minlength=k)
+        if d <= 16:
+            total = np.stack([np.bincount(label, weights=x[:, j], minlength=k) for j in range(d)], axis=1)
+        else:
+            order = np.argsort(label, kind="stable")
+            ids = np.nonzero(n)[0]
+            total = np.zeros((k, d))
+            if len(ids):
+                total[ids] = np.add.reduceat(x[order], np.concatenate([[0], np.cumsum(n[ids])[:-1]]), axis=0)
+        far, vector = -np.inf, None
+        if len(x):
+            at = len(best) - 1 - int(np.argmax(best[::-1])) if metric != "dot" else int(np.argmax(best))
+            far, vector = float(best[at]), x[at].copy()
+        old = None if before is None else before[r]
+        moved = len(x) if old is None else int((nearest_one(x, old, metric)[0] != label).sum())
+        out.append(Partial(n.astype(np.float64), total, np.bincount(label, weights=best, minlength=k), far, vector, moved))
     return out
 
 
-def _merged(rows) -> dict[tuple[int, int], list]:
-    """Partial sums added up by (run, cid)."""
-    found: dict[tuple[int, int], list] = {}
-    for run, cid, n, total, cost, far, vector, moved in rows:
-        own = found.get((run, cid))
-        if own is None:
-            found[run, cid] = [n, np.array(total, dtype=np.float64), cost, far, vector, moved]
-        else:
-            own[0] += n
-            own[1] += total
-            own[2] += cost
-            if far > own[3]:
-                own[3], own[4] = far, vector
-    return found
+def added(parts: list[list[Partial | None]]) -> list[Partial | None]:
+    """Restart by restart; parts are changed."""
+    first = parts[0]
+    for more in parts[1:]:
+        for r, own in enumerate(more):
+            if own is not None:
+                first[r].add(own)
+    return first
 
 
 class LocalRows:
@@ -64,8 +89,8 @@ class LocalRows:
     def __init__(self, ids: list, x: np.ndarray):
         self.ids, self.x, self.n, self.d = ids, x, *x.shape
 
-    def round(self, runs, metric):
-        return _merged(partial_sums(self.x, runs, metric))
+    def round(self, runs, metric, before=None):
+        return partial_sums(self.x, runs, metric, before)
 
     def sample(self, size: int, seed: int) -> np.ndarray:
         return self.x
@@ -77,33 +102,51 @@ class LocalRows:
         return self.x[np.random.default_rng(seed).permutation(self.n)[:size]]
 
 
+def binary_blocks(frame: DataFrame, d: int) -> DataFrame:
+    """The features as blocks of doubles in binary form, row by row."""
+
+    def scan(batches):
+        rows = max(1, BLOCK_BYTES // (8 * d))
+        for batch in batches:
+            x = matrix_of(batch.column(0))
+            blocks = [np.ascontiguousarray(x[s : s + rows]).tobytes() for s in range(0, len(x), rows)]
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.binary())], names=["block"])
+
+    return frame.select("features").mapInArrow(scan, "block binary")
+
+
 class SparkRows:
     """A distributed frame, written once so that every round reads the same rows."""
 
     def __init__(self, frame: DataFrame, n: int, d: int):
         self.frame, self.n, self.d = materialize(frame, "features"), n, d
+        self.blocks = materialize(binary_blocks(self.frame, d), "blocks")
         self.drawn: list[np.ndarray] = []  # batches already drawn
 
-    def round(self, runs, metric):
-        shared = self.frame.sparkSession.sparkContext.broadcast(runs)
+    def round(self, runs, metric, before=None):
+        shared = self.frame.sparkSession.sparkContext.broadcast((runs, before))
+        d, sizes = self.d, [0 if c is None else len(c) for c in runs]
 
         def scan(batches):
-            held: dict = {}
+            runs, before = shared.value
+            held = None
             for batch in batches:
-                if batch.num_rows:
-                    for key, own in _merged(partial_sums(matrix_of(batch.column(0)), shared.value, metric)).items():
-                        held = _merged([(*k, *v) for k, v in held.items()] + [(*key, *own)])
-            yield _batch(held)
-
-        partials = self.frame.select("features").mapInArrow(scan, _PARTIAL)
-
-        def add(table: pa.Table) -> pa.Table:
-            return pa.Table.from_batches([_batch(_merged(_tuples(table)))])
-
-        # one more reduction on the executors: k rows a run come back, whatever the number of partitions
-        total = partials.groupBy("run", "cid").applyInArrow(add, _PARTIAL).toArrow()
+                for block in batch.column(0):
+                    own = partial_sums(np.frombuffer(block.as_buffer(), np.float64).reshape(-1, d), runs, metric, before)
+                    held = own if held is None else added([held, own])
+            yield _packed(held or [None] * len(runs))
+
+        def add(batches):
+            parts = [p for b in batches for p in _unpacked(b, sizes, d)]
+            yield _packed(added(parts) if parts else [None] * len(sizes))
+
+        partials = self.blocks.mapInArrow(scan, _PARTIAL)
+        tasks = len(self.blocks.inputFiles())
+        if tasks * sum(sizes) * (d + 2) * 8 > PARTIAL_BYTES:
+            partials = partials.repartition(min(32, tasks)).mapInArrow(add, _PARTIAL)
+        parts = [p for b in partials.toArrow().to_batches() for p in _unpacked(b, sizes, d)]
         shared.unpersist()
-        return _merged(_tuples(total))
+        return added(parts)
 
     def sample(self, size: int, seed: int) -> np.ndarray:
         """About ``size`` rows by hash of the id, whatever their order."""
@@ -129,19 +172,19 @@ class SparkRows:
         return self.drawn.pop()
 
 
-def _batch(held: dict) -> pa.RecordBatch:
-    rows = [(*k, *v) for k, v in held.items()]
-    columns = list(zip(*rows)) if rows else [[] for _ in range(8)]
-    vectors = pa.list_(pa.float64())
-    kinds = [pa.int64(), pa.int64(), pa.int64(), vectors, pa.float64(), pa.float64(), vectors, pa.int64()]
-    plain = lambda v: None if v is None else np.asarray(v).tolist()
-    arrays = [pa.array([plain(v) for v in c] if k == vectors else list(c), k) for c, k in zip(columns, kinds)]
-    return pa.RecordBatch.from_arrays(arrays, names=["run", "cid", "n", "total", "cost", "far", "far_vector", "moved"])
+def _packed(parts: list[Partial | None]) -> pa.RecordBatch:
+    rows = [(r, np.hstack([p.total, p.n[:, None], p.cost[:, None]]).tobytes(), p.far, None if p.vector is None else p.vector.tobytes(), p.moved) for r, p in enumerate(parts) if p is not None]
+    kinds = [pa.int32(), pa.binary(), pa.float64(), pa.binary(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array([row[k] for row in rows], t) for k, t in enumerate(kinds)], names=["run", "sums", "far", "far_vector", "moved"])
 
 
-def _tuples(table: pa.Table):
-    for r in table.to_pylist():
-        yield (r["run"], r["cid"], r["n"], np.array(r["total"]), r["cost"], r["far"], None if r["far_vector"] is None else np.array(r["far_vector"]), r["moved"])
+def _unpacked(batch: pa.RecordBatch, sizes: list[int], d: int):
+    """One list over all restarts for each packed row; empty sums stand in where a restart is elsewhere."""
+    for r in batch.to_pylist():
+        parts: list[Partial | None] = [Partial(np.zeros(k), np.zeros((k, d)), np.zeros(k), -np.inf, None, 0) if k else None for k in sizes]
+        sums = np.frombuffer(r["sums"]).reshape(-1, d + 2)
+        parts[r["run"]] = Partial(sums[:, d].copy(), sums[:, :d].copy(), sums[:, d + 1].copy(), r["far"], None if r["far_vector"] is None else np.frombuffer(r["far_vector"]), r["moved"])
+        yield parts
 
 
 def rows_of(frame: DataFrame, n: int, d: int, local_bytes: int = LOCAL_BYTES):
@@ -170,40 +213,44 @@ def plus_plus(x: np.ndarray, k: int, rng: np.random.Generator, metric: str) -> n
 def lloyd(rows, starts: list[np.ndarray], metric: str, max_iter: int, tol: float, spherical: bool = False, log: list | None = None):
     """Per restart (centroids, cost of the last assignment, rounds): the assignment counted is the one
     made before the last update.  A restart stops when its largest centroid shift falls below ``tol``;
-    on the sphere, when cost and shift have been steady for two rounds.
+    on the sphere, when for two rounds cost, assignments (fewer than one row in 1,000 moved) and centres
+    (1 - dot) have been steady.
 
-    ``log`` receives (run, round, cost, relative change, shift, milliseconds) of every round.
+    ``log`` receives (run, round, cost, relative change, share of rows that moved, shift, milliseconds).
     """
     runs = [np.array(s, dtype=np.float64) for s in starts]
     active = [True] * len(runs)
     cost, rounds = [np.inf] * len(runs), [0] * len(runs)
     calm = [0] * len(runs)
+    old: list[np.ndarray | None] = [None] * len(runs)
     for _ in range(max_iter):
         if not any(active):
             break
         began = time.perf_counter()
-        found = rows.round([c if a else None for c, a in zip(runs, active)], metric)
+        found = rows.round([c if a else None for c, a in zip(runs, active)], metric, old if spherical else None)
         for r, c in enumerate(runs):
             if not active[r]:
                 continue
-            own = {cid: v for (run, cid), v in found.items() if run == r}
-            before, new = cost[r], c.copy()
-            cost[r], rounds[r] = sum(v[2] for v in own.values()), rounds[r] + 1
-            far = max((v for v in own.values() if v[4] is not None), key=lambda v: v[3], default=None)
-            for cid in range(len(c)):
-                if cid in own:
-                    new[cid] = own[cid][1] if spherical else own[cid][1] / own[cid][0]
-                elif far is not None:
-                    new[cid] = far[4]
+            own, before, new = found[r], cost[r], c.copy()
+            cost[r], rounds[r] = float(own.cost.sum()), rounds[r] + 1
+            usable = own.n > 0
+            if spherical:
+                usable &= np.einsum("ij,ij->i", own.total, own.total) > 1e-30
+            new[usable] = own.total[usable] if spherical else own.total[usable] / own.n[usable, None]
+            if own.vector is not None:
+                new[~usable] = own.vector
             if spherical:
                 new = normalized(new)
-            shift = max(nearest_two(new[j : j + 1], c[j : j + 1], "euclidean" if spherical else metric)[1][0] for j in range(len(c)))
-            runs[r] = new
+                shift = float((1 - np.clip(np.einsum("ij,ij->i", new, c), -1, 1)).max())
+            else:
+                shift = float(max(nearest_two(new[j : j + 1], c[j : j + 1], metric)[1][0] for j in range(len(c))))
+            runs[r], old[r] = new, c
+            change = abs(cost[r] - before) / abs(before) if np.isfinite(before) and abs(before) > 1e-30 else float("inf")
+            churn = own.moved / max(1, rows.n)
             if log is not None:
-                change = abs(cost[r] - before) / max(abs(before), 1e-30) if np.isfinite(before) else float("inf")
-                log.append((r, rounds[r], float(cost[r]), float(change), float(shift), 1000 * (time.perf_counter() - began)))
+                log.append((r, rounds[r], cost[r], float(change), float(churn), shift, 1000 * (time.perf_counter() - began)))
             if spherical:
-                settled = np.isfinite(before) and abs(cost[r] - before) <= 1e-4 * max(abs(before), 1e-30) and shift < max(tol, 1e-5)
+                settled = rounds[r] > 1 and change < 1e-4 and churn < 1e-3 and shift < max(tol, 1e-5)
                 calm[r] = calm[r] + 1 if settled else 0
                 active[r] = calm[r] < 2
             else:

@@ -1,7 +1,7 @@
 """Cluster quality: silhouettes, dispersion ratios, agreement with classes, representatives.
 
-Rows labelled below 0 are noise and left out.  Silhouettes sum distances by (row, cluster) inside block
-comparisons, so n x k numbers are shuffled, never n x n.
+Rows labelled below 0 are noise and left out.  Euclidean silhouettes sum distances by (row, cluster) inside
+block comparisons, so n x k numbers are shuffled, never n x n; cosine ones need the clusters' sums only.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from vecloom.operators.assign import pairwise
 from vecloom.operators.neighbors import BLOCK_ROWS, _blocks, _data, _sides
-from vecloom.plans.frames import validate
+from vecloom.plans.frames import matrix_of, validate
 
 
 def _clustered(df: DataFrame, features: str, label: str, ident: str) -> DataFrame:
@@ -25,21 +25,22 @@ def _counted(df: DataFrame) -> dict[int, int]:
     return {r["label"]: r["count"] for r in df.groupBy("label").count().collect()}
 
 
-def _at_least_two(rows: DataFrame) -> tuple[int, dict[int, int]]:
+def _sizes(rows: DataFrame) -> tuple[int, dict[int, int]]:
     validate(rows)
     sizes = _counted(rows)
-    if len(sizes) < 2:
-        raise ValueError("at least two clusters are needed")
     return sum(sizes.values()), sizes
 
 
-def _silhouettes(rows: DataFrame, n: int, metric: str, block_rows: int, evaluated=None) -> DataFrame:
+def _silhouette(a, b):
+    wide = F.greatest(a, b)
+    return F.when(wide == 0, 0.0).otherwise((b - a) / wide)
+
+
+def _silhouettes(rows: DataFrame, n: int, block_rows: int) -> DataFrame:
     """(id, label, silhouette): b - a over the larger; a is 0 in a cluster of one, so it scores 1."""
 
     def compare(table: pa.Table) -> pa.Table:
         left, right = _sides(table)
-        if evaluated is not None:
-            left = left.filter(left.column("evaluated"))
         (ia, xa), (ib, xb) = _data(left), _data(right)
         la, lb = left.column("label").to_numpy(), right.column("label").to_numpy()
         ids, number = np.unique(lb, return_inverse=True)
@@ -47,7 +48,7 @@ def _silhouettes(rows: DataFrame, n: int, metric: str, block_rows: int, evaluate
         member[np.arange(len(lb)), number] = 1
         out = []
         for s in range(0, len(ia), 512):
-            d = 1 + pairwise(xa[s : s + 512], xb, "dot") if metric == "dot" else np.sqrt(pairwise(xa[s : s + 512], xb, metric))
+            d = np.sqrt(pairwise(xa[s : s + 512], xb, "euclidean"))
             own = ia[s : s + 512][:, None] == ib[None, :]
             d[own] = 0
             out.append((d @ member, (~own).astype(float) @ member))
@@ -55,35 +56,68 @@ def _silhouettes(rows: DataFrame, n: int, metric: str, block_rows: int, evaluate
         count = np.vstack([o[1] for o in out]) if out else np.zeros((0, len(ids)))
         return pa.table({"id": np.repeat(ia, len(ids)).astype(np.int64), "label": np.repeat(la, len(ids)).astype(np.int64), "other": np.tile(ids, len(ia)).astype(np.int64), "total": total.ravel(), "n": count.ravel()})
 
-    extra = ["label"] + (["evaluated"] if evaluated is not None else [])
-    sums = _blocks(rows, n, block_rows, True, extra).applyInArrow(compare, "id long, label long, other long, total double, n double")
+    sums = _blocks(rows, n, block_rows, True, ["label"]).applyInArrow(compare, "id long, label long, other long, total double, n double")
     by_cluster = sums.groupBy("id", "label", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     mean = F.when(F.col("n") > 0, F.col("total") / F.col("n"))
     sides = by_cluster.groupBy("id", "label").agg(
         F.coalesce(F.max(F.when(F.col("label") == F.col("other"), mean)), F.lit(0.0)).alias("a"),
         F.min(F.when(F.col("label") != F.col("other"), mean)).alias("b"),
     )
-    wide = F.greatest("a", "b")
-    return sides.select("id", "label", F.when(wide == 0, 0.0).otherwise((F.col("b") - F.col("a")) / wide).alias("silhouette"))
+    return sides.select("id", "label", _silhouette(F.col("a"), F.col("b")).alias("silhouette"))
 
 
 def silhouette_samples(df: DataFrame, features: str = "features", label: str = "label", ident: str = "id", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(id, label, silhouette) by Euclidean distance; 0 everywhere with a single cluster.
+
+    Every row meets every other (there is no shorter way for this metric), in bounded blocks.
+    """
     rows = _clustered(df, features, label, ident)
-    return _silhouettes(rows, _at_least_two(rows)[0], "euclidean", block_rows)
+    n, sizes = _sizes(rows)
+    if len(sizes) < 2:
+        return rows.select("id", "label", F.lit(0.0).alias("silhouette"))
+    return _silhouettes(rows, n, block_rows)
 
 
 def silhouette_score(df: DataFrame, features: str = "features", label: str = "label", ident: str = "id", block_rows: int = BLOCK_ROWS) -> float:
     return silhouette_samples(df, features, label, ident, block_rows).agg(F.avg("silhouette")).first()[0]
 
 
-def cosine_silhouette_samples(df: DataFrame, features: str = "features", label: str = "label", ident: str = "id", sample_size: int | None = None, seed: int = 0, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Silhouettes by 1 - dot of unit vectors; with ``sample_size`` about that many rows are evaluated,
-    each against all others."""
+def cosine_silhouette_samples(df: DataFrame, features: str = "features", label: str = "label", ident: str = "id", sample_size: int | None = None, seed: int = 0) -> DataFrame:
+    """Silhouettes by 1 - dot of unit vectors, 0 everywhere with a single cluster; with ``sample_size``
+    about that many rows are evaluated, each against all others.
+
+    Distances of a row to a whole cluster add up to n - x . (sum of the cluster), so the sums of the
+    clusters (a model) are all that rows meet: one pass for the sums, one narrow pass, no pairs.
+    """
+    from vecloom.operators.snapshot import cluster_statistics
+
     rows = _clustered(df, features, label, ident)
-    n, _ = _at_least_two(rows)
+    n, sizes = _sizes(rows)
     share = 1.0 if sample_size is None else min(1.0, sample_size / n)
     unit = F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 11) / F.lit(float(1 << 53))
-    return _silhouettes(rows.withColumn("evaluated", unit < share), n, "dot", block_rows, evaluated=True)
+    chosen = rows.where(unit < share)
+    if len(sizes) < 2:
+        return chosen.select("id", "label", F.lit(0.0).alias("silhouette"))
+    stats = cluster_statistics(rows.select("label", F.col("features").alias("x")), 0, 0)
+    names = np.array(sorted(stats))
+    count = np.array([stats[j][0] for j in names], dtype=np.float64)
+    shared = rows.sparkSession.sparkContext.broadcast((names, count, np.array([stats[j][0] * stats[j][1] for j in names])))
+
+    def score(batches):
+        names, count, sums = shared.value
+        for batch in batches:
+            x, own = matrix_of(batch.column(2)), np.searchsorted(names, batch.column(1).to_numpy())
+            if not len(x):
+                continue
+            total, at = count[None, :] - x @ sums.T, np.arange(len(x))
+            inside = total[at, own] - (1 - np.einsum("ij,ij->i", x, x))  # without the row itself
+            a = np.where(count[own] > 1, inside / np.maximum(count[own] - 1, 1), 0.0)
+            mean = total / count[None, :]
+            mean[at, own] = np.inf
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(a), pa.array(mean.min(axis=1))], names=["id", "label", "a", "b"])
+
+    kind = f"id {chosen.schema['id'].dataType.simpleString()}, label long, a double, b double"
+    return chosen.select("id", "label", "features").mapInArrow(score, kind).select("id", "label", _silhouette(F.col("a"), F.col("b")).alias("silhouette"))
 
 
 def cosine_silhouette(df: DataFrame, **options) -> float:
@@ -115,9 +149,11 @@ def cluster_moments(rows: DataFrame) -> dict[int, tuple[int, np.ndarray, float,
 
 
 def calinski_harabasz_score(df: DataFrame, features: str = "features", label: str = "label", ident: str = "id") -> float:
-    """Between over within dispersion; the largest double where nothing varies within."""
+    """Between over within dispersion; the largest double where nothing varies within, 0 for one cluster."""
     rows = _clustered(df, features, label, ident)
-    n, sizes = _at_least_two(rows)
+    n, sizes = _sizes(rows)
+    if len(sizes) < 2:
+        return 0.0
     stats = cluster_moments(rows)
     k = len(sizes)
     centre = sum(s[0] * s[1] for s in stats.values()) / n
@@ -129,11 +165,10 @@ def calinski_harabasz_score(df: DataFrame, features: str = "features", label: st
 
 
 def davies_bouldin_score(df: DataFrame, features: str = "features", label: str = "label", ident: str = "id") -> float:
-    """Mean over clusters of the worst (spread + spread) / distance; 0 where every row is noise."""
+    """Mean over clusters of the worst (spread + spread) / distance; 0 for fewer than two clusters."""
     rows = _clustered(df, features, label, ident)
-    if rows.isEmpty():
+    if rows.isEmpty() or len(_sizes(rows)[1]) < 2:
         return 0.0
-    _at_least_two(rows)
     stats = cluster_moments(rows)
     labels = sorted(stats)
     spread = {j: stats[j][3] / stats[j][0] for j in labels}

@@ -14,8 +14,8 @@ from vecloom.operators.kmeans import checked, load_vectors, save_vectors
 from vecloom.plans.frames import NotFittedError, feature_frame, list_array, map_matrix, matrix_of, validate
 
 
-def second_moments(frame: DataFrame, d: int, unit: bool = False) -> tuple[int, np.ndarray, np.ndarray]:
-    """(n, sum of x, sum of x x') in one pass: each partition multiplies its batches, pairs of partial
+def second_moments(frame: DataFrame, d: int, unit: bool = False, shift: np.ndarray | None = None) -> tuple[int, np.ndarray, np.ndarray]:
+    """(n, sum of x, sum of x x') of the rows less ``shift`` in one pass: each partition multiplies its batches, pairs of partial
     sums are added on the executors by row of the matrix, and d rows reach the driver."""
 
     def scan(batches):
@@ -24,6 +24,7 @@ def second_moments(frame: DataFrame, d: int, unit: bool = False) -> tuple[int, n
             x = matrix_of(batch.column(0))
             if len(x):
                 x = normalized(x) if unit else x
+                x = x if shift is None else x - shift
                 total += x.sum(0)
                 outer += x.T @ x
                 n += len(x)
@@ -59,9 +60,12 @@ class EmbeddingReducer:
             raise ValueError(f"target_dim {self.target_dim} exceeds the {d} input dimensions")
         self.input_dim = d
         if self.method == "pca":
-            n, total, outer = second_moments(frame, d, unit)
-            self.mean = total / n
-            cov = (outer - n * np.outer(self.mean, self.mean)) / max(1, n - 1)
+            some = matrix_of(frame.select("features").limit(256).toArrow().column("features").combine_chunks())
+            shift = (normalized(some) if unit else some).mean(axis=0)  # near the mean, so that little cancels
+            n, total, outer = second_moments(frame, d, unit, shift)
+            off = total / n
+            self.mean = shift + off
+            cov = (outer - n * np.outer(off, off)) / max(1, n - 1)
             values, axes = np.linalg.eigh(cov)
             axes = axes[:, ::-1][:, : self.target_dim]
             axes = axes * np.where(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])] < 0, -1, 1)  # a fixed sign
