@@ -157,6 +157,7 @@ def test_single_linkage_by_spanning_tree(spark):
     held = AgglomerativeClustering(4, "single").fit(from_numpy(spark, x))
     cut = AgglomerativeClustering(4, "single", max_rows=10, block_rows=20).fit(from_numpy(spark, x))
     assert same_partition(labels(held.labels_), labels(cut.labels_)) and np.allclose(held.distances_, cut.distances_)
+    assert [tuple(map(int, c)) for c in held.children_] == cut.children_
     with pytest.raises(ValueError):
         AgglomerativeClustering(2, "ward", "cosine")
     with pytest.raises(ValueError):
@@ -259,16 +260,98 @@ def test_drift(spark):
     assert sphere.drift_report(from_numpy(spark, v), compat=False).overall.first()["rejection_rate"] == 0.0
 
 
+def test_drift_rules(spark):
+    """Rejection by the mean over clusters, direction against the centroid, whatever was calibrated."""
+    x = np.vstack([np.tile([0.0, 1.0], (3, 1)), np.tile([10.0, 3.0], (2, 1))])  # squared distances 1 and 9
+    for means, n, want in (([1.0, 3.0], 5, 0.4), ([0.1, 9.0], 5, 0.0), ([0.4, 0.0], 5, 1.0), ([0.0, 0.0], 5, 0.0), ([0.4, 0.0], 0, 0.0)):
+        snapshot = ClusterSnapshot([[0.0, 0.0], [10.0, 0.0]], fit_mean=means, n_fitted=n)
+        assert snapshot.drift_report(from_numpy(spark, x)).overall.first()["rejection_rate"] == pytest.approx(want), means
+    turned = np.array([[np.cos(t), np.sin(t)] for t in (0.1, 0.3)])
+    sphere = ClusterSnapshot([[1.0, 0.0], [-1.0, 0.0]], spherical=True, fit_mean=[0.3, 0.1], sizes=[1, 1]).calibrate(from_numpy(spark, turned))
+    row = sphere.drift_report(from_numpy(spark, turned)).clusters.orderBy("label").first()
+    assert row["direction_drift"] == pytest.approx(1 - np.cos(0.2)) and row["kappa_drift"] == pytest.approx(0)
+    assert sphere.drift_report(from_numpy(spark, turned)).overall.first()["rejection_rate"] == 0.0  # none below 2 * 0.2
+
+
+def test_calibration_percentiles_are_exact(spark):
+    from vecloom.operators.snapshot import unit_percentiles
+
+    rng = np.random.default_rng(1)
+    rows = [(0, float(v)) for v in rng.random(501)] + [(1, float(v)) for v in rng.choice([0.0, 0.25, 1.0], 300)] + [(2, 0.5)] + [(3, float(v)) for v in 0.4 + 1e-7 * rng.random(200)]
+    got = unit_percentiles(spark.createDataFrame(rows, "label long, v double").repartition(3), [0.05, 0.1, 0.25, 0.5])
+    for j in range(4):
+        assert np.allclose(got[j], np.percentile([v for k, v in rows if k == j], [5, 10, 25, 50]), rtol=0, atol=1e-15)
+
+
+def test_spherical_minibatch_blends_resultants(spark):
+    from vecloom.operators.embedding import spherical_minibatch_step
+
+    c = np.array([[1.0, 0.0], [0.0, 1.0]])
+    batches = [np.array([[0.6, 0.8], [0.8, 0.6], [0.0, 1.0]]), np.array([[1.0, 0.0], [0.28, 0.96]])]
+    centres, resultants, counts = c, c.copy(), np.ones(2)
+    want, plain, seen = c.copy(), [c[0].copy(), c[1].copy()], [1.0, 1.0]
+    for x in batches:
+        label = (x @ want.T).argmax(1)
+        n, total = np.bincount(label, minlength=2).astype(float), np.array([x[label == j].sum(0) for j in range(2)])
+        centres, resultants, counts = spherical_minibatch_step(centres, resultants, counts, n, total)
+        for j in range(2):
+            if n[j]:
+                rate = n[j] / (seen[j] + n[j])
+                seen[j] += n[j]
+                plain[j] = (1 - rate) * plain[j] + rate * total[j]
+                want[j] = plain[j] / np.linalg.norm(plain[j])
+        assert np.allclose(centres, want) and np.allclose(counts, seen)
+    assert not np.allclose(resultants, centres)
+
+
+def test_churn_is_counted_and_ends_the_rounds(spark):
+    x, _ = directions()
+    for local_bytes in (0, 1 << 24):
+        model = EmbeddingCluster(3, reduction="none", n_init=1, local_bytes=local_bytes).fit(from_numpy(spark, x))
+        rounds = model.telemetry_.orderBy("iteration").collect()
+        assert rounds[0]["churn"] == 1.0 and all(r["churn"] < 1e-3 for r in rounds[-2:])
+        assert len(rounds) == model.model.n_iter_
+
+
+def test_far_from_the_origin(spark):
+    rng = np.random.default_rng(6)
+    c = rng.normal(size=(50, 8)) * 0.05
+    x = c[rng.integers(0, 50, 400)] + rng.normal(size=(400, 8)) * 0.02
+    from vecloom.operators.assign import nearest_one
+
+    for offset in (0.0, 1e6, 1e7):
+        y, d = x + offset, c + offset
+        want = ((y[:, None] - d[None]) ** 2).sum(2)
+        label, best, second = nearest_two(y, d, "euclidean")
+        assert (label == want.argmin(1)).all() and np.allclose(best, want.min(1)) and np.allclose(second, np.sort(want, axis=1)[:, 1])
+        one, near = nearest_one(y, d, "euclidean")
+        assert (one == label).all() and np.allclose(near, best)
+    shifted = EmbeddingReducer(3).fit(from_numpy(spark, x + 1e6)).components
+    assert np.allclose(np.abs((shifted * EmbeddingReducer(3).fit(from_numpy(spark, x)).components).sum(0)), 1, atol=1e-4)
+
+
 def test_hierarchy(spark, tmp_path):
     rng = np.random.default_rng(5)
-    x = np.vstack([rng.normal([a, b], 0.3, (30, 2)) for a in (0, 50, 100) for b in (0, 6)])
+    # children are fitted on the sphere, so sub-clusters differ by direction
+    x = np.vstack([rng.normal([a + b, a - b], 0.3, (30, 2)) for a in (20, 60, 120) for b in (-6, 6)])
     df = from_numpy(spark, x)
-    tree = HierarchicalSnapshot.build(df, KMeans(3, n_init=4).fit(df), 2)
+    tree = HierarchicalSnapshot.build(df, KMeans(3, n_init=4).fit(df), 2, random_state=3, n_init=2)
     assert tree.k_root == 3 and tree.n_children == 3
     tree.save(spark, str(tmp_path / "h"))
     for t in (tree, HierarchicalSnapshot.load(spark, str(tmp_path / "h"))):
         rows = t.assign(df).orderBy("id").collect()
         assert same_partition([(r["root_label"], r["child_label"]) for r in rows], np.repeat(np.arange(6), 30).tolist())
+    assert all(child.spherical and child.reducer is None for child in tree.children.values())
+    none = tree.assign_with_scores(df, confidence_threshold=1.1).first()
+    assert none["root_rejected"] and none["child_rejected"] and none["child_label"] == -1
+    for child in tree.children.values():
+        child.calibrate(df)
+    tree.root.calibrate(df)
+    scored = tree.assign_with_scores(df, adaptive_threshold=True, adaptive_percentile="p50")
+    rows = scored.orderBy("id").collect()
+    kept = [r for r in rows if not r["root_rejected"]]
+    assert any(r["child_rejected"] for r in kept) and any(not r["child_rejected"] for r in kept)
+    assert all((r["child_label"] == -1) == r["child_rejected"] and r["rejected"] == (r["root_rejected"] or r["child_rejected"]) for r in rows)
     lonely = HierarchicalSnapshot(tree.root, {}).assign_with_scores(df).first()
     assert lonely["child_label"] == -1 and lonely["child_rejected"] and lonely["child_confidence"] == 0
 

@@ -195,6 +195,8 @@ def test_quality_edges(spark):
     for f in (M.silhouette_score, M.calinski_harabasz_score):
         with pytest.raises(ValueError):
             f(noise)
+    one = spark.createDataFrame([(1, [1.0], 0), (2, [2.0], 0)], "id long, features array<double>, label long")
+    assert M.silhouette_score(one) == M.calinski_harabasz_score(one) == M.davies_bouldin_score(one) == M.cosine_silhouette(one) == 0.0
     tight = spark.createDataFrame([(i, [float(i // 2)], i // 2) for i in range(4)], "id long, features array<double>, label long")
     assert M.calinski_harabasz_score(tight) == float(np.finfo(float).max)
     same = spark.createDataFrame([(i, i % 2, "ab"[i % 2]) for i in range(10)], "id long, label long, truth string")

@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vecloom.operators.kmeans import KMeans, load_vectors, save_vectors
+from vecloom.operators.embedding import EmbeddingCluster
+from vecloom.operators.kmeans import load_vectors, save_vectors
 from vecloom.operators.snapshot import ClusterSnapshot
+from vecloom.plans.durable import materialized
+from vecloom.plans.frames import map_matrix
 
 
 class HierarchicalSnapshot:
@@ -24,46 +30,62 @@ class HierarchicalSnapshot:
         return len(self.children)
 
     @classmethod
-    def build(cls, df: DataFrame, root_model, n_sub_clusters: int | dict[int, int] = 5, ident: str = "id") -> HierarchicalSnapshot:
-        """Children are k-means fits on the rows of each root cluster; clusters with fewer than twice the
-        wanted rows get half as many centres as rows, those too small (under 4 rows or 2 centres) none."""
+    def build(cls, df: DataFrame, root_model, n_sub_clusters: int | dict[int, int] = 5, ident: str = "id", **fit) -> HierarchicalSnapshot:
+        """Children are embedding clusters without reduction, fitted on the rows of each root cluster;
+        ``fit`` goes to them (random_state and the like).  Clusters with fewer than twice the wanted rows
+        get half as many centres as rows, those too small (under 4 rows or 2 centres) no child.
+
+        The rows are routed once and written in order of their root cluster, so that each fit reads
+        little more than its own.
+        """
         root = root_model.snapshot()
-        routed = root.assign(df)
-        sizes = {r["label"]: r["count"] for r in routed.groupBy("label").count().collect()}
+        label = "__root"
+        routed = root.assign(df.select(F.col(ident).alias("id"), F.col(root.features).alias(root.features))).withColumnRenamed("label", label)
+        table = materialized(routed.sortWithinPartitions(label), "routed")
+        sizes = {r[label]: r["count"] for r in table.df.groupBy(label).count().collect()}
         children = {}
-        for label in range(root.k):
-            n = sizes.get(label, 0)
-            k = n_sub_clusters.get(label, 5) if isinstance(n_sub_clusters, dict) else n_sub_clusters
+        for j in range(root.k):
+            n = sizes.get(j, 0)
+            k = n_sub_clusters.get(j, 5) if isinstance(n_sub_clusters, dict) else n_sub_clusters
             if n < 2 * k:
                 k = max(1, n // 2)
             if k < 2 or n < 4:
                 continue
-            child = KMeans(k, n_init=3, features=root.features, ident=ident)
-            child.fit(routed.where(F.col("label") == label).drop("label"))
-            children[label] = child.snapshot()
+            child = EmbeddingCluster(k, reduction_dim=None, features=root.features, ident="id", **fit)
+            children[j] = child.fit(table.df.where(F.col(label) == j).drop(label)).snapshot()
+        table.drop()
         return cls(root, children)
 
-    def assign(self, df: DataFrame) -> DataFrame:
-        """``df`` with root_label and child_label (-1 where there is no child)."""
-        return self.assign_with_scores(df).drop("root_confidence", "root_rejected", "child_confidence", "child_rejected", "rejected")
+    def _routed(self, df: DataFrame, thresholds: dict, rejecting: bool) -> DataFrame:
+        for snapshot in (self.root, *self.children.values()):
+            snapshot.check_thresholds(**thresholds)
+        shared = df.sparkSession.sparkContext.broadcast((self.root, self.children))
+
+        def compute(x):
+            root, children = shared.value
+            label, _, _, confidence, rejected = root.judged(x, **thresholds)
+            child, sure, gone = np.full(len(x), -1), np.zeros(len(x)), np.ones(len(x), bool)
+            for j, snapshot in children.items():
+                mine = np.nonzero((label == j) & ~rejected)[0]
+                if len(mine):
+                    child[mine], _, _, sure[mine], gone[mine] = snapshot.judged(x[mine], **thresholds)
+            return [label, confidence, rejected, child, sure, gone, rejected | gone] if rejecting else [label, child]
+
+        number, double, flag = (T.LongType(), pa.int64()), (T.DoubleType(), pa.float64()), (T.BooleanType(), pa.bool_())
+        added = [("root_label", *number), ("root_confidence", *double), ("root_rejected", *flag), ("child_label", *number), ("child_confidence", *double), ("child_rejected", *flag), ("rejected", *flag)]
+        return map_matrix(df, self.root.features, added if rejecting else [added[0], added[3]], compute)
+
+    def assign(self, df: DataFrame, boundary_mode: str = "voronoi") -> DataFrame:
+        """``df`` with root_label and child_label (-1 where there is no child); nothing is rejected."""
+        return self._routed(df, {"boundary_mode": boundary_mode}, False)
 
     def assign_with_scores(self, df: DataFrame, **thresholds) -> DataFrame:
-        """Root and child labels, confidences and rejections; rejected is root or child rejected.
+        """Root and child labels, confidences and rejections; the thresholds hold at both levels, rows the
+        root rejects or without a child count as rejected by the child.
 
-        One narrow pass a level: the child of every root cluster is tried where the root label says so.
+        One narrow pass: all snapshots are broadcast, rows meet the child of their root label in the batch.
         """
-        out = self.root.assign_with_scores(df, **thresholds)
-        out = out.withColumnsRenamed({"label": "root_label", "confidence": "root_confidence", "rejected": "root_rejected"}).drop("distance", "second_distance")
-        label, confident = F.lit(-1).cast("long"), F.lit(0.0)
-        for j, child in self.children.items():
-            made = [f"__label{j}", f"__confidence{j}"]
-            scored = child.assign_with_scores(out).withColumnsRenamed({"label": made[0], "confidence": made[1]}).drop("distance", "second_distance", "rejected")
-            mine = (F.col("root_label") == j) & ~F.col("root_rejected")
-            label, confident = F.when(mine, F.col(made[0])).otherwise(label), F.when(mine, F.col(made[1])).otherwise(confident)
-            out = scored
-        out = out.withColumn("child_label", label).withColumn("child_confidence", confident)
-        out = out.drop(*[f"__{n}{j}" for j in self.children for n in ("label", "confidence")])
-        return out.withColumn("child_rejected", F.col("child_label") < 0).withColumn("rejected", F.col("root_rejected") | F.col("child_rejected"))
+        return self._routed(df, thresholds, True)
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.root.save(spark, os.path.join(path, "root"))
