@@ -12,15 +12,12 @@ from pyspark.sql import functions as F
 from vecloom.functions.vectors import parse_metric
 from vecloom.operators.assign import pairwise
 from vecloom.operators.kmeans import checked
-from vecloom.operators.neighbors import BLOCK_ROWS, core_distances, range_join, reachability_tree
+from vecloom.operators.neighbors import BLOCK_ROWS, LOCAL_EDGES, core_distances, range_join, reachability_tree
 from vecloom.plans.components import connected_components
 from vecloom.plans.durable import materialize
 from vecloom.plans.frames import NotFittedError, collect_matrix, feature_frame, validate
 
 
-LOCAL_EDGES = 200_000  # counted core-core pairs up to this are joined in one place
-
-
 class DBSCAN:
     """Density clusters: rows with at least ``min_samples`` rows (themselves included) within ``eps``.
 

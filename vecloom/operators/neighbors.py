@@ -23,6 +23,7 @@ from vecloom.plans.durable import materialize, materialized
 from vecloom.plans.frames import matrix_of
 
 BLOCK_ROWS = 2048
+LOCAL_EDGES = 200_000  # counted edges up to which components are joined in one place
 
 
 def _metric_values(raw: np.ndarray, metric: str) -> np.ndarray:
@@ -159,7 +160,7 @@ def reachability_tree(frame: DataFrame, n: int, metric: str = "euclidean", block
             break
         tree = edges if tree is None else tree.unionByName(edges)
         tree = materialize(tree, "tree")
-        joined = connected_components(tree)
+        joined = connected_components(tree, local_edges=LOCAL_EDGES)
         following = materialized(
             labelled.df.drop("component").join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", "features", "core", F.coalesce("component", "id").alias("component")), "boruvka"
         )

@@ -18,11 +18,11 @@ from vecloom.operators import metrics as M
 from vecloom.operators.agglomerative import AgglomerativeClustering
 from vecloom.operators.assign import assign, assign_with_scores
 from vecloom.operators.density import DBSCAN, HDBSCAN
-from vecloom.operators.embedding import EmbeddingCluster
+from vecloom.operators.embedding import EmbeddingCluster, e_step_sums, spherical_minibatch_step
 from vecloom.operators.hierarchy import HierarchicalSnapshot
 from vecloom.operators.kmeans import KMeans, MiniBatchKMeans, minibatch_step
-from vecloom.operators.lloyd import _merged, partial_sums
-from vecloom.operators.neighbors import core_distances, knn_join, range_join
+from vecloom.operators.lloyd import SparkRows
+from vecloom.operators.neighbors import core_distances, knn_join, range_join, reachability_tree
 from vecloom.operators.reduce import EmbeddingReducer
 from vecloom.operators.snapshot import ClusterSnapshot
 from vecloom.plans.durable import checkpoint_root, materialize
@@ -241,40 +241,59 @@ SPHERE = f"""u AS (SELECT id, {s_unit('x')} AS x, truth FROM e), c AS (SELECT ro
     p AS (SELECT u.id, u.x, c.cid, {s_dot('u.x', 'c.c')} AS d FROM u, c), s AS (SELECT id, x, cid, d FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d DESC, cid) AS r FROM p) WHERE r = 1)"""
 
 
+DRIFT_MEANS = [0.02 + 0.02 * j for j in range(K)]
+
+
 def _sphere(rows: DataFrame) -> ClusterSnapshot:
     centres = seeds(rows)
-    return ClusterSnapshot(centres / np.linalg.norm(centres, axis=1, keepdims=True), spherical=True, fit_mean=np.full(K, 0.1))
+    return ClusterSnapshot(centres / np.linalg.norm(centres, axis=1, keepdims=True), spherical=True, sizes=[1] * K, fit_mean=DRIFT_MEANS)
 
 
-def _kappa_sql(where: str) -> str:
+def _kappa_sql(source: str = "s") -> str:
     return f"""(SELECT cid, r * (64 - r * r) / greatest(1 - r * r, 1e-10) AS kappa FROM (SELECT cid, sqrt(sum(m * m)) AS r FROM
-        (SELECT cid, i, avg(x[i]) AS m FROM s, range(1, 65) t(i) {where} GROUP BY cid, i) GROUP BY cid))"""
+        (SELECT cid, i, avg(x[i]) AS m FROM {source}, range(1, 65) t(i) GROUP BY cid, i) GROUP BY cid))"""
 
 
-@query(f"WITH {E}, {SPHERE} SELECT cid AS label, round(kappa, 6) AS kappa FROM {_kappa_sql('')}")
+@query(f"WITH {E}, {SPHERE} SELECT cid AS label, round(kappa, 6) AS kappa FROM {_kappa_sql()}")
 def calibrate_kappa(spark, sf_dir):
     rows = embeddings(spark, sf_dir)
     kappas = _sphere(rows).calibrate(rows).kappas
     return spark.createDataFrame([(j, round(float(k), 6)) for j, k in enumerate(kappas)], "label long, kappa double")
 
 
-@query(f"""WITH {E}, {SPHERE}, a AS (SELECT cid, count(*) AS n, avg(d) AS m FROM s WHERE id % 2 = 1 GROUP BY cid),
-    k0 AS {_kappa_sql('WHERE id % 2 = 0')}, k1 AS {_kappa_sql('WHERE id % 2 = 1')},
-    means AS (SELECT cid, i, avg(x[i]) FILTER (id % 2 = 0) AS m0, avg(x[i]) FILTER (id % 2 = 1) AS m1 FROM s, range(1, 65) t(i) GROUP BY cid, i),
-    dirs AS (SELECT cid, 1 - sum(m0 * m1) / sqrt(sum(m0 * m0)) / sqrt(sum(m1 * m1)) AS direction FROM means GROUP BY cid)
-    SELECT c.cid AS label, coalesce(n, 0) AS new_size, round(coalesce(m, 0), 9) AS new_mean_distance, round((coalesce(m, 0) - 0.1) / 0.1, 6) AS relative_drift,
+def _turned(rows: DataFrame) -> DataFrame:
+    """The same rows with their components in reverse, as new rows that have drifted."""
+    return rows.withColumn("features", F.reverse("features"))
+
+
+@query(f"""WITH {E}, {SPHERE}, p1 AS (SELECT u.id, list_reverse(u.x) AS x, c.cid, {s_dot('list_reverse(u.x)', 'c.c')} AS d FROM u, c),
+    s1 AS (SELECT id, x, cid, d FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d DESC, cid) AS r FROM p1) WHERE r = 1),
+    a AS (SELECT cid, count(*) AS n, avg(d) AS m, 0.02 + 0.02 * cid AS f FROM s1 GROUP BY cid), k0 AS {_kappa_sql()}, k1 AS {_kappa_sql('s1')},
+    dirs AS (SELECT cid, 1 - {s_dot('any_value(c)', 'list(m ORDER BY i)')} / sqrt(sum(m * m)) AS direction FROM (SELECT cid, i, avg(x[i]) AS m FROM s1, range(1, 65) t(i) GROUP BY cid, i) JOIN c USING (cid) GROUP BY cid)
+    SELECT c.cid AS label, coalesce(n, 0) AS new_size, round(coalesce(m, 0), 9) AS new_mean_distance, round((coalesce(m, 0) - (0.02 + 0.02 * c.cid)) / (0.02 + 0.02 * c.cid), 6) AS relative_drift,
     round((k1.kappa - k0.kappa) / k0.kappa, 6) AS kappa_drift, round(direction, 6) AS direction_drift FROM c LEFT JOIN a USING (cid) LEFT JOIN k0 USING (cid) LEFT JOIN k1 USING (cid) LEFT JOIN dirs USING (cid)""")
 def drift_report_clusters(spark, sf_dir):
+    """All rows calibrate, all rows with reversed components are the new ones; means differ by cluster."""
     rows = embeddings(spark, sf_dir)
-    snapshot = _sphere(rows).calibrate(rows.where("id % 2 = 0"))
-    out = snapshot.drift_report(rows.where("id % 2 = 1")).clusters
+    out = _sphere(rows).calibrate(rows).drift_report(_turned(rows)).clusters
     return out.select("label", "new_size", r9("new_mean_distance").alias("new_mean_distance"), *[F.round(c, 6).alias(c) for c in ("relative_drift", "kappa_drift", "direction_drift")])
 
 
-@query(f"""WITH {E}, {FIRST}, {s_scored()} SELECT round(avg(d), 6) AS global_mean_distance, round(avg(CASE WHEN d > 1.6 THEN 1.0 ELSE 0.0 END), 6) AS rejection_rate, count(*) AS n_samples FROM s WHERE id % 2 = 1""")
+@query(f"""WITH {E}, {FIRST}, w AS (SELECT id, truth, list_reverse(x) AS x FROM e), {s_scored(source='w')}
+    SELECT round(avg(d), 6) AS global_mean_distance, round(avg(CASE WHEN d > 2 * (0.5 + 0.1 * 3.5) THEN 1.0 ELSE 0.0 END), 6) AS rejection_rate, count(*) AS n_samples FROM s""")
 def drift_report_global(spark, sf_dir):
+    """New rows beyond twice the mean over clusters of unequal fitted means."""
     rows = embeddings(spark, sf_dir)
-    out = ClusterSnapshot(seeds(rows), fit_mean=np.full(K, 0.8)).drift_report(rows.where("id % 2 = 1")).overall
+    out = ClusterSnapshot(seeds(rows), sizes=[1] * K, fit_mean=[0.5 + 0.1 * j for j in range(K)]).drift_report(_turned(rows)).overall
+    return out.select(F.round("global_mean_distance", 6).alias("global_mean_distance"), F.round("rejection_rate", 6).alias("rejection_rate"), "n_samples")
+
+
+@query(f"""WITH {E}, {SPHERE}, p1 AS (SELECT u.id, max({s_dot('list_reverse(u.x)', 'c.c')}) AS d FROM u, c GROUP BY u.id)
+    SELECT round(avg(d), 6) AS global_mean_distance, round(avg(CASE WHEN d < 2 * (0.02 + 0.02 * 3.5) THEN 1.0 ELSE 0.0 END), 6) AS rejection_rate, count(*) AS n_samples FROM p1""")
+def drift_report_spherical(spark, sf_dir):
+    """The same for similarities: rows below twice that mean."""
+    rows = embeddings(spark, sf_dir)
+    out = _sphere(rows).drift_report(_turned(rows)).overall
     return out.select(F.round("global_mean_distance", 6).alias("global_mean_distance"), F.round("rejection_rate", 6).alias("rejection_rate"), "n_samples")
 
 
@@ -289,6 +308,23 @@ def hier_assign(spark, sf_dir):
     return tree.assign(rows).select("id", "root_label", "child_label")
 
 
+@query(f"""WITH {E}, c AS (SELECT row_number() OVER (ORDER BY id) - 1 AS n, x AS c FROM e ORDER BY id LIMIT 10),
+    near AS (SELECT e.id, c.n, CASE WHEN n < 4 THEN -1 WHEN n < 7 THEN 0 ELSE 1 END AS owner, {s_sq('e.x', 'c.c')} AS d FROM e, c),
+    ranked AS (SELECT *, row_number() OVER w AS r, lead(d) OVER w AS second FROM near WINDOW w AS (PARTITION BY id, owner ORDER BY d, n)),
+    best AS (SELECT id, owner, CASE owner WHEN -1 THEN n WHEN 0 THEN n - 4 ELSE n - 7 END AS label, d, 1 - greatest(0, least(1, d / second)) AS conf FROM ranked WHERE r = 1),
+    judged AS (SELECT *, (d > 1.75 OR conf < 0.04) AS gone FROM best), root AS (SELECT * FROM judged WHERE owner = -1)
+    SELECT root.id, CASE WHEN root.gone THEN -1 ELSE root.label END AS root_label, round(root.conf, 9) AS root_confidence, root.gone AS root_rejected,
+    CASE WHEN c.gone THEN -1 ELSE coalesce(c.label, -1) END AS child_label, round(coalesce(c.conf, 0), 9) AS child_confidence, coalesce(c.gone, true) AS child_rejected, root.gone OR coalesce(c.gone, true) AS rejected
+    FROM root LEFT JOIN judged c ON c.id = root.id AND c.owner = root.label AND NOT root.gone""")
+def hier_assign_scores(spark, sf_dir):
+    """Thresholds that reject at the root and, of what is left, at the children."""
+    rows = embeddings(spark, sf_dir)
+    c = seeds(rows, 10)
+    tree = HierarchicalSnapshot(ClusterSnapshot(c[:4]), {0: ClusterSnapshot(c[4:7]), 1: ClusterSnapshot(c[7:])})
+    out = tree.assign_with_scores(rows, distance_threshold=1.75, confidence_threshold=0.04)
+    return out.select("id", "root_label", r9("root_confidence").alias("root_confidence"), "root_rejected", "child_label", r9("child_confidence").alias("child_confidence"), "child_rejected", "rejected")
+
+
 # --- k-means and relatives ---------------------------------------------------------------------------
 
 
@@ -329,27 +365,88 @@ def spherical_lloyd_fixed_init(spark, sf_dir):
     return _centroid_rows(spark, EmbeddingCluster(K, max_iter=3, tol=0.0, reduction="none", init="first_k").fit(rows).model)
 
 
-@query(f"""WITH {E}, {FIRST}, {s_scored()}, m0 AS (SELECT cid, i, count(*) AS n, avg(x[i]) AS m FROM s, range(1, 65) t(i) WHERE id % 3 = 0 GROUP BY cid, i),
-    c1 AS (SELECT c.cid, list(coalesce(m, c.c[g.i]) ORDER BY g.i) AS c, max(coalesce(n, 0)) AS n FROM c CROSS JOIN range(1, 65) g(i) LEFT JOIN m0 ON m0.cid = c.cid AND m0.i = g.i GROUP BY c.cid),
-    p2 AS (SELECT e.id, e.x, c1.cid, {s_sq('e.x', 'c1.c')} AS d FROM e, c1 WHERE e.id % 3 = 1), s2 AS (SELECT id, any_value(x) AS x, arg_min(cid, (d, cid)) AS cid FROM p2 GROUP BY id),
-    b AS (SELECT cid, i, count(*) AS n, sum(x[i]) AS t FROM s2, range(1, 65) t(i) GROUP BY cid, i),
-    c2 AS (SELECT c1.cid, list((c1.n * c1.c[g.i] + coalesce(t, 0)) / (c1.n + coalesce(b.n, 0)) ORDER BY g.i) AS c FROM c1 CROSS JOIN range(1, 65) g(i) LEFT JOIN b ON b.cid = c1.cid AND b.i = g.i WHERE c1.n + coalesce(b.n, 0) > 0 GROUP BY c1.cid)
-    SELECT cid AS label, round(c[1], 6) AS c1, round(c[32], 6) AS c32, round(c[64], 6) AS c64, round({s_norm2('c')}, 6) AS norm2 FROM c2""")
-def minibatch_step_update(spark, sf_dir):
-    """Two running-mean updates with the batches id mod 3 = 0 and 1."""
-    rows = embeddings(spark, sf_dir)
-    c, counts = seeds(rows), np.zeros(K)
-    for part in (0, 1):
-        x = matrix_of(rows.where(F.col("id") % 3 == part).orderBy("id").toArrow().column("features").combine_chunks())
-        c, counts = minibatch_step(c, counts, {cid: (v[0], v[1]) for (_, cid), v in _merged(partial_sums(x, [c], "euclidean")).items()})
+def _minibatch_sql(spherical: bool = False) -> str:
+    """c3: centroids after the batches id mod 3 = 0, 1, 2; r holds the running resultants on the sphere."""
+    x = s_unit("x") if spherical else "x"
+    parts = [E + f", u AS MATERIALIZED (SELECT id, {x} AS x FROM e)"]
+    parts.append(f"c0 AS (SELECT row_number() OVER (ORDER BY id) - 1 AS cid, x AS c, x AS r, {1 if spherical else 0} AS n FROM u ORDER BY id LIMIT {K})")
+    for t in range(3):
+        d = f"-({s_dot('u.x', 'c.c')})" if spherical else s_sq("u.x", "c.c")
+        parts.append(f"a{t} AS MATERIALIZED (SELECT id, any_value(x) AS x, arg_min(cid, (d, cid)) AS cid FROM (SELECT u.id, u.x, c.cid, {d} AS d FROM u, c{t} c WHERE u.id % 3 = {t}) GROUP BY id)")
+        parts.append(f"b{t} AS (SELECT cid, list(t ORDER BY i) AS total, max(m) AS m FROM (SELECT cid, i, count(*) AS m, sum(x[i]) AS t FROM a{t}, range(1, 65) t(i) GROUP BY cid, i) GROUP BY cid)")
+        blend = "(n * z[1] + m * z[2]) / (n + m)" if spherical else "(n * z[1] + z[2]) / (n + m)"
+        new = f"CASE WHEN m IS NULL THEN r ELSE list_transform(list_zip(r, total), lambda z: {blend}) END"
+        parts.append(f"c{t + 1} AS MATERIALIZED (SELECT cid, {s_unit('r') if spherical else 'r'} AS c, r, n FROM (SELECT cid, {new} AS r, n + coalesce(m, 0) AS n FROM c{t} LEFT JOIN b{t} USING (cid)))")
+    return "WITH " + ", ".join(parts) + _CENTROID_SQL.replace("SELECT", " SELECT", 1)
+
+
+def _batches(rows: DataFrame):
+    """The table in three batches by id, each summed up on the executors."""
+    frame = feature_frame(rows)
+    for part in range(3):
+        yield SparkRows(frame.where(F.pmod("id", F.lit(3)) == part), *validate(frame))
 
-    class Fixed:
-        cluster_centers_ = c[counts > 0]
 
-    return _centroid_rows(spark, Fixed)
+class _Fixed:
+    def __init__(self, centres):
+        self.cluster_centers_ = centres
 
 
-LINE = """l AS (SELECT l_orderkey * 10 + l_linenumber AS id, [l_quantity, l_extendedprice / 1000, l_discount * 100, l_tax * 100] AS x, 0 AS truth FROM lineitem),
+@query(_minibatch_sql())
+def minibatch_step_update(spark, sf_dir):
+    """Three running-mean updates that take in the whole table, by id mod 3."""
+    rows = embeddings(spark, sf_dir)
+    c, counts = seeds(rows), np.zeros(K)
+    for batch in _batches(rows):
+        found = batch.round([c], "euclidean")[0]
+        c, counts = minibatch_step(c, counts, found.n, found.total)
+    return _centroid_rows(spark, _Fixed(c))
+
+
+@query(_minibatch_sql(spherical=True))
+def spherical_minibatch_update(spark, sf_dir):
+    """The same on the sphere: running resultants blended with batch sums."""
+    rows = embeddings(spark, sf_dir).withColumn("features", V.l2_normalize(F.col("features")))
+    c = seeds(rows)
+    r, counts = c.copy(), np.ones(K)
+    for batch in _batches(rows):
+        found = batch.round([c], "dot")[0]
+        c, r, counts = spherical_minibatch_step(c, r, counts, found.n, found.total)
+    return _centroid_rows(spark, _Fixed(c))
+
+
+@query(f"""WITH {E}, {SPHERE}, w AS (SELECT id, x, cid, exp(20 * (d - max(d) OVER (PARTITION BY id))) AS p FROM p), q AS (SELECT id, x, cid, p / sum(p) OVER (PARTITION BY id) AS p FROM w),
+    m AS (SELECT cid, i, sum(p * x[i]) AS t FROM q, range(1, 65) t(i) GROUP BY cid, i), g AS (SELECT cid, sum(p) AS n FROM q GROUP BY cid)
+    SELECT cid AS label, round(any_value(n), 6) AS n, round(sqrt(sum(t * t)) / any_value(n), 6) AS resultant_length FROM m JOIN g USING (cid) GROUP BY cid""")
+def vmf_em_step(spark, sf_dir):
+    """Soft assignment and its sums from fixed directions, equal weights and concentrations of 20."""
+    rows = embeddings(spark, sf_dir).withColumn("features", V.l2_normalize(F.col("features")))
+    frame = feature_frame(rows)
+    n, total, _ = e_step_sums(SparkRows(frame, *validate(frame)), seeds(rows), np.full(K, 20.0), np.full(K, 1 / K))
+    out = [(j, round(float(n[j]), 6), round(float(np.linalg.norm(total[j]) / n[j]), 6)) for j in range(K)]
+    return spark.createDataFrame(out, "label long, n double, resultant_length double")
+
+
+@query(f"WITH {E} SELECT round(sum(v), 6) AS total_variance, CAST(0 AS DOUBLE) AS orthonormality_error FROM (SELECT var_samp(x[i]) AS v FROM e, range(1, 65) t(i) GROUP BY i)")
+def pca_invariants(spark, sf_dir):
+    """All axes together hold the whole variance and are orthonormal."""
+    model = EmbeddingReducer(64).fit(embeddings(spark, sf_dir))
+    error = float(np.abs(model.components.T @ model.components - np.eye(64)).max())
+    return spark.createDataFrame([(round(float(model.explained_variance_.sum()), 6), round(error, 9))], "total_variance double, orthonormality_error double")
+
+
+@query(f"WITH {E}, g AS (SELECT list(m ORDER BY i) AS g FROM (SELECT i, avg(x[i]) AS m FROM e, range(1, 65) t(i) GROUP BY i)) SELECT count(*) AS n, CAST(10 AS BIGINT) AS k, round(sum({s_sq('x', 'g')}), 6) AS total FROM e, g")
+def kmeans_fit_decomposition(spark, sf_dir):
+    """Within and between sums of squares of fitted clusters add up to the total; no cluster is empty."""
+    labelled = KMeans(10, n_init=1, random_state=7).fit(embeddings(spark, sf_dir)).transform(embeddings(spark, sf_dir))
+    stats = M.cluster_moments(labelled.select("label", "features")).values()
+    n = sum(s[0] for s in stats)
+    centre = sum(s[0] * s[1] for s in stats) / n
+    total = sum(s[2] + s[0] * float(((s[1] - centre) ** 2).sum()) for s in stats)
+    return spark.createDataFrame([(n, len(stats), round(total, 6))], "n long, k long, total double")
+
+
+LINE = """l AS (SELECT row_number() OVER () AS row, l_orderkey * 10 + l_linenumber AS id, [l_quantity, l_extendedprice / 1000, l_discount * 100, l_tax * 100] AS x, 0 AS truth FROM lineitem),
     c AS (SELECT row_number() OVER (ORDER BY id, x) - 1 AS cid, x AS c FROM l ORDER BY id, x LIMIT 16)"""
 
 
@@ -358,12 +455,12 @@ def _lines(spark, sf_dir) -> DataFrame:
     return rows.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.array("l_quantity", F.col("l_extendedprice") / 1000, F.col("l_discount") * 100, F.col("l_tax") * 100).alias("features"))
 
 
-@query(f"WITH {LINE}, near AS (SELECT l.id, l.x, arg_min(c.cid, ({s_sq('l.x', 'c.c')}, c.cid)) AS cid, min({s_sq('l.x', 'c.c')}) AS d FROM l, c GROUP BY l.id, l.x) SELECT cid AS label, count(*) AS n, round(sum(d), 4) AS cost, round(avg(x[1]), 6) AS quantity FROM near GROUP BY cid")
+@query(f"WITH {LINE}, near AS (SELECT l.row, any_value(l.x) AS x, arg_min(c.cid, ({s_sq('l.x', 'c.c')}, c.cid)) AS cid, min({s_sq('l.x', 'c.c')}) AS d FROM l, c GROUP BY l.row) SELECT cid AS label, count(*) AS n, round(sum(d), 4) AS cost, round(avg(x[1]), 6) AS quantity FROM near GROUP BY cid")
 def assign_lineitem_volume(spark, sf_dir):
     """Nearest of 16 centroids for every line item, summed up by cluster."""
     rows = _lines(spark, sf_dir)
     c = matrix_of(rows.orderBy("id", "features").limit(16).select("features").toArrow().column("features").combine_chunks())
-    scored = assign_with_scores(rows.distinct(), c)
+    scored = assign_with_scores(rows, c)
     return scored.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("distance"), 4).alias("cost"), F.round(F.avg(F.element_at("features", 1)), 6).alias("quantity"))
 
 
@@ -645,12 +742,39 @@ def agglomerative_fit(spark, sf_dir):
     return AgglomerativeClustering(5, "ward").fit(_supplier(spark, sf_dir)).labels_
 
 
-@query()
+@query("""WITH s AS (SELECT s_suppkey AS id, [s_acctbal / 1000, CAST(s_nationkey AS DOUBLE)] AS x FROM supplier), g AS (SELECT [avg(x[1]), avg(x[2])] AS g FROM s)
+    SELECT (SELECT count(*) - 1 FROM s) AS merges, round((SELECT sum((x[1] - g[1]) * (x[1] - g[1]) + (x[2] - g[2]) * (x[2] - g[2])) FROM s, g), 6) AS total,
+    round((SELECT min(sqrt((a.x[1] - b.x[1]) * (a.x[1] - b.x[1]) + (a.x[2] - b.x[2]) * (a.x[2] - b.x[2]))) FROM s a JOIN s b ON a.id < b.id), 9) AS lowest""")
+def ward_heights(spark, sf_dir):
+    """Half the squared heights of all merges add up to the total sum of squares; the lowest is the nearest pair."""
+    h = np.array(AgglomerativeClustering(1, "ward").fit(_supplier(spark, sf_dir)).distances_)
+    return spark.createDataFrame([(len(h), round(float((h * h).sum() / 2), 6), round(float(h.min()), 9))], "merges long, total double, lowest double")
+
+
+TREE_CUT = 1.2
+
+
+@query(f"""WITH RECURSIVE {E}, {KNN}, core AS (SELECT src AS id, d AS core FROM k WHERE r = 5), {_pairs_sql(TREE_CUT)},
+    linked AS MATERIALIZED (SELECT src, dst FROM near JOIN core a ON a.id = src JOIN core b ON b.id = dst WHERE greatest(a.core, b.core) <= {TREE_CUT}), both_ways AS (SELECT src, dst FROM linked UNION ALL SELECT dst, src FROM linked),
+    reach(id, root) AS (SELECT id, id FROM e UNION SELECT b.dst, reach.root FROM reach JOIN both_ways b ON b.src = reach.id AND reach.root < b.dst)
+    SELECT (SELECT count(*) - 1 FROM e) AS edges, (SELECT count(*) FROM e) - count(DISTINCT root) AS light FROM (SELECT id, min(root) AS root FROM reach GROUP BY id)""")
+def reachability_tree_cut(spark, sf_dir):
+    """A spanning tree of mutual reachability has as many edges below a height as rows less components there."""
+    frame = materialize(feature_frame(embeddings(spark, sf_dir)), "features")
+    n, _ = validate(frame)
+    tree = reachability_tree(frame.join(core_distances(frame, n, 5), "id"), n)
+    return tree.agg(F.count(F.lit(1)).alias("edges"), F.coalesce(F.sum((F.col("weight") <= TREE_CUT).cast("long")), F.lit(0)).alias("light"))
+
+
+@query(f"""WITH {E}, {FIRST}, {s_scored()}, q AS (SELECT cid, quantile_cont(conf, 0.1) AS p FROM s GROUP BY cid)
+    SELECT id, CASE WHEN conf < p THEN -1 ELSE cid END AS label, round(d, 9) AS distance, round(conf, 9) AS confidence, conf < p AS rejected FROM s JOIN q USING (cid)""")
 def snapshot_roundtrip(spark, sf_dir):
+    """A calibrated snapshot, saved and loaded again, scores with its adaptive threshold."""
     rows = embeddings(spark, sf_dir)
     path = f"{checkpoint_root(spark)}/vecloom/snapshot-{uuid.uuid4().hex}"
-    KMeans(6, n_init=1).fit(rows).snapshot().calibrate(rows).save(spark, path)
-    return ClusterSnapshot.load(spark, path).assign_with_scores(rows, adaptive_threshold=True).select("id", "label", "distance", "confidence", "rejected")
+    ClusterSnapshot(seeds(rows)).calibrate(rows).save(spark, path)
+    out = ClusterSnapshot.load(spark, path).assign_with_scores(rows, adaptive_threshold=True)
+    return out.select("id", "label", r9("distance").alias("distance"), r9("confidence").alias("confidence"), "rejected")
 
 
 @query()
