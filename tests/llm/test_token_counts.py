@@ -57,3 +57,24 @@ def test_empty_table_and_clash(spark):
         T.with_token_counts(spark.createDataFrame([], "text string, N_Tokens int"))
     out = T.with_token_counts(spark.createDataFrame([("a b", {"k": 1})], "text string, extra map<string,int>"))
     assert [tuple(r) for r in out.collect()] == [("a b", {"k": 1}, 2)]
+
+
+def test_what_fits_in_a_limit_against_every_prefix():
+    counter = T.counter(*T._arguments(None, None))
+    rng = random.Random(8)
+    for k in range(150):
+        text = "".join(texts(rng.randint(1, 9), 100 + k))
+        if k % 3:
+            text = text.replace("<|endoftext|>", "<|")
+        counts = [size(text[:i]) for i in range(len(text) + 1)]
+        for limit in {0, 1, 7, counts[-1] // 2, counts[-1] - 1, counts[-1], counts[-1] + 1}:
+            if limit >= 0:
+                want = max(i for i, n in enumerate(counts) if n <= limit)
+                assert counter.measure(text, limit) == (counts[-1], want), (text, limit)
+
+
+def test_query_shows_what_fits(spark):
+    text = "Some words, and it'll go on  " * 400
+    out = {r.doc_id: r for r in T.document_token_counts(spark.createDataFrame([(1, text), (2, "short"), (3, None)], "doc_id long, text string")).collect()}
+    assert out[2].within_limit == 5 and out[3].within_limit == 0 and out[1].over_limit
+    assert size(text[: out[1].within_limit]) <= 1024 < size(text[: out[1].within_limit + 1])

@@ -19,7 +19,9 @@ row; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -86,7 +88,7 @@ class PrefixCounter:
         self.tokens = {t for t in tokens if len(t) == 1 or self.merged(t) == [t]}
         self.longest = max(map(len, self.tokens))
         self.split = regex.compile(pattern)
-        self.at_special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
+        self.at_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.blank = regex.compile(r"\s+")
         self.stable: dict[tuple[bytes, bytes], bool] = {}
         self.young: dict[str, np.ndarray] = {}
@@ -162,6 +164,26 @@ class PrefixCounter:
             total += 1 if special else sum(map(known, split(run)))
         return total
 
+    def measure(self, text: str | None, limit: int) -> tuple[int, int]:
+        """(tokens of the whole text, most leading characters whose tokens are within ``limit``).
+
+        The second is looked up in the prefix tables of the pieces round the one where the running count
+        passes the limit: counts of prefixes that end there differ from it by those pieces alone.
+        """
+        text = text or ""
+        if self.at_special is not None and self.at_special.search(text):
+            counts = self.prefix_counts(text)
+            return int(counts[-1]), int(np.nonzero(counts <= limit)[0][-1])
+        pieces = self.split.findall(text)
+        totals = list(accumulate(map(self.totals.__getitem__, pieces), initial=0))
+        if totals[-1] <= limit:
+            return totals[-1], len(text)
+        past = bisect_right(totals, limit)
+        first, last = max(0, past - 5), past + 4
+        start = sum(map(len, pieces[:first]))
+        counts = totals[first] + self.prefix_counts("".join(pieces[first:last]))
+        return totals[-1], start + int(np.nonzero(counts <= limit)[0][-1])
+
     def prefix_counts(self, text: str | None) -> np.ndarray:
         """Counts at 0 .. len(text) characters; entry i is exactly the count of ``text[:i]`` alone.
 
@@ -252,15 +274,17 @@ def _mapped(df, text_col, name, kind, arrow_kind, compute, vocabulary, pattern)
 
 
 def document_token_counts(docs: DataFrame, limit: int = LIMIT, vocabulary: str | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_tokens and over_limit of every document."""
+    """doc_id, n_bytes, n_tokens, over_limit and within_limit (the leading characters whose tokens are
+    within the limit, from the prefix tables) of every document."""
     slim = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.col("text").cast("string").alias("text"))
     path, split = _arguments(vocabulary, None)
 
     def scan(batches):
         known = counter(path, split)
         for batch in batches:
-            made = pa.array([known.count(x.as_py()) for x in batch.column(2)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], made], names=["doc_id", "n_bytes", "n_tokens"])
+            made = [known.measure(x.as_py(), limit) for x in batch.column(2)]
+            counts, cuts = (pa.array([m[k] for m in made], pa.int64()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], counts, cuts], names=["doc_id", "n_bytes", "n_tokens", "within_limit"])
 
-    schema = T.StructType([slim.schema["doc_id"], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
-    return slim.mapInArrow(scan, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+    schema = T.StructType([slim.schema["doc_id"], T.StructField("n_bytes", T.LongType()), *[T.StructField(n, T.LongType()) for n in ("n_tokens", "within_limit")]])
+    return slim.mapInArrow(scan, schema).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "within_limit")
