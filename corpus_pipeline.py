@@ -3,6 +3,12 @@
 language identification -> near-duplicate removal -> benchmark decontamination -> mixing -> sharding.
 Every stage works on all rows its predecessor kept; the first four return the columns of documents,
 the last adds shard and slot.
+
+Defined results: documents whose text is null or holds no letters go at the first stage; a null doc_id,
+lang or source is a value like any other, but of a near-duplicate group a row with an id stays before one
+without; of rows equal in every column one stays; very long texts are read whole; other columns pass through
+all stages, and a table that has a column ``shard`` or ``slot`` (in any case) is refused before the first;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -53,6 +59,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    clash = {"shard", "slot"} & {c.lower() for c in docs.columns}
+    if clash:
+        raise ValueError(f"documents already have columns {sorted(clash)}")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)
     return docs
