@@ -44,6 +44,23 @@ def test_sql_functions_agree(spark):
     assert r.a == 11 and r.b == pytest.approx([0.6, 0.8]) and r.c == 1 and r.d == pytest.approx([0.6, 0.8])
 
 
+def test_sql_functions_of_snapshots_agree(spark):
+    V.register_sql_functions(spark)
+    vec = lambda *v: F.array(*[F.lit(float(x)) for x in v])
+    cases = {
+        "vec_mahalanobis(array(5D, 8D), array(0D, 0D), array(1D, 100D))": V.mahalanobis(vec(5, 8), vec(0, 0), vec(1, 100)),
+        "vec_confidence_distance(1D, 4D)": V.confidence_distance(F.lit(1.0), F.lit(4.0)),
+        "vec_confidence_distance(1D, double('Infinity'))": V.confidence_distance(F.lit(1.0), F.lit(float("inf"))),
+        "vec_confidence_dot(2D, 1D)": V.confidence_dot(F.lit(2.0), F.lit(1.0)),
+        "vec_kappa(0.6D, 8)": V.kappa_of(F.lit(0.6), 8),
+        "vec_kappa_banerjee(0.6D, 8)": V.kappa_banerjee(F.lit(0.6), 8),
+        "vec_fuse_views(array(1D, 2D), array(3D), 2D, 0.5D)[1]": F.element_at(V.fuse_views(vec(1, 2), vec(3), 2.0, 0.5), 2),
+    }
+    for text, column in cases.items():
+        row = spark.range(1).select(F.expr(text).alias("a"), column.alias("b")).first()
+        assert row.a == pytest.approx(row.b), text
+
+
 def _bessel(nu, x):
     t = np.linspace(0, np.pi, 40001)
     return np.trapezoid(np.exp(x * (np.cos(t) - 1)) * np.sin(t) ** (2 * nu), t) * (x / 2) ** nu / (math.sqrt(math.pi) * math.gamma(nu + 0.5)), x
