@@ -1,9 +1,10 @@
 """Neighbour joins: pairs within a radius, k nearest, and minimum spanning trees of reachability.
 
-Vectors of any dimension are compared in blocks: rows are dealt into blocks by a hash of their id and
-every pair of blocks is one bounded group compared by NumPy on the executors, so neither a cross join
-nor an unbounded group is ever formed.  In up to three dimensions a radius join uses grid cells
-instead: an equi-join of each row's cell with its neighbours' and a residual distance filter.
+Rows are dealt into cells around pivots (``pivots.py``) and compared by NumPy on the executors only with
+cells that the triangle inequality leaves open, in bounded groups: neither a cross join nor an unbounded
+group is ever formed.  Vectors without any structure (all distances alike) leave every cell open.  In up
+to three dimensions a radius join uses grid cells instead: an equi-join of each row's cell with its
+neighbours' and a residual distance filter.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from vecloom.functions import vectors as V
 from vecloom.operators.assign import pairwise
+from vecloom.operators.pivots import PivotCells, from_geometry, to_geometry
 from vecloom.plans.components import connected_components
 from vecloom.plans.durable import materialize, materialized
 from vecloom.plans.frames import matrix_of
@@ -58,19 +60,33 @@ def range_join(frame: DataFrame, n: int, d: int, radius: float, metric: str = "e
     raw = radius * radius if metric == "euclidean" else radius
 
     def compare(table: pa.Table) -> pa.Table:
-        (ia, xa), (ib, xb) = map(_data, _sides(table))
+        left, right = _sides(table)
+        (ia, xa), (ib, xb) = _data(left), _data(right)
+        ha, hb = (t.column("cell").to_numpy() for t in (left, right))
         out = []
         for s in range(0, len(ia), 512):
-            dist = pairwise(xa[s : s + 512], xb, metric)
-            p, q = np.nonzero(dist <= raw)
-            out.append((ia[s : s + 512][p], ib[q], dist[p, q]))
-        a, b, dist = (np.concatenate(c) if out else np.zeros(0) for c in (zip(*out) if out else ([], [], [])))
-        same = table.column("a")[0].as_py() == table.column("b")[0].as_py()
-        keep = a < b if same else a != b
-        a, b, dist = a[keep], b[keep], dist[keep]
+            part = slice(s, s + 512)
+            dist = pairwise(xa[part], xb, metric)
+            ahead = (ha[part][:, None] != hb[None, :]) | (ia[part][:, None] < ib[None, :])
+            p, q = np.nonzero((dist <= raw) & ahead)
+            out.append((ia[part][p], ib[q], dist[p, q]))
+        a, b, dist = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0), np.zeros(0), np.zeros(0))
         return pa.table({"src": np.minimum(a, b).astype(np.int64), "dst": np.maximum(a, b).astype(np.int64), "distance": _metric_values(dist, metric)})
 
-    return _blocks(frame, n, block_rows, both_ways=False).applyInArrow(compare, "src long, dst long, distance double")
+    cells = PivotCells(frame.select("id", "features"), n, metric, block_rows)
+    return cells.groups(cells.rows, _within(cells, cells.rows, radius), ["id", "features"]).applyInArrow(compare, "src long, dst long, distance double")
+
+
+def _within(cells: PivotCells, rows: DataFrame, radius: float, both_ways: bool = False) -> DataFrame:
+    """``rows`` with the cells that may hold rows within ``radius``; one way, only those of no lower number."""
+    if cells.single:
+        return cells.at_home(rows)
+    reach = float(to_geometry(np.array(radius), cells.metric)) * (1 + 1e-9)
+
+    def choose(low: np.ndarray, high: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        return (low <= reach) & (both_ways | (np.arange(low.shape[1])[None, :] >= cell[:, None]))
+
+    return cells.visiting(rows, choose, ("cell",))
 
 
 def _grid_join(frame: DataFrame, d: int, radius: float, metric: str) -> DataFrame:
@@ -86,7 +102,9 @@ def _grid_join(frame: DataFrame, d: int, radius: float, metric: str) -> DataFram
 def knn_join(frame: DataFrame, n: int, k: int, metric: str = "euclidean", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(src, rank, dst, distance): the k nearest others of every row, ties to the smaller id.
 
-    Each pair of blocks keeps k candidates a row; the k best of those are ranked per row.
+    Every row first meets its own cell; the k-th distance found there (or, with too few rows there, what
+    the cells guarantee) tells which other cells can hold a nearer one.  Of equal vectors only the k + 1
+    of smallest id can be among the k nearest of any row, so no more of them are looked through.
     """
     metric = V.parse_metric(metric)
 
@@ -106,8 +124,29 @@ def knn_join(frame: DataFrame, n: int, k: int, metric: str = "euclidean", block_
         join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
         return pa.table({"src": join(src, np.int64), "dst": join(dst, np.int64), "distance": _metric_values(join(far, np.float64), metric)})
 
-    partial = _blocks(frame, n, block_rows, both_ways=True).applyInArrow(compare, "src long, dst long, distance double")
-    ranked = partial.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("distance", "dst")))
+    kind = "src long, dst long, distance double"
+    cells = PivotCells(frame.select("id", "features"), n, metric, block_rows)
+    index = cells.keep_copies(k + 1)
+    found = cells.groups(index, cells.at_home(cells.rows), ["id", "features"]).applyInArrow(compare, kind)
+    best = Window.partitionBy("src").orderBy("distance", "dst")
+    if not cells.single:
+        found = materialize(found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k), "near-home")
+        known = found.where(F.col("rank") == k).select(F.col("src").alias("id"), F.col("distance").alias("bound"))
+        bounded = cells.rows.join(known, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+        sizes = cells.sizes
+
+        def choose(low: np.ndarray, high: np.ndarray, cell: np.ndarray, bound: np.ndarray) -> np.ndarray:
+            reach = to_geometry(bound, metric) * (1 + 1e-9)
+            for r in np.nonzero(np.isinf(bound))[0]:
+                order = np.argsort(high[r])
+                enough = np.nonzero(np.cumsum(sizes[order]) > k)[0]  # k others wherever the row itself is
+                reach[r] = high[r][order[enough[0]]] if len(enough) else np.inf
+            other = np.arange(low.shape[1])[None, :] != cell[:, None]
+            return np.isfinite(low) & (low <= reach[:, None]) & other
+
+        abroad = cells.groups(index, cells.visiting(bounded, choose, ("cell", "bound")), ["id", "features"]).applyInArrow(compare, kind)
+        found = found.drop("rank").unionByName(abroad)
+    ranked = found.withColumn("rank", F.row_number().over(best))
     return ranked.where(F.col("rank") <= k).select("src", "rank", "dst", "distance")
 
 
@@ -121,11 +160,14 @@ def core_distances(frame: DataFrame, n: int, k: int, metric: str = "euclidean",
 def reachability_tree(frame: DataFrame, n: int, metric: str = "euclidean", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(src, dst, weight): a minimum spanning tree of max(core, core, distance) over (id, features, core).
 
-    Boruvka rounds: every component finds its lightest outgoing edge (ties by weight, then ids) in the
-    block comparison; components at least halve each round.
+    Boruvka rounds: every component finds its lightest outgoing edge (ties by weight, then ids);
+    components at least halve each round.  A round compares rows with their own cell, takes from that
+    and from the bounds the heaviest weight each component's edge can have, and then visits only cells
+    that are not wholly of the row's component and can hold an edge as light.
     """
     metric = V.parse_metric(metric)
-    labelled = materialized(frame.select("id", "features", "core", F.col("id").alias("component")), "boruvka")
+    cells = PivotCells(frame.select("id", "features", "core"), n, metric, block_rows)
+    labelled = materialized(cells.rows.withColumn("component", F.col("id")), "boruvka")
     tree: DataFrame | None = None
     while True:
 
@@ -154,16 +196,58 @@ def reachability_tree(frame: DataFrame, n: int, metric: str = "euclidean", block
             kinds = [pa.int64(), pa.float64(), pa.int64(), pa.int64()]
             return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["component", "weight", "src", "dst"])
 
-        found = _blocks(labelled.df, n, block_rows, True, ["component", "core"]).applyInArrow(compare, "component long, weight double, src long, dst long")
-        edges = materialize(found.groupBy("component").agg(F.min(F.struct("weight", "src", "dst")).alias("e")).select("e.src", "e.dst", "e.weight").distinct(), "lightest")
+        kind, columns = "component long, weight double, src long, dst long", ["id", "features", "component", "core"]
+        found = cells.groups(labelled.df, cells.at_home(labelled.df), columns).applyInArrow(compare, kind)
+        if not cells.single:
+            found = materialize(_lightest(found), "lightest-home")
+            abroad = cells.groups(labelled.df, _outward(cells, labelled.df, found), columns).applyInArrow(compare, kind)
+            found = found.select("component", "e.*").unionByName(abroad)
+        edges = materialize(_lightest(found).select("e.src", "e.dst", "e.weight").distinct(), "lightest")
         if edges.isEmpty():
             break
         tree = edges if tree is None else tree.unionByName(edges)
         tree = materialize(tree, "tree")
         joined = connected_components(tree, local_edges=LOCAL_EDGES)
         following = materialized(
-            labelled.df.drop("component").join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", "features", "core", F.coalesce("component", "id").alias("component")), "boruvka"
+            labelled.df.drop("component").join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", "features", "core", "cell", F.coalesce("component", "id").alias("component")), "boruvka"
         )
         labelled.drop()
         labelled = following
     return tree if tree is not None else frame.sparkSession.createDataFrame([], "src long, dst long, weight double")
+
+
+def _lightest(found: DataFrame) -> DataFrame:
+    return found.groupBy("component").agg(F.min(F.struct("weight", "src", "dst")).alias("e"))
+
+
+def _outward(cells: PivotCells, labelled: DataFrame, home: DataFrame) -> DataFrame:
+    """The rows with the other cells that can hold an edge out of their component as light as its lightest.
+
+    ``home`` has the lightest edges inside cells; the bounds give another limit for every component.
+    """
+    metric, k = cells.metric, len(cells.sizes)
+    owner, deepest = np.full(k, -1, np.int64), np.zeros(k)
+    mixed = np.zeros(k, bool)
+    for r in labelled.groupBy("cell").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.max("core").alias("core")).collect():  # one row a cell
+        owner[r["cell"]], mixed[r["cell"]], deepest[r["cell"]] = r["a"], r["a"] != r["b"], r["core"]
+    shared, bounds = labelled.sparkSession.sparkContext.broadcast((owner, mixed, deepest)), cells.bounds()
+
+    def foreign(component: np.ndarray) -> np.ndarray:
+        owner, mixed, _ = shared.value
+        return mixed[None, :] | (owner[None, :] != component[:, None])
+
+    def limit(x: np.ndarray, component: np.ndarray, core: np.ndarray) -> tuple:
+        _, high = bounds(x)
+        most = np.maximum(from_geometry(high, metric), np.maximum(core[:, None], shared.value[2][None, :]))
+        return (pa.array(np.where(foreign(component), most, np.inf).min(axis=1)),)
+
+    limits = cells._map(labelled.select("features", "component", "core"), limit, "reach double", ("component", "core"))
+    limits = limits.select("component", "reach").unionByName(home.select("component", F.col("e.weight").alias("reach")))
+    limits = limits.groupBy("component").agg(F.min("reach").alias("reach"))
+
+    def choose(low: np.ndarray, high: np.ndarray, cell: np.ndarray, component: np.ndarray, core: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        least = np.maximum(from_geometry(low, metric), core[:, None])
+        other = np.arange(low.shape[1])[None, :] != cell[:, None]
+        return np.isfinite(low) & (least <= reach[:, None] * (1 + 1e-9)) & other & foreign(component)
+
+    return cells.visiting(labelled.join(limits, "component"), choose, ("cell", "component", "core", "reach"))
