@@ -29,6 +29,8 @@ def pairwise(x: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
 
     ``dot`` gives negated dot products, so that smaller is nearer everywhere.
     """
+    if not len(x) or not len(c):
+        return np.empty((len(x), len(c)))
     if metric == "dot":
         return -(x @ c.T)
     if metric == "cosine":

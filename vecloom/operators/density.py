@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.functions.vectors import parse_metric
 from vecloom.operators.assign import pairwise
 from vecloom.operators.kmeans import checked
-from vecloom.operators.neighbors import BLOCK_ROWS, LOCAL_EDGES, core_distances, range_join, reachability_tree
-from vecloom.plans.components import connected_components
+from vecloom.operators.neighbors import BLOCK_ROWS, LOCAL_EDGES, _data as sided, _sides as block_sides, _within, core_distances, reachability_tree
+from vecloom.operators.pivots import PivotCells
+from vecloom.plans.components import connected_components, joined_roots, numbered
 from vecloom.plans.durable import materialize
 from vecloom.plans.frames import NotFittedError, collect_matrix, feature_frame, validate
 
@@ -21,8 +23,11 @@ from vecloom.plans.frames import NotFittedError, collect_matrix, feature_frame,
 class DBSCAN:
     """Density clusters: rows with at least ``min_samples`` rows (themselves included) within ``eps``.
 
-    One radius join, a count, components of core-core pairs, and for border rows the lowest-numbered
-    cluster next to them.  Clusters are numbered by their lowest core id; noise is -1.
+    Equal vectors are one weighted row, as they share neighbours, density and cluster.  Neighbours are
+    counted in the blocks that ``pivots.py`` leaves to compare; blocks of core rows give back spanning
+    forests of their links, and blocks of border rows the lowest-numbered cluster next to them.  What is
+    written is linear in the rows and the blocks they visit, never the pairs.  Clusters are numbered by
+    their lowest core id; noise is -1.
     """
 
     def __init__(self, eps: float = 0.5, min_samples: int = 5, metric: str = "euclidean", features: str = "features", ident: str = "id", block_rows: int = BLOCK_ROWS):
@@ -34,19 +39,24 @@ class DBSCAN:
 
     def fit(self, df: DataFrame) -> DBSCAN:
         frame = materialize(feature_frame(df, self.features, self.ident), "features")
-        n, d = validate(frame)
-        near = materialize(range_join(frame, n, d, self.eps, self.metric, self.block_rows).select("src", "dst"), "pairs")
-        both = near.unionByName(near.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        counts = frame.select("id").join(both.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n")), "id", "left")
-        core = materialize(counts.where(F.coalesce("n", F.lit(0)) + 1 >= self.min_samples).select("id"), "core")
-        left, right = core.select(F.col("id").alias("src")), core.select(F.col("id").alias("dst"))
-        linked = connected_components(near.join(left, "src").join(right, "dst"), local_edges=LOCAL_EDGES)
-        member = core.join(linked.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-        numbers = member.select("component").distinct().withColumn("label", (F.row_number().over(Window.orderBy("component")) - 1).cast("long"))
-        inside = materialize(member.join(numbers, "component").select("id", "label"), "core-labels")
-        border = both.join(inside.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("label").alias("near"))
-        out = frame.select("id").join(inside, "id", "left").join(border, "id", "left")
-        self._labels = materialize(out.select("id", F.coalesce("label", "near", F.lit(-1)).cast("long").alias("label"), F.col("label").isNotNull().alias("is_core")), "dbscan")
+        n, _ = validate(frame)
+        points, back = _weighted(frame, n, self.metric)
+        cells = PivotCells(points, points.count(), self.metric, self.block_rows)
+        ahead, links = _within(cells, cells.rows, self.eps), _Links(self.eps, self.metric)
+        met = cells.groups(cells.rows, ahead, ["id", "features", "n"]).applyInArrow(lambda table: links.counts(table), "id long, near long")
+        near = cells.rows.select("id", F.col("n").alias("near")).unionByName(met).groupBy("id").agg(F.sum("near").alias("near"))
+        dense = materialize(near.select("id", (F.col("near") >= self.min_samples).alias("is_core")), "density")
+        core = dense.where("is_core").select("id")
+        linked = cells.groups(cells.rows.join(core, "id"), ahead.join(core, "id"), ["id", "features"]).applyInArrow(lambda table: links.forest(table), "src long, dst long")
+        linked = connected_components(materialize(linked, "core-links"), local_edges=LOCAL_EDGES)
+        member = materialize(core.join(linked.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component")), "member")
+        inside = materialize(member.join(numbered(member.select("component").distinct(), "component", "label"), "component").select("id", "label"), "core-labels")
+        sparse = cells.rows.join(dense.where(~F.col("is_core")).select("id"), "id").withColumn("label", F.lit(None).cast("long"))
+        columns = ["id", "features", "label"]
+        border = cells.groups(cells.rows.join(inside, "id"), _within(cells, sparse, self.eps, both_ways=True), columns).applyInArrow(lambda table: links.lowest(table), "id long, near long")
+        border = border.groupBy("id").agg(F.min("near").alias("near"))
+        out = dense.join(inside, "id", "left").join(border, "id", "left").select("id", F.coalesce("label", "near", F.lit(-1)).cast("long").alias("label"), "is_core")
+        self._labels = materialize(back(out), "dbscan")
         self._frame = frame
         return self
 
@@ -75,6 +85,73 @@ class DBSCAN:
         return f"DBSCAN(eps={self.eps}, min_samples={self.min_samples}, metric={self.metric!r})"
 
 
+def _weighted(frame: DataFrame, n: int, metric: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(id, features, n) with one row, of the smallest id, for equal vectors, and the way back to all rows.
+
+    Zero vectors have cosine distance 1 to each other as to all others, so they stay single.
+    """
+    single = F.lit(None).cast("long")
+    if metric == "cosine":
+        single = F.when(~F.exists("features", lambda v: v != 0), F.col("id"))
+    rows = frame.withColumn("alone", single)
+    points = materialize(rows.groupBy("features", "alone").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "points")
+    if points.count() == n:
+        return points.drop("alone"), lambda found: found
+
+    def back(found: DataFrame) -> DataFrame:
+        known = points.select(F.col("features").alias("f"), F.col("alone").alias("a"), "id").join(found, "id").drop("id")
+        return rows.join(known, (F.col("features") == F.col("f")) & F.col("alone").eqNullSafe(F.col("a"))).select("id", *[c for c in found.columns if c != "id"])
+
+    return points.drop("alone"), back
+
+
+class _Links:
+    """What blocks of visitors and visited rows give back about their pairs within ``eps``."""
+
+    def __init__(self, eps: float, metric: str):
+        self.limit, self.metric = eps * eps if metric == "euclidean" else eps, metric
+
+    def _near(self, left: pa.Table, right: pa.Table):
+        """(slice of visitors, mask visitors x visited), some visitors at a time."""
+        (_, xa), (_, xb) = sided(left), sided(right)
+        for s in range(0, len(xa), 512):
+            yield slice(s, s + 512), pairwise(xa[s : s + 512], xb, self.metric) <= self.limit
+
+    def counts(self, table: pa.Table) -> pa.Table:
+        """Rows near each row; a pair inside one cell is counted once, from its lower id."""
+        left, right = block_sides(table)
+        ia, ha, na = (left.column(c).to_numpy() for c in ("id", "cell", "n"))
+        ib, hb, nb = (right.column(c).to_numpy() for c in ("id", "cell", "n"))
+        a, b = np.zeros(len(ia), np.int64), np.zeros(len(ib), np.int64)
+        for part, near in self._near(left, right):
+            near &= (ha[part][:, None] != hb[None, :]) | (ia[part][:, None] < ib[None, :])
+            a[part] += near @ nb
+            b += na[part] @ near
+        return pa.table({"id": np.concatenate([ia[a > 0], ib[b > 0]]), "near": np.concatenate([a[a > 0], b[b > 0]])})
+
+    def forest(self, table: pa.Table) -> pa.Table:
+        """Each linked row with the smallest row it is connected to inside the block."""
+        left, right = block_sides(table)
+        ids, at = np.unique(np.concatenate([left.column("id").to_numpy(), right.column("id").to_numpy()]), return_inverse=True)
+        mine, other = at[: left.num_rows], at[left.num_rows :]
+        root = np.arange(len(ids))
+        for part, near in self._near(left, right):
+            p, q = np.nonzero(near)
+            root = joined_roots(root, mine[part][p], other[q])
+        moved = np.nonzero(root != np.arange(len(ids)))[0]
+        return pa.table({"src": ids[moved], "dst": ids[root[moved]]})
+
+    def lowest(self, table: pa.Table) -> pa.Table:
+        """The lowest label among the visited rows near each visitor."""
+        left, right = block_sides(table)
+        label, none = right.column("label").to_numpy(), np.iinfo(np.int64).max
+        best = np.full(left.num_rows, none)
+        for part, near in self._near(left, right):
+            best[part] = np.where(near, label[None, :], none).min(axis=1, initial=none)
+        hit = best < none
+        return pa.table({"id": left.column("id").to_numpy()[hit], "near": best[hit]})
+
+
 class HDBSCAN:
     """Hierarchical density clusters.
 

@@ -10,10 +10,11 @@ to be joined in one place.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecloom.plans.durable import Materialized, materialized
+from vecloom.plans.durable import Materialized, materialize, materialized
 
 
 def _large_star(edges: DataFrame, rows: int) -> Materialized:
@@ -87,3 +88,30 @@ def _joined_here(edges: DataFrame) -> DataFrame:
             parent[max(a, b)] = min(a, b)
     kind = edges.schema["u"].dataType.simpleString()
     return edges.sparkSession.createDataFrame([(v, find(v)) for v in parent], f"node {kind}, component {kind}")
+
+
+def joined_roots(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``root`` (the smallest member of each row's tree) after the rows a[k] and b[k] are linked."""
+    a, b = root[a], root[b]
+    while True:
+        apart = a != b
+        if not apart.any():
+            return root
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(higher := root[root], root):
+            root = higher
+        a, b = root[a], root[b]
+
+
+def numbered(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Rows of distinct ``column`` numbered from 0 in its order, by ranges; the driver sees a count a range."""
+    ranged = materialize(df.repartitionByRange(column).withColumn("range", F.spark_partition_id()), "ranges")
+    counts = sorted((r["range"], r["n"]) for r in ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n")).collect())
+    starts, at = [], 0
+    for part, n in counts:
+        starts.append((part, at))
+        at += n
+    starts = F.broadcast(df.sparkSession.createDataFrame(starts, "range int, start long"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy(column)) - 1 + F.col("start")
+    return ranged.join(starts, "range").withColumn(name, place.cast("long")).drop("range", "start")
