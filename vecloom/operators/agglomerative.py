@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,11 +14,12 @@ from vecloom.operators.neighbors import BLOCK_ROWS, reachability_tree
 from vecloom.plans.components import connected_components
 from vecloom.plans.durable import materialize
 from vecloom.plans.frames import NotFittedError, collect_matrix, feature_frame, validate
+from vecloom.plans.stored import StoredModel
 
 LINKAGES = ("ward", "complete", "average", "single")
 
 
-class AgglomerativeClustering:
+class AgglomerativeClustering(StoredModel):
     """Merges the two nearest clusters until ``n_clusters`` are left.
 
     All linkages but single need the n x n distances and accept up to ``max_rows`` rows; single linkage
@@ -64,6 +66,21 @@ class AgglomerativeClustering:
         ends = [np.searchsorted(ids, edges.column(c).to_numpy()) for c in ("src", "dst")]
         return materialize(member.join(numbers, "component").select("id", "label"), "labels"), merge_numbers(n, *ends), edges.column("weight").to_pylist()
 
+    _saved = ("n_clusters", "linkage", "metric", "features", "ident", "max_rows", "block_rows", "n_clusters_")
+
+    def _tables(self) -> dict[str, DataFrame]:
+        if self._labels is None:
+            return {}
+        left, right = np.array(self.children_, np.int64).reshape(-1, 2).T
+        merges = pa.table({"step": np.arange(len(left)), "left": left, "right": right, "distance": np.array(self.distances_, np.float64)})
+        return {"labels": self._labels, "merges": self._labels.sparkSession.createDataFrame(merges)}
+
+    def _restore(self, tables: dict[str, DataFrame]) -> None:
+        if tables:
+            self._labels, merges = tables["labels"], tables["merges"].orderBy("step").toArrow()
+            self.children_ = list(zip(merges.column("left").to_pylist(), merges.column("right").to_pylist()))
+            self.distances_ = merges.column("distance").to_pylist()
+
     @property
     def labels_(self) -> DataFrame:
         if self._labels is None:

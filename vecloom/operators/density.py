@@ -18,9 +18,10 @@ from vecloom.operators.pivots import PivotCells
 from vecloom.plans.components import connected_components, joined_roots, numbered
 from vecloom.plans.durable import materialize
 from vecloom.plans.frames import NotFittedError, collect_matrix, feature_frame, validate
+from vecloom.plans.stored import StoredModel
 
 
-class DBSCAN:
+class DBSCAN(StoredModel):
     """Density clusters: rows with at least ``min_samples`` rows (themselves included) within ``eps``.
 
     Equal vectors are one weighted row, as they share neighbours, density and cluster.  Neighbours are
@@ -60,6 +61,14 @@ class DBSCAN:
         self._frame = frame
         return self
 
+    _saved = ("eps", "min_samples", "metric", "features", "ident", "block_rows")
+
+    def _tables(self) -> dict[str, DataFrame]:
+        return {} if self._labels is None else {"labels": self._labels, "vectors": self._frame}
+
+    def _restore(self, tables: dict[str, DataFrame]) -> None:
+        self._labels, self._frame = tables.get("labels"), tables.get("vectors")
+
     def _known(self) -> DataFrame:
         if self._labels is None:
             raise NotFittedError("DBSCAN is not fitted")
@@ -152,7 +161,7 @@ class _Links:
         return pa.table({"id": left.column("id").to_numpy()[hit], "near": best[hit]})
 
 
-class HDBSCAN:
+class HDBSCAN(StoredModel):
     """Hierarchical density clusters.
 
     Core distances and the spanning tree are distributed (a small matrix, counted first, is spanned in
@@ -194,9 +203,20 @@ class HDBSCAN:
             labels, p, persistence = condensed_labels(n, edges, self.min_cluster_size, self.cluster_selection_method, self.compat)
         self._result = (ids, labels, p)
         self._spark = df.sparkSession
-        self.cluster_persistence_ = list(persistence)
+        self.cluster_persistence_ = [float(p) for p in persistence]
         return self
 
+    _saved = ("min_cluster_size", "min_samples", "metric", "cluster_selection_method", "features", "ident", "compat", "local_rows", "max_rows", "block_rows", "cluster_persistence_")
+
+    def _tables(self) -> dict[str, DataFrame]:
+        return {} if self._result is None else {"rows": self.labels_.join(self.probabilities_, "id")}
+
+    def _restore(self, tables: dict[str, DataFrame]) -> None:
+        if tables:  # at most max_rows rows, as the fit holds them
+            rows = tables["rows"].orderBy("id").toArrow()
+            self._spark = tables["rows"].sparkSession
+            self._result = rows.column("id").to_pylist(), rows.column("label").to_numpy(), rows.column("probability").to_numpy()
+
     def _frame_of(self, at: int, name: str) -> DataFrame:
         if self._result is None:
             raise NotFittedError("HDBSCAN is not fitted")
