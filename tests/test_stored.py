@@ -9,7 +9,7 @@ from vecloom.plans.frames import NotFittedError
 from vecloom.sources.tables import from_numpy
 
 
-@pytest.mark.parametrize("model", [DBSCAN(1.0, 4), HDBSCAN(8, cluster_selection_method="leaf"), AgglomerativeClustering(3, "average"), AgglomerativeClustering(3, "single", max_rows=20, block_rows=30)])
+@pytest.mark.parametrize("model", [DBSCAN(1.0, 4), HDBSCAN(8, cluster_selection_method="leaf"), AgglomerativeClustering(3, "average"), AgglomerativeClustering(3, "single", max_rows=20, block_rows=30), AgglomerativeClustering(3, "ward", max_rows=20, block_rows=30)])
 def test_fitted_models_come_back(spark, tmp_path, model):
     model.fit(from_numpy(spark, two_blobs()))
     model.save(spark, str(tmp_path / "m"))

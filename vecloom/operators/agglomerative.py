@@ -1,19 +1,20 @@
-"""Agglomerative clustering: Lance-Williams merges of a bounded matrix; single linkage at any size."""
+"""Agglomerative clustering: Lance-Williams merges of a bounded matrix; single and ward linkage at any size."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.functions.vectors import parse_metric
 from vecloom.operators.assign import pairwise
 from vecloom.operators.kmeans import checked
-from vecloom.operators.neighbors import BLOCK_ROWS, reachability_tree
+from vecloom.operators.neighbors import BLOCK_ROWS, LOCAL_EDGES, reachability_tree
+from vecloom.operators.ward import cost, ward_rounds
 from vecloom.plans.components import connected_components
 from vecloom.plans.durable import materialize
-from vecloom.plans.frames import NotFittedError, collect_matrix, feature_frame, validate
+from vecloom.plans.frames import NotFittedError, collect_matrix, feature_frame, matrix_of, validate
 from vecloom.plans.stored import StoredModel
 
 LINKAGES = ("ward", "complete", "average", "single")
@@ -22,9 +23,10 @@ LINKAGES = ("ward", "complete", "average", "single")
 class AgglomerativeClustering(StoredModel):
     """Merges the two nearest clusters until ``n_clusters`` are left.
 
-    All linkages but single need the n x n distances and accept up to ``max_rows`` rows; single linkage
-    beyond that cuts the heaviest edges of a distributed spanning tree (merge order then follows the
-    sorted edges, ties by id).
+    Up to ``max_rows`` rows the n x n distances are merged in one place.  Beyond that single linkage cuts
+    the heaviest edges of a distributed spanning tree, and ward linkage merges clusters in distributed
+    rounds until ``max_rows`` are left (merge order then follows the sorted heights, ties by id); complete
+    and average linkage raise ValueError.
     """
 
     def __init__(self, n_clusters: int = 2, linkage: str = "ward", metric: str = "euclidean", features: str = "features", ident: str = "id", max_rows: int = 6000, block_rows: int = BLOCK_ROWS):
@@ -36,6 +38,7 @@ class AgglomerativeClustering(StoredModel):
             raise ValueError("ward linkage needs the euclidean metric")
         self.n_clusters, self.linkage, self.features, self.ident, self.max_rows, self.block_rows = n_clusters, linkage, features, ident, max_rows, block_rows
         self._labels: DataFrame | None = None
+        self._merges: DataFrame | None = None  # (src, dst, weight), where the merges are a distributed table
 
     def fit(self, df: DataFrame) -> AgglomerativeClustering:
         frame = feature_frame(df, self.features, self.ident)
@@ -44,42 +47,88 @@ class AgglomerativeClustering(StoredModel):
             raise ValueError(f"{self.n_clusters} clusters asked of {n} rows")
         if n <= self.max_rows:
             ids, x = collect_matrix(frame)
-            labels, self.children_, self.distances_ = merged(x, self.n_clusters, self.linkage, self.metric)
+            labels, self._children, self._distances = merged(x, self.n_clusters, self.linkage, self.metric)
             self._labels = df.sparkSession.createDataFrame([(i, int(v)) for i, v in zip(ids, labels)], "id long, label long")
-        elif self.linkage == "single":
-            self._labels, self.children_, self.distances_ = self._cut_tree(frame, n)
+            self._merges = None
+        elif self.linkage in ("single", "ward"):
+            frame = materialize(frame, "features")
+            self._cut(frame, self._spanning(frame, n) if self.linkage == "single" else self._ward(frame))
         else:
             raise ValueError(f"{n} rows exceed max_rows={self.max_rows} for {self.linkage} linkage")
         self.n_clusters_ = self.n_clusters
         return self
 
-    def _cut_tree(self, frame: DataFrame, n: int):
-        frame = materialize(frame, "features")
-        tree = reachability_tree(frame.withColumn("core", F.lit(0.0)), n, self.metric, self.block_rows)
-        kept = materialize(tree.orderBy("weight", "src", "dst").limit(n - self.n_clusters), "kept")
-        linked = connected_components(kept.select("src", "dst")).withColumnRenamed("node", "id")
+    def _spanning(self, frame: DataFrame, n: int) -> DataFrame:
+        return reachability_tree(frame.withColumn("core", F.lit(0.0)), n, self.metric, self.block_rows)
+
+    def _ward(self, frame: DataFrame) -> DataFrame:
+        """Rounds on the executors down to ``max_rows`` clusters, the last merges in their matrix."""
+        tree, left = ward_rounds(frame, self.max_rows, self.block_rows)
+        held = left.orderBy("id").toArrow()
+        lowest = held.column("id").to_pylist()
+        _, children, heights = merged(matrix_of(held.column("features").combine_chunks()), 1, "ward", "euclidean", held.column("n").to_numpy().astype(np.float64))
+        ends = []
+        for a, b in children:  # a cluster goes by its smallest id
+            ends.append((lowest[a], lowest[b]))
+            lowest.append(min(ends[-1]))
+        last = [(min(e), max(e), h) for e, h in zip(ends, heights)]
+        return materialize(tree.unionByName(frame.sparkSession.createDataFrame(last, "src long, dst long, weight double")), "merges")
+
+    def _cut(self, frame: DataFrame, tree: DataFrame) -> None:
+        """Labels and merges from a tree of n - 1 edges less the n_clusters - 1 heaviest."""
+        dropped = tree.orderBy(F.desc("weight"), F.desc("src"), F.desc("dst")).limit(self.n_clusters - 1)
+        self._merges = materialize(tree.join(dropped.select("src", "dst"), ["src", "dst"], "left_anti"), "kept")
+        linked = connected_components(self._merges.select("src", "dst"), local_edges=LOCAL_EDGES).withColumnRenamed("node", "id")
         member = frame.select("id").join(linked, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
         roots = {r["component"]: k for k, r in enumerate(member.select("component").distinct().orderBy("component").collect())}  # n_clusters rows
         numbers = frame.sparkSession.createDataFrame(list(roots.items()), "component long, label long")
-        edges = kept.orderBy("weight", "src", "dst").toArrow()
-        ids = np.sort(frame.select("id").toArrow().column("id").to_numpy())
-        ends = [np.searchsorted(ids, edges.column(c).to_numpy()) for c in ("src", "dst")]
-        return materialize(member.join(numbers, "component").select("id", "label"), "labels"), merge_numbers(n, *ends), edges.column("weight").to_pylist()
+        self._labels = materialize(member.join(numbers, "component").select("id", "label"), "labels")
+        self._children = self._distances = None
+
+    def _in_order(self) -> None:
+        """The merges of a distributed fit as lists, on request."""
+        if self._labels is None:
+            raise NotFittedError("AgglomerativeClustering is not fitted")
+        if self._children is None:
+            edges = self._merges.orderBy("weight", "src", "dst").toArrow()
+            ids = np.sort(self._labels.select("id").toArrow().column("id").to_numpy())
+            ends = [np.searchsorted(ids, edges.column(c).to_numpy()) for c in ("src", "dst")]
+            self._children, self._distances = merge_numbers(len(ids), *ends), edges.column("weight").to_pylist()
+
+    @property
+    def children_(self) -> list[tuple[int, int]]:
+        self._in_order()
+        return self._children
+
+    @property
+    def distances_(self) -> list[float]:
+        self._in_order()
+        return self._distances
+
+    def heights(self, spark: SparkSession) -> DataFrame:
+        """(distance): the heights of all merges, as a table at every size."""
+        if self._merges is not None:
+            return self._merges.select(F.col("weight").alias("distance"))
+        return spark.createDataFrame([(float(h),) for h in self.distances_], "distance double")
 
     _saved = ("n_clusters", "linkage", "metric", "features", "ident", "max_rows", "block_rows", "n_clusters_")
 
     def _tables(self) -> dict[str, DataFrame]:
         if self._labels is None:
             return {}
-        left, right = np.array(self.children_, np.int64).reshape(-1, 2).T
-        merges = pa.table({"step": np.arange(len(left)), "left": left, "right": right, "distance": np.array(self.distances_, np.float64)})
+        if self._merges is not None:
+            return {"labels": self._labels, "edges": self._merges}
+        left, right = np.array(self._children, np.int64).reshape(-1, 2).T
+        merges = pa.table({"step": np.arange(len(left)), "left": left, "right": right, "distance": np.array(self._distances, np.float64)})
         return {"labels": self._labels, "merges": self._labels.sparkSession.createDataFrame(merges)}
 
     def _restore(self, tables: dict[str, DataFrame]) -> None:
-        if tables:
-            self._labels, merges = tables["labels"], tables["merges"].orderBy("step").toArrow()
-            self.children_ = list(zip(merges.column("left").to_pylist(), merges.column("right").to_pylist()))
-            self.distances_ = merges.column("distance").to_pylist()
+        self._labels, self._merges = tables.get("labels"), tables.get("edges")
+        self._children = self._distances = None
+        if "merges" in tables:
+            merges = tables["merges"].orderBy("step").toArrow()
+            self._children = list(zip(merges.column("left").to_pylist(), merges.column("right").to_pylist()))
+            self._distances = merges.column("distance").to_pylist()
 
     @property
     def labels_(self) -> DataFrame:
@@ -111,9 +160,11 @@ def merge_numbers(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int
     return found
 
 
-def merged(x: np.ndarray, n_clusters: int, linkage: str, metric: str):
+def merged(x: np.ndarray, n_clusters: int, linkage: str, metric: str, size: np.ndarray | None = None):
     """Labels, (left, right) cluster numbers and heights of the n - n_clusters merges.
 
+    With ``size`` the rows are themselves centroids of so many rows each (ward).
+
     Each cluster remembers its nearest partner of higher number, so a step scans n numbers and only
     clusters whose partner changed look again.  Ward works on squared distances and reports roots.
     """
@@ -123,7 +174,9 @@ def merged(x: np.ndarray, n_clusters: int, linkage: str, metric: str):
         far = np.sqrt(far)
     far = (far + far.T) / 2
     np.fill_diagonal(far, np.inf)
-    size, name = np.ones(n), list(range(n))
+    size, name = np.ones(n) if size is None else size.copy(), list(range(n))
+    if linkage == "ward":
+        far = cost(far, size, size)
     alive = np.ones(n, bool)
     slot = np.arange(n)
     partner, gap = np.zeros(n, np.int64), np.full(n, np.inf)

@@ -747,8 +747,9 @@ def agglomerative_fit(spark, sf_dir):
     round((SELECT min(sqrt((a.x[1] - b.x[1]) * (a.x[1] - b.x[1]) + (a.x[2] - b.x[2]) * (a.x[2] - b.x[2]))) FROM s a JOIN s b ON a.id < b.id), 9) AS lowest""")
 def ward_heights(spark, sf_dir):
     """Half the squared heights of all merges add up to the total sum of squares; the lowest is the nearest pair."""
-    h = np.array(AgglomerativeClustering(1, "ward").fit(_supplier(spark, sf_dir)).distances_)
-    return spark.createDataFrame([(len(h), round(float((h * h).sum() / 2), 6), round(float(h.min()), 9))], "merges long, total double, lowest double")
+    h = AgglomerativeClustering(1, "ward").fit(_supplier(spark, sf_dir)).heights(spark)
+    total, lowest = F.sum(F.col("distance") * F.col("distance") / 2), F.min("distance")
+    return h.agg(F.count(F.lit(1)).alias("merges"), F.round(total, 6).alias("total"), F.round(lowest, 9).alias("lowest"))
 
 
 TREE_CUT = 1.2
