@@ -742,16 +742,29 @@ def agglomerative_fit(spark, sf_dir):
     return AgglomerativeClustering(5, "ward").fit(_supplier(spark, sf_dir)).labels_
 
 
-@query("""WITH s AS (SELECT s_suppkey AS id, [s_acctbal / 1000, CAST(s_nationkey AS DOUBLE)] AS x FROM supplier), g AS (SELECT [avg(x[1]), avg(x[2])] AS g FROM s)
+WARD_SQL = """WITH s AS (SELECT s_suppkey AS id, [s_acctbal / 1000, CAST(s_nationkey AS DOUBLE)] AS x FROM supplier), g AS (SELECT [avg(x[1]), avg(x[2])] AS g FROM s)
     SELECT (SELECT count(*) - 1 FROM s) AS merges, round((SELECT sum((x[1] - g[1]) * (x[1] - g[1]) + (x[2] - g[2]) * (x[2] - g[2])) FROM s, g), 6) AS total,
-    round((SELECT min(sqrt((a.x[1] - b.x[1]) * (a.x[1] - b.x[1]) + (a.x[2] - b.x[2]) * (a.x[2] - b.x[2]))) FROM s a JOIN s b ON a.id < b.id), 9) AS lowest""")
-def ward_heights(spark, sf_dir):
-    """Half the squared heights of all merges add up to the total sum of squares; the lowest is the nearest pair."""
-    h = AgglomerativeClustering(1, "ward").fit(_supplier(spark, sf_dir)).heights(spark)
+    round((SELECT min(sqrt((a.x[1] - b.x[1]) * (a.x[1] - b.x[1]) + (a.x[2] - b.x[2]) * (a.x[2] - b.x[2]))) FROM s a JOIN s b ON a.id < b.id), 9) AS lowest"""
+
+
+def _ward_invariants(spark, sf_dir, **limits) -> DataFrame:
+    h = AgglomerativeClustering(1, "ward", **limits).fit(_supplier(spark, sf_dir)).heights(spark)
     total, lowest = F.sum(F.col("distance") * F.col("distance") / 2), F.min("distance")
     return h.agg(F.count(F.lit(1)).alias("merges"), F.round(total, 6).alias("total"), F.round(lowest, 9).alias("lowest"))
 
 
+@query(WARD_SQL)
+def ward_heights(spark, sf_dir):
+    """Half the squared heights of all merges add up to the total sum of squares; the lowest is the nearest pair."""
+    return _ward_invariants(spark, sf_dir)
+
+
+@query(WARD_SQL)
+def ward_rounds_heights(spark, sf_dir):
+    """The same of merges made in distributed rounds, down to a matrix of at most 50 clusters."""
+    return _ward_invariants(spark, sf_dir, max_rows=50)
+
+
 TREE_CUT = 1.2
 
 
