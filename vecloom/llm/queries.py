@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecloom.llm import decontaminate, embedding_dedup, language_id, mixing, sentence_dedup, sharding, simhash_dedup, token_counts, tool_calls, toxicity
+from vecloom.llm import decontaminate, embedding_dedup, fill_in_middle, filter_audit, language_id, mixing, packing, sentence_dedup, sharding, simhash_dedup, token_counts, tool_calls, toxicity
 from vecloom.llm.tables import table
 
 
@@ -48,5 +48,17 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.document_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_chat_tool_linking, op3_toxicity, op4_token_counts, op5_language_id, op6_embedding_near_dedup, op7_simhash_near_dedup, op8_substring_dedup, op9_mixing_weights, op10_benchmark_decontamination)}
-ORACLE_SQL: dict[str, str] = {"op2_chat_tool_linking": tool_calls.CONVERSATIONS_SQL, "op9_mixing_weights": mixing.mixture_sql()}
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.document_packing(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.document_filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.document_fim(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_chat_tool_linking, op3_toxicity, op4_token_counts, op5_language_id, op6_embedding_near_dedup, op7_simhash_near_dedup, op8_substring_dedup, op9_mixing_weights, op10_benchmark_decontamination, op11_packing, op12_filter_audit, op13_fill_in_middle)}
+ORACLE_SQL: dict[str, str] = {"op2_chat_tool_linking": tool_calls.CONVERSATIONS_SQL, "op9_mixing_weights": mixing.mixture_sql(), "op12_filter_audit": filter_audit.AUDIT_SQL, "op13_fill_in_middle": fill_in_middle.FIM_SQL}
