@@ -44,23 +44,55 @@ def pairwise(x: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
     return out
 
 
-def _short_list(x: np.ndarray, c: np.ndarray, keep: int) -> np.ndarray:
-    """Numbers of the ``keep`` centroids nearest by the expanded square, in ascending order.
+def _open(x: np.ndarray, c: np.ndarray, middle: np.ndarray, places: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least values of the expanded squares, and which centroids may be among the ``places`` nearest of each row.
 
-    Both sides are taken from the mean centroid first: far from the origin the expansion would lose the
-    differences between centroids to rounding.
+    Both sides are taken from ``middle`` first.  The rounding of an expanded square grows with the distances
+    of the row and of that centroid from it; a centroid is out only where its least value lies above the
+    greatest value of ``places`` others.  A common term of each row is left out.
     """
-    middle = c.mean(axis=0)
-    x, c = x - middle, c - middle
-    rough = np.einsum("ij,ij->i", c, c)[None, :] - 2 * (x @ c.T)
-    return np.sort(np.argpartition(rough, keep - 1, axis=1)[:, :keep], axis=1)
+    y, z = x - middle, c - middle
+    y2, z2 = np.einsum("ij,ij->i", y, y), np.einsum("ij,ij->i", z, z)
+    with np.errstate(invalid="ignore", over="ignore"):
+        rough = z2[None, :] - 2 * (y @ z.T)
+        error = np.sqrt(y2)[:, None] * (2 * np.sqrt(z2))[None, :]
+        error += z2[None, :]
+        error *= 4e-16 * (c.shape[1] + 4)
+        rough += error
+        limit = rough.min(axis=1) if places == 1 else np.partition(rough, places - 1, axis=1)[:, places - 1]
+        error *= 2
+        rough -= error
+        return rough, rough <= limit[:, None]
+
+
+def _short_list(x: np.ndarray, c: np.ndarray, keep: int, places: int) -> tuple[np.ndarray, np.ndarray]:
+    """(``keep`` centroid numbers a row in ascending order, whether they hold its ``places`` nearest for certain).
+
+    A second look from the centroid that is nearest in the first settles rows whose centroids lie in groups
+    far apart; what is still in doubt (many centroids within rounding of each other, or no numbers at all)
+    is for the caller to compare with every centroid.
+    """
+
+    def look(part: np.ndarray, middle: np.ndarray):
+        least, may = _open(part, c, middle, places)
+        chosen = least.argmin(axis=1)[:, None] if keep == 1 else np.sort(np.argpartition(least, keep - 1, axis=1)[:, :keep], axis=1)
+        counts = may.sum(axis=1)
+        return chosen, (counts <= keep) & (counts >= places), least.argmin(axis=1)
+
+    chosen, sure, near = look(x, c.mean(axis=0))
+    doubt = np.nonzero(~sure)[0]
+    for j in np.unique(near[doubt]):
+        rows = doubt[near[doubt] == j]
+        chosen[rows], sure[rows], _ = look(x[rows], c[j])
+    return chosen, sure
 
 
 def nearest_two(x: np.ndarray, c: np.ndarray, metric: str, variances: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(label, best, second) raw distances; second is +inf with a single centroid.
 
     With ``variances`` (k x d) distances are squared and scaled by the centroid's own variances.
-    NaN distances are never nearest.
+    NaN distances are never nearest.  Euclidean rows are compared exactly with a short list that holds their
+    two nearest whatever was rounded, or else with every centroid.
     """
     n, k = len(x), len(c)
     label, best, second = np.zeros(n, np.int64), np.empty(n), np.full(n, np.inf)
@@ -68,32 +100,36 @@ def nearest_two(x: np.ndarray, c: np.ndarray, metric: str, variances: np.ndarray
     step = max(1, CHUNK // max(1, max(k, keep * c.shape[1])))
     for s in range(0, n, step):
         part = x[s : s + step]
-        rows = np.arange(len(part))
         if variances is not None:
             d = np.stack([((part - c[j]) ** 2 / variances[j]).sum(1) for j in range(k)], axis=1)
-            chosen = None
+            found = _two_least(d)
         elif metric == "euclidean" and k > keep:
-            chosen = _short_list(part, c, keep)
+            chosen, sure = _short_list(part, c, keep, 2)
             gap = part[:, None, :] - c[chosen]
-            d = np.einsum("ijk,ijk->ij", gap, gap)
+            at, *least = _two_least(np.einsum("ijk,ijk->ij", gap, gap))
+            found = chosen[np.arange(len(part)), at], *least
+            doubt = np.nonzero(~sure)[0]
+            if len(doubt):
+                for own, exact in zip(found, _two_least(pairwise(part[doubt], c, metric))):
+                    own[doubt] = exact
         else:
-            d, chosen = pairwise(part, c, metric), None
-        d = np.where(np.isnan(d), np.inf, d)
-        first = d.argmin(axis=1)
-        label[s : s + step] = first if chosen is None else chosen[rows, first]
-        best[s : s + step] = d[rows, first]
-        if k > 1:
-            d[rows, first] = np.inf
-            second[s : s + step] = d.min(axis=1)
+            found = _two_least(pairwise(part, c, metric))
+        label[s : s + step], best[s : s + step], second[s : s + step] = found
     return label, best, second
 
 
-def nearest_one(x: np.ndarray, c: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
-    """(label, raw distance) of the nearest centroid, as ``nearest_two`` finds it.
+def _two_least(d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the least, least, second least) of each row, the lower place on ties; d is changed."""
+    d = np.where(np.isnan(d), np.inf, d)
+    rows = np.arange(len(d))
+    first = d.argmin(axis=1)
+    best = d[rows, first]
+    d[rows, first] = np.inf
+    return first, best, d.min(axis=1)
 
-    Euclidean rows are compared by the expanded square from the mean centroid; those whose two best are
-    closer than its rounding error are compared again exactly.
-    """
+
+def nearest_one(x: np.ndarray, c: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """(label, raw distance) of the nearest centroid, as ``nearest_two`` finds it, with a short list of one."""
     if metric != "euclidean" or len(c) == 1:
         label, best, _ = nearest_two(x, c, metric)
         return label, best
@@ -105,12 +141,18 @@ def nearest_one(x: np.ndarray, c: np.ndarray, metric: str) -> tuple[np.ndarray,
     for s in range(0, len(x), step):
         part = x[s : s + step]
         moved = part - middle
-        rough = length2[None, :] - 2 * (moved @ near.T)
-        first = rough.argmin(axis=1)
-        bound = 4e-16 * (c.shape[1] + 4) * (length2.max() + 2 * np.sqrt(np.einsum("ij,ij->i", moved, moved) * length2.max()))
-        unsure = np.nonzero((rough <= (rough[np.arange(len(part)), first] + bound)[:, None]).sum(axis=1) != 1)[0]
-        if len(unsure):
-            first[unsure] = nearest_two(part[unsure], c, metric)[0] if len(c) <= 6 else pairwise(part[unsure], c, metric).argmin(axis=1)
+        with np.errstate(invalid="ignore", over="ignore"):
+            rough = length2[None, :] - 2 * (moved @ near.T)
+            first = rough.argmin(axis=1)
+            # one bound for all centroids is cheap; rows that it leaves in doubt get one of each centroid's own
+            bound = 4e-16 * (c.shape[1] + 4) * (length2.max() + 2 * np.sqrt(np.einsum("ij,ij->i", moved, moved) * length2.max()))
+            doubt = np.nonzero((rough <= (rough[np.arange(len(part)), first] + 2 * bound)[:, None]).sum(axis=1) != 1)[0]
+        if len(doubt):
+            chosen, sure = _short_list(part[doubt], c, 1, 1)
+            first[doubt] = chosen[:, 0]
+            doubt = doubt[~sure]
+        if len(doubt):
+            first[doubt] = _two_least(pairwise(part[doubt], c, metric))[0]
         gap = part - c[first]
         label[s : s + step], best[s : s + step] = first, np.einsum("ij,ij->i", gap, gap)
     return label, np.where(np.isnan(best), np.inf, best)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from vecloom.functions.vectors import parse_metric
 from vecloom.operators.assign import pairwise
+from vecloom.operators.condense import condensed_frame, density_of, selected
 from vecloom.operators.kmeans import checked
 from vecloom.operators.neighbors import BLOCK_ROWS, LOCAL_EDGES, _data as sided, _sides as block_sides, _within, core_distances, reachability_tree
 from vecloom.operators.pivots import PivotCells
@@ -164,13 +165,14 @@ class _Links:
 class HDBSCAN(StoredModel):
     """Hierarchical density clusters.
 
-    Core distances and the spanning tree are distributed (a small matrix, counted first, is spanned in
-    place); the tree of n - 1 edges is condensed on the driver, up to ``max_rows`` rows.
+    Core distances, spanning tree and its condensation are distributed (``condense.py``): the driver sees the
+    cluster tree alone, at most two nodes for every ``min_cluster_size`` rows.  Up to ``local_rows`` rows,
+    counted first, the same is done in one place.
     ``compat`` labels only rows that fell out of a selected cluster itself, not out of its deselected
     descendants; ``compat=False`` labels those too.
     """
 
-    def __init__(self, min_cluster_size: int = 5, min_samples: int | None = None, metric: str = "euclidean", cluster_selection_method: str = "eom", features: str = "features", ident: str = "id", compat: bool = True, local_rows: int = 4096, max_rows: int = 1_000_000, block_rows: int = BLOCK_ROWS):
+    def __init__(self, min_cluster_size: int = 5, min_samples: int | None = None, metric: str = "euclidean", cluster_selection_method: str = "eom", features: str = "features", ident: str = "id", compat: bool = True, local_rows: int = 4096, block_rows: int = BLOCK_ROWS):
         if not isinstance(min_cluster_size, int) or min_cluster_size < 2:
             raise ValueError("min_cluster_size must be at least 2")
         if min_samples is not None:
@@ -179,56 +181,48 @@ class HDBSCAN(StoredModel):
             raise ValueError("cluster_selection_method is eom or leaf")
         self.min_cluster_size, self.min_samples, self.metric = min_cluster_size, min_samples or min_cluster_size, parse_metric(metric)
         self.cluster_selection_method, self.features, self.ident, self.compat = cluster_selection_method, features, ident, compat
-        self.local_rows, self.max_rows, self.block_rows = local_rows, max_rows, block_rows
-        self._result = None
+        self.local_rows, self.block_rows = local_rows, block_rows
+        self._labels: DataFrame | None = None
 
     def fit(self, df: DataFrame) -> HDBSCAN:
         frame = feature_frame(df, self.features, self.ident)
         n, d = validate(frame)
-        if n > self.max_rows:
-            raise ValueError(f"{n} rows exceed max_rows={self.max_rows} for the cluster tree")
         if n <= self.local_rows:
             ids, x = collect_matrix(frame)
-            edges = spanning_tree(x, self.min_samples, self.metric)
+            labels, p, persistence = np.full(n, -1), np.zeros(n), []
+            if n >= self.min_cluster_size:
+                labels, p, persistence = condensed_labels(n, spanning_tree(x, self.min_samples, self.metric), self.min_cluster_size, self.cluster_selection_method, self.compat)
+            self._labels = df.sparkSession.createDataFrame(pa.table({"id": pa.array(ids), "label": pa.array(labels), "probability": pa.array(p)}))
+        elif n < self.min_cluster_size:
+            self._labels, persistence = materialize(frame.select("id", F.lit(-1).cast("long").alias("label"), F.lit(0.0).alias("probability")), "hdbscan"), []
         else:
             frame = materialize(frame, "features")
             with_core = materialize(frame.join(core_distances(frame, n, self.min_samples, self.metric, self.block_rows), "id"), "cored")
-            ids = [r["id"] for r in frame.select("id").orderBy("id").toLocalIterator()]
-            number = {i: k for k, i in enumerate(ids)}
-            rows = reachability_tree(with_core, n, self.metric, self.block_rows).collect()
-            edges = [(r["weight"], number[r["src"]], number[r["dst"]]) for r in rows]
-        if n < self.min_cluster_size:
-            labels, p, persistence = np.full(n, -1), np.zeros(n), []
-        else:
-            labels, p, persistence = condensed_labels(n, edges, self.min_cluster_size, self.cluster_selection_method, self.compat)
-        self._result = (ids, labels, p)
-        self._spark = df.sparkSession
+            tree = reachability_tree(with_core, n, self.metric, self.block_rows)
+            self._labels, persistence = condensed_frame(frame.select("id"), tree, self.min_cluster_size, self.cluster_selection_method, self.compat, LOCAL_EDGES)
         self.cluster_persistence_ = [float(p) for p in persistence]
         return self
 
-    _saved = ("min_cluster_size", "min_samples", "metric", "cluster_selection_method", "features", "ident", "compat", "local_rows", "max_rows", "block_rows", "cluster_persistence_")
+    _saved = ("min_cluster_size", "min_samples", "metric", "cluster_selection_method", "features", "ident", "compat", "local_rows", "block_rows", "cluster_persistence_")
 
     def _tables(self) -> dict[str, DataFrame]:
-        return {} if self._result is None else {"rows": self.labels_.join(self.probabilities_, "id")}
+        return {} if self._labels is None else {"rows": self._labels}
 
     def _restore(self, tables: dict[str, DataFrame]) -> None:
-        if tables:  # at most max_rows rows, as the fit holds them
-            rows = tables["rows"].orderBy("id").toArrow()
-            self._spark = tables["rows"].sparkSession
-            self._result = rows.column("id").to_pylist(), rows.column("label").to_numpy(), rows.column("probability").to_numpy()
+        self._labels = tables.get("rows")
 
-    def _frame_of(self, at: int, name: str) -> DataFrame:
-        if self._result is None:
+    def _known(self) -> DataFrame:
+        if self._labels is None:
             raise NotFittedError("HDBSCAN is not fitted")
-        return self._spark.createDataFrame(pa.table({"id": pa.array(self._result[0]), name: pa.array(self._result[at])}))
+        return self._labels
 
     @property
     def labels_(self) -> DataFrame:
-        return self._frame_of(1, "label")
+        return self._known().select("id", "label")
 
     @property
     def probabilities_(self) -> DataFrame:
-        return self._frame_of(2, "probability")
+        return self._known().select("id", "probability")
 
     def fit_predict(self, df: DataFrame) -> DataFrame:
         return self.fit(df).labels_
@@ -303,7 +297,7 @@ def condensed_labels(n: int, edges, min_size: int, method: str, compat: bool):
         return np.full(n, -1), np.zeros(n), []
     huge = float(np.finfo(float).max)
     parent, sibling, size, height = single_linkage(n, edges)
-    density = np.where(height > 0, 1 / np.where(height > 0, height, 1.0), huge)
+    density = density_of(height)
     nodes, root = np.arange(len(parent)), len(parent) - 1
     large = size >= min_size
     begins = large & large[sibling] & (parent != nodes)
@@ -328,18 +322,7 @@ def condensed_labels(n: int, edges, min_size: int, method: str, compat: bool):
     split = above >= 0
     inner[above[split]] = True
     death[above[split]] = birth[split]
-    best, below = stability.copy(), np.zeros(count)
-    keeps = ~inner
-    for c in range(count):  # a cluster has a smaller node than the one above it
-        if inner[c] and method == "eom":
-            keeps[c] = stability[c] >= below[c]
-            best[c] = stability[c] if keeps[c] else below[c]
-        if above[c] >= 0:
-            below[above[c]] = float(below[above[c]]) + float(best[c])  # may become infinite
-    chosen = np.full(count, -1)  # the selected cluster that holds each cluster
-    for c in range(count - 1, -1, -1):
-        over = chosen[above[c]] if above[c] >= 0 else -1
-        chosen[c] = over if over >= 0 else c if keeps[c] else -1
+    chosen = selected(stability, above, inner, method)
     picked = np.nonzero(chosen == np.arange(count))[0]
     label_of = np.full(count + 1, -1)
     label_of[picked] = np.arange(len(picked))

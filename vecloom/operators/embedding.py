@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 from vecloom.functions import directional as D
 from vecloom.operators import metrics
 from vecloom.operators.assign import normalized
-from vecloom.operators.kmeans import INIT_SAMPLE, CentroidModel, _Clusterer, checked
-from vecloom.operators.lloyd import LocalRows, lloyd, partial_sums, plus_plus, rows_of
+from vecloom.operators.kmeans import CentroidModel, _Clusterer, checked
+from vecloom.operators.lloyd import LocalRows, lloyd, partial_sums, rows_of, starts
 from vecloom.operators.reduce import EmbeddingReducer
 from vecloom.plans.durable import materialize
 from vecloom.plans.frames import LOCAL_BYTES, NotFittedError, feature_frame, list_array, map_matrix, matrix_of, validate
@@ -57,15 +57,14 @@ class EmbeddingCluster(_Clusterer):
         self.reduced_data_ = materialize(made.select("id", F.col("made").alias("features")), "reduced")
         rows = rows_of(self.reduced_data_, n, dims, self.local_bytes)
         if isinstance(self.init, str) and self.init == "k-means++":
-            sample = rows.sample(max(INIT_SAMPLE, 20 * self.n_clusters), self.random_state)
-            starts = [plus_plus(sample, self.n_clusters, np.random.default_rng(self.random_state + i), "dot") for i in range(self.n_init)]
+            begun = starts(rows, self.n_clusters, [self.random_state + i for i in range(self.n_init)], "dot")
         else:
-            starts = [normalized(s) for s in self._starts(rows, [self.random_state])]
+            begun = [normalized(s) for s in self._starts(rows, [self.random_state])]
         log: list = []
         if self.algorithm == "minibatch":
-            runs = [self._minibatch(rows, s, k, log) for k, s in enumerate(starts)]
+            runs = [self._minibatch(rows, s, k, log) for k, s in enumerate(begun)]
         else:
-            runs = lloyd(rows, starts, "dot", self.max_iter, self.tol, spherical=True, log=log)
+            runs = lloyd(rows, begun, "dot", self.max_iter, self.tol, spherical=True, log=log)
         centres, cost, rounds = runs[min(range(len(runs)), key=lambda i: (runs[i][1], i))]
         self.model = CentroidModel(centres, cost, rounds, "dot", "embedding", "features", "id")
         self.model._fitted_on = self.reduced_data_

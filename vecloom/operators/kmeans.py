@@ -12,11 +12,9 @@ from pyspark.sql import types as T
 
 from vecloom.functions.vectors import parse_metric
 from vecloom.operators.assign import assign
-from vecloom.operators.lloyd import lloyd, plus_plus, rows_of
+from vecloom.operators.lloyd import lloyd, rows_of, starts
 from vecloom.plans.frames import LOCAL_BYTES, NotFittedError, feature_frame, validate
 
-INIT_SAMPLE = 20_000
-
 
 def checked(**values) -> None:
     """Positive integers by name; anything else raises ValueError."""
@@ -120,8 +118,7 @@ class _Clusterer:
                 return [rows.first(self.n_clusters)]
             if self.init != "k-means++":
                 raise ValueError("init is k-means++, first_k or an array")
-            sample = rows.sample(max(INIT_SAMPLE, 20 * self.n_clusters), seeds[0])
-            return [plus_plus(sample, self.n_clusters, np.random.default_rng(s), self.metric) for s in seeds]
+            return starts(rows, self.n_clusters, seeds, self.metric)
         given = np.asarray(self.init, dtype=np.float64)
         if given.shape != (self.n_clusters, rows.d):
             raise ValueError(f"init must be {self.n_clusters} x {rows.d}")
@@ -132,8 +129,8 @@ class KMeans(_Clusterer):
     """Lloyd's algorithm with restarts.
 
     ``algorithm`` is accepted (auto, lloyd, hamerly) and changes nothing: one plan serves all.
-    Restarts draw k-means++ starts from a sample of at most about ``INIT_SAMPLE`` rows (all rows if
-    there are no more) and are iterated together; the lowest cost wins, the first on ties.
+    Restarts draw their starts by scalable k-means++ over all rows, the same ones whether rows are held
+    or distributed, and are iterated together; the lowest cost wins, the first on ties.
     """
 
     def __init__(self, n_clusters: int, max_iter: int = 300, tol: float = 1e-4, random_state: int = 0, n_init: int = 10, algorithm: str = "auto", metric: str = "euclidean", init="k-means++", features: str = "features", ident: str = "id", local_bytes: int = LOCAL_BYTES):
@@ -147,8 +144,7 @@ class KMeans(_Clusterer):
 
     def fit(self, df: DataFrame) -> CentroidModel:
         rows = self._rows(df)
-        starts = self._starts(rows, [self.random_state + i for i in range(self.n_init)])
-        runs = lloyd(rows, starts, self.metric, self.max_iter, self.tol)
+        runs = lloyd(rows, self._starts(rows, [self.random_state + i for i in range(self.n_init)]), self.metric, self.max_iter, self.tol)
         best = min(range(len(runs)), key=lambda i: (runs[i][1], i))
         self.model = CentroidModel(*runs[best], self.metric, "kmeans", self.features, self.ident)
         self.model._fitted_on = df

@@ -1,10 +1,15 @@
 """Lloyd rounds for any number of restarts at once, over a distributed frame or a small matrix.
 
-The features are written once as blocks of numbers in binary form; a round reads them as matrices,
-assigns rows to the broadcast centroids and sums them by centroid inside an Arrow map.  A partition gives
-back one k x d matrix of sums a restart; these are added on the executors first unless all of them
-together are small (``PARTIAL_BYTES``).  All restarts share one pass over the data.  Matrices up to
-``LOCAL_BYTES`` (counted first) are worked on in place with the same kernel.
+The features are written once as blocks of numbers in binary form, each with a 64-bit key a row (the hash
+of its id); a round reads them as matrices, assigns rows to the broadcast centroids and sums them by
+centroid inside an Arrow map.  A partition gives back one k x d matrix of sums a restart; these are added on
+the executors to a single one unless all of them together are small (``PARTIAL_BYTES``).  All restarts
+share one pass over the data.  Matrices up to ``LOCAL_BYTES`` (counted first) are worked on in place with
+the same kernel.
+
+Starts and mini-batches are drawn by races: a row's key and the seed give a number, its weight divides the
+logarithm of that, and the smallest finish first.  That is a weighted sample without replacement from
+*all* rows in one pass, and the same one whether rows are held or distributed, however they are dealt.
 """
 
 from __future__ import annotations
@@ -19,12 +24,14 @@ from pyspark.sql import functions as F
 
 from vecloom.operators.assign import nearest_one, nearest_two, normalized
 from vecloom.plans.durable import materialize
-from vecloom.plans.frames import LOCAL_BYTES, collect_matrix, matrix_of
+from vecloom.plans.frames import LOCAL_BYTES, matrix_of
 
 PREFETCH_BYTES = 32 << 20
 PARTIAL_BYTES = 32 << 20
 BLOCK_BYTES = 4 << 20
 _PARTIAL = "run int, sums binary, far double, far_vector binary, moved long"
+START_ROUNDS = 5  # passes that draw candidates for starts
+LEAST_CANDIDATES = 50  # drawn in each of them, or twice the clusters if that is more
 
 
 @dataclass
@@ -83,45 +90,94 @@ def added(parts: list[list[Partial | None]]) -> list[Partial | None]:
     return first
 
 
-class LocalRows:
+def race(keys: np.ndarray, seed: int, weight: np.ndarray | None = None) -> np.ndarray:
+    """When each row finishes: exponential times with the weights as rates; rows without weight never do."""
+    with np.errstate(over="ignore"):
+        z = keys.view(np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (2 * int(seed) + 1)) % (1 << 64))
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+    time_ = -np.log(((z >> np.uint64(11)) + np.uint64(1)).astype(np.float64) * 2.0**-53)
+    if weight is None:
+        return time_
+    return np.where(weight > 0, time_ / np.where(weight > 0, weight, 1.0), np.inf)
+
+
+def far_away(x: np.ndarray, known: np.ndarray | None, metric: str) -> np.ndarray | None:
+    """The weight of a row in a draw: its raw distance (1 - dot for ``dot``) to the nearest known vector."""
+    if known is None:
+        return None
+    near = nearest_one(x, known, metric)[1]
+    near = np.maximum(1 + near if metric == "dot" else near, 0)
+    return np.where(np.isfinite(near), near, 0.0)
+
+
+def first_in(keys: np.ndarray, x: np.ndarray, size: int, seed: int, known: np.ndarray | None, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(times, keys, rows) of the ``size`` first of a race, in order; equal times go by key."""
+    t = race(keys, seed, far_away(x, known, metric))
+    if len(t) > size:
+        few = np.nonzero(t <= np.partition(t, size - 1)[size - 1])[0]
+        t, keys, x = t[few], keys[few], x[few]
+    order = np.lexsort((keys, t))
+    order = order[np.isfinite(t[order])][:size]
+    return t[order], keys[order], x[order]
+
+
+class _Batches:
+    """Mini-batches: one race draws the batches of many rounds, as far as ``PREFETCH_BYTES`` hold them."""
+
+    drawn: list[np.ndarray] = []
+
+    def batch(self, size: int, seed: int) -> np.ndarray:
+        if not self.drawn:
+            rounds = max(1, min(32, PREFETCH_BYTES // max(1, size * self.d * 8)))
+            x = self.draw(size * rounds, seed)
+            self.drawn = [x[s : s + size] for s in range(0, len(x), size)]
+            if len(self.drawn) > 1 and len(self.drawn[-1]) < size:
+                self.drawn.pop()
+        return self.drawn.pop()
+
+
+class LocalRows(_Batches):
     """A matrix small enough to hold."""
 
-    def __init__(self, ids: list, x: np.ndarray):
-        self.ids, self.x, self.n, self.d = ids, x, *x.shape
+    def __init__(self, ids: list, x: np.ndarray, keys: np.ndarray):
+        self.ids, self.x, self.keys, self.n, self.d = ids, x, keys, *x.shape
 
     def round(self, runs, metric, before=None):
         return partial_sums(self.x, runs, metric, before)
 
-    def sample(self, size: int, seed: int) -> np.ndarray:
-        return self.x
+    def draw(self, size: int, seed: int, known: np.ndarray | None = None, metric: str = "euclidean") -> np.ndarray:
+        return first_in(self.keys, self.x, size, seed, known, metric)[2]
 
     def first(self, k: int) -> np.ndarray:
         return self.x[:k]
 
-    def batch(self, size: int, seed: int) -> np.ndarray:
-        return self.x[np.random.default_rng(seed).permutation(self.n)[:size]]
+
+def keyed(frame: DataFrame) -> DataFrame:
+    return frame.withColumn("key", F.xxhash64("id"))
 
 
 def binary_blocks(frame: DataFrame, d: int) -> DataFrame:
-    """The features as blocks of doubles in binary form, row by row."""
+    """The features as blocks of doubles in binary form, row by row, with the keys of their rows."""
 
     def scan(batches):
         rows = max(1, BLOCK_BYTES // (8 * d))
         for batch in batches:
-            x = matrix_of(batch.column(0))
-            blocks = [np.ascontiguousarray(x[s : s + rows]).tobytes() for s in range(0, len(x), rows)]
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.binary())], names=["block"])
+            x, keys = matrix_of(batch.column(0)), batch.column(1).to_numpy()
+            cuts = range(0, len(x), rows)
+            blocks = [np.ascontiguousarray(x[s : s + rows]).tobytes() for s in cuts]
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.binary()), pa.array([keys[s : s + rows].tobytes() for s in cuts], pa.binary())], names=["block", "keys"])
 
-    return frame.select("features").mapInArrow(scan, "block binary")
+    return keyed(frame).select("features", "key").mapInArrow(scan, "block binary, keys binary")
 
 
-class SparkRows:
+class SparkRows(_Batches):
     """A distributed frame, written once so that every round reads the same rows."""
 
     def __init__(self, frame: DataFrame, n: int, d: int):
         self.frame, self.n, self.d = materialize(frame, "features"), n, d
         self.blocks = materialize(binary_blocks(self.frame, d), "blocks")
-        self.drawn: list[np.ndarray] = []  # batches already drawn
 
     def round(self, runs, metric, before=None):
         shared = self.frame.sparkSession.sparkContext.broadcast((runs, before))
@@ -137,40 +193,43 @@ class SparkRows:
             yield _packed(held or [None] * len(runs))
 
         def add(batches):
-            parts = [p for b in batches for p in _unpacked(b, sizes, d)]
-            yield _packed(added(parts) if parts else [None] * len(sizes))
+            held = None
+            for b in batches:
+                for part in _unpacked(b, sizes, d):
+                    held = part if held is None else added([held, part])
+            yield _packed(held or [None] * len(sizes))
 
-        partials = self.blocks.mapInArrow(scan, _PARTIAL)
+        partials = self.blocks.select("block").mapInArrow(scan, _PARTIAL)
         tasks = len(self.blocks.inputFiles())
         if tasks * sum(sizes) * (d + 2) * 8 > PARTIAL_BYTES:
-            partials = partials.repartition(min(32, tasks)).mapInArrow(add, _PARTIAL)
+            # the driver gets one matrix of sums a restart, whatever the number of tasks
+            partials = partials.repartition(min(32, tasks)).mapInArrow(add, _PARTIAL).repartition(1).mapInArrow(add, _PARTIAL)
         parts = [p for b in partials.toArrow().to_batches() for p in _unpacked(b, sizes, d)]
         shared.unpersist()
         return added(parts)
 
-    def sample(self, size: int, seed: int) -> np.ndarray:
-        """About ``size`` rows by hash of the id, whatever their order."""
-        share = min(1.0, size / max(1, self.n))
-        unit = F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 11) / F.lit(float(1 << 53))
-        return collect_matrix(self.frame.where(unit < share))[1]
+    def draw(self, size: int, seed: int, known: np.ndarray | None = None, metric: str = "euclidean") -> np.ndarray:
+        """``size`` rows by a race over all of them; a task hands on its own first ``size`` at most."""
+        shared, d = self.frame.sparkSession.sparkContext.broadcast(known), self.d
+
+        def scan(batches):
+            t, keys, x = np.empty(0), np.empty(0, np.int64), np.empty((0, d))
+            for batch in batches:
+                for block, own in zip(batch.column(0), batch.column(1)):
+                    rows = np.frombuffer(block.as_buffer(), np.float64).reshape(-1, d)
+                    found = first_in(np.frombuffer(own.as_buffer(), np.int64), rows, size, seed, shared.value, metric)
+                    t, keys, x = (np.concatenate(pair) for pair in zip((t, keys, x), found))
+                    order = np.lexsort((keys, t))[:size]
+                    t, keys, x = t[order], keys[order], x[order]
+            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(keys), pa.array([row.tobytes() for row in x], pa.binary())], names=["t", "key", "row"])
+
+        found = self.blocks.mapInArrow(scan, "t double, key long, row binary").orderBy("t", "key").limit(size).toArrow()
+        shared.unpersist()
+        return np.frombuffer(b"".join(found.column("row").to_pylist()), np.float64).reshape(-1, d)
 
     def first(self, k: int) -> np.ndarray:
         return matrix_of(self.frame.orderBy("id").limit(k).toArrow().column("features").combine_chunks())
 
-    def batch(self, size: int, seed: int) -> np.ndarray:
-        """``size`` rows at random; one pass over the data draws the batches of many rounds, as far as
-        ``PREFETCH_BYTES`` hold them."""
-        if not self.drawn:
-            rounds = max(1, min(32, PREFETCH_BYTES // max(1, size * self.d * 8)))
-            key = F.xxhash64("id", F.lit(seed))
-            share = min(1.0, (1.3 * size * rounds + 20) / self.n)
-            some = self.frame.where(F.shiftrightunsigned(key, 11) / F.lit(float(1 << 53)) < share).orderBy(key).limit(size * rounds)
-            x = matrix_of(some.toArrow().column("features").combine_chunks())
-            self.drawn = [x[s : s + size] for s in range(0, len(x), size)]
-            if len(self.drawn) > 1 and len(self.drawn[-1]) < size:
-                self.drawn.pop()
-        return self.drawn.pop()
-
 
 def _packed(parts: list[Partial | None]) -> pa.RecordBatch:
     rows = [(r, np.hstack([p.total, p.n[:, None], p.cost[:, None]]).tobytes(), p.far, None if p.vector is None else p.vector.tobytes(), p.moved) for r, p in enumerate(parts) if p is not None]
@@ -190,23 +249,47 @@ def _unpacked(batch: pa.RecordBatch, sizes: list[int], d: int):
 def rows_of(frame: DataFrame, n: int, d: int, local_bytes: int = LOCAL_BYTES):
     """Rows to iterate over: held where their counted size allows, else distributed."""
     if n * d * 8 <= local_bytes:
-        return LocalRows(*collect_matrix(frame))
+        table = keyed(frame).orderBy("id").toArrow()
+        return LocalRows(table.column("id").to_pylist(), matrix_of(table.column("features").combine_chunks()), table.column("key").to_numpy())
     return SparkRows(frame, n, d)
 
 
-def plus_plus(x: np.ndarray, k: int, rng: np.random.Generator, metric: str) -> np.ndarray:
-    """k-means++: uniform first, then by distance to the nearest chosen (1 - dot for ``dot``)."""
-    if k > len(x):
-        raise ValueError(f"{k} clusters asked of {len(x)} rows")
-    chosen = [int(rng.integers(len(x)))]
+def starts(rows, k: int, seeds: list[int], metric: str) -> list[np.ndarray]:
+    """k centres a seed by scalable k-means++ (k-means||, Bahmani et al., 2012).
+
+    Each of ``START_ROUNDS`` passes over *all* rows draws candidates by their distance to the nearest
+    candidate so far (the first evenly); a last pass counts the rows nearest to each candidate.  The
+    candidates, some 10 k, are bounded by the model alone; every restart draws its centres from them by
+    weighted k-means++ on the driver.  No sample of the rows stands in for the rest.
+    """
+    if k > rows.n:
+        raise ValueError(f"{k} clusters asked of {rows.n} rows")
+    size, known = max(2 * k, LEAST_CANDIDATES), None
+    for i in range(START_ROUNDS):
+        drawn = rows.draw(size, seeds[0] * 1009 + i, known, metric)
+        known = drawn if known is None else np.concatenate([known, drawn])
+        if len(drawn) < size:
+            break  # every row that lies apart from a candidate is one by now
+    weight = rows.round([known], metric)[0].n
+    return [plus_plus(known, k, np.random.default_rng(s), metric, weight) for s in seeds]
+
+
+def plus_plus(x: np.ndarray, k: int, rng: np.random.Generator, metric: str, weight: np.ndarray) -> np.ndarray:
+    """Weighted k-means++: by weight first, then by weight times distance to the nearest chosen (1 - dot for
+    ``dot``); where nothing lies apart from the chosen, evenly."""
+    even = np.full(len(x), 1 / len(x))
+    chosen = [int(rng.choice(len(x), p=weight / weight.sum() if weight.sum() > 0 else even))]
     near = None
     for _ in range(1, k):
         d = nearest_two(x, x[chosen[-1] :][:1], metric)[1]
         d = np.maximum(1 + d, 0) if metric == "dot" else np.maximum(d, 0)
         near = d if near is None else np.minimum(near, d)
-        total = near.sum()
-        p = near / total if total > 0 and np.isfinite(total) else None
-        chosen.append(int(rng.choice(len(x), p=p)))
+        # a candidate that is nobody's nearest is a copy of another
+        mass = near * np.maximum(weight, 0.0)
+        if not (mass > 0).any():
+            mass = near
+        total = mass.sum()
+        chosen.append(int(rng.choice(len(x), p=mass / total if total > 0 and np.isfinite(total) else even)))
     return x[chosen].copy()
 
 

@@ -160,13 +160,29 @@ def core_distances(frame: DataFrame, n: int, k: int, metric: str = "euclidean",
 def reachability_tree(frame: DataFrame, n: int, metric: str = "euclidean", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(src, dst, weight): a minimum spanning tree of max(core, core, distance) over (id, features, core).
 
-    Boruvka rounds: every component finds its lightest outgoing edge (ties by weight, then ids);
+    Of equal vectors, which have the same core, one is spanned and the others hang on it by that core: no
+    other edge of theirs is lighter.  The rest is spanned by Boruvka rounds: every component finds its lightest outgoing edge (ties by weight, then ids);
     components at least halve each round.  A round compares rows with their own cell, takes from that
     and from the bounds the heaviest weight each component's edge can have, and then visits only cells
     that are not wholly of the row's component and can hold an edge as light.
     """
     metric = V.parse_metric(metric)
-    cells = PivotCells(frame.select("id", "features", "core"), n, metric, block_rows)
+    single = F.lit(None).cast("long")
+    if metric == "cosine":  # zero vectors are at distance 1 from each other too
+        single = F.when(~F.exists("features", lambda v: v != 0), F.col("id"))
+    rows = frame.select("id", "features", "core", single.alias("alone"))
+    points = materialize(rows.groupBy("features", "alone").agg(F.min("id").alias("id"), F.min("core").alias("core"), F.count(F.lit(1)).alias("n")), "points")
+    count = points.count()
+    if count == n:
+        return _spanned(frame.select("id", "features", "core"), n, metric, block_rows)
+    kept = points.where("n > 1").select(F.col("features").alias("f"), F.col("alone").alias("a"), F.col("id").alias("src"))
+    hung = rows.join(kept, (F.col("features") == F.col("f")) & F.col("alone").eqNullSafe(F.col("a"))).where("id <> src")
+    hung = hung.select("src", F.col("id").alias("dst"), F.col("core").alias("weight"))
+    return _spanned(points.select("id", "features", "core"), count, metric, block_rows).unionByName(hung)
+
+
+def _spanned(frame: DataFrame, n: int, metric: str, block_rows: int) -> DataFrame:
+    cells = PivotCells(frame, n, metric, block_rows)
     labelled = materialized(cells.rows.withColumn("component", F.col("id")), "boruvka")
     tree: DataFrame | None = None
     while True:
@@ -176,25 +192,25 @@ def reachability_tree(frame: DataFrame, n: int, metric: str = "euclidean", block
             (ia, xa), (ib, xb) = _data(left), _data(right)
             ca, cb = left.column("component").to_numpy(), right.column("component").to_numpy()
             ka, kb = left.column("core").to_numpy(), right.column("core").to_numpy()
-            best: dict[int, tuple] = {}
+            found = []
             for s in range(0, len(ia), 512):
                 part = slice(s, s + 512)
                 w = np.maximum(np.maximum(_metric_values(pairwise(xa[part], xb, metric), metric), ka[part][:, None]), kb[None, :])
                 w[ca[part][:, None] == cb[None, :]] = np.inf
                 if not w.size:
                     continue
-                # per row the lightest edge, then the smallest pair of ids among equals
-                low = w.min(axis=1)
-                for r in np.nonzero(np.isfinite(low))[0]:
-                    a = int(ia[part][r])
-                    edge = min((float(low[r]), min(a, int(b)), max(a, int(b))) for b in ib[w[r] == low[r]])
-                    c = int(ca[part][r])
-                    if c not in best or edge < best[c]:
-                        best[c] = edge
-            rows = [(c, *e) for c, e in best.items()]
-            columns = list(zip(*rows)) if rows else [[], [], [], []]
-            kinds = [pa.int64(), pa.float64(), pa.int64(), pa.int64()]
-            return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["component", "weight", "src", "dst"])
+                # b is sorted by id, so of a row's equal edges the first has the smallest pair of ids
+                near = w.argmin(axis=1)
+                low = w[np.arange(len(near)), near]
+                held = np.isfinite(low)
+                mine, theirs = ia[part][held], ib[near[held]]
+                found.append((ca[part][held], low[held], np.minimum(mine, theirs), np.maximum(mine, theirs)))
+            if not found:
+                return pa.table([pa.array([], k) for k in (pa.int64(), pa.float64(), pa.int64(), pa.int64())], names=["component", "weight", "src", "dst"])
+            component, weight, src, dst = (np.concatenate(c) for c in zip(*found))
+            order = np.lexsort((dst, src, weight, component))
+            first = order[np.concatenate([[True], np.diff(component[order]) != 0])[: len(order)]]
+            return pa.table({"component": component[first], "weight": weight[first], "src": src[first], "dst": dst[first]})
 
         kind, columns = "component long, weight double, src long, dst long", ["id", "features", "component", "core"]
         found = cells.groups(labelled.df, cells.at_home(labelled.df), columns).applyInArrow(compare, kind)

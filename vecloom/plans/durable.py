@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,8 +20,9 @@ ROWS_PER_FILE = 200_000
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; one of our own only where that is unset.
 
-    With ``local[...]`` masters (tests) a temporary folder is used; elsewhere a folder beside the
-    SQL warehouse, which is shared by definition.
+    With ``local[...]`` masters (tests) a temporary folder is used; elsewhere a folder beside the SQL
+    warehouse if that lies in a store all executors reach.  A cluster whose warehouse is a local path
+    gets an error: each executor would write to its own disk, and later reads would miss those files.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
@@ -29,11 +31,20 @@ def checkpoint_root(spark: SparkSession) -> str:
     if master == "local" or master.startswith("local["):
         own = tempfile.mkdtemp(prefix="vecloom-checkpoint-")
     else:
-        own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_vecloom_checkpoint"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if _on_local_disk(spark, warehouse):
+            raise RuntimeError(f"intermediate tables need a folder that all executors share: set spark.checkpoint.dir (the warehouse {warehouse} is local)")
+        own = warehouse.rstrip("/") + "/_vecloom_checkpoint"
     spark.sparkContext.setCheckpointDir(own)
     return (spark.sparkContext.getCheckpointDir() or own).rstrip("/")
 
 
+def _on_local_disk(spark: SparkSession, path: str) -> bool:
+    """Whether a path names each machine's own disk; without a scheme the default file system decides."""
+    scheme = urlparse(path).scheme or urlparse(spark._jsc.hadoopConfiguration().get("fs.defaultFS") or "").scheme
+    return scheme in ("", "file")
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
