@@ -136,3 +136,62 @@ def test_numbers_and_roots(spark):
     assert numbered(df.limit(0), "c", "k").count() == 0
     a, b = np.array([5, 1, 7, 3]), np.array([6, 5, 3, 7])
     assert joined_roots(np.arange(8), a, b).tolist() == [0, 1, 2, 3, 4, 1, 1, 3]
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan", "cosine"])
+def test_joins_over_split_cells(spark, monkeypatch, metric):
+    """Four top cells for over a hundred rows: nearly all comparisons go through leaves."""
+    monkeypatch.setattr(pivots, "PIVOTS", 4)
+    x = awkward(metric)
+    n, d = len(x), distances(x, metric)
+    frame = feature_frame(from_numpy(spark, x)).cache()
+    cells = PivotCells(frame, n, metric, 8)
+    assert cells.inner.any() and cells.sizes[~cells.inner].sum() == n and (cells.parent >= 0).sum() > 4
+    radius = 0.02 if metric == "cosine" else 0.4
+    got = {(r.src, r.dst) for r in range_join(frame, n, 6, radius, metric, block_rows=8).collect()}
+    assert got == {(i, j) for i in range(n) for j in range(i + 1, n) if d[i, j] <= radius}
+    np.fill_diagonal(d, np.inf)
+    rows = knn_join(frame, n, 4, metric, block_rows=8).collect()
+    far = {(r.src, r["rank"]): r.distance for r in rows}
+    assert len(rows) == 4 * n
+    assert all(far[i, k + 1] == pytest.approx(np.sort(d[i])[k], abs=1e-9) for i in range(n) for k in range(4))
+
+
+def test_trees_and_wards_over_split_cells(spark, monkeypatch):
+    from vecloom.operators.agglomerative import merged
+
+    monkeypatch.setattr(pivots, "PIVOTS", 4)
+    x = awkward("euclidean")
+    frame = feature_frame(from_numpy(spark, x)).cache()
+    cored = frame.join(core_distances(frame, len(x), 3, "euclidean", block_rows=8), "id")
+    tree = reachability_tree(cored, len(x), "euclidean", block_rows=8).collect()
+    assert sorted(r.weight for r in tree) == pytest.approx(sorted(w for w, *_ in spanning_tree(x, 3, "euclidean")), abs=1e-9)
+    y = groups_of(2, 6, 12, 3)
+    held, far = (AgglomerativeClustering(5, "ward", max_rows=m, block_rows=8).fit(from_numpy(spark, y)) for m in (100, 20))
+    a, b = labels(held.labels_), labels(far.labels_)
+    assert len(set(zip(a, b))) == 5
+
+
+def test_leaves_stay_small_and_visits_few_as_rows_grow(spark, monkeypatch):
+    monkeypatch.setattr(pivots, "PIVOTS", 16)
+    visits = []
+    for groups in (30, 300):
+        x = groups_of(6, groups, 40, 6)
+        cells = PivotCells(feature_frame(from_numpy(spark, x)), len(x), "euclidean", 60)
+        leaves = cells.sizes[~cells.inner & (cells.sizes > 0)]
+        assert leaves.mean() < 120 and leaves.max() < 1000, (leaves.mean(), leaves.max())
+        seen = _within(cells, cells.rows, 0.1, both_ways=True)
+        visits.append(seen.groupBy("id").agg(F.sum(F.size("targets")).alias("n")).agg(F.avg("n")).first()[0])
+    assert visits[1] < 2 * visits[0]
+
+
+def test_boxes_close_cells_that_balls_leave_open(spark):
+    """Rows along one line: balls round them reach far to the side, boxes do not."""
+    rng = np.random.default_rng(4)
+    x = np.column_stack([rng.uniform(0, 100, 4000), rng.normal(0, 0.01, 4000)])
+    y = np.vstack([x, x + [0, 3.0]])
+    cells = PivotCells(feature_frame(from_numpy(spark, y)), len(y), "euclidean", 200)
+    seen = _within(cells, cells.rows, 0.05, both_ways=True)
+    low, high = cells.bounds()(y)
+    balls = ((low <= 0.05) & np.isfinite(low)).sum(1).mean()
+    assert seen.agg(F.avg(F.size("targets"))).first()[0] < 0.9 * balls

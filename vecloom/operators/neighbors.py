@@ -83,8 +83,10 @@ def _within(cells: PivotCells, rows: DataFrame, radius: float, both_ways: bool =
         return cells.at_home(rows)
     reach = float(to_geometry(np.array(radius), cells.metric)) * (1 + 1e-9)
 
-    def choose(low: np.ndarray, high: np.ndarray, cell: np.ndarray) -> np.ndarray:
-        return (low <= reach) & (both_ways | (np.arange(low.shape[1])[None, :] >= cell[:, None]))
+    shared = cells.shared
+
+    def choose(low: np.ndarray, high: np.ndarray, nodes: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        return (low <= reach) & (both_ways | shared.value[-1][nodes][None, :] | (nodes[None, :] >= cell[:, None]))
 
     return cells.visiting(rows, choose, ("cell",))
 
@@ -133,15 +135,16 @@ def knn_join(frame: DataFrame, n: int, k: int, metric: str = "euclidean", block_
         found = materialize(found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k), "near-home")
         known = found.where(F.col("rank") == k).select(F.col("src").alias("id"), F.col("distance").alias("bound"))
         bounded = cells.rows.join(known, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
-        sizes = cells.sizes
+        counted = frame.sparkSession.sparkContext.broadcast(cells.sizes)
 
-        def choose(low: np.ndarray, high: np.ndarray, cell: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        def choose(low: np.ndarray, high: np.ndarray, nodes: np.ndarray, cell: np.ndarray, bound: np.ndarray) -> np.ndarray:
             reach = to_geometry(bound, metric) * (1 + 1e-9)
+            sizes = counted.value[nodes]
             for r in np.nonzero(np.isinf(bound))[0]:
                 order = np.argsort(high[r])
                 enough = np.nonzero(np.cumsum(sizes[order]) > k)[0]  # k others wherever the row itself is
                 reach[r] = high[r][order[enough[0]]] if len(enough) else np.inf
-            other = np.arange(low.shape[1])[None, :] != cell[:, None]
+            other = nodes[None, :] != cell[:, None]
             return np.isfinite(low) & (low <= reach[:, None]) & other
 
         abroad = cells.groups(index, cells.visiting(bounded, choose, ("cell", "bound")), ["id", "features"]).applyInArrow(compare, kind)
@@ -241,29 +244,31 @@ def _outward(cells: PivotCells, labelled: DataFrame, home: DataFrame) -> DataFra
 
     ``home`` has the lightest edges inside cells; the bounds give another limit for every component.
     """
-    metric, k = cells.metric, len(cells.sizes)
-    owner, deepest = np.full(k, -1, np.int64), np.zeros(k)
-    mixed = np.zeros(k, bool)
-    for r in labelled.groupBy("cell").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.max("core").alias("core")).collect():  # one row a cell
-        owner[r["cell"]], mixed[r["cell"]], deepest[r["cell"]] = r["a"], r["a"] != r["b"], r["core"]
+    metric, k, top = cells.metric, cells.total, len(cells.pivots) + 2
+    owner, other_owner, deepest = np.full(k, np.iinfo(np.int64).max), np.full(k, np.iinfo(np.int64).min), np.zeros(k)
+    found = labelled.groupBy("cell").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.max("core").alias("core")).toArrow()  # one row a cell
+    at = found.column("cell").to_numpy()
+    owner[at], other_owner[at], deepest[at] = (found.column(c).to_numpy() for c in ("a", "b", "core"))
+    owner, deepest = cells.lifted(owner, np.minimum, np.iinfo(np.int64).max), cells.lifted(deepest, np.maximum, 0.0)
+    mixed = owner != cells.lifted(other_owner, np.maximum, np.iinfo(np.int64).min)
     shared, bounds = labelled.sparkSession.sparkContext.broadcast((owner, mixed, deepest)), cells.bounds()
 
-    def foreign(component: np.ndarray) -> np.ndarray:
+    def foreign(component: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         owner, mixed, _ = shared.value
-        return mixed[None, :] | (owner[None, :] != component[:, None])
+        return mixed[nodes][None, :] | (owner[nodes][None, :] != component[:, None])
 
     def limit(x: np.ndarray, component: np.ndarray, core: np.ndarray) -> tuple:
         _, high = bounds(x)
-        most = np.maximum(from_geometry(high, metric), np.maximum(core[:, None], shared.value[2][None, :]))
-        return (pa.array(np.where(foreign(component), most, np.inf).min(axis=1)),)
+        most = np.maximum(from_geometry(high, metric), np.maximum(core[:, None], shared.value[2][None, :top]))
+        return (pa.array(np.where(foreign(component, np.arange(top)), most, np.inf).min(axis=1)),)
 
     limits = cells._map(labelled.select("features", "component", "core"), limit, "reach double", ("component", "core"))
     limits = limits.select("component", "reach").unionByName(home.select("component", F.col("e.weight").alias("reach")))
     limits = limits.groupBy("component").agg(F.min("reach").alias("reach"))
 
-    def choose(low: np.ndarray, high: np.ndarray, cell: np.ndarray, component: np.ndarray, core: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    def choose(low: np.ndarray, high: np.ndarray, nodes: np.ndarray, cell: np.ndarray, component: np.ndarray, core: np.ndarray, reach: np.ndarray) -> np.ndarray:
         least = np.maximum(from_geometry(low, metric), core[:, None])
-        other = np.arange(low.shape[1])[None, :] != cell[:, None]
-        return np.isfinite(low) & (least <= reach[:, None] * (1 + 1e-9)) & other & foreign(component)
+        other = nodes[None, :] != cell[:, None]
+        return np.isfinite(low) & (least <= reach[:, None] * (1 + 1e-9)) & other & foreign(component, nodes)
 
     return cells.visiting(labelled.join(limits, "component"), choose, ("cell", "component", "core", "reach"))

@@ -68,14 +68,16 @@ def nearest_clusters(clusters: DataFrame, n: int, block_rows: int) -> DataFrame:
     if cells.single:
         return home
     home = materialize(home, "ward-home")
-    small, large = np.ones(len(cells.sizes)), np.ones(len(cells.sizes))
-    for r in cells.rows.groupBy("cell").agg(F.min("n").alias("a"), F.max("n").alias("b")).collect():  # one row a cell
-        small[r["cell"]], large[r["cell"]] = r["a"], r["b"]
+    small, large = np.ones(cells.total), np.ones(cells.total)
+    found = cells.rows.groupBy("cell").agg(F.min("n").alias("a"), F.max("n").alias("b")).toArrow()  # one row a cell
+    at = found.column("cell").to_numpy()
+    small[at], large[at] = found.column("a").to_numpy(), found.column("b").to_numpy()
+    small, large = cells.lifted(small, np.minimum, np.inf), cells.lifted(large, np.maximum, 0.0)
     shared = clusters.sparkSession.sparkContext.broadcast((small, large))
 
-    def choose(low: np.ndarray, high: np.ndarray, cell: np.ndarray, size: np.ndarray, reach: np.ndarray) -> np.ndarray:
-        small, large = shared.value
-        other = np.arange(low.shape[1])[None, :] != cell[:, None]
+    def choose(low: np.ndarray, high: np.ndarray, nodes: np.ndarray, cell: np.ndarray, size: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        small, large = shared.value[0][nodes], shared.value[1][nodes]
+        other = nodes[None, :] != cell[:, None]
         most = np.where(other, cost(high * high, size, large), np.inf).min(axis=1)  # every other cell holds a row
         return np.isfinite(low) & other & (cost(low * low, size, small) <= np.minimum(reach, most)[:, None] * (1 + 1e-9))
 

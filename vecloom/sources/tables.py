@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +36,9 @@ def from_numpy(spark: SparkSession, x, dtype: str | None = None) -> DataFrame:
     if x.ndim != 2:
         raise ValueError("the array must have two dimensions, one row a sample")
     kind = dtype or ("float" if x.dtype == np.float32 else "double")
-    rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)]
+    x = np.ascontiguousarray(x, dtype={"float": np.float32, "double": np.float64}.get(kind, np.float64))
+    ends = pa.array(np.arange(0, x.size + 1, max(1, x.shape[1]), dtype=np.int64)[: len(x) + 1])
+    rows = pa.table({"id": pa.array(np.arange(len(x))), "features": pa.LargeListArray.from_arrays(ends, pa.array(x.ravel()))})
     return spark.createDataFrame(rows, f"id long, features array<{kind}>")
 
 
