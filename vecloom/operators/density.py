@@ -14,7 +14,7 @@ from vecloom.functions.vectors import parse_metric
 from vecloom.operators.assign import pairwise
 from vecloom.operators.condense import condensed_frame, density_of, selected
 from vecloom.operators.kmeans import checked
-from vecloom.operators.neighbors import BLOCK_ROWS, LOCAL_EDGES, _data as sided, _sides as block_sides, _within, core_distances, reachability_tree
+from vecloom.operators.neighbors import BLOCK_ROWS, LOCAL_EDGES, _data as sided, _sides as block_sides, _within, core_distances, grown_tree, reachability_tree
 from vecloom.operators.pivots import PivotCells
 from vecloom.plans.components import connected_components, joined_roots, numbered
 from vecloom.plans.durable import materialize
@@ -236,23 +236,12 @@ def spanning_tree(x: np.ndarray, k: int, metric: str) -> list[tuple[float, int,
     n = len(x)
     if n < 2:
         return []
-    root = (lambda d: np.sqrt(d)) if metric == "euclidean" else (lambda d: d)
     core = np.empty(n)
     for i in range(n):
-        row = root(pairwise(x[i : i + 1], x, metric)[0])
+        row = pairwise(x[i : i + 1], x, metric)[0]
         row[i] = np.inf
         core[i] = np.partition(row, min(k, n - 1) - 1)[min(k, n - 1) - 1]
-    outside = np.ones(n, bool)
-    reach, via = np.full(n, np.inf), np.zeros(n, np.int64)
-    edges, at = [], 0
-    for _ in range(n - 1):
-        outside[at] = False
-        w = np.maximum(np.maximum(root(pairwise(x[at : at + 1], x, metric)[0]), core[at]), core)
-        closer = outside & (w < reach)
-        reach[closer], via[closer] = w[closer], at
-        at = int(np.argmin(np.where(outside, reach, np.inf)))
-        edges.append((float(reach[at]), int(min(via[at], at)), int(max(via[at], at))))
-    return edges
+    return grown_tree(x, np.sqrt(core) if metric == "euclidean" else core, metric)
 
 
 def single_linkage(n: int, edges) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -7,14 +7,14 @@ import time
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecloom.functions import directional as D
 from vecloom.operators import metrics
 from vecloom.operators.assign import normalized
-from vecloom.operators.kmeans import CentroidModel, _Clusterer, checked
+from vecloom.operators.kmeans import CentroidModel, _Clusterer, checked, load_vectors, save_vectors
 from vecloom.operators.lloyd import LocalRows, lloyd, partial_sums, rows_of, starts
 from vecloom.operators.reduce import EmbeddingReducer
 from vecloom.plans.durable import materialize
@@ -37,6 +37,7 @@ class EmbeddingCluster(_Clusterer):
         self.reduction, self.init, self.features, self.ident, self.algorithm, self.batch_size, self.local_bytes = reduction, init, features, ident, algorithm, batch_size, local_bytes
         self.metric, self.reducer = "dot", None
         self.probabilities_ = self.concentrations_ = self.bic_ = None
+        self.reduced_data_ = self.telemetry_ = None
 
     def fit(self, df: DataFrame) -> EmbeddingCluster:
         frame = feature_frame(df, self.features, self.ident)
@@ -98,8 +99,9 @@ class EmbeddingCluster(_Clusterer):
         k = self.n_clusters
         labelled = self.model.transform(self.reduced_data_).select("label", F.col("features").alias("x"))
         stats = cluster_statistics(labelled, k, self.model.cluster_centers_.shape[1])
-        intra, length = np.zeros(k), np.zeros(k)
-        for j, (_, mean, _) in stats.items():
+        intra, length, self.sizes_ = np.zeros(k), np.zeros(k), np.zeros(k)
+        for j, (size, mean, _) in stats.items():
+            self.sizes_[j] = size
             intra[j], length[j] = float(mean @ self.model.cluster_centers_[j]), float(np.linalg.norm(mean))
         return intra, length
 
@@ -111,6 +113,8 @@ class EmbeddingCluster(_Clusterer):
     def _reduced(self) -> DataFrame:
         if self.model is None:
             raise NotFittedError("EmbeddingCluster is not fitted")
+        if self.reduced_data_ is None:
+            raise NotFittedError("the reduced rows belong to a model fitted in this session")
         return self.reduced_data_
 
     def refine_vmf(self, df: DataFrame | None = None, max_iter: int = 50, tol: float = 1e-6, hard: bool = False) -> EmbeddingCluster:
@@ -157,11 +161,51 @@ class EmbeddingCluster(_Clusterer):
         made = map_matrix(frame, "features", [(name, T.ArrayType(T.DoubleType()), pa.list_(pa.float64()))], lambda x: [list_array(responsibilities(x, *shared.value)[0])])
         return made.select("id", name)
 
+    _settings = ("n_clusters", "reduction_dim", "max_iter", "tol", "random_state", "n_init", "reduction", "features", "ident", "algorithm", "batch_size", "local_bytes")
+    _numbers = ("objective_", "bic_", "log_likelihood_", "input_dim")
+    _vectors = ("intra_similarity_", "resultant_lengths_", "sizes_", "vmf_means_", "vmf_weights_", "concentrations_")
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """The fitted model with its reducer, mixture and telemetry, but not the reduced rows: assignment,
+        snapshots and ``predict`` work on what is loaded, ``labels_`` and refinement belong to the fit."""
+        model, telemetry = self._known(), self.telemetry_
+        meta = {"version": 1, "settings": {k: getattr(self, k) for k in self._settings}, "numbers": {k: getattr(self, k, None) for k in self._numbers}, "n_iter": model.n_iter_, "inertia": model.inertia_, "reduced": self.reducer is not None}
+        save_vectors(spark, f"{path}/model", meta, centroids=model.cluster_centers_, **{k: getattr(self, k, None) for k in self._vectors})
+        if self.reducer is not None:
+            self.reducer.save(spark, f"{path}/reducer")
+        if telemetry is not None:
+            telemetry.coalesce(1).write.mode("overwrite").parquet(f"{path}/telemetry")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> EmbeddingCluster:
+        meta, tables = load_vectors(spark, f"{path}/model")
+        if meta.get("version") != 1:
+            raise ValueError(f"unknown model version {meta.get('version')}")
+        out = cls(**meta["settings"])
+        out.reducer = EmbeddingReducer.load(spark, f"{path}/reducer") if meta["reduced"] else None
+        out.model = CentroidModel(tables["centroids"], meta["inertia"], meta["n_iter"], "dot", "embedding", "features", "id")
+        for name, value in meta["numbers"].items():
+            setattr(out, name, value)
+        for name in cls._vectors:
+            value = tables.get(name)
+            setattr(out, name, value if value is None or name == "vmf_means_" else value[0])
+        out.telemetry_ = spark.read.parquet(f"{path}/telemetry")
+        return out
+
+    def __getstate__(self):
+        """Everything but the reduced rows and the telemetry table, which belong to a session."""
+        return self.__dict__ | {"reduced_data_": None, "telemetry_": None}
+
+    def predict(self, df: DataFrame, name: str = "label") -> DataFrame:
+        """``df`` with the number of the centre nearest to each normalized, reduced row."""
+        return self.snapshot().assign(df).withColumnRenamed("label", name)
+
     def snapshot(self):
         from vecloom.operators.snapshot import ClusterSnapshot
 
-        counts = {r["label"]: r["count"] for r in self.labels_.groupBy("label").count().collect()}
-        return ClusterSnapshot(self.model.cluster_centers_, spherical=True, reducer=self.reducer, algorithm="embedding", features=self.features, sizes=[counts.get(j, 0) for j in range(self.n_clusters)], fit_mean=self.intra_similarity_)
+        self._known()
+        counts = dict(enumerate(self.sizes_))
+        return ClusterSnapshot(self.model.cluster_centers_, spherical=True, reducer=self.reducer, algorithm="embedding", features=self.features, sizes=[int(counts.get(j, 0)) for j in range(self.n_clusters)], fit_mean=self.intra_similarity_)
 
 
 def spherical_minibatch_step(c: np.ndarray, resultants: np.ndarray, counts: np.ndarray, n: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

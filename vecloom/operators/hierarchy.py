@@ -56,20 +56,24 @@ class HierarchicalSnapshot:
         table.drop()
         return cls(root, children)
 
+    def scored(self, x: np.ndarray, thresholds: dict) -> list[np.ndarray]:
+        """root label, confidence, rejected; child label, confidence, rejected; rejected by either."""
+        label, _, _, confidence, rejected = self.root.judged(x, **thresholds)
+        child, sure, gone = np.full(len(x), -1), np.zeros(len(x)), np.ones(len(x), bool)
+        for j, snapshot in self.children.items():
+            mine = np.nonzero((label == j) & ~rejected)[0]
+            if len(mine):
+                child[mine], _, _, sure[mine], gone[mine] = snapshot.judged(x[mine], **thresholds)
+        return [label, confidence, rejected, child, sure, gone, rejected | gone]
+
     def _routed(self, df: DataFrame, thresholds: dict, rejecting: bool) -> DataFrame:
         for snapshot in (self.root, *self.children.values()):
             snapshot.check_thresholds(**thresholds)
         shared = df.sparkSession.sparkContext.broadcast((self.root, self.children))
 
         def compute(x):
-            root, children = shared.value
-            label, _, _, confidence, rejected = root.judged(x, **thresholds)
-            child, sure, gone = np.full(len(x), -1), np.zeros(len(x)), np.ones(len(x), bool)
-            for j, snapshot in children.items():
-                mine = np.nonzero((label == j) & ~rejected)[0]
-                if len(mine):
-                    child[mine], _, _, sure[mine], gone[mine] = snapshot.judged(x[mine], **thresholds)
-            return [label, confidence, rejected, child, sure, gone, rejected | gone] if rejecting else [label, child]
+            out = HierarchicalSnapshot(*shared.value).scored(x, thresholds)
+            return out if rejecting else [out[0], out[3]]
 
         number, double, flag = (T.LongType(), pa.int64()), (T.DoubleType(), pa.float64()), (T.BooleanType(), pa.bool_())
         added = [("root_label", *number), ("root_confidence", *double), ("root_rejected", *flag), ("child_label", *number), ("child_confidence", *double), ("child_rejected", *flag), ("rejected", *flag)]

@@ -25,6 +25,7 @@ from vecloom.plans.durable import materialize, materialized
 from vecloom.plans.frames import matrix_of
 
 BLOCK_ROWS = 2048
+SPANNED_BLOCKS = 8  # blocks of rows that one task spans by itself
 LOCAL_EDGES = 200_000  # counted edges up to which components are joined in one place
 
 
@@ -184,7 +185,34 @@ def reachability_tree(frame: DataFrame, n: int, metric: str = "euclidean", block
     return _spanned(points.select("id", "features", "core"), count, metric, block_rows).unionByName(hung)
 
 
+def grown_tree(x: np.ndarray, core: np.ndarray, metric: str) -> list[tuple[float, int, int]]:
+    """(weight, a, b) edges of a minimum spanning tree of max(core, core, distance), growing from row 0."""
+    n = len(x)
+    outside = np.ones(n, bool)
+    reach, via = np.full(n, np.inf), np.zeros(n, np.int64)
+    edges, at = [], 0
+    for _ in range(n - 1):
+        outside[at] = False
+        w = np.maximum(np.maximum(_metric_values(pairwise(x[at : at + 1], x, metric)[0], metric), core[at]), core)
+        closer = outside & (w < reach)
+        reach[closer], via[closer] = w[closer], at
+        at = int(np.argmin(np.where(outside, reach, np.inf)))
+        edges.append((float(reach[at]), int(min(via[at], at)), int(max(via[at], at))))
+    return edges
+
+
 def _spanned(frame: DataFrame, n: int, metric: str, block_rows: int) -> DataFrame:
+    if n <= SPANNED_BLOCKS * block_rows:
+        # some hundred million distances take one task less time than the jobs of the rounds
+
+        def grow(table: pa.Table) -> pa.Table:
+            table = table.sort_by("id")
+            ids, x = _data(table)
+            weight, a, b = zip(*grown_tree(x, table.column("core").to_numpy(), metric)) if len(ids) > 1 else ((), (), ())
+            a, b = (ids[np.array(end, np.int64)] for end in (a, b))
+            return pa.table({"src": a, "dst": b, "weight": pa.array(weight, pa.float64())})
+
+        return materialize(frame.groupBy(F.lit(0)).applyInArrow(lambda table: grow(table), "src long, dst long, weight double"), "tree")
     cells = PivotCells(frame, n, metric, block_rows)
     labelled = materialized(cells.rows.withColumn("component", F.col("id")), "boruvka")
     tree: DataFrame | None = None
