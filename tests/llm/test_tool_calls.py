@@ -207,3 +207,62 @@ def test_unknown_schema_keywords_are_refused(spark):
     for schema in ({"format": "email"}, {"properties": {"a": {"$ref": "#/x"}}}, {"anyOf": [{"if": {}}]}):
         with pytest.raises(ValueError):
             C.linked_events(frame(spark, []), {"t": schema})
+
+
+def test_numbers_beyond_double_make_a_text_plain(spark):
+    import json
+
+    from vecloom.llm import tool_calls as T
+
+    huge = "9" * 401
+    message = '{"tool_calls":[{"id":"a","name":"f","arguments":{"x":' + huge + "}}]}"
+    inner = json.dumps({"tool_calls": [{"id": "b", "name": "f", "arguments": '{"x":' + huge + "}"}]})
+    fine = json.dumps({"tool_calls": [{"id": "c", "name": "f", "arguments": {"x": 10**300}}]})
+    rows = [("k", 0, "assistant", message), ("k", 1, "assistant", inner), ("k", 2, "assistant", fine)]
+    schema = {"f": {"type": "object", "properties": {"x": {"multipleOf": 0.5, "maximum": 1e308}}}}
+    out = {r.turn: r for r in T.linked_events(spark.createDataFrame(rows, "conv_id string, turn int, role string, text string"), schema).collect()}
+    assert out[0].kind != "call" and out[1].n_errors == 1 and "not JSON" in out[1].line
+    assert out[2].kind == "call" and out[2].n_errors == 0
+    for text in (huge, "-" + huge, "1e999", "[" * 5000):
+        try:
+            T.strict_json(text)
+            raise AssertionError(text[:9])
+        except ValueError:
+            pass
+
+
+def test_schemas_that_workers_could_fail_on_are_refused():
+    import pytest
+
+    from vecloom.llm import tool_calls as T
+
+    for bad in (
+        {"type": "strin"}, {"type": []}, {"type": [1]}, {"pattern": "("}, {"pattern": 5}, {"multipleOf": 0}, {"multipleOf": -1}, {"multipleOf": "2"}, {"minimum": "1"}, {"maximum": True},
+        {"minLength": "x"}, {"maxItems": -1}, {"required": "a"}, {"required": [1]}, {"enum": 5}, {"enum": [float("nan")]}, {"properties": []}, {"properties": {"a": 5}}, {"items": [1]},
+        {"anyOf": []}, {"oneOf": {}}, {"allOf": [None]}, {"not": "x"}, {"$ref": "#"}, [], "object", None,
+    ):
+        with pytest.raises(ValueError):
+            T.check_schema(bad)
+    T.check_schema({"type": ["string", "null"], "pattern": "^a+$", "multipleOf": 0.5, "anyOf": [True, {"minLength": 0}], "enum": [None, {"a": [1]}], "required": ["a"]})
+
+
+def test_one_wait_in_a_long_conversation_is_spread_over_tasks(spark):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from vecloom.llm import tool_calls as T
+
+    n = 20_000
+    call = F.concat(F.lit('{"tool_calls":[{"id":"c'), F.lpad(F.col("id").cast("string"), 6, "0"), F.lit('","name":"f","arguments":{}'), F.when(F.col("id") == 5, F.lit(',"after":["c015000"]')).when(F.col("id") == 9000, F.lit(',"after":["c000001","c009500"]')).otherwise(F.lit("")), F.lit("}]}"))
+    messages = spark.range(n).select(F.lit("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("assistant").alias("role"), call.alias("text"))
+    every = T.with_plain_turns(T.events(messages))
+    calls = every.where("kind = 'call'").withColumn("rank", F.struct("turn", "id", "mid", "seq"))
+    heads = calls.groupBy("conv", "id").agg(F.min("rank").alias("head"))
+    places = T.positions(calls, heads)
+    assert places.count() == n and places.select("place").distinct().count() == n
+    order = {r["rank"]["turn"]: r.place for r in places.collect()}
+    plain, _ = T.ordered([{"id": f"c{i:06d}", "turn": i, "after": {5: ["c015000"], 9000: ["c000001", "c009500"]}.get(i, [])} for i in range(n)])
+    assert [c["turn"] for c in plain] == sorted(order, key=order.get)
+    lines = T.linked_events(messages.where("turn < 3000"), {"f": {}})
+    assert lines.count() == 3000 and all(json.loads(r.line)["errors"] == [] for r in lines.limit(50).collect())

@@ -17,7 +17,7 @@ pre-aggregated group-bys by (conversation, identifier) or (conversation, turn),
 conversation nor the results of a call are ever gathered; lines come from a narrow Arrow map.  The last
 user turn before a turn is found within stretches of ``STRETCH`` turn numbers, of which each has at most
 that many rows, and between them by one row a stretch.  Calls that name none of higher rank (turn, then
-identifier) are in order as they are.  The others are put in order by islands: the calls between one and
+identifier) are in order as they are.  The others are put in order by islands, found in ranges of the sorted calls: the calls between one and
 the last it waits for, overlapping ones together; an island's identifiers meet in one task.
 
 Defined results: rows equal in all four columns count once; messages without a conv_id are each a
@@ -37,6 +37,7 @@ import heapq
 import json
 import math
 import re
+import sys
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -77,31 +78,78 @@ def _plain(value):
     return value
 
 
+def _integer(digits: str) -> int:
+    if len(digits) > 310:
+        raise ValueError("beyond double")
+    value = int(digits)
+    if abs(value) > sys.float_info.max:
+        raise ValueError("beyond double")
+    return value
+
+
 def strict_json(text: str):
     """The value of a JSON text; ValueError for whatever has no canonical form in UTF-8."""
     try:
-        value = json.loads(text)
+        value = json.loads(text, parse_int=_integer)
         canonical(value).encode("utf-8")
     except RecursionError:
         raise ValueError("nested too deeply") from None
     return value
 
 
+def _refused(path: str, key: str, what: str) -> ValueError:
+    return ValueError(f"{path}: {key} must be {what}")
+
+
 def check_schema(schema, path: str = "$") -> None:
-    """ValueError for keywords that ``violations`` does not know, so that none is ignored in silence."""
+    """ValueError for what ``violations`` does not know or could fail on, so that nothing is ignored in
+    silence and no message can stop a job: unknown keywords and type names, patterns that do not compile,
+    steps that are not positive, bounds and lists of the wrong kind."""
     if isinstance(schema, bool):
         return
-    unknown = set(schema) - _CHECKED - _ANNOTATIONS
+    if not isinstance(schema, dict):
+        raise ValueError(f"{path}: a schema is an object, true or false")
+    unknown = {str(k) for k in schema} - _CHECKED - _ANNOTATIONS
     if unknown:
         raise ValueError(f"{path}: schema keywords not supported: {sorted(unknown)}")
-    for k, inner in schema.get("properties", {}).items():
-        check_schema(inner, f"{path}.{k}")
-    for k in ("items", "not", "additionalProperties"):
-        if k in schema:
-            check_schema(schema[k], f"{path}.{k}")
-    for k in ("anyOf", "allOf", "oneOf"):
-        for i, inner in enumerate(schema.get(k, [])):
-            check_schema(inner, f"{path}.{k}[{i}]")
+    number = lambda v: isinstance(v, (int, float)) and not isinstance(v, bool) and abs(v) <= sys.float_info.max
+    for key, value in schema.items():
+        if key == "type":
+            kinds = value if isinstance(value, list) else [value]
+            if not kinds or not all(isinstance(k, str) and k in _TYPES for k in kinds):
+                raise _refused(path, key, f"of {sorted(_TYPES)}")
+        elif key in ("minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum") and not number(value):
+            raise _refused(path, key, "a number")
+        elif key == "multipleOf" and not (number(value) and value > 0):
+            raise _refused(path, key, "a positive number")
+        elif key[:3] in ("min", "max") and key[3:] in ("Length", "Items", "Properties") and not (number(value) and value >= 0):
+            raise _refused(path, key, "a number of at least 0")
+        elif key == "pattern":
+            try:
+                re.compile(value)
+            except (re.error, TypeError, RecursionError, OverflowError):
+                raise _refused(path, key, "a regular expression") from None
+        elif key == "required" and not (isinstance(value, list) and all(isinstance(k, str) for k in value)):
+            raise _refused(path, key, "a list of names")
+        elif key in ("enum", "const"):
+            if key == "enum" and not isinstance(value, list):
+                raise _refused(path, key, "a list")
+            try:
+                canonical(value)
+            except (TypeError, ValueError):
+                raise _refused(path, key, "JSON") from None
+        elif key == "properties":
+            if not isinstance(value, dict):
+                raise _refused(path, key, "an object")
+            for k, inner in value.items():
+                check_schema(inner, f"{path}.{k}")
+        elif key in ("items", "not", "additionalProperties"):
+            check_schema(value, f"{path}.{key}")
+        elif key in ("anyOf", "allOf", "oneOf"):
+            if not isinstance(value, list) or not value:
+                raise _refused(path, key, "a list of schemas")
+            for i, inner in enumerate(value):
+                check_schema(inner, f"{path}.{key}[{i}]")
 
 
 def _is(value, kind: str) -> bool:
@@ -229,9 +277,11 @@ def events(messages: DataFrame) -> DataFrame:
         for batch in batches:
             out = {n: [] for n in _EVENT}
 
-            def add(r, kind, seq=0, out=out, **given):
-                for n in _EVENT:
-                    out[n].append({"kind": kind, "seq": seq, "conv": r["conv"], "turn": r["turn"], "mid": r["mid"], "role": r["role"]}.get(n, given.get(n)))
+            columns = [out[n].append for n in _EVENT]
+
+            def add(r, kind, seq=0, ident=None, name=None, arguments=None, after=None, content=None, columns=columns):
+                for put, value in zip(columns, (r["conv"], r["turn"], r["mid"], seq, kind, ident, name, arguments, after, content, r["role"])):
+                    put(value)
 
             for r in batch.to_pylist():
                 value = _parsed(r["text"])
@@ -239,9 +289,9 @@ def events(messages: DataFrame) -> DataFrame:
                 if isinstance(calls, list):
                     for k, c in enumerate(calls):
                         c = c if isinstance(c, dict) else {}
-                        add(r, "call", k, id=_text(c.get("id", "")), name=_text(c.get("name", "")), arguments=_text(c.get("arguments", {})), after=_after(c.get("after")))
+                        add(r, "call", k, _text(c.get("id", "")), _text(c.get("name", "")), _text(c.get("arguments", {})), _after(c.get("after")))
                 elif value and "tool_call_id" in value:
-                    add(r, "result", id=_text(value["tool_call_id"]), content=_text(value.get("content", "")))
+                    add(r, "result", ident=_text(value["tool_call_id"]), content=_text(value.get("content", "")))
                 else:
                     add(r, f"{r['role']} turn" if r["role"] in ("user", "assistant") else "message", content=r["text"])
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema(list(_EVENT.items())))
@@ -289,11 +339,20 @@ def positions(calls: DataFrame, heads: DataFrame) -> DataFrame:
     waits = calls.select("conv", "rank", F.explode("after").alias("id")).join(heads, ["conv", "id"]).where("head > rank")
     reach = materialize(waits.groupBy("conv", "rank").agg(F.max("head").alias("reach")), "waits")
     whole = calls.select("conv", "rank", "after").join(reach.select("conv").distinct(), "conv", "left_semi").join(reach, ["conv", "rank"], "left")
-    along = Window.partitionBy("conv").orderBy("rank")
-    farthest = F.max("reach").over(along.rowsBetween(Window.unboundedPreceding, -1))
-    starts = whole.withColumn("starts", F.coalesce(farthest < F.col("rank"), F.lit(True)).cast("long"))
-    islands = starts.select("conv", "rank", "after", F.sum("starts").over(along).alias("island"), F.row_number().over(along).cast("long").alias("place"))
-    islands = materialize(islands, "islands")
+    # ranges of the sorted calls, so that no task sees a whole conversation; what a range needs of those before
+    # it in its conversation comes from one row a conversation and range
+    ranged = materialize(whole.repartitionByRange("conv", "rank").withColumn("range", F.spark_partition_id()), "ranged")
+    along = Window.partitionBy("conv", "range").orderBy("rank")
+    earlier = Window.partitionBy("conv").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("conv", "range").agg(F.max("reach").alias("own"), F.count(F.lit(1)).alias("n"))
+    sums = sums.select("conv", "range", F.max("own").over(earlier).alias("carried"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    near = ranged.withColumn("near", F.max("reach").over(along.rowsBetween(Window.unboundedPreceding, -1))).withColumn("nth", F.row_number().over(along))
+    farthest = F.greatest("near", "carried")
+    starts = near.join(sums, ["conv", "range"]).select("conv", "range", "rank", "after", (F.col("nth") + F.col("before")).alias("place"), F.coalesce(farthest < F.col("rank"), F.lit(True)).cast("long").alias("starts"))
+    starts = materialize(starts, "starts")
+    begun = starts.groupBy("conv", "range").agg(F.sum("starts").alias("n")).select("conv", "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("islands"))
+    islands = starts.withColumn("here", F.sum("starts").over(along)).join(begun, ["conv", "range"])
+    islands = materialize(islands.select("conv", "rank", "after", (F.col("here") + F.col("islands")).alias("island"), "place"), "islands")
     groups = islands.groupBy("conv", "island").agg(F.sort_array(F.collect_list(F.struct("rank", "after", "place"))).alias("calls"))
 
     def scan(batches):
