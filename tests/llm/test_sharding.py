@@ -70,3 +70,43 @@ def test_small_empty_and_clashing(spark):
     assert S.shard_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     with pytest.raises(ValueError):
         S.shard_rows(spark.createDataFrame([(1, 2)], "doc_id long, Slot int"))
+
+
+def test_shuffle_against_plain_python(spark):
+    """Blocks, cuts and both permutations again, from the same hashes and the same matrix."""
+    from pyspark.sql import functions as F
+
+    from vecloom.llm.tables import row_hash
+
+    docs = spark.createDataFrame([(i, None if i % 5 == 0 else f"t{i % 3}") for i in range(700)], "doc_id long, text string")
+    shards, seed, blocks = 5, 17, 128
+    got = {r.doc_id: (r["shard"], r.slot) for r in S.shard_rows(docs, shards=shards, rows_per_task=50).collect()}
+    h = row_hash(docs, docs.columns, seed)
+    rows = docs.select("doc_id", h.alias("h"), F.xxhash64(h, F.lit(seed + 1)).alias("u1"), F.xxhash64(h, F.lit(seed + 2)).alias("u2")).collect()
+    members = {b: sorted((r for r in rows if r.h % 65_536 % blocks == b), key=lambda r: r.u1) for b in range(blocks)}
+    matrix = S.communication_matrix([len(members[b]) for b in range(blocks)], [140] * 5, seed)
+    held = {s: [] for s in range(shards)}
+    for b in range(blocks):
+        at = 0
+        for s in range(shards):
+            held[s] += members[b][at : at + matrix[b, s]]
+            at += matrix[b, s]
+    ranges = 8
+    want = {r.doc_id: (s, k) for s in held for k, r in enumerate(sorted(held[s], key=lambda r: ((r.u2 >> 20) % ranges, r.u2)))}
+    assert got == want
+
+
+def test_rows_that_differ_in_a_map_or_in_where_a_null_stands(spark):
+    from vecloom.llm.tables import row_hash
+
+    kind = "m map<string,int>, s struct<a: map<string,array<map<int,string>>>>, a string, b string"
+    rows = [({"x": 1}, ({"k": [{1: "a"}]},), "v", None), ({"x": 2}, ({"k": [{1: "a"}]},), "v", None), ({"x": 1}, ({"k": [{1: "b"}]},), "v", None), ({"x": 1}, ({"k": [{1: "a"}]},), None, "v"), (None, None, "v", None), ({"x": 1}, (None,), "v", None)]
+    df = spark.createDataFrame(rows, kind)
+    assert df.select(row_hash(df, df.columns, 1).alias("h")).distinct().count() == len(rows)
+    swapped = spark.createDataFrame([({"a": 1, "b": 2},), ({"b": 2, "a": 1},)], "m map<string,int>")
+    assert swapped.select(row_hash(swapped, ["m"], 1).alias("h")).distinct().count() == 1
+    many = spark.createDataFrame([({"k": i},) for i in range(90)], "m map<string,int>").repartition(3)
+    out = S.shard_rows(many, shards=4)
+    first = {r.m["k"]: (r["shard"], r.slot) for r in out.collect()}
+    again = {r.m["k"]: (r["shard"], r.slot) for r in S.shard_rows(many.repartition(5), shards=4).collect()}
+    assert len(first) == 90 and first == again

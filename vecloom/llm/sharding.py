@@ -7,7 +7,8 @@ by its row of the matrix, the pieces are exchanged, and each shard is permuted a
 a uniform shuffle whose shard sizes are exact: any two differ by at most one row.
 
 Scale: blocks are hash ranges of the whole row, so they are even whatever the sources are, a lost
-executor recomputes the same block, and rows that are equal in every column are interchangeable.  The
+executor recomputes the same block; rows are told apart by 128 bits of all their columns, maps by their
+entries, and those equal in every column are interchangeable.  The
 driver holds only the block sizes and the matrix (at most ``max_blocks`` x shards numbers).  Within a
 shard the second permutation sorts by an independent random key cut into ranges, so no task sorts
 more than about ``rows_per_task`` rows and slots stay gapless through the ranges' offsets.
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecloom.llm.tables import free_name, quoted
+from vecloom.llm.tables import free_name, quoted, row_hash
 from vecloom.plans.durable import materialize
 
 SHARDS = 24
@@ -94,10 +95,11 @@ def shard_rows(
         raise ValueError("shards must be at least 1")
     if {"shard", "slot"} & {c.lower() for c in df.columns}:
         raise ValueError("the input already has a column named shard or slot")
-    named = row_key or [f.name for f in df.schema if not _has_map(f.dataType)]
-    h, block, u, part = (free_name(df, x) for x in ("hash", "block", "u", "range"))
-    hashed = df.withColumn(h, F.xxhash64(*[F.col(quoted(c)) for c in named], F.lit(seed)))
-    keys = hashed.select(h)
+    named = row_key or df.columns
+    h, tie, block, u, part = (free_name(df, x) for x in ("hash", "tie", "block", "u", "range"))
+    # rows that share one hash are told apart by a second, so only rows equal in every column can change places
+    hashed = df.select("*", row_hash(df, named, seed).alias(h), row_hash(df, named, seed + 3).alias(tie))
+    keys = hashed.select(h, tie)
 
     fine = materialize(keys.groupBy(F.pmod(h, F.lit(max_blocks)).alias("cell")).agg(F.count(F.lit(1)).alias("n")), "cells")
     total = fine.agg(F.sum("n").alias("n")).first()["n"] or 0
@@ -114,7 +116,7 @@ def shard_rows(
     def dealt(rows: DataFrame) -> DataFrame:
         """Permute each block, cut it by its row of the matrix, and draw the second random key."""
         own = rows.withColumn(block, F.pmod(F.pmod(h, F.lit(max_blocks)), F.lit(blocks)))
-        within = Window.partitionBy(block).orderBy(F.xxhash64(h, F.lit(seed + 1)))
+        within = Window.partitionBy(block).orderBy(F.xxhash64(h, F.lit(seed + 1)), h, tie)
         ranked = own.withColumn(u, F.row_number().over(within).cast("long") - 1)
         cut = ranked.join(matrix, block).withColumn("shard", F.size(F.filter("cuts", lambda c: c <= F.col(u))).cast("int"))
         second = cut.drop("cuts", block).withColumn(u, F.xxhash64(h, F.lit(seed + 2)))
@@ -125,22 +127,12 @@ def shard_rows(
     earlier = Window.partitionBy("shard").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     offset = free_name(df, "offset")
     offsets = materialize(counts.select("shard", part, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(offset)), "offsets")
-    within = Window.partitionBy("shard", part).orderBy(u)
+    within = Window.partitionBy("shard", part).orderBy(u, h, tie)
     ranked = dealt(hashed).withColumn("slot", F.row_number().over(within).cast("long") - 1)
     placed = ranked.join(offsets, ["shard", part]).withColumn("slot", F.col("slot") + F.col(offset))
     return placed.select(*[F.col(quoted(c)) for c in df.columns], "shard", "slot")
 
 
-def _has_map(kind: T.DataType) -> bool:
-    if isinstance(kind, T.MapType):
-        return True
-    if isinstance(kind, T.ArrayType):
-        return _has_map(kind.elementType)
-    if isinstance(kind, T.StructType):
-        return any(_has_map(f.dataType) for f in kind)
-    return "Variant" in type(kind).__name__
-
-
 def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = 17) -> DataFrame:
     """The shard and slot of every document with its size and crc; only these slim rows move."""
     slim = docs.select(
