@@ -113,3 +113,11 @@ def test_keep_one_keeps_the_smallest_id(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en"))
     want = sorted({c for _, _, c in brute(rows)})
     assert sorted(r.doc_id for r in S.keep_one_per_component(docs).collect()) == want
+
+
+def test_rows_with_nulls_in_different_places_stay_apart(spark):
+    from vecloom.llm import simhash_dedup as S
+
+    rows = [(1, "one text of several words", None), (1, None, "one text of several words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, note string")
+    assert sorted(map(str, S.keep_one_per_component(df).collect())) == sorted(map(str, df.collect()))

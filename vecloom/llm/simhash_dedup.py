@@ -168,7 +168,8 @@ def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: st
     row_key = F.struct(
         F.col(quoted(id_col)).isNull().alias("no_id"),
         F.col(quoted(id_col)).alias("id"),
-        F.xxhash64(*[F.col(quoted(c)).cast("string") for c in docs.columns]).alias("row"),
+        # a null is marked where it stands: hashes leave it out
+        F.xxhash64(*[F.col(quoted(c)).cast("string") for c in docs.columns], *[F.col(quoted(c)).isNull() for c in docs.columns]).alias("row"),
     )
     key = free_name(docs, "row_key")
     prints = materialize(with_fingerprint(docs, [row_key.alias("doc_key")], text_col), "row-fingerprints")
