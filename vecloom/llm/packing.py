@@ -40,7 +40,7 @@ from vecloom.plans.durable import materialize
 WINDOW = 1024
 OPEN_WINDOWS = 32
 LEAST_PIECE = 8
-GROUP_WINDOWS = 256
+GROUP_WINDOWS = 64
 CLOSING_ID = 0
 BUFFERED_TOKENS = 1 << 20
 MERGED = 1 << 30  # sequences of merges are numbered above those of any partition
