@@ -161,7 +161,7 @@ def test_single_linkage_by_spanning_tree(spark):
     with pytest.raises(ValueError):
         AgglomerativeClustering(2, "ward", "cosine")
     with pytest.raises(ValueError):
-        AgglomerativeClustering(2, "average", max_rows=10).fit(from_numpy(spark, x))
+        AgglomerativeClustering(2, "unknown", max_rows=10).fit(from_numpy(spark, x))
 
 
 def directions(n=100, k=3, d=24, seed=42):

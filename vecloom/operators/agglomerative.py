@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vecloom.functions.vectors import parse_metric
 from vecloom.operators.assign import pairwise
 from vecloom.operators.kmeans import checked
+from vecloom.operators.linked import linked_rounds
 from vecloom.operators.neighbors import BLOCK_ROWS, LOCAL_EDGES, reachability_tree
 from vecloom.operators.ward import cost, ward_rounds
 from vecloom.plans.components import connected_components
@@ -25,8 +26,8 @@ class AgglomerativeClustering(StoredModel):
 
     Up to ``max_rows`` rows the n x n distances are merged in one place.  Beyond that single linkage cuts
     the heaviest edges of a distributed spanning tree, and ward linkage merges clusters in distributed
-    rounds until ``max_rows`` are left (merge order then follows the sorted heights, ties by id); complete
-    and average linkage raise ValueError.
+    rounds until ``max_rows`` are left; so do complete and average linkage, whose distances between clusters
+    are a distributed table of n x n numbers (merge order then follows the sorted heights, ties by id).
     """
 
     def __init__(self, n_clusters: int = 2, linkage: str = "ward", metric: str = "euclidean", features: str = "features", ident: str = "id", max_rows: int = 6000, block_rows: int = BLOCK_ROWS):
@@ -50,11 +51,10 @@ class AgglomerativeClustering(StoredModel):
             labels, self._children, self._distances = merged(x, self.n_clusters, self.linkage, self.metric)
             self._labels = df.sparkSession.createDataFrame([(i, int(v)) for i, v in zip(ids, labels)], "id long, label long")
             self._merges = None
-        elif self.linkage in ("single", "ward"):
-            frame = materialize(frame, "features")
-            self._cut(frame, self._spanning(frame, n) if self.linkage == "single" else self._ward(frame))
         else:
-            raise ValueError(f"{n} rows exceed max_rows={self.max_rows} for {self.linkage} linkage")
+            frame = materialize(frame, "features")
+            tree = self._spanning(frame, n) if self.linkage == "single" else self._ward(frame) if self.linkage == "ward" else self._linked(frame, n)
+            self._cut(frame, tree)
         self.n_clusters_ = self.n_clusters
         return self
 
@@ -65,14 +65,24 @@ class AgglomerativeClustering(StoredModel):
         """Rounds on the executors down to ``max_rows`` clusters, the last merges in their matrix."""
         tree, left = ward_rounds(frame, self.max_rows, self.block_rows)
         held = left.orderBy("id").toArrow()
-        lowest = held.column("id").to_pylist()
         _, children, heights = merged(matrix_of(held.column("features").combine_chunks()), 1, "ward", "euclidean", held.column("n").to_numpy().astype(np.float64))
+        return self._finished(frame.sparkSession, tree, held.column("id").to_pylist(), children, heights)
+
+    def _linked(self, frame: DataFrame, n: int) -> DataFrame:
+        """The same for complete and average linkage."""
+        found, ids, sizes, far = linked_rounds(frame, n, self.linkage, self.metric, self.max_rows, self.block_rows)
+        tree = frame.sparkSession.createDataFrame(found, "src long, dst long, weight double")
+        _, children, heights = merged_matrix(far, 1, self.linkage, sizes)
+        return self._finished(frame.sparkSession, tree, ids.tolist(), children, heights)
+
+    def _finished(self, spark: SparkSession, tree: DataFrame, lowest: list, children: list, heights: list) -> DataFrame:
+        """Merges of rounds and those of the matrix of what they left, as one table."""
         ends = []
         for a, b in children:  # a cluster goes by its smallest id
             ends.append((lowest[a], lowest[b]))
             lowest.append(min(ends[-1]))
         last = [(min(e), max(e), h) for e, h in zip(ends, heights)]
-        return materialize(tree.unionByName(frame.sparkSession.createDataFrame(last, "src long, dst long, weight double")), "merges")
+        return materialize(tree.unionByName(spark.createDataFrame(last, "src long, dst long, weight double")), "merges")
 
     def _cut(self, frame: DataFrame, tree: DataFrame) -> None:
         """Labels and merges from a tree of n - 1 edges less the n_clusters - 1 heaviest."""
@@ -164,19 +174,24 @@ def merged(x: np.ndarray, n_clusters: int, linkage: str, metric: str, size: np.n
     """Labels, (left, right) cluster numbers and heights of the n - n_clusters merges.
 
     With ``size`` the rows are themselves centroids of so many rows each (ward).
-
-    Each cluster remembers its nearest partner of higher number, so a step scans n numbers and only
-    clusters whose partner changed look again.  Ward works on squared distances and reports roots.
     """
-    n = len(x)
     far = pairwise(x, x, metric)
     if linkage != "ward" and metric == "euclidean":
         far = np.sqrt(far)
+    size = np.ones(len(x)) if size is None else size
+    return merged_matrix(cost(far, size, size) if linkage == "ward" else far, n_clusters, linkage, size)
+
+
+def merged_matrix(far: np.ndarray, n_clusters: int, linkage: str, size: np.ndarray):
+    """The same from distances between clusters of ``size`` rows (for ward: squared heights).
+
+    Each cluster remembers its nearest partner of higher number, so a step scans n numbers and only
+    clusters whose partner changed look again.  Ward works on squared distances and reports roots.
+    """
+    n = len(far)
     far = (far + far.T) / 2
     np.fill_diagonal(far, np.inf)
-    size, name = np.ones(n) if size is None else size.copy(), list(range(n))
-    if linkage == "ward":
-        far = cost(far, size, size)
+    size, name = size.copy(), list(range(n))
     alive = np.ones(n, bool)
     slot = np.arange(n)
     partner, gap = np.zeros(n, np.int64), np.full(n, np.inf)

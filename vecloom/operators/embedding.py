@@ -31,8 +31,8 @@ class EmbeddingCluster(_Clusterer):
 
     def __init__(self, n_clusters: int = 50, reduction_dim: int | None = 128, max_iter: int = 100, tol: float = 1e-6, random_state: int = 0, n_init: int = 5, reduction: str = "pca", init="k-means++", features: str = "features", ident: str = "id", algorithm: str = "full", batch_size: int = 1024, local_bytes: int = LOCAL_BYTES):
         checked(n_clusters=n_clusters, max_iter=max_iter, n_init=n_init, batch_size=batch_size)
-        if reduction not in ("pca", "matryoshka", "none"):
-            raise ValueError("reduction is pca, matryoshka or none")
+        if reduction not in ("pca", "randomized", "matryoshka", "none"):
+            raise ValueError("reduction is pca, randomized, matryoshka or none")
         self.n_clusters, self.reduction_dim, self.max_iter, self.tol, self.random_state, self.n_init = n_clusters, reduction_dim, max_iter, tol, random_state, n_init
         self.reduction, self.init, self.features, self.ident, self.algorithm, self.batch_size, self.local_bytes = reduction, init, features, ident, algorithm, batch_size, local_bytes
         self.metric, self.reducer = "dot", None

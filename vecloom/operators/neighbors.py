@@ -212,7 +212,7 @@ def _spanned(frame: DataFrame, n: int, metric: str, block_rows: int) -> DataFram
             a, b = (ids[np.array(end, np.int64)] for end in (a, b))
             return pa.table({"src": a, "dst": b, "weight": pa.array(weight, pa.float64())})
 
-        return materialize(frame.groupBy(F.lit(0)).applyInArrow(lambda table: grow(table), "src long, dst long, weight double"), "tree")
+        return materialize(frame.withColumn("block", F.lit(0)).groupBy("block").applyInArrow(lambda table: grow(table), "src long, dst long, weight double"), "tree")
     cells = PivotCells(frame, n, metric, block_rows)
     labelled = materialized(cells.rows.withColumn("component", F.col("id")), "boruvka")
     tree: DataFrame | None = None

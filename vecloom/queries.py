@@ -17,6 +17,7 @@ from vecloom.functions import vectors as V
 from vecloom.operators import metrics as M
 from vecloom.operators.agglomerative import AgglomerativeClustering
 from vecloom.operators.assign import assign, assign_with_scores
+from vecloom.operators.condense import contract
 from vecloom.operators.density import DBSCAN, HDBSCAN
 from vecloom.operators.embedding import EmbeddingCluster, e_step_sums, spherical_minibatch_step
 from vecloom.operators.hierarchy import HierarchicalSnapshot
@@ -350,7 +351,7 @@ _CENTROID_SQL = f"SELECT cid AS label, round(c[1], 6) AS c1, round(c[32], 6) AS
 
 @query(_lloyd_sql(3) + _CENTROID_SQL.replace("SELECT", " SELECT", 1))
 def kmeans_lloyd_fixed_init(spark, sf_dir):
-    return _centroid_rows(spark, KMeans(K, max_iter=3, tol=0.0, init="first_k").fit(embeddings(spark, sf_dir)))
+    return _centroid_rows(spark, KMeans(K, max_iter=3, tol=0.0, init="first_k", local_bytes=0).fit(embeddings(spark, sf_dir)))
 
 
 @query(_lloyd_sql(3) + " SELECT round(sum(d), 6) AS inertia, CAST(3 AS BIGINT) AS n_iter FROM n2")
@@ -362,7 +363,7 @@ def kmeans_inertia(spark, sf_dir):
 @query(_lloyd_sql(3, spherical=True) + _CENTROID_SQL.replace("SELECT", " SELECT", 1))
 def spherical_lloyd_fixed_init(spark, sf_dir):
     rows = embeddings(spark, sf_dir)
-    return _centroid_rows(spark, EmbeddingCluster(K, max_iter=3, tol=0.0, reduction="none", init="first_k").fit(rows).model)
+    return _centroid_rows(spark, EmbeddingCluster(K, max_iter=3, tol=0.0, reduction="none", init="first_k", local_bytes=0).fit(rows).model)
 
 
 def _minibatch_sql(spherical: bool = False) -> str:
@@ -446,6 +447,64 @@ def kmeans_fit_decomposition(spark, sf_dir):
     return spark.createDataFrame([(n, len(stats), round(total, 6))], "n long, k long, total double")
 
 
+@query("SELECT count(*) AS n, CAST(10 AS BIGINT) AS k, CAST(0 AS BIGINT) AS wrong_labels, CAST(0 AS DOUBLE) AS centre_gap, CAST(0 AS DOUBLE) AS cost_gap FROM embeddings")
+def kmeans_fit_settled(spark, sf_dir):
+    """A settled fit: every row has the label of its nearest returned centre, each centre is the mean of its
+    rows, and their squared distances add up to the reported cost.  All of it is measured again by SQL
+    expressions over the whole table."""
+    rows = embeddings(spark, sf_dir)
+    model = KMeans(10, n_init=2, random_state=7, max_iter=200, tol=1e-12, local_bytes=0).fit(rows)
+    centres = F.lit([[float(v) for v in c] for c in model.cluster_centers_])
+    labelled = model.transform(rows.select("id", "features"))
+    away = labelled.withColumn("far", F.transform(centres, lambda c: V.squared_euclidean(F.col("features"), c)))
+    own = F.element_at("far", (F.col("label") + 1).cast("int"))
+    found = away.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("label").alias("k"), F.sum((own > F.array_min("far") + 1e-9).cast("long")).alias("wrong_labels"), F.sum(own).alias("cost"))
+    means = M.cluster_moments(labelled.select("label", "features"))
+    gap = max(float(np.abs(m[1] - model.cluster_centers_[j]).max()) for j, m in means.items())
+    return found.select("n", "k", "wrong_labels", F.lit(round(gap, 9)).alias("centre_gap"), F.round(F.abs(F.col("cost") - model.inertia_) / model.inertia_, 9).alias("cost_gap"))
+
+
+@query(f"""WITH {E}, m AS (SELECT i, avg(x[i]) AS m FROM e, range(1, 65) t(i) GROUP BY i), v AS (SELECT e.id, m.i, e.x[m.i] - m.m AS v FROM e, m),
+    c AS (SELECT a.i AS i, b.i AS j, sum(a.v * b.v) / ((SELECT count(*) FROM e) - 1) AS c FROM v a JOIN v b ON a.id = b.id GROUP BY ALL)
+    SELECT round(sum(CASE WHEN i = j THEN c END), 6) AS total, round(sum(c * c), 9) AS squares FROM c""")
+def pca_spectrum(spark, sf_dir):
+    """The variances of all axes add up to the trace of the covariance, and their squares to the sum of its
+    squared entries: that holds for its eigenvalues and for no other rotation."""
+    model = EmbeddingReducer(64).fit(embeddings(spark, sf_dir))
+    v = model.explained_variance_
+    return spark.createDataFrame([(round(float(v.sum()), 6), round(float((v * v).sum()), 9))], "total double, squares double")
+
+
+@query(f"""WITH {E}, m AS (SELECT i, avg(x[i]) AS m FROM e, range(1, 65) t(i) GROUP BY i), v AS (SELECT e.id, m.i, e.x[m.i] - m.m AS v FROM e, m),
+    c AS (SELECT a.i AS i, b.i AS j, sum(a.v * b.v) / ((SELECT count(*) FROM e) - 1) AS c FROM v a JOIN v b ON a.id = b.id GROUP BY ALL)
+    SELECT round(sum(CASE WHEN i = j THEN c END), 6) AS total, round(sum(c * c), 9) AS squares FROM c""")
+def pca_randomized_spectrum(spark, sf_dir):
+    """The same spectrum by the randomized range finder."""
+    model = EmbeddingReducer(64, "randomized").fit(embeddings(spark, sf_dir))
+    v = model.explained_variance_
+    return spark.createDataFrame([(round(float(v.sum()), 6), round(float((v * v).sum()), 9))], "total double, squares double")
+
+
+VMF_KAPPAS = [5.0 * (j + 1) for j in range(K)]
+
+
+@query(f"""WITH {E}, {SPHERE}, n AS (SELECT cid, 5.0 * (cid + 1) AS kappa, (cid + 1) / 36.0 AS weight FROM c),
+    f AS (SELECT cid, kappa, weight, 31 * ln(kappa) - 32 * ln(2 * pi()) - ln(s) AS norm FROM (SELECT cid, kappa, weight, sum(exp((2 * m + 31) * ln(kappa / 2) - lgamma(m + 1) - lgamma(m + 32))) AS s FROM n, range(0, 90) t(m) GROUP BY cid, kappa, weight)),
+    l AS (SELECT p.id, p.x, p.cid, kappa * p.d + ln(weight) + norm AS l FROM p JOIN f ON f.cid = p.cid), w AS (SELECT id, x, cid, l, exp(l - max(l) OVER (PARTITION BY id)) AS p FROM l),
+    q AS (SELECT id, x, cid, p / sum(p) OVER (PARTITION BY id) AS p FROM w), m AS (SELECT cid, i, sum(p * x[i]) AS t FROM q, range(1, 65) t(i) GROUP BY cid, i), g AS (SELECT cid, sum(p) AS n FROM q GROUP BY cid)
+    SELECT cid AS label, round(any_value(n) / (SELECT count(*) FROM e), 9) AS weight, round(sqrt(sum(t * t)) / any_value(n), 6) AS resultant_length, round(sum(CASE WHEN i = 1 THEN t END) / sqrt(sum(t * t)), 6) AS first FROM m JOIN g USING (cid) GROUP BY cid""")
+def vmf_unequal_step(spark, sf_dir):
+    """Soft assignment and new weights and directions from unequal weights and concentrations, whose
+    normalizers SQL works out from the series of the Bessel function."""
+    rows = embeddings(spark, sf_dir).withColumn("features", V.l2_normalize(F.col("features")))
+    frame = feature_frame(rows)
+    count, d = validate(frame)
+    n, total, _ = e_step_sums(SparkRows(frame, count, d), seeds(rows), np.array(VMF_KAPPAS), np.arange(1, K + 1) / 36)
+    length = np.linalg.norm(total, axis=1)
+    out = [(j, round(float(n[j] / count), 9), round(float(length[j] / n[j]), 6), round(float(total[j, 0] / length[j]), 6)) for j in range(K)]
+    return spark.createDataFrame(out, "label long, weight double, resultant_length double, first double")
+
+
 LINE = """l AS (SELECT row_number() OVER () AS row, l_orderkey * 10 + l_linenumber AS id, [l_quantity, l_extendedprice / 1000, l_discount * 100, l_tax * 100] AS x, 0 AS truth FROM lineitem),
     c AS (SELECT row_number() OVER (ORDER BY id, x) - 1 AS cid, x AS c FROM l ORDER BY id, x LIMIT 16)"""
 
@@ -676,6 +735,32 @@ def stream_windowed_drift(spark, sf_dir):
     return last.select("label", F.unix_timestamp("window_start").alias("window_start"), "n", F.round("mean_distance", 6).alias("mean_distance"), F.round("relative_drift", 6).alias("relative_drift"))
 
 
+@query("""WITH s AS (SELECT ts, value AS a, event_id % 97 + 1.0 AS b FROM events), u AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS w, a / sqrt(a * a + b * b) AS a, b / sqrt(a * a + b * b) AS b FROM s),
+    c(label, ca, cb, kappa) AS (VALUES (0, 1.0::DOUBLE, 0.0::DOUBLE, 5.0::DOUBLE), (1, 0.6::DOUBLE, 0.8::DOUBLE, 10.0::DOUBLE), (2, 0.0::DOUBLE, 1.0::DOUBLE, 20.0::DOUBLE)),
+    l AS (SELECT w, a, b, arg_max(label, (a * ca + b * cb, -label)) AS label, max(a * ca + b * cb) AS sim FROM u, c GROUP BY w, a, b, u.rowid),
+    g AS (SELECT w, label, count(*) AS n, avg(sim) AS m, sum(a) AS sa, sum(b) AS sb FROM l GROUP BY ALL), r AS (SELECT *, sqrt(sa * sa + sb * sb) AS len, sqrt(sa * sa + sb * sb) / n AS r FROM g)
+    SELECT CAST(r.label AS BIGINT) AS label, epoch_us(w) // 1000000 AS window_start, n, round(m, 6) AS mean_distance, round((m - 0.9) / 0.9, 6) AS relative_drift,
+      round((r * (2 - r * r) / greatest(1 - r * r, 1e-10) - kappa) / kappa, 4) AS kappa_drift, round(1 - (sa * ca + sb * cb) / len, 6) AS direction_drift FROM r JOIN c ON c.label = r.label""".replace("u AS (SELECT time", "u AS (SELECT row_number() OVER () AS rowid, time"))
+def stream_direction_drift(spark, sf_dir):
+    """Directions of two columns of a stream: how concentrated each cluster's are by day, and how far they turned."""
+    from vecloom.streaming.scoring import windowed_drift
+
+    events = table(spark, sf_dir, "events")
+    instant = F.col("ts") if events.schema["ts"].dataType.typeName() == "timestamp" else F.to_timestamp(F.concat(F.col("ts").cast("string"), F.lit(" UTC")))
+    source = materialize(events.select(instant.alias("ts"), F.array("value", F.col("event_id") % 97 + 1.0).alias("features")), "events-source")
+    stream = spark.readStream.schema(source.schema).parquet(source.inputFiles()[0].rsplit("/", 1)[0])
+    snapshot = ClusterSnapshot([[1.0, 0.0], [0.6, 0.8], [0.0, 1.0]], spherical=True, fit_mean=[0.9] * 3)
+    snapshot.confidence_percentiles, snapshot.kappas = np.zeros((3, 4)), np.array([5.0, 10.0, 20.0])
+    out = f"{checkpoint_root(spark)}/vecloom/stream-{uuid.uuid4().hex}"
+    drift = windowed_drift(stream, snapshot, "ts", "1 day")
+    run = drift.writeStream.foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(f"{out}/batch={k}")).outputMode("complete").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    last = spark.read.parquet(out)
+    last = last.where(F.col("batch") == last.agg(F.max("batch")).first()[0])
+    figures = [F.round(c, 4 if c == "kappa_drift" else 6).alias(c) for c in ("mean_distance", "relative_drift", "kappa_drift", "direction_drift")]
+    return last.select("label", F.unix_timestamp("window_start").alias("window_start"), "n", *figures)
+
+
 # --- fits without a SQL form (checked by invariants in tests) ----------------------------------------
 
 
@@ -687,12 +772,12 @@ def pca_reduce(spark, sf_dir):
 
 @query()
 def kmeans_fit(spark, sf_dir):
-    return KMeans(10, n_init=3, random_state=7).fit(embeddings(spark, sf_dir)).labels_
+    return KMeans(10, n_init=3, random_state=7, local_bytes=0).fit(embeddings(spark, sf_dir)).labels_
 
 
 @query()
 def kmeans_cosine_fit(spark, sf_dir):
-    return KMeans(10, n_init=3, random_state=7, metric="cosine").fit(embeddings(spark, sf_dir)).labels_
+    return KMeans(10, n_init=3, random_state=7, metric="cosine", local_bytes=0).fit(embeddings(spark, sf_dir)).labels_
 
 
 @query()
@@ -707,28 +792,28 @@ def _centroids(spark, model) -> DataFrame:
 
 @query()
 def minibatch_fit(spark, sf_dir):
-    return MiniBatchKMeans(10, batch_size=256, max_iter=20, random_state=3).fit(embeddings(spark, sf_dir)).labels_
+    return MiniBatchKMeans(10, batch_size=256, max_iter=20, random_state=3, local_bytes=0).fit(embeddings(spark, sf_dir)).labels_
 
 
 @query()
 def embedding_cluster_fit(spark, sf_dir):
-    return EmbeddingCluster(10, reduction_dim=16, n_init=2, random_state=1).fit(embeddings(spark, sf_dir)).labels_
+    return EmbeddingCluster(10, reduction_dim=16, n_init=2, random_state=1, local_bytes=0).fit(embeddings(spark, sf_dir)).labels_
 
 
 @query()
 def embedding_minibatch_fit(spark, sf_dir):
-    return EmbeddingCluster(10, reduction_dim=16, n_init=1, max_iter=20, batch_size=256, algorithm="minibatch").fit(embeddings(spark, sf_dir)).labels_
+    return EmbeddingCluster(10, reduction_dim=16, n_init=1, max_iter=20, batch_size=256, algorithm="minibatch", local_bytes=0).fit(embeddings(spark, sf_dir)).labels_
 
 
 @query()
 def vmf_refine(spark, sf_dir):
-    model = EmbeddingCluster(6, reduction_dim=16, n_init=1, reduction="matryoshka").fit(embeddings(spark, sf_dir)).refine_vmf(max_iter=10)
+    model = EmbeddingCluster(6, reduction_dim=16, n_init=1, reduction="matryoshka", local_bytes=0).fit(embeddings(spark, sf_dir)).refine_vmf(max_iter=10)
     return model.soft_assign()
 
 
 @query()
 def hdbscan_fit(spark, sf_dir):
-    model = HDBSCAN(5).fit(_supplier(spark, sf_dir))
+    model = HDBSCAN(5, local_rows=1).fit(_supplier(spark, sf_dir))
     return model.labels_.join(model.probabilities_, "id")
 
 
@@ -780,6 +865,25 @@ def reachability_tree_cut(spark, sf_dir):
     return tree.agg(F.count(F.lit(1)).alias("edges"), F.coalesce(F.sum((F.col("weight") <= TREE_CUT).cast("long")), F.lit(0)).alias("light"))
 
 
+@query(f"""WITH RECURSIVE {E}, {KNN}, core AS (SELECT src AS id, d AS core FROM k WHERE r = 5), {_pairs_sql(TREE_CUT)},
+    linked AS MATERIALIZED (SELECT src, dst FROM near JOIN core a ON a.id = src JOIN core b ON b.id = dst WHERE greatest(a.core, b.core) <= {TREE_CUT}), both_ways AS (SELECT src, dst FROM linked UNION ALL SELECT dst, src FROM linked),
+    reach(id, root) AS (SELECT id, id FROM e UNION SELECT b.dst, reach.root FROM reach JOIN both_ways b ON b.src = reach.id AND reach.root < b.dst),
+    sizes AS (SELECT root, count(*) AS n FROM (SELECT id, min(root) AS root FROM reach GROUP BY id) GROUP BY root)
+    SELECT coalesce(sum(n), 0)::BIGINT AS "rows", count(*) AS components FROM sizes WHERE n >= 4""")
+def hdbscan_entries_cut(spark, sf_dir):
+    """Rows that have entered a component of at least four rows below a height, and how many such components
+    there are, from the contracted spanning tree: entries counted, births less merges."""
+    frame = materialize(feature_frame(embeddings(spark, sf_dir)), "features")
+    n, _ = validate(frame)
+    tree = reachability_tree(frame.join(core_distances(frame, n, 5), "id"), n)
+    found = contract(frame.select("id"), tree, 4, local_edges=100)
+    low = F.col("weight") <= TREE_CUT
+    entered = found.rows.where(low).agg(F.count(F.lit(1)).alias("rows"))
+    born = found.births.join(found.rows.where(low).select("rank").distinct(), "rank", "left_semi").agg(F.count(F.lit(1)).alias("born"))
+    merged = found.merges.where(low).agg(F.count(F.lit(1)).alias("merged"))
+    return entered.join(F.broadcast(born)).join(F.broadcast(merged)).select("rows", (F.col("born") - F.col("merged")).alias("components"))
+
+
 @query(f"""WITH {E}, {FIRST}, {s_scored()}, q AS (SELECT cid, quantile_cont(conf, 0.1) AS p FROM s GROUP BY cid)
     SELECT id, CASE WHEN conf < p THEN -1 ELSE cid END AS label, round(d, 9) AS distance, round(conf, 9) AS confidence, conf < p AS rejected FROM s JOIN q USING (cid)""")
 def snapshot_roundtrip(spark, sf_dir):
@@ -791,6 +895,20 @@ def snapshot_roundtrip(spark, sf_dir):
     return out.select("id", "label", r9("distance").alias("distance"), r9("confidence").alias("confidence"), "rejected")
 
 
+@query(ORACLE_SQL["assign_top2_scores"])
+def assign_table_function(spark, sf_dir):
+    """The flagship scores through SQL: a saved snapshot as a table function over the whole table."""
+    from vecloom.operators.table_function import register
+
+    rows = embeddings(spark, sf_dir)
+    path = f"{checkpoint_root(spark)}/vecloom/function-{uuid.uuid4().hex}"
+    ClusterSnapshot(seeds(rows)).save(spark, path)
+    register(spark, "vecloom_assign", path)
+    rows.createOrReplaceTempView("vecloom_assign_rows")
+    out = spark.sql("SELECT * FROM vecloom_assign(TABLE(vecloom_assign_rows), confidence_threshold => 0.02)")
+    return out.select("id", "label", *[r9(c).alias(c) for c in ("distance", "second_distance", "confidence")], "rejected")
+
+
 @query()
 def hier_build(spark, sf_dir):
     rows = embeddings(spark, sf_dir)
