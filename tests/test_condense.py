@@ -122,10 +122,14 @@ def test_too_few_rows_and_saving(spark, tmp_path):
     assert again.cluster_persistence_ == model.cluster_persistence_
 
 
-def test_spanning_with_equal_rows_weighs_the_same(spark):
+@pytest.mark.parametrize("blocks", [0, 8])
+def test_spanning_with_equal_rows_weighs_the_same(spark, monkeypatch, blocks):
+    """In rounds, and in one task."""
+    from vecloom.operators import neighbors
     from vecloom.operators.neighbors import core_distances, reachability_tree
     from vecloom.plans.frames import feature_frame
 
+    monkeypatch.setattr(neighbors, "SPANNED_BLOCKS", blocks)
     rng = np.random.default_rng(2)
     x = np.vstack([np.repeat(rng.normal(size=(5, 3)), 9, axis=0), rng.normal(size=(45, 3)), np.zeros((4, 3))])
     frame = feature_frame(from_numpy(spark, x))
