@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from vecloom.llm.tables import free_name, quoted
+from vecloom.llm.tables import free_name, mapped, quoted
 from vecloom.plans.durable import materialize
 
 WORD = re.compile(r"\w+")
@@ -219,7 +219,7 @@ def _pass(rows: DataFrame, items: DataFrame, name: str, similarity: float) -> Da
             fields = [*list(batch.schema)[:at], pa.field(name, arrow)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(made, arrow)], schema=pa.schema(fields))
 
-    return rows.mapInArrow(scan, schema)
+    return mapped(rows, scan, schema)
 
 
 def with_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", name: str = "matches", similarity: float = SIMILARITY, keep: list[str] | None = None, **limits) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from vecloom.llm.ngrams import root_frequencies
 from vecloom.llm.svm import fit_sigmoid, out_of_fold, sigmoid, train_svm
-from vecloom.llm.tables import free_name, quoted
+from vecloom.llm.tables import free_name, mapped, quoted
 
 UNKNOWN = "und"
 DIMS = 4096
@@ -188,7 +188,7 @@ def _predicted(rows: DataFrame, model: LanguageModel, lang_name: str, score_name
                 fields = [*list(batch.schema)[:at], pa.field(lang_name, pa.string()), pa.field(score_name, pa.float64())]
                 yield pa.RecordBatch.from_arrays([*part.columns[:at], pa.array(labels, pa.string()), pa.array(score, pa.float64())], schema=pa.schema(fields))
 
-    return rows.mapInArrow(scan, schema)
+    return mapped(rows, scan, schema)
 
 
 def document_languages(docs: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecloom.llm.tables import free_name, quoted
+from vecloom.llm.tables import free_name, mapped, quoted
 from vecloom.plans.durable import materialized, materialize
 
 RUN = 3
@@ -191,7 +191,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fields = [*list(batch.schema)[:at], pa.field(spans_name, arrow), pa.field(kept_name, pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(spans, arrow), pa.array(kept, pa.string())], schema=pa.schema(fields))
 
-    return rows.mapInArrow(scan, schema)
+    return mapped(rows, scan, schema)
 
 
 def cut(text: str | None, places: list[dict], longest: int | None = None) -> tuple[list[tuple[int, int]], str | None]:

@@ -26,6 +26,19 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def mapped(rows: DataFrame, scan, schema: T.StructType) -> DataFrame:
+    """``rows.mapInArrow``, which by itself takes no column names with dots or backticks: those pass through
+    under plain names."""
+    odd = [c for c in rows.columns if "." in c or "`" in c]
+    if not odd:
+        return rows.mapInArrow(scan, schema)
+    plain: dict[str, str] = {}
+    for c in odd:
+        plain[c] = free_name([*rows.columns, *plain.values()], "odd")
+    kept = T.StructType([T.StructField(plain.get(f.name, f.name), f.dataType, f.nullable) for f in schema.fields])
+    return rows.toDF(*[plain.get(c, c) for c in rows.columns]).mapInArrow(scan, kept).toDF(*schema.names)
+
+
 def _comparable(value: Column, kind: T.DataType) -> Column:
     """A value without maps: those as entries in order of their keys, wherever they are nested."""
     if isinstance(kind, T.MapType):

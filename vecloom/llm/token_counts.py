@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecloom.llm.tables import quoted
+from vecloom.llm.tables import mapped, quoted
 
 LIMIT = 1024
 CACHE = 400_000
@@ -270,7 +270,7 @@ def _mapped(df, text_col, name, kind, arrow_kind, compute, vocabulary, pattern)
             fields = [*list(batch.schema)[:at], pa.field(name, arrow_kind)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], made], schema=pa.schema(fields))
 
-    return source.mapInArrow(scan, schema)
+    return mapped(source, scan, schema)
 
 
 def document_token_counts(docs: DataFrame, limit: int = LIMIT, vocabulary: str | None = None) -> DataFrame:

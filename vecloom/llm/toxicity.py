@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecloom.llm.svm import fit_sigmoid, sigmoid, train_svm
-from vecloom.llm.tables import quoted
+from vecloom.llm.tables import mapped, quoted
 from vecloom.plans.durable import materialize
 
 FOLDS = 3
@@ -237,7 +237,7 @@ def with_probabilities(rows: DataFrame, model: ChainModel, prefix: str = "p_") -
                 fields = [*list(batch.schema)[:at], *[pa.field(n, pa.float64()) for n in names]]
                 yield pa.RecordBatch.from_arrays([*part.columns[:at], *[pa.array(p[:, k]) for k in range(len(names))]], schema=pa.schema(fields))
 
-    return rows.mapInArrow(scan, schema)
+    return mapped(rows, scan, schema)
 
 
 def document_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
