@@ -43,7 +43,7 @@ def second_moments(frame: DataFrame, d: int, unit: bool = False, shift: np.ndarr
 
 
 ROW_BLOCK = 1024
-OVERSAMPLING, POWER_PASSES = 10, 5
+OVERSAMPLING, POWER_PASSES = 20, 7
 
 
 def product_with(frame: DataFrame, basis: np.ndarray, shift: np.ndarray, unit: bool) -> tuple[int, np.ndarray, np.ndarray]:
@@ -84,7 +84,7 @@ def product_with(frame: DataFrame, basis: np.ndarray, shift: np.ndarray, unit: b
     return found.column("n")[0].as_py(), whole[:, width], whole[:, :width]
 
 
-def randomized_axes(frame: DataFrame, d: int, k: int, shift: np.ndarray, unit: bool, seed: int, passes: int = POWER_PASSES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def randomized_axes(frame: DataFrame, d: int, k: int, shift: np.ndarray, unit: bool, seed: int, passes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(mean, axes d x k, variances) by subspace iteration from a random start (Halko, Martinsson and Tropp,
     2011): every pass multiplies the covariance with d x (k + oversampling) directions, which are made
     orthonormal by QR; the last gives the small matrix whose eigenvectors turn them into axes."""
@@ -103,7 +103,7 @@ def randomized_axes(frame: DataFrame, d: int, k: int, shift: np.ndarray, unit: b
 
 class EmbeddingReducer:
     """``pca``: leading eigenvectors of the covariance (exact; d up to a few thousand); ``randomized``: the same
-    axes by a few passes with d x (k + 10) numbers, for any d; ``matryoshka``: the first dimensions.  Output
+    axes by a few passes with d x (k + 20) numbers, for any d; ``matryoshka``: the first dimensions.  Output
     vectors are unit length; input vectors are used as they are."""
 
     def __init__(self, target_dim: int = 128, method: str = "pca", random_state: int = 0, features: str = "features", ident: str = "id"):
@@ -123,7 +123,7 @@ class EmbeddingReducer:
             some = matrix_of(frame.select("features").limit(256).toArrow().column("features").combine_chunks())
             shift = (normalized(some) if unit else some).mean(axis=0)  # near the mean, so that little cancels
             if self.method == "randomized":
-                self.mean, axes, values = randomized_axes(frame, d, self.target_dim, shift, unit, self.random_state)
+                self.mean, axes, values = randomized_axes(frame, d, self.target_dim, shift, unit, self.random_state, POWER_PASSES)
             else:
                 n, total, outer = second_moments(frame, d, unit, shift)
                 off = total / n
