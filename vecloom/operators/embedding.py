@@ -15,7 +15,7 @@ from vecloom.functions import directional as D
 from vecloom.operators import metrics
 from vecloom.operators.assign import normalized
 from vecloom.operators.kmeans import CentroidModel, _Clusterer, checked, load_vectors, save_vectors
-from vecloom.operators.lloyd import LocalRows, lloyd, partial_sums, rows_of, starts
+from vecloom.operators.lloyd import BOUNDS_FROM, LocalRows, lloyd, partial_sums, rows_of, starts
 from vecloom.operators.reduce import EmbeddingReducer
 from vecloom.plans.durable import materialize
 from vecloom.plans.frames import LOCAL_BYTES, NotFittedError, feature_frame, list_array, map_matrix, matrix_of, validate
@@ -24,7 +24,8 @@ from vecloom.plans.frames import LOCAL_BYTES, NotFittedError, feature_frame, lis
 class EmbeddingCluster(_Clusterer):
     """k-means on the unit sphere after an optional reduction.
 
-    ``algorithm``: ``full`` passes over all rows (the default) or ``minibatch`` (the running resultant of
+    ``algorithm``: ``full`` passes over all rows (the default; with bounds kept beside them from ``BOUNDS_FROM``
+    clusters on), ``hamerly`` (such bounds at any size, the same centres) or ``minibatch`` (the running resultant of
     each cluster blends with the sum of its rows in a sampled batch by weight n_batch / (n + n_batch),
     counts from 1; the centre is its direction; ends after ten rounds of little change).
     """
@@ -62,10 +63,11 @@ class EmbeddingCluster(_Clusterer):
         else:
             begun = [normalized(s) for s in self._starts(rows, [self.random_state])]
         log: list = []
+        self.distance_shares_: list[float] = []
         if self.algorithm == "minibatch":
             runs = [self._minibatch(rows, s, k, log) for k, s in enumerate(begun)]
         else:
-            runs = lloyd(rows, begun, "dot", self.max_iter, self.tol, spherical=True, log=log)
+            runs = lloyd(rows, begun, "dot", self.max_iter, self.tol, spherical=True, log=log, bounds=self.algorithm == "hamerly" or self.n_clusters >= BOUNDS_FROM, measured=self.distance_shares_)
         centres, cost, rounds = runs[min(range(len(runs)), key=lambda i: (runs[i][1], i))]
         self.model = CentroidModel(centres, cost, rounds, "dot", "embedding", "features", "id")
         self.model._fitted_on = self.reduced_data_

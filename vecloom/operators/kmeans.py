@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from vecloom.functions.vectors import parse_metric
 from vecloom.operators.assign import assign
-from vecloom.operators.lloyd import lloyd, rows_of, starts
+from vecloom.operators.lloyd import BOUNDS_FROM, lloyd, rows_of, starts
 from vecloom.plans.frames import LOCAL_BYTES, NotFittedError, feature_frame, validate
 
 
@@ -128,7 +128,9 @@ class _Clusterer:
 class KMeans(_Clusterer):
     """Lloyd's algorithm with restarts.
 
-    ``algorithm`` is accepted (auto, lloyd, hamerly) and changes nothing: one plan serves all.
+    ``algorithm``: ``lloyd`` measures every distance in every round, ``hamerly`` keeps bounds beside the rows and
+    measures those in doubt (``operators/bounds.py``), ``auto`` keeps them from ``BOUNDS_FROM`` clusters on; the
+    labels and centroids are the same.  ``distance_shares_`` holds the share measured in each round.
     Restarts draw their starts by scalable k-means++ over all rows, the same ones whether rows are held
     or distributed, and are iterated together; the lowest cost wins, the first on ties.
     """
@@ -144,7 +146,10 @@ class KMeans(_Clusterer):
 
     def fit(self, df: DataFrame) -> CentroidModel:
         rows = self._rows(df)
-        runs = lloyd(rows, self._starts(rows, [self.random_state + i for i in range(self.n_init)]), self.metric, self.max_iter, self.tol)
+        bounds = self.algorithm == "hamerly" or self.algorithm == "auto" and self.n_clusters >= BOUNDS_FROM
+        self.distance_shares_: list[float] = []
+        begun = self._starts(rows, [self.random_state + i for i in range(self.n_init)])
+        runs = lloyd(rows, begun, self.metric, self.max_iter, self.tol, bounds=bounds, measured=self.distance_shares_)
         best = min(range(len(runs)), key=lambda i: (runs[i][1], i))
         self.model = CentroidModel(*runs[best], self.metric, "kmeans", self.features, self.ident)
         self.model._fitted_on = df

@@ -22,14 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vecloom.operators import bounds as B
 from vecloom.operators.assign import nearest_one, nearest_two, normalized
-from vecloom.plans.durable import materialize
+from vecloom.plans.durable import materialize, materialized
 from vecloom.plans.frames import LOCAL_BYTES, matrix_of
 
 PREFETCH_BYTES = 32 << 20
 PARTIAL_BYTES = 32 << 20
 BLOCK_BYTES = 4 << 20
-_PARTIAL = "run int, sums binary, far double, far_vector binary, moved long"
+_PARTIAL = "run int, sums binary, far double, far_vector binary, moved long, measured long"
+BOUNDS_FROM = 64  # centroids from which rows are anchored unless told otherwise
+DOUBT = 0.2  # share of all distances above which a round asks for new anchors
 START_ROUNDS = 5  # passes that draw candidates for starts
 LEAST_CANDIDATES = 50  # drawn in each of them, or twice the clusters if that is more
 
@@ -44,22 +47,29 @@ class Partial:
     far: float  # the largest distance, and the row it belongs to
     vector: np.ndarray | None
     moved: int  # rows that had another centroid before
+    measured: int = 0  # distances between rows and centroids
 
     def add(self, other: Partial) -> None:
         self.n, self.total, self.cost = self.n + other.n, self.total + other.total, self.cost + other.cost
         if other.far > self.far:
             self.far, self.vector = other.far, other.vector
         self.moved += other.moved
+        self.measured += other.measured
 
 
-def partial_sums(x: np.ndarray, runs: list[np.ndarray | None], metric: str, before: list[np.ndarray | None] | None = None) -> list[Partial | None]:
-    """Sums by centroid of every restart; ``before`` holds the centroids of the round before."""
+def partial_sums(x: np.ndarray, runs: list[np.ndarray | None], metric: str, before: list[np.ndarray | None] | None = None, held: list | None = None, since: tuple[list, list] | None = None) -> list[Partial | None]:
+    """Sums by centroid of every restart; ``before`` holds the centroids of the round before.
+
+    ``held`` are the rows' anchors a restart, ``since`` the moves of ``runs`` and ``before`` from those.
+    """
     out = []
+    now, then = since or ([None] * len(runs), [None] * len(runs))
     for r, c in enumerate(runs):
         if c is None:
             out.append(None)
             continue
-        label, best = nearest_one(x, c, metric)
+        mark = None if held is None else held[r]
+        label, best, measured = B.labelled(x, c, metric, mark, now[r])
         k, d = c.shape
         n = np.bincount(label, minlength=k)
         if d <= 16:
@@ -75,8 +85,11 @@ def partial_sums(x: np.ndarray, runs: list[np.ndarray | None], metric: str, befo
             at = len(best) - 1 - int(np.argmax(best[::-1])) if metric != "dot" else int(np.argmax(best))
             far, vector = float(best[at]), x[at].copy()
         old = None if before is None else before[r]
-        moved = len(x) if old is None else int((nearest_one(x, old, metric)[0] != label).sum())
-        out.append(Partial(n.astype(np.float64), total, np.bincount(label, weights=best, minlength=k), far, vector, moved))
+        moved = len(x)
+        if old is not None:
+            was, _, more = B.labelled(x, old, metric, mark, then[r])
+            moved, measured = int((was != label).sum()), measured + more
+        out.append(Partial(n.astype(np.float64), total, np.bincount(label, weights=best, minlength=k), far, vector, moved, measured))
     return out
 
 
@@ -85,8 +98,10 @@ def added(parts: list[list[Partial | None]]) -> list[Partial | None]:
     first = parts[0]
     for more in parts[1:]:
         for r, own in enumerate(more):
-            if own is not None:
+            if own is not None and first[r] is not None:
                 first[r].add(own)
+            elif own is not None:
+                first[r] = own
     return first
 
 
@@ -138,14 +153,32 @@ class _Batches:
         return self.drawn.pop()
 
 
+def _since(runs, before, anchors, metric):
+    """The moves of ``runs`` and ``before`` from the anchors, restart by restart."""
+    if anchors is None:
+        return None
+    way = lambda c, a: None if c is None or a is None else B.moves(c, a, metric)
+    return [way(c, a) for c, a in zip(runs, anchors)], [way(c, a) for c, a in zip(before or [None] * len(runs), anchors)]
+
+
 class LocalRows(_Batches):
     """A matrix small enough to hold."""
 
+    anchors: list[np.ndarray | None] | None = None
+    held: list | None = None
+
     def __init__(self, ids: list, x: np.ndarray, keys: np.ndarray):
         self.ids, self.x, self.keys, self.n, self.d = ids, x, keys, *x.shape
 
     def round(self, runs, metric, before=None):
-        return partial_sums(self.x, runs, metric, before)
+        return partial_sums(self.x, runs, metric, before, self.held, _since(runs, before, self.anchors, metric))
+
+    def anchor(self, runs, metric) -> None:
+        self.anchors = list(runs)
+        self.held = [None if c is None else B.anchored(self.x, c, metric) for c in runs]
+
+    def release(self) -> None:
+        self.anchors = self.held = None
 
     def draw(self, size: int, seed: int, known: np.ndarray | None = None, metric: str = "euclidean") -> np.ndarray:
         return first_in(self.keys, self.x, size, seed, known, metric)[2]
@@ -175,38 +208,55 @@ def binary_blocks(frame: DataFrame, d: int) -> DataFrame:
 class SparkRows(_Batches):
     """A distributed frame, written once so that every round reads the same rows."""
 
+    anchors: list[np.ndarray | None] | None = None
+    anchored = None
+
     def __init__(self, frame: DataFrame, n: int, d: int):
         self.frame, self.n, self.d = materialize(frame, "features"), n, d
         self.blocks = materialize(binary_blocks(self.frame, d), "blocks")
 
     def round(self, runs, metric, before=None):
-        shared = self.frame.sparkSession.sparkContext.broadcast((runs, before))
-        d, sizes = self.d, [0 if c is None else len(c) for c in runs]
+        shared = self.frame.sparkSession.sparkContext.broadcast((runs, before, _since(runs, before, self.anchors, metric)))
+        d, known = self.d, None if self.anchors is None else [a is not None for a in self.anchors]
 
         def scan(batches):
-            runs, before = shared.value
+            runs, before, since = shared.value
             held = None
             for batch in batches:
-                for block in batch.column(0):
-                    own = partial_sums(np.frombuffer(block.as_buffer(), np.float64).reshape(-1, d), runs, metric, before)
+                for at, block in enumerate(batch.column(0)):
+                    x = np.frombuffer(block.as_buffer(), np.float64).reshape(-1, d)
+                    marks = None if known is None else B.unpacked(batch.column(1)[at].as_buffer(), len(x), known)
+                    own = partial_sums(x, runs, metric, before, marks, since)
                     held = own if held is None else added([held, own])
             yield _packed(held or [None] * len(runs))
 
-        def add(batches):
-            held = None
-            for b in batches:
-                for part in _unpacked(b, sizes, d):
-                    held = part if held is None else added([held, part])
-            yield _packed(held or [None] * len(sizes))
-
-        partials = self.blocks.select("block").mapInArrow(scan, _PARTIAL)
-        tasks = len(self.blocks.inputFiles())
-        if tasks * sum(sizes) * (d + 2) * 8 > PARTIAL_BYTES:
-            # the driver gets one matrix of sums a restart, whatever the number of tasks
-            partials = partials.repartition(min(32, tasks)).mapInArrow(add, _PARTIAL).repartition(1).mapInArrow(add, _PARTIAL)
-        parts = [p for b in partials.toArrow().to_batches() for p in _unpacked(b, sizes, d)]
+        source = self.blocks.select("block") if known is None else self.anchored.df
+        parts = summed(source.mapInArrow(scan, _PARTIAL), len(self.blocks.inputFiles()), [0 if c is None else len(c) for c in runs], d)
+        shared.unpersist()
+        return parts
+
+    def anchor(self, runs, metric) -> None:
+        """The blocks once more, with each row's centroid and bound beside them: one narrow pass and 8 bytes a
+        row and restart.  The table before it is dropped."""
+        shared, d = self.frame.sparkSession.sparkContext.broadcast(runs), self.d
+
+        def scan(batches):
+            for batch in batches:
+                made = []
+                for block in batch.column(0):
+                    x = np.frombuffer(block.as_buffer(), np.float64).reshape(-1, d)
+                    made.append(B.packed([None if c is None else B.anchored(x, c, metric) for c in shared.value]))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["block", "held"])
+
+        made = materialized(self.blocks.select("block").mapInArrow(scan, "block binary, held binary"), "anchored")
+        self.release()
+        self.anchors, self.anchored = list(runs), made
         shared.unpersist()
-        return added(parts)
+
+    def release(self) -> None:
+        if self.anchored is not None:
+            self.anchored.drop()
+        self.anchors = self.anchored = None
 
     def draw(self, size: int, seed: int, known: np.ndarray | None = None, metric: str = "euclidean") -> np.ndarray:
         """``size`` rows by a race over all of them; a task hands on its own first ``size`` at most."""
@@ -231,18 +281,35 @@ class SparkRows(_Batches):
         return matrix_of(self.frame.orderBy("id").limit(k).toArrow().column("features").combine_chunks())
 
 
+def summed(partials: DataFrame, tasks: int, sizes: list[int], d: int) -> list[Partial | None]:
+    """The sums of all tasks, restart by restart."""
+
+    def add(batches):
+        held = None
+        for b in batches:
+            for part in _unpacked(b, len(sizes), d):
+                held = part if held is None else added([held, part])
+        yield _packed(held or [None] * len(sizes))
+
+    if tasks * sum(sizes) * (d + 2) * 8 > PARTIAL_BYTES:
+        # the driver gets one matrix of sums a restart, whatever the number of tasks
+        partials = partials.repartition(min(32, tasks)).mapInArrow(add, _PARTIAL).repartition(1).mapInArrow(add, _PARTIAL)
+    return added([[None] * len(sizes), *(p for b in partials.toArrow().to_batches() for p in _unpacked(b, len(sizes), d))])
+
+
 def _packed(parts: list[Partial | None]) -> pa.RecordBatch:
-    rows = [(r, np.hstack([p.total, p.n[:, None], p.cost[:, None]]).tobytes(), p.far, None if p.vector is None else p.vector.tobytes(), p.moved) for r, p in enumerate(parts) if p is not None]
-    kinds = [pa.int32(), pa.binary(), pa.float64(), pa.binary(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array([row[k] for row in rows], t) for k, t in enumerate(kinds)], names=["run", "sums", "far", "far_vector", "moved"])
+    rows = [(r, np.hstack([p.total, p.n[:, None], p.cost[:, None]]).tobytes(), p.far, None if p.vector is None else p.vector.tobytes(), p.moved, p.measured) for r, p in enumerate(parts) if p is not None]
+    kinds = [pa.int32(), pa.binary(), pa.float64(), pa.binary(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array([row[k] for row in rows], t) for k, t in enumerate(kinds)], names=["run", "sums", "far", "far_vector", "moved", "measured"])
 
 
-def _unpacked(batch: pa.RecordBatch, sizes: list[int], d: int):
-    """One list over all restarts for each packed row; empty sums stand in where a restart is elsewhere."""
+def _unpacked(batch: pa.RecordBatch, runs: int, d: int):
+    """One list over all restarts for each packed row, with nothing where a restart is elsewhere."""
     for r in batch.to_pylist():
-        parts: list[Partial | None] = [Partial(np.zeros(k), np.zeros((k, d)), np.zeros(k), -np.inf, None, 0) if k else None for k in sizes]
+        parts: list[Partial | None] = [None] * runs
         sums = np.frombuffer(r["sums"]).reshape(-1, d + 2)
-        parts[r["run"]] = Partial(sums[:, d].copy(), sums[:, :d].copy(), sums[:, d + 1].copy(), r["far"], None if r["far_vector"] is None else np.frombuffer(r["far_vector"]), r["moved"])
+        vector = None if r["far_vector"] is None else np.frombuffer(r["far_vector"])
+        parts[r["run"]] = Partial(sums[:, d].copy(), sums[:, :d].copy(), sums[:, d + 1].copy(), r["far"], vector, r["moved"], r["measured"])
         yield parts
 
 
@@ -300,20 +367,25 @@ def plus_plus(x: np.ndarray, k: int, rng: np.random.Generator, metric: str, weig
     return x[chosen].copy()
 
 
-def lloyd(rows, starts: list[np.ndarray], metric: str, max_iter: int, tol: float, spherical: bool = False, log: list | None = None):
+def lloyd(rows, starts: list[np.ndarray], metric: str, max_iter: int, tol: float, spherical: bool = False, log: list | None = None, bounds: bool = False, measured: list | None = None):
     """Per restart (centroids, cost of the last assignment, rounds): the assignment counted is the one
     made before the last update.  A restart stops when its largest centroid shift falls below ``tol``;
     on the sphere, when for two rounds cost, assignments (fewer than one row in 1,000 moved) and centres
     (1 - dot) have been steady.
 
-    ``log`` receives (run, round, cost, relative change, share of rows that moved, shift, milliseconds).
+    ``bounds`` anchors the rows after the second round and, in rounds that double, wherever more than
+    ``DOUBT`` of all distances were measured (``operators/bounds.py``); labels and centroids stay the same.
+
+    ``log`` receives (run, round, cost, relative change, share of rows that moved, shift, milliseconds),
+    ``measured`` the distances measured each round, anchors included, as a share of all.
     """
     runs = [np.array(s, dtype=np.float64) for s in starts]
     active = [True] * len(runs)
     cost, rounds = [np.inf] * len(runs), [0] * len(runs)
     calm = [0] * len(runs)
     old: list[np.ndarray | None] = [None] * len(runs)
-    for _ in range(max_iter):
+    due = 2
+    for done in range(1, max_iter + 1):
         if not any(active):
             break
         began = time.perf_counter()
@@ -336,7 +408,7 @@ def lloyd(rows, starts: list[np.ndarray], metric: str, max_iter: int, tol: float
                 shift = float(max(nearest_two(new[j : j + 1], c[j : j + 1], metric)[1][0] for j in range(len(c))))
             runs[r], old[r] = new, c
             change = abs(cost[r] - before) / abs(before) if np.isfinite(before) and abs(before) > 1e-30 else float("inf")
-            churn = own.moved / max(1, rows.n)
+            churn = own.moved / max(1.0, own.n.sum())
             if log is not None:
                 log.append((r, rounds[r], cost[r], float(change), float(churn), shift, 1000 * (time.perf_counter() - began)))
             if spherical:
@@ -345,4 +417,14 @@ def lloyd(rows, starts: list[np.ndarray], metric: str, max_iter: int, tol: float
                 active[r] = calm[r] < 2
             else:
                 active[r] = not shift < tol
+        share = sum(p.measured for p in found if p is not None) / sum(p.n.sum() * len(p.n) for p in found if p is not None)
+        if bounds and done == due and done < max_iter and any(active):
+            due *= 2
+            if share > DOUBT:
+                rows.anchor([c if a else None for c, a in zip(runs, active)], metric)
+                share += 1
+        if measured is not None:
+            measured.append(float(share))
+    if bounds:
+        rows.release()
     return [(runs[r], cost[r], rounds[r]) for r in range(len(runs))]
