@@ -185,7 +185,8 @@ class ClusterSnapshot:
         )
         return DriftReport(spark.createDataFrame(table, schema), overall)
 
-    def save(self, spark: SparkSession, path: str) -> None:
+    def stored(self) -> tuple[dict, dict]:
+        """(metadata, matrices): all there is to a snapshot."""
         meta = {"version": 2, "algorithm": self.algorithm, "metric": self.metric, "spherical": self.spherical, "k": self.k, "d": self.d, "input_dim": self.input_dim}
         meta |= {"preprocessing": "embedding_pipeline" if self.reducer is not None else "l2_normalize" if self.normalize else "none", "normalize": self.normalize, "features": self.features}
         meta |= {"sizes": [int(s) for s in self.sizes], "n_fitted": self.n_fitted, "calibrated": self.is_calibrated, "reduced": None}
@@ -193,13 +194,20 @@ class ClusterSnapshot:
         if self.reducer is not None:
             meta["reduced"] = {"method": self.reducer.method, "input_dim": self.reducer.input_dim, "target_dim": self.reducer.target_dim}
             tables |= {"components": self.reducer.components, "mean": self.reducer.mean}
+        return meta, tables
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        meta, tables = self.stored()
         save_vectors(spark, path, meta, **tables)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> ClusterSnapshot:
+        return cls.restored(*load_vectors(spark, path))
+
+    @classmethod
+    def restored(cls, meta: dict, t: dict) -> ClusterSnapshot:
         from vecloom.operators.reduce import EmbeddingReducer
 
-        meta, t = load_vectors(spark, path)
         if meta.get("version") not in (1, 2):
             raise ValueError(f"unknown snapshot version {meta.get('version')}")
         reducer = None
