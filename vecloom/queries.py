@@ -28,6 +28,7 @@ from vecloom.operators.reduce import EmbeddingReducer
 from vecloom.operators.snapshot import ClusterSnapshot
 from vecloom.plans.durable import checkpoint_root, materialize
 from vecloom.plans.frames import feature_frame, matrix_of, validate
+from vecloom.sources.arrays import read_arrays, write_arrays
 from vecloom.sources.tables import from_columns
 
 QUERIES = {}
@@ -453,7 +454,17 @@ def kmeans_fit_settled(spark, sf_dir):
     rows, and their squared distances add up to the reported cost.  All of it is measured again by SQL
     expressions over the whole table."""
     rows = embeddings(spark, sf_dir)
-    model = KMeans(10, n_init=2, random_state=7, max_iter=200, tol=1e-12, local_bytes=0).fit(rows)
+    return _settled(rows, KMeans(10, n_init=2, random_state=7, max_iter=200, tol=1e-12, local_bytes=0).fit(rows))
+
+
+@query("SELECT count(*) AS n, CAST(16 AS BIGINT) AS k, CAST(0 AS BIGINT) AS wrong_labels, CAST(0 AS DOUBLE) AS centre_gap, CAST(0 AS DOUBLE) AS cost_gap FROM embeddings")
+def kmeans_bounded_fit_settled(spark, sf_dir):
+    """The same of a fit that carries bounds between its rounds and measures only the distances in doubt."""
+    rows = embeddings(spark, sf_dir)
+    return _settled(rows, KMeans(16, n_init=2, random_state=5, max_iter=200, tol=1e-12, algorithm="hamerly", local_bytes=0).fit(rows))
+
+
+def _settled(rows, model):
     centres = F.lit([[float(v) for v in c] for c in model.cluster_centers_])
     labelled = model.transform(rows.select("id", "features"))
     away = labelled.withColumn("far", F.transform(centres, lambda c: V.squared_euclidean(F.col("features"), c)))
@@ -913,3 +924,36 @@ def assign_table_function(spark, sf_dir):
 def hier_build(spark, sf_dir):
     rows = embeddings(spark, sf_dir)
     return HierarchicalSnapshot.build(rows, KMeans(3, n_init=1).fit(rows), 3).assign(rows).select("id", "root_label", "child_label")
+
+
+@query("SELECT count(*) AS n, CAST(3 AS BIGINT) AS children, CAST(0 AS BIGINT) AS wrong_labels, CAST(0 AS BIGINT) AS far_centres, CAST(0 AS BIGINT) AS size_gap FROM embeddings")
+def hier_children_settled(spark, sf_dir):
+    """Children fitted together: every row has the child whose centre is nearest among those of its root cluster,
+    each centre is the direction of its rows' sum, and the stored sizes are theirs.  Measured again by SQL
+    expressions over the whole table."""
+    rows = embeddings(spark, sf_dir).select("id", "features")
+    tree = HierarchicalSnapshot.build(rows, KMeans(3, n_init=1).fit(rows), 3, n_init=2)
+    centres = F.lit([[[float(v) for v in c] for c in tree.children[j].centroids] for j in sorted(tree.children)])
+    place = F.element_at(F.create_map(*[F.lit(v) for i, j in enumerate(sorted(tree.children)) for v in (j, i + 1)]), F.col("root_label").cast("int"))
+    unit = tree.assign(rows).withColumn("features", V.l2_normalize(F.col("features")))
+    judged = unit.withColumn("near", F.transform(F.element_at(centres, place), lambda c: V.dot(F.col("features"), c)))
+    own = F.element_at("near", (F.col("child_label") + 1).cast("int"))
+    found = judged.agg(F.count(F.lit(1)).alias("n"), F.sum((own < F.array_max("near") - 1e-9).cast("long")).alias("wrong_labels"))
+    moments = M.cluster_moments(unit.select((F.col("root_label") * 1000 + F.col("child_label")).alias("label"), "features"))
+    far = gap = 0
+    for j, child in tree.children.items():
+        for i, centre in enumerate(child.centroids):
+            size, mean = moments[1000 * j + i][:2] if 1000 * j + i in moments else (0, centre)
+            far += int(1 - float(np.dot(mean, centre)) / float(np.linalg.norm(mean)) > 1e-4)
+            gap += abs(int(size) - child.sizes[i])
+    return found.select("n", F.lit(len(tree.children)).cast("long").alias("children"), "wrong_labels", F.lit(far).cast("long").alias("far_centres"), F.lit(gap).cast("long").alias("size_gap"))
+
+
+@query("""SELECT vec_id AS id, CAST(len(embedding) AS BIGINT) AS dims, round(CAST(embedding[1] AS DOUBLE), 9) AS first,
+       round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 9) AS norm2 FROM embeddings""")
+def array_files_roundtrip(spark, sf_dir):
+    """All vectors written as NumPy files, a pair a partition, and read back in ranges of rows."""
+    path = f"{checkpoint_root(spark)}/vecloom/{spark.sparkContext.applicationId}/arrays-{uuid.uuid4().hex}"
+    write_arrays(embeddings(spark, sf_dir), path)
+    back = read_arrays(spark, path)
+    return back.select("id", F.size("features").cast("long").alias("dims"), r9(F.element_at("features", 1)).alias("first"), r9(V.norm2(F.col("features"))).alias("norm2"))
