@@ -89,6 +89,16 @@ def test_recall_at_the_threshold(rows, d):
     assert met.mean() > 0.99
 
 
+def test_settings_and_links_do_not_change_with_the_size():
+    assert len({E.settings(n) for n in (0, 1, 1000, E.CODES_2_ROWS, E.CODES_2_ROWS + 1, 10**9)}) == 1
+    a, b = at_cosine(0.98, 4000, seed=9)
+    met, group = np.zeros(len(a), bool), np.zeros(len(a), np.int64)
+    for t in range(E.TABLES):  # any size: at least as many as two codes in five tables found (0.9999)
+        x, y = (E.cell_keys(v, group, t, E.PROBES, *E.settings(E.CODES_2_ROWS + 1)) for v in (a, b))
+        met |= (x[:, :1] == y).any(1) | (y[:, :1] == x).any(1)
+    assert met.mean() >= 0.9997
+
+
 def test_chance_candidates_are_few():
     rng = np.random.default_rng(6)
     x = rng.normal(size=(4000, 64))

@@ -6,10 +6,10 @@ decoded to the nearest point of the E8 lattice; a vector is stored in its own ce
 codes' cells) and looks up that cell and the nearest neighbouring ones.  Candidates are verified by
 cosine, so nothing below the threshold links.
 
-How many codes a table has, and how wide a cell is, follows from the counted rows of the largest label
-(``settings``), so that chance candidates stay few a vector: of 2e8 pairs of random vectors of 64
-dimensions 7e-6 became candidates with two codes and 5e-7 with three.  Of 20,000 pairs at a cosine of
-0.98 exactly, two codes found 0.9999 and three 0.999 (tests hold the recall above 0.99).
+How many tables there are, how many codes a table has and how wide a cell is are the same for every
+input (``settings``), so whether two vectors meet depends on them alone and not on how many others
+there are.  Of 80,000 pairs of 64 dimensions and 20,000 of 384 at a cosine of 0.98 exactly all met; of
+4e8 pairs of random vectors 1.0e-6 became candidates (tests hold the recall above 0.9997).
 
 Scale: equal vectors are collapsed first, so copies cost one row.  What is exchanged is one row of 16
 bytes a cell looked up; vectors move only to verify candidates.  Cells that hold more than
@@ -39,15 +39,16 @@ from vecloom.plans.components import connected_components
 from vecloom.plans.durable import materialize
 
 THRESHOLD = 0.98
-TABLES = 5
+TABLES = 8
 PROBES = 20
-CODES_2_ROWS = 1_000_000  # vectors a label up to which two codes a table have few chance candidates
+CODES, SCALE = 3, 0.6
+CODES_2_ROWS = 1_000_000  # where settings once changed; tests look at both sides of it
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def settings(rows: int) -> tuple[int, float]:
-    """(codes a table, scale of the projections) for labels of at most ``rows`` vectors."""
-    return (2, 0.8) if rows <= CODES_2_ROWS else (3, 0.6)
+    """(codes a table, scale of the projections) for labels of at most ``rows`` vectors: one for all."""
+    return CODES, SCALE
 
 
 def _projection(dim: int, table: int, codes: int, scale: float) -> tuple[np.ndarray, np.ndarray]:
@@ -134,9 +135,10 @@ def linked_block(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
     return linked
 
 
-def _hot_links(hashed: DataFrame, index: DataFrame, probe: DataFrame, hot: DataFrame, threshold: float, tables: int, probes: int, block_rows: int) -> DataFrame:
+def _hot_links(hashed: DataFrame, heat: DataFrame, index: DataFrame, probe: DataFrame, hot: DataFrame, threshold: float, tables: int, probes: int, block_rows: int) -> DataFrame:
     """(kind, a, b): kind 0 adds b links to a; kind 1 says a and b are connected."""
-    carried = hashed.select("id", "grp", "copies", "unit", "aligned_own", "aligned_looked")
+    aligned = lambda n: F.transform(n, lambda k: F.when(F.array_contains("hot_looked", k), k).otherwise(F.lit(0).cast("long"))).alias(f"aligned_{n}")
+    carried = materialize(hashed.join(heat, "id").select("id", "grp", "copies", "unit", aligned("own"), aligned("looked")), "hot-rows")
     rows = lambda side: side.join(hot.select("key"), "key", "left_semi").join(carried, "id").select("key", "id", "grp", "copies", "unit", "aligned_own", "aligned_looked")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -196,8 +198,8 @@ def embedding_components(
     vector_col: str = "embedding",
     label_col: str = "label",
 ) -> DataFrame:
-    """vec_id, n_links, component_id and kept of every row of ``vectors``; ``codes_scale`` overrides what
-    ``settings`` chooses."""
+    """vec_id, n_links, component_id and kept of every row of ``vectors``; ``codes_scale`` overrides
+    ``CODES`` and ``SCALE``."""
     rows = vectors.select(
         F.col(quoted(id_col)).alias("vec_id"),
         F.xxhash64(F.col(quoted(label_col)).cast("string")).alias("grp"),
@@ -206,8 +208,7 @@ def embedding_components(
     )
     good = rows.where(F.col("vec_id").isNotNull() & usable(F.col("label"), F.col("vec")))
     distinct = good.groupBy("grp", "vec").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    if codes_scale is None:
-        codes_scale = settings(good.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0)
+    codes_scale = codes_scale or (CODES, SCALE)
     hashed = materialize(_hashed(distinct.select("id", "grp", "copies", "vec"), tables, probes, *codes_scale), "hashed")
     index = hashed.select(F.explode("own").alias("key"), "id")
     probe = hashed.select(F.explode("looked").alias("key"), "id")
@@ -215,19 +216,16 @@ def embedding_components(
     any_hot = not hot.isEmpty()
     cold, asking = index, probe
     if any_hot:
-        heat = probe.join(hot.select("key"), "key").groupBy("id").agg(F.collect_set("key").alias("heat"))
-        hashed = hashed.join(heat, "id", "left").withColumn("heat", F.coalesce("heat", F.array().cast("array<long>")))
-        is_hot = lambda k: F.array_contains("heat", k)
-        for name, source in (("own", "own"), ("looked", "looked")):
-            hashed = hashed.withColumn(f"hot_{name}", F.filter(source, is_hot)).withColumn(f"aligned_{name}", F.transform(source, lambda k: F.when(is_hot(k), k).otherwise(F.lit(0).cast("long"))))
-        hashed = materialize(hashed.drop("heat"), "hashed-hot")
-        cold, asking = (hashed.select(F.explode(n).alias("key"), "id", "hot_own", "hot_looked") for n in ("own", "looked"))
+        heat = materialize(probe.join(hot.select("key"), "key").groupBy("id").agg(F.collect_set("key").alias("hot_looked")), "heat")
+        tagged = hashed.select("id", "own", "looked").join(heat, "id", "left").withColumn("hot_looked", F.coalesce("hot_looked", F.array().cast("array<long>")))
+        tagged = tagged.withColumn("hot_own", F.array_intersect("own", "hot_looked"))
+        cold, asking = (tagged.select(F.explode(n).alias("key"), "id", "hot_own", "hot_looked") for n in ("own", "looked"))
         cold = cold_rows(cold, hot, ["key"])
     pairs = materialize(_cold_pairs(hashed, cold, asking, threshold, any_hot), "pairs")
     counts = pairs.select(F.col("a").alias("id"), F.col("copies_b").alias("n")).unionByName(pairs.select(F.col("b").alias("id"), F.col("copies_a").alias("n")))
     edges = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))
     if any_hot:
-        links = _hot_links(hashed, index, probe, hot, threshold, tables, probes, block_rows)
+        links = _hot_links(hashed, heat, index, probe, hot, threshold, tables, probes, block_rows)
         counts = counts.unionByName(links.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("n")))
         edges = edges.unionByName(links.where("kind = 1").select(F.col("a").alias("src"), F.col("b").alias("dst")))
     degree = counts.groupBy("id").agg(F.sum("n").alias("n"))
