@@ -6,6 +6,12 @@ consecutive sentences with at least ``WORDS`` words the shortest from each sente
 up to each sentence are hashed (128 bits); together they cover every longer one.  Runs meet globally by
 hash, and sentences covered by any occurrence but the first (smallest doc_id, then place) are removed.
 
+``passage`` (off by default; the query gives 50) also removes every stretch of more than that many words
+that an earlier document holds, wherever it lies: in long sentences, in texts without any marks, or over
+the ends of sentences.  This is exact: rolling hashes of SEED words are thinned so that each stretch of
+``passage + 1`` words keeps one, and around those that several documents share all stretches are compared
+(128 bits).  What is removed then may be parts of sentences.
+
 ``longest`` (off by default) also cuts sentences of more words than that at places their own words
 choose, never more than ``NEAR`` words apart, so that repeated stretches without any marks are found;
 what is removed then may be parts of sentences.
@@ -19,7 +25,7 @@ dropped as soon as the covered places are written.
 Defined results: null and empty texts stay as they are; words are runs of non-space, and in scripts
 written without spaces each character, compared without case; rows that share a doc_id are told apart by
 a hash of their text, and rows equal in both are the same row repeated: each keeps what the first keeps;
-null ids come last; texts shorter than a run, and texts without marks or line ends, are never changed; an
+null ids come last; texts shorter than a run, and, without ``passage``, texts without marks or line ends, are never changed; an
 empty table gives an empty result; other columns pass through.
 """
 
@@ -40,10 +46,14 @@ from vecloom.plans.durable import materialized, materialize
 RUN = 3
 WORDS = 20
 NEAR = 11
+PASSAGE = 50  # words the query lets documents share
+SEED = 26  # words of a hash that finds shared passages, at most PASSAGE
 WORD = re.compile(r"\S+")
 _BREAK = re.compile("[.!?]+[\"'\u2019\u201d)\\]]*\\s+|[\u3002\uff01\uff1f\uff61\u061f\u06d4\u0964\u0965\u1362\u104b\u17d4]+[\u201d\u2019\u300d\u300f\uff09]*\\s*|\n\\s*")
 #: Scripts without spaces between words: Thai to Tibetan, Burmese, Khmer, kana, Han.
 _UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]")
+_TOKEN = re.compile(f"{_UNSPACED.pattern}|(?:(?!{_UNSPACED.pattern})\\S)+")
+_BASES = np.array([0x9E3779B97F4A7C1B, 0xD1342543DE82EF93], np.uint64)  # 3 modulo 8
 
 
 def _digest(words: str) -> bytes:
@@ -118,6 +128,50 @@ def runs(found: list[tuple[int, int, int, bytes]]) -> tuple[np.ndarray, np.ndarr
     return hashes, spans[:, 0], spans[:, 1] - spans[:, 0]
 
 
+class _WordHashes(dict):
+    """The 128-bit hash of each word met."""
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = found = xxhash.xxh3_128_digest(word.encode("utf-8", "replace"), 11)
+        return found
+
+
+def word_hashes(text: str, known: _WordHashes) -> np.ndarray:
+    """(words, 2): the hash of each word, without case; in scripts without spaces of each character."""
+    words = text.lower().split() if _UNSPACED.search(text) is None else _TOKEN.findall(text.lower())
+    return np.frombuffer(b"".join([known[w] for w in words]), np.uint64).reshape(-1, 2)
+
+
+def stretch_hashes(words: np.ndarray, size: int, parts: int = 2) -> np.ndarray:
+    """(stretches, parts): a rolling hash of every ``size`` words in a row."""
+    n = len(words)
+    found = np.zeros((max(n - size + 1, 0), parts), np.uint64)
+    for k in range(parts if n >= size else 0):
+        powers = np.full(n + 1, _BASES[k], np.uint64)
+        powers[0] = 1
+        inverse = np.full(n + 1, pow(int(_BASES[k]), -1, 1 << 64), np.uint64)
+        inverse[0] = 1
+        powers, inverse = np.cumprod(powers, dtype=np.uint64), np.cumprod(inverse, dtype=np.uint64)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words[:, k] * powers[:n], dtype=np.uint64)])
+        x = (sums[size:] - sums[:-size]) * inverse[: n - size + 1]
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        found[:, k] = x ^ (x >> np.uint64(29))
+    return found
+
+
+def seeds(words: np.ndarray, passage: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, places) of stretches of SEED words, at least one within every ``passage + 1`` words."""
+    if len(words) <= passage:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    size = min(SEED, passage)
+    hashes = stretch_hashes(words, size, 1)[:, 0]
+    windows = np.lib.stride_tricks.sliding_window_view(hashes, passage + 2 - size)
+    places = np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
+    return hashes[places], places.astype(np.int32)
+
+
 def _row_key(id_col: str, text_col: str):
     return F.struct(
         F.col(quoted(id_col)).isNull().alias("no_id"),
@@ -165,13 +219,68 @@ def repeated_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return covered
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spans_name: str = "removed", kept_name: str = "kept_text", longest: int | None = None) -> DataFrame:
+def repeated_stretches(docs: DataFrame, passage: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, stretches): where in each text ``passage + 1`` words begin that an earlier document holds."""
+    slim = docs.select(_row_key(id_col, text_col).alias("key"), F.col(quoted(text_col)).cast("string").alias("text")).where("text is not null")
+    key = slim.schema["key"]
+    numbers = [T.StructField(n, T.LongType()) for n in ("run", "rest")]
+    place = T.StructField("place", T.IntegerType())
+
+    def emitted(batch, found):
+        owner = pa.array(np.repeat(np.arange(len(found)), [len(f[1]) for f in found]))
+        hashes, places = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        columns = [hashes] if hashes.ndim == 1 else list(hashes.T)
+        names = ["key", "run", "rest"][: 1 + len(columns)] + ["place"]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(owner), *[pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns], pa.array(places)], names=names)
+
+    def scan_seeds(batches):
+        known = _WordHashes()
+        for batch in batches:
+            found = [seeds(word_hashes(x.as_py(), known), passage) for x in batch.column(1)]
+            if found:
+                yield emitted(batch, found)
+
+    def scan_stretches(batches):
+        known = _WordHashes()
+        for batch in batches:
+            found = []
+            for x, at in zip(batch.column(1), batch.column(2)):
+                hashes = stretch_hashes(word_hashes(x.as_py(), known), passage + 1)
+                edges = np.zeros(len(hashes) + 1, np.int64)  # stretches that hold a shared seed
+                first = np.array(at.as_py(), np.int64)
+                np.add.at(edges, np.maximum(first + min(SEED, passage) - passage - 1, 0), 1)
+                np.add.at(edges, np.minimum(first + 1, len(hashes)), -1)
+                places = np.nonzero(np.cumsum(edges)[:-1] > 0)[0]
+                found.append((hashes[places], places.astype(np.int32)))
+            if found:
+                yield emitted(batch, found)
+
+    table = materialized(slim.mapInArrow(scan_seeds, T.StructType([key, numbers[0], place])), "seeds")
+    spread = table.df.groupBy("run").agg(F.min(F.xxhash64("key")).alias("low"), F.max(F.xxhash64("key")).alias("high"))
+    shared = table.df.join(spread.where("low != high").select("run"), "run", "left_semi")
+    around = materialized(shared.groupBy("key").agg(F.collect_set("place").alias("places")), "seed-places")
+    table.drop()
+    near = slim.join(around.df, "key").select("key", "text", "places")
+    stretches = materialized(near.mapInArrow(scan_stretches, T.StructType([key, *numbers, place])), "stretches")
+    around.drop()
+    firsts = materialized(stretches.df.groupBy("run", "rest").agg(F.min("key").alias("first")), "first-stretches")
+    later = stretches.df.join(firsts.df, ["run", "rest"]).where("key != first")
+    covered = materialize(later.groupBy("key").agg(F.collect_set("place").alias("stretches")), "covered-stretches")
+    stretches.drop()
+    firsts.drop()
+    return covered
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spans_name: str = "removed", kept_name: str = "kept_text", longest: int | None = None, passage: int | None = None) -> DataFrame:
     """``docs`` with the removed character spans [start, end) and the text without them."""
     if {spans_name.lower(), kept_name.lower()} & {c.lower() for c in docs.columns}:
         raise ValueError(f"the input already has a column named {spans_name} or {kept_name}")
-    covered = repeated_places(docs, id_col, text_col, longest)
+    covered = repeated_places(docs, id_col, text_col, longest).withColumn("stretches", F.lit(None).cast("array<int>"))
+    if passage is not None:
+        parts = repeated_stretches(docs, passage, id_col, text_col).withColumn("places", F.lit(None).cast(covered.schema["places"].dataType))
+        covered = covered.unionByName(parts).groupBy("key").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("places", "stretches")])
     key, places = free_name(docs, "key"), free_name(docs, "places")
-    slim = covered.select(F.col("key").alias(key), F.col("places").alias(places))
+    slim = covered.select(F.col("key").alias(key), F.struct("places", "stretches").alias(places))
     slim = slim.select(F.col(key)["id"].alias(f"{key}i"), F.col(key)["version"].alias(f"{key}v"), places)
     keyed = docs.withColumns({f"{key}a": F.col(quoted(id_col)), f"{key}b": F.xxhash64(F.col(quoted(text_col)).cast("string"))})
     met = keyed.join(slim, keyed[f"{key}a"].eqNullSafe(slim[f"{key}i"]) & (keyed[f"{key}b"] == slim[f"{key}v"]), "left")
@@ -185,7 +294,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             spans, kept = [], []
             for text, own in zip(batch.column(at), batch.column(at + 1)):
-                gone, rest = cut(text.as_py(), own.as_py() or [], longest)
+                mine = own.as_py() or {}
+                gone, rest = cut(text.as_py(), mine.get("places") or [], longest, mine.get("stretches") or [], passage)
                 spans.append([{"start": a, "end": b} for a, b in gone])
                 kept.append(rest)
             fields = [*list(batch.schema)[:at], pa.field(spans_name, arrow), pa.field(kept_name, pa.string())]
@@ -194,19 +304,25 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return mapped(rows, scan, schema)
 
 
-def cut(text: str | None, places: list[dict], longest: int | None = None) -> tuple[list[tuple[int, int]], str | None]:
-    """Character spans of the covered sentences, and the text without them."""
-    if text is None or not places:
+def cut(text: str | None, places: list[dict], longest: int | None = None, stretches: list[int] = (), passage: int | None = None) -> tuple[list[tuple[int, int]], str | None]:
+    """Character spans of the covered sentences and stretches, and the text without them."""
+    if text is None or not (places or stretches):
         return [], text
-    found = sentences(text, longest)
-    covered = np.zeros(len(found), bool)
-    for p in places:
-        covered[p["place"] : p["place"] + p["length"]] = True
+    spans: list[tuple[int, int]] = []
+    if places:
+        found = sentences(text, longest)
+        covered = np.zeros(len(found), bool)
+        for p in places:
+            covered[p["place"] : p["place"] + p["length"]] = True
+        spans += [found[k][:2] for k in np.nonzero(covered)[0]]
+    if stretches:
+        words = WORD if _UNSPACED.search(text) is None else _TOKEN
+        starts = [0, *[m.start() for m in words.finditer(text)][1:], len(text)]  # leading blanks belong to the first word
+        spans += [(starts[k], starts[k + passage + 1]) for k in stretches]
     gone: list[tuple[int, int]] = []
-    for k in np.nonzero(covered)[0]:
-        start, end = found[k][:2]
-        if gone and gone[-1][1] == start:
-            gone[-1] = (gone[-1][0], end)
+    for start, end in sorted(spans):
+        if gone and start <= gone[-1][1]:
+            gone[-1] = (gone[-1][0], max(end, gone[-1][1]))
         else:
             gone.append((start, end))
     kept, at = [], 0
@@ -218,6 +334,6 @@ def cut(text: str | None, places: list[dict], longest: int | None = None) -> tup
 
 def document_substrings(docs: DataFrame) -> DataFrame:
     """doc_id, n_removed, removed spans and the text that is left of every document."""
-    out = deduplicated(docs.select("doc_id", "text"))
+    out = deduplicated(docs.select("doc_id", "text"), passage=PASSAGE)
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return out.select("doc_id", removed.alias("n_removed"), "removed", F.col("kept_text").alias("text"))
