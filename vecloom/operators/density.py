@@ -14,8 +14,9 @@ from vecloom.functions.vectors import parse_metric
 from vecloom.operators.assign import pairwise
 from vecloom.operators.condense import condensed_frame, density_of, selected
 from vecloom.operators.kmeans import checked
-from vecloom.operators.neighbors import BLOCK_ROWS, LOCAL_EDGES, _data as sided, _sides as block_sides, _within, core_distances, grown_tree, reachability_tree
+from vecloom.operators.neighbors import BLOCK_ROWS, LOCAL_EDGES, _data as sided, _reaching, _sides as block_sides, _within, core_distances, grown_tree, reachability_tree
 from vecloom.operators.pivots import PivotCells
+from vecloom.operators.sweep import Swept, counts, linked as swept_components, lowest
 from vecloom.plans.components import connected_components, joined_roots, numbered
 from vecloom.plans.durable import materialize
 from vecloom.plans.frames import NotFittedError, collect_matrix, feature_frame, validate
@@ -28,7 +29,8 @@ class DBSCAN(StoredModel):
     Equal vectors are one weighted row, as they share neighbours, density and cluster.  Neighbours are
     counted in the blocks that ``pivots.py`` leaves to compare; blocks of core rows give back spanning
     forests of their links, and blocks of border rows the lowest-numbered cluster next to them.  What is
-    written is linear in the rows and the blocks they visit, never the pairs.  Clusters are numbered by
+    written is linear in the rows and the blocks they visit, never the pairs; where rows would visit many blocks
+    they are compared in sweeps (``sweep.py``) that give back the same.  Clusters are numbered by
     their lowest core id; noise is -1.
     """
 
@@ -41,9 +43,30 @@ class DBSCAN(StoredModel):
 
     def fit(self, df: DataFrame) -> DBSCAN:
         frame = materialize(feature_frame(df, self.features, self.ident), "features")
-        n, _ = validate(frame)
+        n, d = validate(frame)
         points, back = _weighted(frame, n, self.metric)
-        cells = PivotCells(points, points.count(), self.metric, self.block_rows)
+        count = points.count()
+        cells = PivotCells(points, count, self.metric, self.block_rows)
+        if cells.crowded(cells.rows, _reaching(cells, self.eps), ("cell",)):
+            found = self._swept(cells.rows, count, d)
+        else:
+            found = self._visited(cells)
+        self._labels = materialize(back(found), "dbscan")
+        self._frame = frame
+        return self
+
+    def _swept(self, rows: DataFrame, n: int, d: int) -> DataFrame:
+        """(id, label, is_core) by sweeps over all rows."""
+        limit, swept = _Links(self.eps, self.metric).limit, Swept(rows, n, d, self.metric)
+        dense = materialize(counts(swept, limit).select("id", (F.col("near") >= self.min_samples).alias("is_core")), "density")
+        core = swept.rows.drop("chunk").join(dense.where("is_core").select("id"), "id")
+        core = Swept(core, n, d, self.metric)
+        inside = _core_labels(swept_components(core, limit, lambda links: connected_components(links, local_edges=LOCAL_EDGES)))
+        sparse = swept.rows.join(dense.where(~F.col("is_core")).select("id"), "id")
+        return _labelled(dense, inside, lowest(core, sparse, inside, limit))
+
+    def _visited(self, cells: PivotCells) -> DataFrame:
+        """The same by the blocks that the cells leave open."""
         ahead, links = _within(cells, cells.rows, self.eps), _Links(self.eps, self.metric)
         met = cells.groups(cells.rows, ahead, ["id", "features", "n"]).applyInArrow(lambda table: links.counts(table), "id long, near long")
         near = cells.rows.select("id", F.col("n").alias("near")).unionByName(met).groupBy("id").agg(F.sum("near").alias("near"))
@@ -52,15 +75,11 @@ class DBSCAN(StoredModel):
         linked = cells.groups(cells.rows.join(core, "id"), ahead.join(core, "id"), ["id", "features"]).applyInArrow(lambda table: links.forest(table), "src long, dst long")
         linked = connected_components(materialize(linked, "core-links"), local_edges=LOCAL_EDGES)
         member = materialize(core.join(linked.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component")), "member")
-        inside = materialize(member.join(numbered(member.select("component").distinct(), "component", "label"), "component").select("id", "label"), "core-labels")
+        inside = _core_labels(member)
         sparse = cells.rows.join(dense.where(~F.col("is_core")).select("id"), "id").withColumn("label", F.lit(None).cast("long"))
         columns = ["id", "features", "label"]
         border = cells.groups(cells.rows.join(inside, "id"), _within(cells, sparse, self.eps, both_ways=True), columns).applyInArrow(lambda table: links.lowest(table), "id long, near long")
-        border = border.groupBy("id").agg(F.min("near").alias("near"))
-        out = dense.join(inside, "id", "left").join(border, "id", "left").select("id", F.coalesce("label", "near", F.lit(-1)).cast("long").alias("label"), "is_core")
-        self._labels = materialize(back(out), "dbscan")
-        self._frame = frame
-        return self
+        return _labelled(dense, inside, border.groupBy("id").agg(F.min("near").alias("near")))
 
     _saved = ("eps", "min_samples", "metric", "features", "ident", "block_rows")
 
@@ -95,6 +114,27 @@ class DBSCAN(StoredModel):
         return f"DBSCAN(eps={self.eps}, min_samples={self.min_samples}, metric={self.metric!r})"
 
 
+def _core_labels(member: DataFrame) -> DataFrame:
+    """(id, label) of core rows from (id, component): clusters in the order of their lowest core id."""
+    return materialize(member.join(numbered(member.select("component").distinct(), "component", "label"), "component").select("id", "label"), "core-labels")
+
+
+def _labelled(dense: DataFrame, inside: DataFrame, border: DataFrame) -> DataFrame:
+    return dense.join(inside, "id", "left").join(border, "id", "left").select("id", F.coalesce("label", "near", F.lit(-1)).cast("long").alias("label"), "is_core")
+
+
+def components_within(frame: DataFrame, n: int, d: int, radius: float, metric: str = "euclidean", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(id, component): the smallest id that each row reaches over pairs within ``radius``; no pairs are written."""
+    metric = parse_metric(metric)
+    links, cells = _Links(radius, metric), PivotCells(frame.select("id", "features"), n, metric, block_rows)
+    joined = lambda edges: connected_components(edges, local_edges=LOCAL_EDGES)
+    if cells.crowded(cells.rows, _reaching(cells, radius), ("cell",)):
+        return swept_components(Swept(cells.rows, n, d, metric), links.limit, joined)
+    found = cells.groups(cells.rows, _within(cells, cells.rows, radius), ["id", "features"]).applyInArrow(lambda table: links.forest(table), "src long, dst long")
+    found = joined(materialize(found, "links")).withColumnRenamed("node", "id")
+    return frame.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
 def _weighted(frame: DataFrame, n: int, metric: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """(id, features, n) with one row, of the smallest id, for equal vectors, and the way back to all rows.
 

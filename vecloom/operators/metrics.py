@@ -1,7 +1,7 @@
 """Cluster quality: silhouettes, dispersion ratios, agreement with classes, representatives.
 
-Rows labelled below 0 are noise and left out.  Euclidean silhouettes sum distances by (row, cluster) inside
-block comparisons, so n x k numbers are shuffled, never n x n; cosine ones need the clusters' sums only.
+Rows labelled below 0 are noise and left out.  Euclidean silhouettes sum distances by (row, cluster) in sweeps
+over the rows (``sweep.py``), so n x k numbers are written, never n x n; cosine ones need the clusters' sums only.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecloom.operators.assign import pairwise
-from vecloom.operators.neighbors import BLOCK_ROWS, _blocks, _data, _sides
+from vecloom.operators.neighbors import BLOCK_ROWS
+from vecloom.operators.sweep import Swept, label_sums
 from vecloom.plans.frames import matrix_of, validate
 
 
@@ -36,32 +36,14 @@ def _silhouette(a, b):
     return F.when(wide == 0, 0.0).otherwise((b - a) / wide)
 
 
-def _silhouettes(rows: DataFrame, n: int, block_rows: int) -> DataFrame:
+def _silhouettes(rows: DataFrame, n: int, d: int, sizes: dict[int, int]) -> DataFrame:
     """(id, label, silhouette): b - a over the larger; a is 0 in a cluster of one, so it scores 1."""
-
-    def compare(table: pa.Table) -> pa.Table:
-        left, right = _sides(table)
-        (ia, xa), (ib, xb) = _data(left), _data(right)
-        la, lb = left.column("label").to_numpy(), right.column("label").to_numpy()
-        ids, number = np.unique(lb, return_inverse=True)
-        member = np.zeros((len(lb), len(ids)))
-        member[np.arange(len(lb)), number] = 1
-        out = []
-        for s in range(0, len(ia), 512):
-            d = np.sqrt(pairwise(xa[s : s + 512], xb, "euclidean"))
-            own = ia[s : s + 512][:, None] == ib[None, :]
-            d[own] = 0
-            out.append((d @ member, (~own).astype(float) @ member))
-        total = np.vstack([o[0] for o in out]) if out else np.zeros((0, len(ids)))
-        count = np.vstack([o[1] for o in out]) if out else np.zeros((0, len(ids)))
-        return pa.table({"id": np.repeat(ia, len(ids)).astype(np.int64), "label": np.repeat(la, len(ids)).astype(np.int64), "other": np.tile(ids, len(ia)).astype(np.int64), "total": total.ravel(), "n": count.ravel()})
-
-    sums = _blocks(rows, n, block_rows, True, ["label"]).applyInArrow(compare, "id long, label long, other long, total double, n double")
-    by_cluster = sums.groupBy("id", "label", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
-    mean = F.when(F.col("n") > 0, F.col("total") / F.col("n"))
-    sides = by_cluster.groupBy("id", "label").agg(
-        F.coalesce(F.max(F.when(F.col("label") == F.col("other"), mean)), F.lit(0.0)).alias("a"),
-        F.min(F.when(F.col("label") != F.col("other"), mean)).alias("b"),
+    sums = label_sums(Swept(rows, n, d, "euclidean", "label")).groupBy("id", "label", "other").agg(F.sum("total").alias("total"))
+    sums = sums.join(rows.sparkSession.createDataFrame(list(sizes.items()), "other long, n long"), "other")
+    own = F.col("label") == F.col("other")
+    sides = sums.groupBy("id", "label").agg(
+        F.coalesce(F.max(F.when(own & (F.col("n") > 1), F.col("total") / (F.col("n") - 1))), F.lit(0.0)).alias("a"),
+        F.min(F.when(~own, F.col("total") / F.col("n"))).alias("b"),
     )
     return sides.select("id", "label", _silhouette(F.col("a"), F.col("b")).alias("silhouette"))
 
@@ -69,13 +51,15 @@ def _silhouettes(rows: DataFrame, n: int, block_rows: int) -> DataFrame:
 def silhouette_samples(df: DataFrame, features: str = "features", label: str = "label", ident: str = "id", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, label, silhouette) by Euclidean distance; 0 everywhere with a single cluster.
 
-    Every row meets every other (there is no shorter way for this metric), in bounded blocks.
+    Every row meets every other (there is no shorter way for this metric), in chunks that travel to all tasks.
+    ``block_rows`` is kept for callers and has no meaning any more.
     """
     rows = _clustered(df, features, label, ident)
-    n, sizes = _sizes(rows)
+    _, d = validate(rows)
+    sizes = _counted(rows)
     if len(sizes) < 2:
         return rows.select("id", "label", F.lit(0.0).alias("silhouette"))
-    return _silhouettes(rows, n, block_rows)
+    return _silhouettes(rows, sum(sizes.values()), d, sizes)
 
 
 def silhouette_score(df: DataFrame, features: str = "features", label: str = "label", ident: str = "id", block_rows: int = BLOCK_ROWS) -> float:

@@ -2,13 +2,14 @@
 
 Rows are dealt into cells around pivots (``pivots.py``) and compared by NumPy on the executors only with
 cells that the triangle inequality leaves open, in bounded groups: neither a cross join nor an unbounded
-group is ever formed.  Vectors without any structure (all distances alike) leave every cell open.  In up
-to three dimensions a radius join uses grid cells instead: an equi-join of each row's cell with its
+group is ever formed.  Vectors without any structure (all distances alike) leave every cell open; they are
+compared in sweeps (``sweep.py``), so that rows are not written once for every cell.  In up to three dimensions a radius join uses grid cells instead: an equi-join of each row's cell with its
 neighbours' and a residual distance filter.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import product
 
 import numpy as np
@@ -20,12 +21,14 @@ from pyspark.sql import functions as F
 from vecloom.functions import vectors as V
 from vecloom.operators.assign import pairwise
 from vecloom.operators.pivots import PivotCells, from_geometry, to_geometry
+from vecloom.operators.sweep import Swept, nearest, pairs
 from vecloom.plans.components import connected_components
 from vecloom.plans.durable import materialize, materialized
 from vecloom.plans.frames import matrix_of
 
 BLOCK_ROWS = 2048
 SPANNED_BLOCKS = 8  # blocks of rows that one task spans by itself
+LISTED = 16  # lightest edges that a swept row remembers
 LOCAL_EDGES = 200_000  # counted edges up to which components are joined in one place
 
 
@@ -33,17 +36,6 @@ def _metric_values(raw: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(raw) if metric == "euclidean" else raw
 
 
-def _blocks(frame: DataFrame, n: int, block_rows: int, both_ways: bool, extra: list[str] | None = None):
-    """Rows grouped by pairs of blocks (a, b) with ``is_b`` telling the sides apart."""
-    count = max(1, -(-n // block_rows))
-    own = F.pmod(F.xxhash64("id", F.lit(13)), F.lit(count)).cast("int")
-    every = F.sequence(F.lit(0), F.lit(count - 1))
-    columns = ["id", "features", *(extra or [])]
-    left = frame.select(*columns, own.alias("a"), F.explode(every if both_ways else F.sequence(own, F.lit(count - 1))).alias("b"), F.lit(False).alias("is_b"))
-    right = frame.select(*columns, F.explode(every if both_ways else F.sequence(F.lit(0), own)).alias("a"), own.alias("b"), F.lit(True).alias("is_b"))
-    return left.unionByName(right).groupBy("a", "b")
-
-
 def _sides(table: pa.Table) -> tuple[pa.Table, pa.Table]:
     flag = table.column("is_b").combine_chunks()
     return table.filter(pc.invert(flag)).sort_by("id"), table.filter(flag).sort_by("id")
@@ -53,11 +45,14 @@ def _data(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return table.column("id").to_numpy(), matrix_of(table.column("features").combine_chunks())
 
 
-def range_join(frame: DataFrame, n: int, d: int, radius: float, metric: str = "euclidean", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(src, dst, distance) for all pairs src < dst within ``radius`` (in the metric, not squared)."""
+def range_join(frame: DataFrame, n: int, d: int, radius: float, metric: str = "euclidean", block_rows: int = BLOCK_ROWS, given: tuple[str, ...] = ()) -> DataFrame:
+    """(src, dst, distance) for all pairs src < dst within ``radius`` (in the metric, not squared).
+
+    The ``given`` columns of both rows come along as a_... (of src) and b_... (of dst).
+    """
     metric = V.parse_metric(metric)
     if metric != "cosine" and d <= 3:
-        return _grid_join(frame, d, radius, metric)
+        return _grid_join(frame, d, radius, metric, given)
     raw = radius * radius if metric == "euclidean" else radius
 
     def compare(table: pa.Table) -> pa.Table:
@@ -70,18 +65,34 @@ def range_join(frame: DataFrame, n: int, d: int, radius: float, metric: str = "e
             dist = pairwise(xa[part], xb, metric)
             ahead = (ha[part][:, None] != hb[None, :]) | (ia[part][:, None] < ib[None, :])
             p, q = np.nonzero((dist <= raw) & ahead)
-            out.append((ia[part][p], ib[q], dist[p, q]))
-        a, b, dist = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0), np.zeros(0), np.zeros(0))
-        return pa.table({"src": np.minimum(a, b).astype(np.int64), "dst": np.maximum(a, b).astype(np.int64), "distance": _metric_values(dist, metric)})
-
-    cells = PivotCells(frame.select("id", "features"), n, metric, block_rows)
-    return cells.groups(cells.rows, _within(cells, cells.rows, radius), ["id", "features"]).applyInArrow(compare, "src long, dst long, distance double")
+            out.append((p + s, q, dist[p, q]))
+        p, q, dist = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        a, b = ia[p], ib[q]
+        found = {"src": np.minimum(a, b).astype(np.int64), "dst": np.maximum(a, b).astype(np.int64), "distance": _metric_values(dist, metric)}
+        sides = {c: (left.column(c).to_numpy()[p], right.column(c).to_numpy()[q]) for c in given}
+        found |= {f"a_{c}": np.where(a < b, mine, theirs) for c, (mine, theirs) in sides.items()} | {f"b_{c}": np.where(a < b, theirs, mine) for c, (mine, theirs) in sides.items()}
+        return pa.table(found)
+
+    columns = ["id", "features", *given]
+    cells = PivotCells(frame.select(*columns), n, metric, block_rows)
+    if cells.crowded(cells.rows, _reaching(cells, radius), ("cell",)):
+        return pairs(Swept(cells.rows, n, d, metric), raw, given)
+    kinds = {f.name: f.dataType.simpleString() for f in frame.schema}
+    schema = "src long, dst long, distance double" + "".join(f", {side}_{c} {kinds[c]}" for side in "ab" for c in given)
+    return cells.groups(cells.rows, _within(cells, cells.rows, radius), columns).applyInArrow(compare, schema)
 
 
 def _within(cells: PivotCells, rows: DataFrame, radius: float, both_ways: bool = False) -> DataFrame:
     """``rows`` with the cells that may hold rows within ``radius``; one way, only those of no lower number."""
     if cells.single:
         return cells.at_home(rows)
+    return cells.visiting(rows, _reaching(cells, radius, both_ways), ("cell",))
+
+
+def _reaching(cells: PivotCells, radius: float, both_ways: bool = False) -> Callable | None:
+    """What tells which cells those are."""
+    if cells.single:
+        return None
     reach = float(to_geometry(np.array(radius), cells.metric)) * (1 + 1e-9)
 
     shared = cells.shared
@@ -89,17 +100,17 @@ def _within(cells: PivotCells, rows: DataFrame, radius: float, both_ways: bool =
     def choose(low: np.ndarray, high: np.ndarray, nodes: np.ndarray, cell: np.ndarray) -> np.ndarray:
         return (low <= reach) & (both_ways | shared.value[-1][nodes][None, :] | (nodes[None, :] >= cell[:, None]))
 
-    return cells.visiting(rows, choose, ("cell",))
+    return choose
 
 
-def _grid_join(frame: DataFrame, d: int, radius: float, metric: str) -> DataFrame:
+def _grid_join(frame: DataFrame, d: int, radius: float, metric: str, given: tuple[str, ...] = ()) -> DataFrame:
     cell = F.array(*[F.floor(F.element_at("features", k + 1) / F.lit(radius)) for k in range(d)])
     steps = F.array(*[F.array(*[F.lit(s) for s in step]) for step in product((-1, 0, 1), repeat=d)])
-    index = frame.select("id", "features", cell.alias("cell"))
-    probe = frame.select(F.col("id").alias("pid"), F.col("features").alias("pf"), F.explode(F.transform(steps, lambda s: F.zip_with(cell, s, lambda c, o: c + o))).alias("cell"))
+    index = frame.select("id", "features", cell.alias("cell"), *[F.col(c).alias(f"b_{c}") for c in given])
+    probe = frame.select(F.col("id").alias("pid"), F.col("features").alias("pf"), *[F.col(c).alias(f"a_{c}") for c in given], F.explode(F.transform(steps, lambda s: F.zip_with(cell, s, lambda c, o: c + o))).alias("cell"))
     raw = V.distance(metric, F.col("pf"), F.col("features"))
     near = (index["cell"] == probe["cell"]) & (F.col("pid") < F.col("id")) & (raw <= (radius * radius if metric == "euclidean" else radius))
-    return probe.join(index, near).select(F.col("pid").alias("src"), F.col("id").alias("dst"), V.to_metric(metric, raw).alias("distance"))
+    return probe.join(index, near).select(F.col("pid").alias("src"), F.col("id").alias("dst"), V.to_metric(metric, raw).alias("distance"), *[f"{side}_{c}" for side in "ab" for c in given])
 
 
 def knn_join(frame: DataFrame, n: int, k: int, metric: str = "euclidean", block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -148,6 +159,11 @@ def knn_join(frame: DataFrame, n: int, k: int, metric: str = "euclidean", block_
             other = nodes[None, :] != cell[:, None]
             return np.isfinite(low) & (low <= reach[:, None]) & other
 
+        if cells.crowded(bounded, choose, ("cell", "bound")):
+            d = len(frame.select("features").first()[0])
+            loose = F.col("bound") * (1 + 1e-9) + (1e-12 if metric == "cosine" else 0.0)  # products may round differently
+            best = nearest(Swept(index, n, d, metric), bounded.withColumn("bound", loose), k).df
+            return best.select(F.col("id").alias("src"), F.posexplode(F.arrays_zip("to", "far"))).select("src", (F.col("pos") + 1).alias("rank"), F.col("col.to").alias("dst"), F.col("col.far").alias("distance"))
         abroad = cells.groups(index, cells.visiting(bounded, choose, ("cell", "bound")), ["id", "features"]).applyInArrow(compare, kind)
         found = found.drop("rank").unionByName(abroad)
     ranked = found.withColumn("rank", F.row_number().over(best))
@@ -178,7 +194,7 @@ def reachability_tree(frame: DataFrame, n: int, metric: str = "euclidean", block
     points = materialize(rows.groupBy("features", "alone").agg(F.min("id").alias("id"), F.min("core").alias("core"), F.count(F.lit(1)).alias("n")), "points")
     count = points.count()
     if count == n:
-        return _spanned(frame.select("id", "features", "core"), n, metric, block_rows)
+        return _spanned(points.select("id", "features", "core"), n, metric, block_rows)
     kept = points.where("n > 1").select(F.col("features").alias("f"), F.col("alone").alias("a"), F.col("id").alias("src"))
     hung = rows.join(kept, (F.col("features") == F.col("f")) & F.col("alone").eqNullSafe(F.col("a"))).where("id <> src")
     hung = hung.select("src", F.col("id").alias("dst"), F.col("core").alias("weight"))
@@ -214,6 +230,12 @@ def _spanned(frame: DataFrame, n: int, metric: str, block_rows: int) -> DataFram
 
         return materialize(frame.withColumn("block", F.lit(0)).groupBy("block").applyInArrow(lambda table: grow(table), "src long, dst long, weight double"), "tree")
     cells = PivotCells(frame, n, metric, block_rows)
+
+    def lightest(low: np.ndarray, high: np.ndarray, nodes: np.ndarray, core: np.ndarray) -> np.ndarray:
+        return np.isfinite(low) & (from_geometry(low, metric) <= core[:, None])
+
+    if cells.crowded(cells.rows, lightest, ("core",)):
+        return _swept_tree(cells.rows, n, metric)
     labelled = materialized(cells.rows.withColumn("component", F.col("id")), "boruvka")
     tree: DataFrame | None = None
     while True:
@@ -263,6 +285,62 @@ def _spanned(frame: DataFrame, n: int, metric: str, block_rows: int) -> DataFram
     return tree if tree is not None else frame.sparkSession.createDataFrame([], "src long, dst long, weight double")
 
 
+def _swept_tree(rows: DataFrame, n: int, metric: str) -> DataFrame:
+    """The same in sweeps: one lists the ``LISTED`` lightest edges of every row, and rounds take edges from the lists.
+
+    The first listed edge out of its component is a row's lightest.  A row whose list lies in its component
+    has none lighter than the last of it; only where its component has found no lighter one is the row swept again,
+    for edges out of its component.  The largest component waits for the others, which all name an edge each round.
+    """
+    swept = Swept(rows.select("id", "features", "core", "cell"), n, len(rows.select("features").first()[0]), metric)
+    every = swept.rows.select("id", "features", "core").withColumn("bound", F.lit(float("inf")))
+    listed = nearest(swept, every, LISTED, weighted=True)
+    number, edge = F.size("far"), F.posexplode(F.arrays_zip("far", "to"))
+    ends = listed.df.select("id", edge).select("id", F.col("col.far").alias("weight"), F.least("id", "col.to").alias("src"), F.greatest("id", "col.to").alias("dst"))
+    edges = materialized(ends, "listed")
+    # no edge of a row that is not listed is lighter than this; none is missing where the list is not full
+    last = materialized(listed.df.where(number == LISTED).select("id", F.element_at("far", -1).alias("last")), "last")
+    listed.drop()
+    labelled = materialized(swept.rows.select("id", F.col("id").alias("component")), "boruvka")
+    tree: DataFrame | None = None
+    while True:
+        largest = labelled.df.groupBy("component").count().orderBy(F.desc("count"), "component").limit(1).first()["component"]
+        of = lambda end: labelled.df.select(F.col("id").alias(end), F.col("component").alias(f"{end}_component"))
+        outward = edges.df.join(of("id"), "id").withColumn("other", F.col("src") + F.col("dst") - F.col("id")).join(of("other"), "other")
+        outward = materialized(outward.where("id_component <> other_component").select("id", "weight", "src", "dst", F.col("id_component").alias("component"), "other_component"), "outward")
+        edges.drop()
+        best = outward.df.groupBy("component").agg(F.min("weight").alias("best"))
+        spent = last.df.join(outward.df.select("id"), "id", "left_anti").join(labelled.df.where(F.col("component") != largest), "id")
+        spent = materialized(spent.join(best, "component", "left").where(F.col("best").isNull() | (F.col("best") >= F.col("last"))).select("id", "component"), "spent")
+        named, renewed = outward.df, None
+        if not spent.df.isEmpty():
+            visitors = swept.rows.join(F.broadcast(spent.df) if spent.df.count() <= LOCAL_EDGES else spent.df, "id").select("id", "features", "core", "component").withColumn("bound", F.lit(float("inf")))
+            known = labelled.df
+            renewed = nearest(swept, visitors, LISTED, weighted=True, extra=lambda part: part.join(known, "id"))
+            more = renewed.df.select("id", "component", edge).select("id", F.col("col.far").alias("weight"), F.least("id", "col.to").alias("src"), F.greatest("id", "col.to").alias("dst"), "component", F.col("col.to").alias("other"))
+            named = materialize(named.unionByName(more.join(of("other"), "other").drop("other")), "named")
+        chosen = named.where(F.col("component") != largest).groupBy("component").agg(F.min(F.struct("weight", "src", "dst", "other_component")).alias("e"))
+        chosen = materialize(chosen.select("component", "e.*"), "lightest")
+        if chosen.isEmpty():
+            break
+        picked = materialize(chosen.select("src", "dst", "weight").distinct(), "picked")
+        tree = picked if tree is None else tree.unionByName(picked)
+        joined = connected_components(chosen.select("component", "other_component"), "component", "other_component", local_edges=LOCAL_EDGES)
+        moved = joined.select(F.col("node").alias("component"), F.col("component").alias("now"))
+        following = materialized(labelled.df.join(moved, "component", "left").select("id", F.coalesce("now", "component").alias("component")), "boruvka")
+        edges = materialized(named.select("id", "weight", "src", "dst"), "listed")
+        if renewed is not None:
+            fresh = renewed.df.select("id", F.when(number == LISTED, F.element_at("far", -1)).alias("last"))
+            newer = materialized(last.df.join(fresh.select("id"), "id", "left_anti").unionByName(fresh.where("last IS NOT NULL")), "last")
+            last.drop()
+            renewed.drop()
+            last = newer
+        for used in (labelled, outward, spent):
+            used.drop()
+        labelled = following
+    return tree if tree is not None else rows.sparkSession.createDataFrame([], "src long, dst long, weight double")
+
+
 def _lightest(found: DataFrame) -> DataFrame:
     return found.groupBy("component").agg(F.min(F.struct("weight", "src", "dst")).alias("e"))
 

@@ -30,6 +30,7 @@ from vecloom.plans.frames import list_array, matrix_of
 
 PIVOTS, PIVOT_BYTES = 8192, 32 << 20
 DEALT_ROWS = 20_000  # rows of one group that deals or bounds within a split cell
+OPEN_CELLS, ASKED_ROWS = 8, 2000  # cells a row may be dealt to on average, and rows asked for that
 TINY = 1e-150  # squared length below which a cosine may underflow
 ROOT2 = 2.0**0.5
 
@@ -105,7 +106,7 @@ class PivotCells:
     """
 
     def __init__(self, frame: DataFrame, n: int, metric: str, block_rows: int):
-        self.metric, self.block_rows, self.spark = metric, block_rows, frame.sparkSession
+        self.metric, self.block_rows, self.spark, self.n = metric, block_rows, frame.sparkSession, n
         self.single = n <= block_rows
         self.leaves: DataFrame | None = None
         if self.single:
@@ -274,6 +275,26 @@ class PivotCells:
 
         return compute
 
+    def crowded(self, rows: DataFrame, choose: Callable, given: tuple[str, ...] = ()) -> bool:
+        """Whether rows would visit more than ``OPEN_CELLS`` cells on average, as some of them tell: what they
+        visit would be written so many times.  Only the way the rows are compared depends on it (``sweep.py``)."""
+        if self.single:
+            return False
+        bounds, shared, metric = self.bounds(), self.shared, self.metric
+        top = len(self.pivots) + 2
+        leaves = np.maximum(np.bincount(self.parent[self.parent >= 0], minlength=top)[:top], 1)
+
+        def compute(x: np.ndarray, *values: np.ndarray) -> tuple:
+            *_, least, most, _ = shared.value
+            y, loose, zero = _kinds(x, metric)
+            low, high = bounds(x)
+            mask = _chosen(choose, y, low, high, (least, most), loose | zero, np.arange(top), values, metric) & np.isfinite(low)
+            return (pa.array((mask @ leaves).astype(np.int64)),)
+
+        asked = rows.where(F.pmod(F.xxhash64("id", F.lit(31)), F.lit(max(1, self.n // ASKED_ROWS))) == 0)
+        seen = self._map(asked.select("id", "features", *given), compute, "open long", given).agg(F.avg("open").alias("open")).first()["open"]
+        return (seen or 0) > OPEN_CELLS
+
     def at_home(self, rows: DataFrame) -> DataFrame:
         """``rows`` to be compared with their own cell."""
         return rows.withColumn("targets", F.array("cell"))

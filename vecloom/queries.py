@@ -18,7 +18,7 @@ from vecloom.operators import metrics as M
 from vecloom.operators.agglomerative import AgglomerativeClustering
 from vecloom.operators.assign import assign, assign_with_scores
 from vecloom.operators.condense import contract
-from vecloom.operators.density import DBSCAN, HDBSCAN
+from vecloom.operators.density import DBSCAN, HDBSCAN, components_within
 from vecloom.operators.embedding import EmbeddingCluster, e_step_sums, spherical_minibatch_step
 from vecloom.operators.hierarchy import HierarchicalSnapshot
 from vecloom.operators.kmeans import KMeans, MiniBatchKMeans, minibatch_step
@@ -583,9 +583,8 @@ def mutual_reachability(spark, sf_dir):
     frame = feature_frame(embeddings(spark, sf_dir))
     n, d = validate(frame)
     core = materialize(core_distances(frame, n, 5), "core")
-    near = range_join(frame, n, d, EPS)
-    a, b = core.select(F.col("id").alias("src"), F.col("core").alias("ca")), core.select(F.col("id").alias("dst"), F.col("core").alias("cb"))
-    return near.join(a, "src").join(b, "dst").select("src", "dst", r9(F.greatest("ca", "cb", "distance")).alias("weight"))
+    near = range_join(frame.join(core, "id"), n, d, EPS, given=("core",))
+    return near.select("src", "dst", r9(F.greatest("a_core", "b_core", "distance")).alias("weight"))
 
 
 def _dbscan_sql(radius: float, least: int, metric: str = "euclidean", source: str = E) -> str:
@@ -625,11 +624,8 @@ def dbscan_low_dimensions(spark, sf_dir):
     SELECT id, min(root) AS component FROM reach GROUP BY id""")
 def single_linkage_cut(spark, sf_dir):
     """Single-linkage clusters below a height: components of the pairs within it."""
-    from vecloom.plans.components import connected_components
-
     frame = feature_frame(embeddings(spark, sf_dir))
-    linked = connected_components(range_join(frame, *validate(frame), 1.05), local_edges=200_000).withColumnRenamed("node", "id")
-    return frame.select("id").join(linked, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    return components_within(frame, *validate(frame), 1.05)
 
 
 # --- quality -----------------------------------------------------------------------------------------
