@@ -110,3 +110,11 @@ def test_pairs_in_doubt_are_measured(monkeypatch, metric, scale):
     chunk = sweep.Chunk(x, {}, metric)
     got = {(int(i), int(j)) for p, q, _ in chunk.within(x, limit) for i, j in zip(p, q)}
     assert got == {(i, j) for i, j in zip(*np.nonzero(raw <= limit))}
+
+
+def test_grid_joins_are_never_built_on_the_driver(spark):
+    """A small file may hold many rows: the grid's side was broadcast, nine rows for each."""
+    x = np.random.default_rng(4).uniform(0, 1, size=(200, 2))
+    found = range_join(feature_frame(from_numpy(spark, x)), 200, 2, 0.1)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == int((distances(x) <= 0.1).sum() - 200) // 2

@@ -104,13 +104,29 @@ def _reaching(cells: PivotCells, radius: float, both_ways: bool = False) -> Call
 
 
 def _grid_join(frame: DataFrame, d: int, radius: float, metric: str, given: tuple[str, ...] = ()) -> DataFrame:
-    cell = F.array(*[F.floor(F.element_at("features", k + 1) / F.lit(radius)) for k in range(d)])
-    steps = F.array(*[F.array(*[F.lit(s) for s in step]) for step in product((-1, 0, 1), repeat=d)])
-    index = frame.select("id", "features", cell.alias("cell"), *[F.col(c).alias(f"b_{c}") for c in given])
-    probe = frame.select(F.col("id").alias("pid"), F.col("features").alias("pf"), *[F.col(c).alias(f"a_{c}") for c in given], F.explode(F.transform(steps, lambda s: F.zip_with(cell, s, lambda c, o: c + o))).alias("cell"))
-    raw = V.distance(metric, F.col("pf"), F.col("features"))
-    near = (index["cell"] == probe["cell"]) & (F.col("pid") < F.col("id")) & (raw <= (radius * radius if metric == "euclidean" else radius))
-    return probe.join(index, near).select(F.col("pid").alias("src"), F.col("id").alias("dst"), V.to_metric(metric, raw).alias("distance"), *[f"{side}_{c}" for side in "ab" for c in given])
+    """Rows look into their own grid cell and into those of the cells around it that come after it.
+
+    Both sides are shuffled: a table that is small on disk may hold many rows, too many for a driver to hash.
+    """
+    cells, dims = [f"c{k}" for k in range(d)], range(d)
+    value = lambda k: F.element_at("features", k + 1)
+    cell = lambda k: F.floor(value(k) / F.lit(radius))
+    steps = [s for s in product((-1, 0, 1), repeat=d) if s >= (0,) * d]
+    step = F.explode(F.array(*[F.struct(*[F.lit(s[k]).alias(f"s{k}") for k in dims], F.lit(not any(s)).alias("own")) for s in steps]))
+    index = frame.select(F.col("id").alias("there"), *[value(k).alias(f"y{k}") for k in dims], *[cell(k).alias(cells[k]) for k in dims], *[F.col(c).alias(f"y_{c}") for c in given])
+    probe = frame.select(F.col("id").alias("here"), *[value(k).alias(f"x{k}") for k in dims], *[cell(k).alias(cells[k]) for k in dims], *[F.col(c).alias(f"x_{c}") for c in given], step.alias("s"))
+    probe = probe.select("here", *[f"x{k}" for k in dims], *[(F.col(cells[k]) + F.col(f"s.s{k}")).alias(cells[k]) for k in dims], *[f"x_{c}" for c in given], "s.own")
+    raw = F.lit(0.0)
+    for k in dims:
+        gap = F.col(f"x{k}") - F.col(f"y{k}")
+        raw = raw + (gap * gap if metric == "euclidean" else F.abs(gap))
+    near = (~F.col("own") | (F.col("here") < F.col("there"))) & (raw <= (radius * radius if metric == "euclidean" else radius))
+    for c in cells:
+        near = (probe[c] == index[c]) & near
+    ahead = F.col("here") < F.col("there")
+    sides = [F.when(ahead, F.col(f"{a}_{c}")).otherwise(F.col(f"{b}_{c}")).alias(f"{name}_{c}") for name, a, b in (("a", "x", "y"), ("b", "y", "x")) for c in given]
+    found = probe.hint("merge").join(index, near)
+    return found.select(F.least("here", "there").alias("src"), F.greatest("here", "there").alias("dst"), V.to_metric(metric, raw).alias("distance"), *sides)
 
 
 def knn_join(frame: DataFrame, n: int, k: int, metric: str = "euclidean", block_rows: int = BLOCK_ROWS) -> DataFrame:
