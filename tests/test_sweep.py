@@ -19,6 +19,7 @@ METRICS = ["euclidean", "manhattan", "cosine"]
 @pytest.fixture
 def swept(monkeypatch):
     monkeypatch.setattr(pivots, "OPEN_CELLS", -1)
+    monkeypatch.setattr(pivots, "VISITED_BYTES", 0)
     monkeypatch.setattr(sweep, "CHUNK_BYTES", 6000)
     monkeypatch.setattr(sweep, "PIECES", 2)
 
@@ -88,8 +89,9 @@ def test_silhouettes_in_several_chunks(spark, swept):
         assert got[i] == pytest.approx((b - a) / max(a, b), abs=1e-8)
 
 
-def test_rows_are_written_once_not_for_every_cell(spark):
+def test_rows_are_written_once_not_for_every_cell(spark, monkeypatch):
     """Vectors without structure leave all cells open; rows in small groups do not."""
+    monkeypatch.setattr(pivots, "VISITED_BYTES", 0)
     frame = lambda x: feature_frame(from_numpy(spark, x))
     groups = np.repeat(np.random.default_rng(2).normal(0, 9, (40, 12)), 50, axis=0) + noise(2000, 12) * 0.01
     for x, crowded in ((noise(2000, 40), True), (groups, False)):

@@ -31,6 +31,7 @@ from vecloom.plans.frames import list_array, matrix_of
 PIVOTS, PIVOT_BYTES = 8192, 32 << 20
 DEALT_ROWS = 20_000  # rows of one group that deals or bounds within a split cell
 OPEN_CELLS, ASKED_ROWS = 8, 2000  # cells a row may be dealt to on average, and rows asked for that
+VISITED_BYTES = 32 << 20  # vectors that may be written for visits in any case
 TINY = 1e-150  # squared length below which a cosine may underflow
 ROOT2 = 2.0**0.5
 
@@ -278,7 +279,7 @@ class PivotCells:
     def crowded(self, rows: DataFrame, choose: Callable, given: tuple[str, ...] = ()) -> bool:
         """Whether rows would visit more than ``OPEN_CELLS`` cells on average, as some of them tell: what they
         visit would be written so many times.  Only the way the rows are compared depends on it (``sweep.py``)."""
-        if self.single:
+        if self.single or 8 * self.n * self.pivots.shape[1] * self.total <= VISITED_BYTES:
             return False
         bounds, shared, metric = self.bounds(), self.shared, self.metric
         top = len(self.pivots) + 2
